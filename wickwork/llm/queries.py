@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, simhash, token_counts
+from . import bpe, exact_dedup, mixing, simhash, token_counts, toxicity
 from .shared import bound_batches
 
 
@@ -21,6 +22,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: The domains of the sources src0 to src19, five each; any other source is of the domain "other".
+DOMAINS = ("web", "news", "books", "forum")
+MIX_WEIGHTS = {"domain": {"web": 30, "news": 20, "books": 40, "forum": 10}, "lang": {"en": 50, "de": 20, "fr": 20, "es": 10}}
+
+
+def mix_tree() -> dict:
+    """Domain, language, source of a document."""
+    no = F.expr("try_cast(substring(source, 4) as int)")
+    domain = F.when(F.col("source").startswith("src") & (no >= 0) & (no < 20), F.element_at(F.array(*map(F.lit, DOMAINS)), F.floor(no / 5).cast("int") + 1)).otherwise("other")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", mixing.approximate_tokens(F.col("text")).alias("n_tokens"))
+    out = mixing.copies(docs, mix_tree(), MIX_WEIGHTS, budget_percent=80, max_epochs=3, seed=17, tokens=F.col("n_tokens"))
+    return out.select("doc_id", "lang", "source", "n_tokens", F.col("__copies").alias("copies"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -35,12 +54,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op5_simhash_near_dedup, op7_exact_dedup, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op3_mix_sources, op5_simhash_near_dedup, op7_exact_dedup, op8_byte_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": EXACT_DEDUP}
+    return {"op3_mix_sources": MIX_SOURCES, "op7_exact_dedup": EXACT_DEDUP}
 
 
 EXACT_DEDUP = r"""
@@ -56,3 +80,52 @@ SELECT doc_id,
 FROM t
 WINDOW g AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 """
+
+_WEIGHT = {
+    "domain": "CASE domain WHEN 'web' THEN 30 WHEN 'news' THEN 20 WHEN 'books' THEN 40 WHEN 'forum' THEN 10 ELSE 1 END",
+    "lang": "CASE lang WHEN 'en' THEN 50 WHEN 'de' THEN 20 WHEN 'fr' THEN 20 WHEN 'es' THEN 10 ELSE 1 END",
+    "source": "1",
+}
+
+
+def _split_sql(level: str, parents: str, above: str) -> str:
+    """The CTEs that split the budgets of one level."""
+    here = f"{parents}, {level}" if parents else level
+    part = f"PARTITION BY {parents}" if parents else ""
+    return f"""
+{level}_nodes AS (
+  SELECT *, capacity / w AS ratio FROM (
+    SELECT {here}, sum(tokens)::BIGINT * 3 AS capacity, ({_WEIGHT[level]})::BIGINT AS w FROM leaves GROUP BY {here}
+  ) {f"JOIN {above} USING ({parents})" if parents else f"CROSS JOIN {above}"}
+),
+{level}_levels AS (
+  SELECT *, (budget - coalesce(sum(capacity) OVER ({part} ORDER BY ratio, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(w) OVER ({part} ORDER BY ratio, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {level}_nodes
+),
+{level}_share AS (
+  SELECT {here}, CASE WHEN ratio <= level THEN capacity
+    ELSE floor(w * max(CASE WHEN ratio > level THEN level END) OVER ({part}))::BIGINT END AS budget FROM {level}_levels
+)"""
+
+
+MIX_SOURCES = f"""
+WITH docs AS (
+  SELECT doc_id, lang AS lang0, source AS source0, coalesce(lang, '') AS lang, coalesce(source, '') AS source, (strlen(coalesce(text, '')) + 3) // 4 AS n_tokens,
+    CASE WHEN source LIKE 'src%' AND try_cast(substring(source, 4) AS INT) BETWEEN 0 AND 19
+      THEN list_extract(['web', 'news', 'books', 'forum'], try_cast(substring(source, 4) AS INT) // 5 + 1) ELSE 'other' END AS domain
+  FROM documents
+),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL),
+root AS (SELECT floor(coalesce(sum(tokens), 0) * 80 / 100)::BIGINT AS budget FROM leaves),
+{_split_sql("domain", "", "root")},
+{_split_sql("lang", "domain", "domain_share")},
+{_split_sql("source", "domain, lang", "lang_share")},
+plan AS (
+  SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest
+  FROM leaves JOIN source_share USING (domain, lang, source)
+),
+hashed AS (SELECT docs.*, whole, rest, md5('17:' || whole || ':' || doc_id) AS h FROM docs JOIN plan USING (domain, lang, source)),
+cut AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  - sum(n_tokens) OVER (PARTITION BY domain, lang, source, h) AS before FROM hashed)
+SELECT doc_id, lang0 AS lang, source0 AS source, n_tokens, (whole + CASE WHEN rest > 0 AND before < rest THEN 1 ELSE 0 END)::INT AS copies FROM cut
+"""
