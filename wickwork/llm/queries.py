@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, simhash, token_counts, toxicity
+from . import bpe, exact_dedup, mixing, order_minhash, simhash, token_counts, toxicity
 from .shared import bound_batches
 
 
@@ -44,6 +44,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_and_next(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_mix_sources, op5_simhash_near_dedup, op7_exact_dedup, op8_byte_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op3_mix_sources, op5_simhash_near_dedup, op6_order_minhash, op7_exact_dedup, op8_byte_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
