@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, order_minhash, simhash, token_counts, toxicity
+from . import bpe, exact_dedup, mixing, order_minhash, pseudo_likelihood, simhash, substring_dedup, token_counts, toxicity
 from .shared import bound_batches
 
 
@@ -40,6 +40,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "source", "n_tokens", F.col("__copies").alias("copies"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_units(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -58,17 +62,22 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_mix_sources, op5_simhash_near_dedup, op6_order_minhash, op7_exact_dedup, op8_byte_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op3_mix_sources, op4_substring_dedup, op5_simhash_near_dedup, op6_order_minhash, op7_exact_dedup, op8_byte_bpe, op9_pseudo_likelihood, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": MIX_SOURCES, "op7_exact_dedup": EXACT_DEDUP}
+    return {"op3_mix_sources": MIX_SOURCES, "op4_substring_dedup": SUBSTRING_DEDUP, "op7_exact_dedup": EXACT_DEDUP}
 
 
 EXACT_DEDUP = r"""
@@ -85,6 +94,25 @@ FROM t
 WINDOW g AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 """
 
+SUBSTRING_DEDUP = r"""
+WITH parts AS (
+  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*|[.!?]+|\n')) AS raw, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*|[.!?]+|\n'), 1) AS no
+  FROM (SELECT DISTINCT doc_id, text FROM documents)
+),
+placed AS (
+  SELECT doc_id, raw, coalesce(sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM parts
+),
+bare AS (
+  SELECT doc_id, pos + length(raw) - length(regexp_replace(raw, '^[\x20\x09-\x0D]+', '')) AS start, pos + length(regexp_replace(raw, '[\x20\x09-\x0D]+$', '')) AS "end",
+    trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS unit FROM placed
+),
+units AS (SELECT doc_id, start, "end", md5(unit) AS unit_md5 FROM bare WHERE length(unit) - length(replace(unit, ' ', '')) >= 7),
+ranked AS (
+  SELECT *, count(*) OVER (PARTITION BY unit_md5) AS copies, first_value(doc_id) OVER r AS keep_doc_id, first_value(start) OVER r AS keep_start, row_number() OVER r AS no
+  FROM units WINDOW r AS (PARTITION BY unit_md5 ORDER BY doc_id, start)
+)
+SELECT doc_id, start::INT AS start, "end"::INT AS "end", unit_md5, copies, keep_doc_id, keep_start::INT AS keep_start FROM ranked WHERE no > 1
+"""
 _WEIGHT = {
     "domain": "CASE domain WHEN 'web' THEN 30 WHEN 'news' THEN 20 WHEN 'books' THEN 40 WHEN 'forum' THEN 10 ELSE 1 END",
     "lang": "CASE lang WHEN 'en' THEN 50 WHEN 'de' THEN 20 WHEN 'fr' THEN 20 WHEN 'es' THEN 10 ELSE 1 END",
