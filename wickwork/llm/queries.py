@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, order_minhash, pseudo_likelihood, simhash, substring_dedup, token_counts, toxicity
+from . import bpe, exact_dedup, mixing, order_minhash, pseudo_likelihood, simhash, substring_dedup, token_counts, toxicity, warc
 from .shared import bound_batches
 
 
@@ -22,6 +22,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive_and_index(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured_at")
+
+
 #: The domains of the sources src0 to src19, five each; any other source is of the domain "other".
 DOMAINS = ("web", "news", "books", "forum")
 MIX_WEIGHTS = {"domain": {"web": 30, "news": 20, "books": 40, "forum": 10}, "lang": {"en": 50, "de": 20, "fr": 20, "es": 10}}
@@ -73,11 +78,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_mix_sources, op4_substring_dedup, op5_simhash_near_dedup, op6_order_minhash, op7_exact_dedup, op8_byte_bpe, op9_pseudo_likelihood, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_warc, op3_mix_sources, op4_substring_dedup, op5_simhash_near_dedup, op6_order_minhash, op7_exact_dedup, op8_byte_bpe, op9_pseudo_likelihood, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": MIX_SOURCES, "op4_substring_dedup": SUBSTRING_DEDUP, "op7_exact_dedup": EXACT_DEDUP}
+    return {"op2_warc": WARC, "op3_mix_sources": MIX_SOURCES, "op4_substring_dedup": SUBSTRING_DEDUP, "op7_exact_dedup": EXACT_DEDUP}
 
 
 EXACT_DEDUP = r"""
@@ -94,6 +99,18 @@ FROM t
 WINDOW g AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 """
 
+WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) AS first FROM pages
+)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(h, (k // 8 * 10 + 1)::INT, 10))::BIGINT >> (35 - 5 * (k % 8))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to,
+  strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id % 315360000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
+FROM p
+"""
 SUBSTRING_DEDUP = r"""
 WITH parts AS (
   SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*|[.!?]+|\n')) AS raw, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*|[.!?]+|\n'), 1) AS no

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import text_or_empty
 
@@ -298,3 +299,18 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     out = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def with_score(docs: DataFrame, model: Model | None, name: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns and the score of its texts as the column ``name``, which must be new."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name} already")
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            p = model.score_texts(texts) if model else np.zeros(len(texts))
+            yield batch.append_column(name, pa.array(p, pa.float64()))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
