@@ -80,6 +80,11 @@ def run_kernels(df: DataFrame, recs: dict[str, Rec]) -> DataFrame:
 
     Only the order and the inputs enter the kernels; the other columns pass through the Arrow table unread.
     """
+    dotted = {c: f"__dot{i}" for i, c in enumerate(df.columns) if "." in c}
+    if dotted:  # a grouped map takes no names with dots
+        out = run_kernels(df.toDF(*[dotted.get(c, c) for c in df.columns]), recs)
+        back = {v: k for k, v in dotted.items()}
+        return out.toDF(*[back.get(c, c) for c in out.columns])
     inputs = {c for r in recs.values() for c in r.columns}
     df = df.withColumns({c: F.col(c).cast("double") for c in inputs if df.schema[c].dataType != T.DoubleType()})
     schema = T.StructType([f for f in df.schema.fields if f.name not in recs] + [T.StructField(k, T.DoubleType()) for k in recs])

@@ -326,8 +326,8 @@ FROM bars AS b JOIN bars AS a ON a.symbol = b.symbol AND a.seq > b.seq - 700 AND
     out["add_structure_break_long"] = f"""WITH bars AS ({DAILY}),
 f AS (SELECT symbol, seq, "High" AS h FROM (SELECT *, greatest(lag("High", 1) OVER w, lag("High", 2) OVER w, lead("High", 1) OVER w, lead("High", 2) OVER w) AS n, lag("High", 2) OVER w IS NOT NULL AND lead("High", 2) OVER w IS NOT NULL AS ok
   FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY seq)) WHERE ok AND "High" > n),
-breaks AS (SELECT DISTINCT symbol, at FROM (SELECT f.symbol, f.seq, min(b.seq) AS at FROM f JOIN bars AS b ON b.symbol = f.symbol AND b.seq > f.seq AND b."Close" > f.h GROUP BY ALL))
-SELECT b.symbol, b.seq, CASE WHEN EXISTS (SELECT 1 FROM breaks AS k WHERE k.symbol = b.symbol AND k.at <= b.seq AND k.at > b.seq - 14) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS structure_break_long FROM bars AS b"""
+breaks AS (SELECT DISTINCT symbol, hit FROM (SELECT f.symbol, f.seq, min(b.seq) AS hit FROM f JOIN bars AS b ON b.symbol = f.symbol AND b.seq > f.seq AND b."Close" > f.h GROUP BY ALL))
+SELECT b.symbol, b.seq, CASE WHEN EXISTS (SELECT 1 FROM breaks AS k WHERE k.symbol = b.symbol AND k.hit <= b.seq AND k.hit > b.seq - 14) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS structure_break_long FROM bars AS b"""
     for name, (kind, feature) in FEATURES.items():
         if sql := duckdb_sql(feature, _SOURCES[kind][1], _plain_sql(feature.outputs)):
             out[name] = sql
