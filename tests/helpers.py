@@ -1,7 +1,6 @@
 """Made-up bars, and queries against their SQL."""
 
 import glob
-import math
 import os
 
 import numpy as np
@@ -42,6 +41,6 @@ def same(spark, sf, query, sql):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
     got, want = query(spark, sf).toPandas(), con.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
-    text = lambda v: "null" if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)) else repr(float(v)) if isinstance(v, (int, float, np.number)) else str(v)
+    text = lambda v: "null" if pd.isna(v) else repr(float(v)) if isinstance(v, (int, float, np.number)) else str(v)
     rows = lambda d: sorted(tuple(map(text, r)) for r in d[sorted(d.columns)].itertuples(index=False))
     assert rows(got) == rows(want)
