@@ -11,6 +11,7 @@ One queue serves many pre-tokens at a time: those do not touch each other, and e
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -28,9 +29,9 @@ WORD = 64
 #: Texts are cut before a space that is followed by a visible character: the pattern always starts a match there.
 SAFE_BOUNDARY = re.compile(r" (?=\S)")
 #: Pieces of text whose ids a worker remembers; the memory is emptied beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Bytes of pre-tokens that share one linked list and one queue; a longer pre-token has its own.
-RUN_BYTES = 1 << 19
+RUN_BYTES = 1 << 16
 
 
 class RankQueue:
@@ -158,7 +159,7 @@ class Codec:
                     for x in positions[at + 1 :]:
                         queue.put(r, x)
                     break
-        if len(pair) > 300_000:
+        if len(pair) > 150_000:
             pair.clear()
         got = np.array(ids)
         keep = got >= 0
@@ -237,6 +238,13 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
+        gc.disable()  # what is remembered has no cycles, and there is much of it to look through
+        try:
+            yield from encoded(own, batches)
+        finally:
+            gc.enable()
+
+    def encoded(own: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, ids_sha, text_sha, ids = [], [], [], []
             for found in own.encode_texts(batch.column("text").to_pylist()):

@@ -36,7 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+def bound_batches(spark: SparkSession, rows: int = 400) -> None:
     """Keep the Arrow batches that Python workers receive small, since texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

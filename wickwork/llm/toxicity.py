@@ -36,7 +36,7 @@ SPAN = 24
 MAX_LANDMARKS = 48
 #: A landmark is compared with a word only if the word holds this share of its letters.
 LETTERS = 0.7
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 #: Single characters with something between them: s p e l l e d or s.p.e.l.l.e.d words.
 SPELLED = re.compile(r"(?<!\w)\w(?:[\W_]{1,2}\w(?!\w)){2,}")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
