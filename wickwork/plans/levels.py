@@ -1,4 +1,4 @@
-"""Features in levels: what reads only earlier levels is computed together.
+"""Features in levels: what reads only earlier results is computed together.
 
 A level is either a set of SQL expressions, which become one projection over one window partitioning, or a set of
 recursions, which become one grouped-map call per symbol. A feature lists the columns it leaves; those whose names begin
@@ -55,15 +55,50 @@ class Feature:
 
     def add_to(self, df: DataFrame) -> DataFrame:
         """``df`` with the results; columns of the same names are replaced."""
+        steps, final = self.schedule()
         kept = [c for c in df.columns if c not in self.outputs]
+        for step in steps:
+            if isinstance(next(iter(step.values())), Rec):
+                df = run_kernels(df, step)
+            else:
+                df = df.withColumns({k: F.expr(spark_sql(v)) for k, v in step.items()})
+        return df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(final[c]).alias(c) for c in self.outputs])
+
+    def schedule(self) -> tuple[list[dict[str, str | Rec]], dict[str, str]]:
+        """The levels in as few steps as their dependencies allow, and the name under which each result is found.
+
+        Every definition gets a name of its own, so features that use the same helper names can be taken together:
+        all expressions that are ready are one step, and all recursions that are ready one grouped map, however many
+        features they come from.
+        """
+        now: dict[str, str] = {}
+        todo: dict[str, tuple[str | Rec, set[str]]] = {}
+        known: dict[str | Rec, str] = {}
         for level in self.levels:
-            recs = {k: v for k, v in level.items() if isinstance(v, Rec)}
-            plain = {k: F.expr(spark_sql(v)) for k, v in level.items() if not isinstance(v, Rec)}
-            if plain:
-                df = df.withColumns(plain)
-            if recs:
-                df = run_kernels(df, recs)
-        return df.select(*[F.col(f"`{c}`") for c in [*kept, *self.outputs]])
+            fresh: dict[str, str] = {}
+            for name, x in level.items():
+                if isinstance(x, Rec):
+                    x = Rec(x.kernel, tuple(now.get(c, c) for c in x.columns), x.args)
+                    needs = set(x.columns)
+                else:
+                    x = _NAME.sub(lambda m: now.get(m[0], m[0]), x)
+                    needs = set(_NAME.findall(x))
+                if x not in known:
+                    known[x] = f"__{len(todo)}_{re.sub(r'[^0-9A-Za-z_]', '_', name)}"
+                    todo[known[x]] = (x, needs)
+                fresh[name] = known[x]
+            now |= fresh
+        steps: list[dict[str, str | Rec]] = []
+        while todo:
+            ready = {k: x for k, (x, needs) in todo.items() if not needs & todo.keys()}
+            step = {k: x for k, x in ready.items() if not isinstance(x, Rec)} or ready
+            steps.append(step)
+            for k in step:
+                del todo[k]
+        return steps, now
+
+
+_NAME = re.compile(r"[A-Za-z_]\w*")
 
 
 def spark_sql(text: str) -> str:
