@@ -119,6 +119,16 @@ def as_hex(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
+def _bounds_above(x: Column, bounds: list[int]) -> Column:
+    """How many of ``bounds``, given from the highest down, are above x: looks for the run of bounds, then within it."""
+    width = max(1, round(len(bounds) ** 0.5))
+    runs = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    above = lambda values: F.size(F.filter(values, lambda b: b > x))
+    # Runs whose highest bound is above x: all but the last of them lie above x as a whole.
+    found = above(F.lit([r[0] for r in runs]))
+    return F.when(found == 0, 0).otherwise((found - 1) * width + above(F.get(F.lit(runs), found - 1)))
+
+
 def with_next(rows: DataFrame, per_part: int = 2000) -> DataFrame:
     """``rows`` (doc_id, text) in descending order of doc_id: adds the text of the next row, after the last the first.
 
@@ -130,9 +140,7 @@ def with_next(rows: DataFrame, per_part: int = 2000) -> DataFrame:
     n, low = rows.agg(F.count(F.lit(1)), F.min("doc_id")).first()
     parts = max(1, min(10_000, -(-n // per_part)))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or [low or 0]
-    bounds = F.lit(sorted(set(cuts)))
-    # The number of bounds above an id: 0 for the part with the highest ids.
-    part = F.size(F.filter(bounds, lambda b: b > F.coalesce("doc_id", F.lit(-(1 << 63)))))
+    part = _bounds_above(F.coalesce("doc_id", F.lit(-(1 << 63))), sorted(set(cuts), reverse=True))
     rows = rows.withColumn("part", part)
     ids = rows.groupBy("part").agg(F.max("doc_id").alias("doc_id"))
     heads = written(ids, "heads")
