@@ -89,6 +89,35 @@ def test_repeated_units(spark):
     assert substring_dedup.repeated_units(df.limit(0)).count() == 0
 
 
+def plain_passages(rows, least=8):
+    """Spans of runs of sentences, at least ``least`` words long but no longer on both sides than it takes, that have an earlier copy."""
+    places = {}
+    for i, t in rows:
+        units = [(m.start() + len(m[0]) - len(m[0].lstrip()), m.start() + len(m[0].rstrip()), m[0].lower().split()) for m in re.finditer(r"[^.!?\n]+[.!?]*|[.!?]+", t or "") if m[0].split()]
+        n = [len(u[2]) for u in units]
+        for a in range(len(units)):
+            for b in range(a, len(units)):
+                if sum(n[a : b + 1]) >= least and (sum(n[a:b]) < least or sum(n[a + 1 : b + 1]) < least):
+                    places.setdefault(" ".join(w for u in units[a : b + 1] for w in u[2]), []).append((i, units[a][0], units[b][1]))
+    return sorted((*p, len(v), *min(v)[:2]) for v in places.values() for p in v if p[:2] != min(v)[:2])
+
+
+def test_repeated_passages_of_short_sentences(spark):
+    short = "It rained. We ran home! Nobody spoke? The door was shut. Too late. Yes."
+    rng = np.random.default_rng(8)
+    chance = [" ".join(rng.choice(["Yes.", "It rained.", "No one came\n", "Ä b c."], 12)) for _ in range(12)]
+    rows = [(1, f"Start here.\n{short} {text(11, 20)}."), (2, f"{text(12, 20)}. {short.upper()} Another end."), (3, "It rained. Yes."), (4, "Yes. It rained."), (5, None), (6, "... ")] + [(10 + k, t) for k, t in enumerate(chance)]
+    df, texts = frame(spark, rows), dict(rows)
+    assert not [r for r in substring_dedup.repeated_units(df).collect() if r.doc_id < 10]
+    spans = substring_dedup.repeated_passages(df)
+    got = sorted((r.doc_id, r.start, r.end, r.copies, r.keep_doc_id, r.keep_start) for r in spans.collect())
+    assert got == plain_passages(rows) and {g[0] for g in got if g[0] < 10} == {2}
+    clean = {r.doc_id: r.text for r in substring_dedup.without_units(df, spans).collect()}
+    assert clean[2].split() == texts[2].replace(short.upper(), "").split() and all(clean[i] == texts[i] for i in (1, 3, 4, 5, 6))
+    bare = lambda ts: {" ".join(u.lower().split()) for t in ts for u in re.findall(r"[^.!?\n]+[.!?]*", t or "") if u.strip()}
+    assert bare(clean.values()) == bare(texts.values())  # each sentence stays somewhere
+
+
 def test_golay_code():
     words = golay.codewords()
     assert len(set(words.tolist())) == 4096 and np.bitwise_count(words[1:]).min() == 7

@@ -7,13 +7,16 @@ equi-join, which Spark splits where one digest is frequent.
 
 Units are the sentences of lines by default, so that a passage set into the middle of another line is found too; lines
 and paragraphs are to be had as well.
+
+Short units say nothing on their own, but a passage may be built of them. ``repeated_passages`` compares every unit,
+together with as many of its neighbours as it takes to have enough words.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,8 +44,36 @@ def units_of(text: str, pattern: re.Pattern, min_words: int) -> list[tuple[int,
     return out
 
 
-def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = SENTENCE, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end, digest): every unit of at least ``min_words`` words.
+def passages_of(text: str, pattern: re.Pattern, min_words: int) -> list[tuple[int, int, bytes]]:
+    """(start, end, digest) of the least runs of adjacent units that have ``min_words`` words, whatever their units' lengths.
+
+    A run begins or ends at every unit that has enough words after or before it, so where a passage repeats, each
+    of its units is in a run that repeats. Units of enough words are runs of their own; units without a word are passed over.
+    """
+    spans = [(start, end, text[start:end].encode().lower().split()) for start, end, _ in units_of(text, pattern, 1)]
+    runs, first, total = set(), 0, 0
+    for last, (_, _, words) in enumerate(spans):  # the shortest run that ends here
+        total += len(words)
+        while total - len(spans[first][2]) >= min_words:
+            total -= len(spans[first][2])
+            first += 1
+        if total >= min_words:
+            runs.add((first, last))
+    last, total = -1, 0
+    for first, (_, _, words) in enumerate(spans):  # the shortest run that begins here
+        while total < min_words and last + 1 < len(spans):
+            last += 1
+            total += len(spans[last][2])
+        if total < min_words:
+            break
+        runs.add((first, last))
+        total -= len(words)
+    digest = lambda a, b: hashlib.md5(b" ".join([w for s in spans[a : b + 1] for w in s[2]]), usedforsecurity=False).digest()
+    return [(spans[a][0], spans[b][1], digest(a, b)) for a, b in sorted(runs)]
+
+
+def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = SENTENCE, min_words: int = MIN_WORDS, cut: Callable = units_of) -> DataFrame:
+    """(doc_id, start, end, digest): every unit of at least ``min_words`` words, or what else ``cut`` makes of a text.
 
     Normalised means A-Z in lower case and runs of ASCII white space as one space, none at the ends.
     """
@@ -53,7 +84,7 @@ def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                found = [units_of(t, compiled, min_words) for t in part.column("text").to_pylist()]
+                found = [cut(t, compiled, min_words) for t in part.column("text").to_pylist()]
                 row = pa.array([i for i, us in enumerate(found) for _ in us], pa.int32())
                 flat = [u for us in found for u in us]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), pa.array([u[0] for u in flat], pa.int32()), pa.array([u[1] for u in flat], pa.int32()), pa.array([u[2] for u in flat], pa.binary())], names=["doc_id", "start", "end", "digest"])
@@ -69,7 +100,20 @@ def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Repeated rows of one id are one document: what they have in common is kept or removed in all of them. An
     empty table gives no rows; other columns are not read.
     """
-    found = written(units(df, id_col, text_col, pattern, min_words), "units")
+    return _repeated(units(df, id_col, text_col, pattern, min_words))
+
+
+def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = SENTENCE, min_words: int = MIN_WORDS) -> DataFrame:
+    """Like ``repeated_units``, but of runs of adjacent units that have ``min_words`` words together; every unit is compared.
+
+    Spans may overlap. The first place of each unit is never in one: a run over it that repeats an earlier run would
+    have the unit at an earlier place.
+    """
+    return _repeated(units(df, id_col, text_col, pattern, min_words, passages_of))
+
+
+def _repeated(spans: DataFrame) -> DataFrame:
+    found = written(spans, "units")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("start").alias("s"))
     first = found.groupBy("digest").agg(F.min(rank).alias("f"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     first = written(first.select("digest", F.col("f.d").alias("keep_doc_id"), F.col("f.s").alias("keep_start"), "copies"), "repeated")
@@ -78,11 +122,11 @@ def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_units(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the spans of ``spans`` cut out of its texts; a text's own spans are gathered, no more than it has units."""
+    """``df`` with the spans of ``spans`` cut out of its texts; a text's own spans are gathered, at most two for each of its units."""
     own = spans.filter("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__spans")).withColumnRenamed("doc_id", "__id")
     text = F.col(text_col)
-    # Pieces between spans: from the end of one to the start of the next.
-    ends = F.concat(F.array(F.lit(0)), F.transform("__spans", lambda s: s.end))
-    starts = F.concat(F.transform("__spans", lambda s: s.start), F.array(F.length(text)))
-    kept = F.array_join(F.zip_with(ends, starts, lambda a, b: F.substring(text, a + 1, b - a)), "")
+    # Pieces between spans, which may overlap: from the furthest end so far to the start of the next.
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
+    step = lambda acc, s: F.struct(F.greatest(acc.at, s.end).alias("at"), F.concat(acc.pieces, F.array(F.substring(text, acc.at + 1, F.greatest(s.start - acc.at, F.lit(0))))).alias("pieces"))
+    kept = F.aggregate("__spans", begin, step, lambda acc: F.concat(F.array_join(acc.pieces, ""), F.substring(text, acc.at + 1, F.length(text))))
     return df.join(own, df[id_col] == own["__id"], "left").withColumn(text_col, F.when(F.col("__spans").isNotNull(), kept).otherwise(text)).select(*df.columns)
