@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickwork.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from wickwork.llm import bpe, exact_dedup, mixing, near_copies, toxicity
 from wickwork.llm.queries import MIX_WEIGHTS, mix_tree
-from wickwork.llm.shared import bound_batches, join_small, scratch_path, written
+from wickwork.llm.shared import bound_batches, join_small, scratch_path, text_or_empty, written
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -21,6 +21,20 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return join_small(docs, written(ids.select("doc_id").filter("doc_id is not null").distinct(), "dropped"), ["doc_id"], "left_anti")
 
 
+def _one_of_each(docs: DataFrame, digest: Column, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group; rows are known by ``digest``.
+
+    ``groups`` has (__digest, keep_id, keep_digest) once for every digest in a group of several rows. Rows without an entry stay;
+    a group keeps the longest of its rows of that id, null or not, and digest.
+    """
+    groups = written(groups, "groups")
+    rows = docs.withColumn("__digest", digest)
+    stay = join_small(rows, groups.select("__digest"), ["__digest"], "left_anti").select(*docs.columns)
+    chosen = join_small(rows, written(groups.filter("__digest = keep_digest").select("__digest", "keep_id"), "chosen"), ["__digest"], "inner")
+    chosen = chosen.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("__digest").agg(F.max_by(F.struct(*docs.columns), F.struct(F.length("text"), "text")).alias("row"))
+    return stay.unionByName(chosen.select("row.*"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones, doesn't reject."""
     bound_batches(spark)
@@ -42,9 +56,16 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with linked fingerprints, that with the smallest id."""
+    """Of each group of documents linked by a five-word Jaccard similarity of 0.8, the row with the smallest id, null last."""
     bound_batches(spark)
-    return _without(docs, simhash.near_duplicates(docs).filter("doc_id <> component_id"))
+    digest = F.sha2(text_or_empty(docs), 256)
+    linked = written(near_copies.near_copies(docs), "near")
+    rows = join_small(docs.select("doc_id", digest.alias("text_sha256")), linked, ["text_sha256"], "left")
+    rows = written(rows.select("doc_id", "text_sha256", F.coalesce("component", "text_sha256").alias("component")), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"))).alias("f")
+    first = rows.groupBy("component").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = rows.select("text_sha256", "component").distinct().join(first, "component")
+    return _one_of_each(docs, digest, groups.select(F.col("text_sha256").alias("__digest"), F.col("f.id").alias("keep_id"), F.col("f.digest").alias("keep_digest")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,6 +199,42 @@ def test_pipeline_stages_do_what_their_operators_say(spark):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == out.select("doc_id").distinct().count()
 
 
+def test_near_copies_of_the_pipeline(spark, monkeypatch):
+    """Links of similarity 0.8 and more, far beyond three bits of a SimHash, and one row of each group, null ids included."""
+    import corpus_pipeline as cp
+    from wickwork.llm import near_copies
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, groups = [], 12
+    for g in range(groups):
+        base = [word() for _ in range(300)]
+        for k in range(8):
+            own = list(base)
+            for at in rng.sample(range(300), rng.randint(0, 9) if g else 4):
+                own[at] = word()
+            rows.append((100 * g + k, " ".join(own)))
+    rows += [(None, rows[3][1]), (None, "nobody's text " * 9), (None, "Nobody's text  " * 9), (5000, ""), (5001, None), (5002, "one two"), (5003, "One  two"), (5004, "one"), (102, "another text under a known id"), (5005, "x y z")]
+    sets = [set(zip(*((t or "").lower().split()[i:] for i in range(5)), strict=False)) if len((t or "").split()) > 5 else {tuple((t or "").lower().split())} for _, t in rows]
+    label = list(range(len(rows)))
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    while True:
+        before = list(label)
+        for i, j in close:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    key = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest())
+    want = [min((rows[i] for i in range(len(rows)) if label[i] == c), key=key) for c in set(label)]
+    docs = spark.createDataFrame([(i, t, "en", "src1", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for most in (8, 0):  # pairs at once, or hub by hub as long as that gains links
+        monkeypatch.setattr(near_copies, "PAIRS_PER_ROW", most)
+        got = [(r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, "").collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    assert 0 < len(close) and groups < len(want) < len(rows)
+    assert cp.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
 def test_llm_queries_run(spark):
     from wickwork.llm.queries import queries
 
