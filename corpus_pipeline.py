@@ -16,11 +16,6 @@ from wickwork.llm.queries import MIX_WEIGHTS, mix_tree
 from wickwork.llm.shared import bound_batches, join_small, scratch_path, text_or_empty, written
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``; rows with a null id stay."""
-    return join_small(docs, written(ids.select("doc_id").filter("doc_id is not null").distinct(), "dropped"), ["doc_id"], "left_anti")
-
-
 def _one_of_each(docs: DataFrame, digest: Column, groups: DataFrame) -> DataFrame:
     """``docs`` with one row of each group; rows are known by ``digest``.
 
@@ -43,16 +38,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts. Of repeated rows of one id, one stays; rows with a null id stay."""
+    """One row of each group of texts that are equal without white space, null ids included."""
     bound_batches(spark)
-    groups = written(exact_dedup.exact_groups(docs), "groups")
-    ids = groups.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    left = _without(docs, ids.filter("not kept"))
-    several = ids.filter("kept and n > 1 and doc_id is not null").select("doc_id")
-    if several.limit(1).count() == 0:
-        return left
-    once = left.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _without(left, several).unionByName(once.select(*left.columns))
+    groups = exact_dedup.exact_groups(docs).filter("group_size > 1").groupBy("text_sha256").agg(F.first("keep_id").alias("keep_id"))
+    digest = F.sha2(F.regexp_replace(text_or_empty(docs), r"[\x20\x09-\x0D]+", ""), 256)
+    return _one_of_each(docs, digest, groups.select(F.col("text_sha256").alias("__digest"), "keep_id", F.col("text_sha256").alias("keep_digest")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,6 +199,18 @@ def test_pipeline_stages_do_what_their_operators_say(spark):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == out.select("doc_id").distinct().count()
 
 
+def test_exact_copies_go_by_row(spark):
+    """Rows that share an id but not the text, and rows without an id, are judged by themselves."""
+    import corpus_pipeline as cp
+
+    rows = [(1, "a b c"), (2, "abc"), (2, "only here"), (3, "only here too"), (3, "a bc"), (4, "d e"), (4, "de"), (4, "de"), (None, "f"), (None, "f "), (None, "g"), (None, "abc"), (5, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "src1", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in cp.drop_exact_copies(spark, docs, "").collect()]
+    want = [(1, "a b c"), (2, "only here"), (3, "only here too"), (4, "d e"), (None, "f "), (None, "g"), (5, None)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert cp.drop_exact_copies(spark, docs.limit(0), "").count() == 0
+
+
 def test_near_copies_of_the_pipeline(spark, monkeypatch):
     """Links of similarity 0.8 and more, far beyond three bits of a SimHash, and one row of each group, null ids included."""
     import corpus_pipeline as cp
