@@ -62,7 +62,7 @@ def seeded(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def super_trend(close: np.ndarray, upper: np.ndarray, lower: np.ndarray, period: int) -> np.ndarray:
-    """The trailing level, signed by direction: a pair (level, direction) as a 2-row array."""
+    """The trailing level and the direction, +1 or -1 (0 before the first), as two rows."""
     n = len(close)
     level, way = np.full(n, np.nan), np.zeros(n)
     for i in range(period, n):
@@ -83,14 +83,6 @@ def super_trend(close: np.ndarray, upper: np.ndarray, lower: np.ndarray, period:
     return np.stack([level, way])
 
 
-def super_trend_level(close, upper, lower, period):
-    return super_trend(close, upper, lower, period)[0]
-
-
-def super_trend_way(close, upper, lower, period):
-    return super_trend(close, upper, lower, period)[1]
-
-
 def kagi(close: np.ndarray, threshold: np.ndarray, taps: int = 9) -> np.ndarray:
     """A reversal line, smoothed by a quadratic over ``taps`` rows; at either end the outermost quadratic goes on."""
     n = len(close)

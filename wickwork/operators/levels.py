@@ -64,11 +64,11 @@ def add_liquidity_distance(window: int = 1000, eps: float = E8) -> Feature:
 
 
 @operator
-def add_all_features() -> Feature:
+def add_all_features(fisher: str = "fisher") -> Feature:
     """Tenkan breakout, RSI divergence, Fisher transform, false breakout, trend and ATR ratio."""
     f = Feature()
-    for part in (add_tenkan_breakout, add_rsi_divergence, add_fisher_transform, add_false_breakout, add_h1_trend, add_atr_ratio):
-        f.then(part.feature())
+    for part in (add_tenkan_breakout.feature(), add_rsi_divergence.feature(), add_fisher_transform.feature(name=fisher), add_false_breakout.feature(), add_h1_trend.feature(), add_atr_ratio.feature()):
+        f.then(part)
     f.outputs = [c for c in f.outputs if c not in ("tenkan_sen", "rsi_low", "price_low", "high_prev", "low_prev")]
     return f
 
@@ -126,42 +126,38 @@ def calculate_support_distance(long_window: int = 200, short_window: int = 20, s
     return f.out(support_slope_dist=Rec(_line_distance, ("Low", "_e"), (long_window, short_window, segment_size, -1.0, eps)))
 
 
-def _support(open_, high_, low_, close, volume, atr, window: int, lookback: int, vol_len: int, tolerance: float, which: int) -> np.ndarray:
-    """Whether the price is near a level of the ``window`` rows before (0: support, 1: resistance), or in its box (2, 3)."""
+def _support(open_, high_, low_, close, volume, atr, window: int, lookback: int, vol_len: int, tolerance: float, eps: float) -> np.ndarray:
+    """Four 0/1 series: near a support, near a resistance of the ``window`` rows before, within the box of a support, of a resistance."""
     n = len(close)
-    out = np.zeros(n)
+    out = np.zeros((4, n))
     delta = np.where(close > open_, volume, 0.0) - np.where(close < open_, volume, 0.0)
-    lower = which in (0, 2)
-    x = low_ if lower else high_
     before, after = lookback // 2, (lookback - 1) // 2
-    pivot = np.zeros(n, bool)
-    if n >= lookback:
-        view = np.lib.stride_tricks.sliding_window_view(x, lookback)
-        pivot[before : before + len(view)] = x[before : before + len(view)] == (view.min(1) if lower else view.max(1))
-    pivots = np.flatnonzero(pivot)
-    for i in range(window, n):
-        # Pivots whose whole frame lies within the window.
-        at = pivots[np.searchsorted(pivots, i - window + before) : np.searchsorted(pivots, i - after)]
-        last = delta[i - vol_len : i]
-        levels = x[at[delta[at] > last.max()]] if lower else x[at[delta[at] < last.min()]]
-        if not len(levels):
-            continue
-        c = close[i]
-        if which in (0, 1):
-            out[i] = (np.abs(c - levels) / (levels + 1e-10) <= tolerance).any()
-        elif which == 2:
-            out[i] = ((levels <= c) & (c <= levels + atr[i])).any()
-        else:
-            out[i] = ((levels - atr[i] <= c) & (c <= levels)).any()
+    for upper, x in enumerate((low_, high_)):
+        pivot = np.zeros(n, bool)
+        if n >= lookback:
+            view = np.lib.stride_tricks.sliding_window_view(x, lookback)
+            pivot[before : before + len(view)] = x[before : before + len(view)] == (view.max(1) if upper else view.min(1))
+        pivots = np.flatnonzero(pivot)
+        for i in range(window, n):
+            # Pivots whose whole frame lies within the window.
+            at = pivots[np.searchsorted(pivots, i - window + before) : np.searchsorted(pivots, i - after)]
+            last = delta[i - vol_len : i]
+            levels = x[at[delta[at] < last.min()]] if upper else x[at[delta[at] > last.max()]]
+            if not len(levels):
+                continue
+            c = close[i]
+            out[upper, i] = (np.abs(c - levels) / (levels + eps) <= tolerance).any()
+            inside = (levels - atr[i] <= c) & (c <= levels) if upper else (levels <= c) & (c <= levels + atr[i])
+            out[2 + upper, i] = inside.any()
     return out
 
 
 @operator
-def add_support_resistance_features(window: int = 1000, lookback: int = 20, vol_len: int = 2, tolerance: float = 0.01) -> Feature:
+def add_support_resistance_features(window: int = 1000, lookback: int = 20, vol_len: int = 2, tolerance: float = 0.01, eps: float = E8) -> Feature:
     f = true_range(Feature(), strict=True).let(_atr=wilder("_tr", 200))
     columns = ("Open", "High", "Low", "Close", "Volume", "_atr")
     names = ("near_support_level", "near_resistance_level", "in_support_box", "in_resistance_box")
-    f.let(**{f"_{n}": Rec(_support, columns, (window, lookback, vol_len, tolerance, i)) for i, n in enumerate(names)})
+    f.let(**{f"_{n}": Rec(_support, columns, (window, lookback, vol_len, tolerance, eps), i) for i, n in enumerate(names)})
     return f.out(**{n: f"CAST(_{n} AS INT)" for n in names})
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from ..functions.sql import HL2, HLC3, bfill, clip, diff, div, ffill, fires_within, flag, high, lag, low, mean, minmax, num, over, pct, roll, std, total, upto, whole
-from .base import Feature, ema, gains, operator, rsi, rsi_plain, seeded, true_range, zscore_all
+from .base import OPERATORS, Feature, ema, operator, rsi, rsi_plain, seeded, true_range, zscore_all
 
 E8, E10 = 1e-8, 1e-10
 
@@ -53,7 +56,7 @@ def compute_cmf(length: int = 20, eps: float = E8) -> Feature:
 def calc_stochastic_rsi(rsi_period: int = 14, stoch_period: int = 14, smooth_k: int = 3, smooth_d: int = 3) -> Feature:
     f = rsi_plain(Feature(), "_r", rsi_period, E10, first_row=False)
     f.let(_lo=low("_r", stoch_period), _hi=high("_r", stoch_period)).let(_s=div("_r - _lo", f"(_hi - _lo + {num(E10)})"))
-    f.out(stoch_rsi_k=mean("_s", 3)).out(stoch_rsi_d=mean("stoch_rsi_k", smooth_d))
+    f.out(stoch_rsi_k=mean("_s", smooth_k)).out(stoch_rsi_d=mean("stoch_rsi_k", smooth_d))
     f.let(_k1=lag("stoch_rsi_k"), _d1=lag("stoch_rsi_d")).let(_c=flag("_k1 < _d1 AND stoch_rsi_k >= stoch_rsi_d"))
     return f.out(stoch_cross_bull=fires_within("_c", 3))
 
@@ -86,7 +89,7 @@ def rsi_divergence(length: int = 14, lbL: int = 5, lbR: int = 5, signal_duration
     f = rsi(Feature(), "rsi", length)
     f.outputs.append("rsi")
     f.let(_p=f"coalesce(count(rsi) {frame} = {w} AND min(Low) {frame} = Low AND min(rsi) {frame} = rsi, false)")
-    f.let(_pl=ffill("CASE WHEN _p THEN Low END", -lbL - 1), _pr=ffill("CASE WHEN _p THEN rsi END", -lbL - 1))
+    f.let(_pl=ffill("CASE WHEN _p THEN Low END", -lbR - 1), _pr=ffill("CASE WHEN _p THEN rsi END", -lbR - 1))
     f.let(_b=flag("_p AND Low < _pl AND rsi > _pr"), _h=flag("_p AND Low > _pl AND rsi < _pr"))
     f.let(_b=f"coalesce({lag('_b', lbR)}, 0)", _h=f"coalesce({lag('_h', lbR)}, 0)")
     return f.out(bull_signal=fires_within("_b", signal_duration - 1), hidden_bull_signal=fires_within("_h", signal_duration - 1))
@@ -131,39 +134,38 @@ def rsi_stochastic_hybrid(rsi_window: int = 14, stoch_window: int = 14, smooth:
     return f.let(_y="CAST(0.5 AS DOUBLE) * (_r / 50 - 1) + CAST(0.5 AS DOUBLE) * (_ks / 50 - 1)").out(rsi_stoch_hybrid=clip("_y", -1, 1))
 
 
-@operator
-def adaptive_rsi(rsi_period: int = 14, atr_period: int = 14, normalize: bool = True, window: int | None = None) -> Feature:
-    """RSI of the mean gain against the mean loss over one window, scaled to 0..1 over the whole series.
+def adaptive_rsi(df: DataFrame, rsi_period: int = 14, atr_period: int = 14, normalize: bool = True) -> DataFrame:
+    """RSI of the mean gain against the mean loss over one window for each symbol, scaled to 0..1 over the whole series.
 
-    The window is the longest of the periods that the ATR asks for, clip(14 / (atr / mean atr), 5, 30); it is a row
-    frame and therefore an argument (see ``adaptive_window``).
+    Every row asks for a period, clip(rsi_period / (atr / mean atr), 5, 30), or ``rsi_period`` while the ATR is short; the
+    longest of a symbol's periods is its window. Windows without a gain or without a loss are null.
     """
-    n = window or rsi_period
-    f = gains(Feature(causal=False))
-    f.let(_g="CASE WHEN _up > 0 THEN _up END", _l="CASE WHEN _dn > 0 THEN _dn END", _c=roll("count", "_d", n, 1))
-    f.let(_mg=roll("avg", "_g", n, 1), _ml=roll("avg", "_l", n, 1))
-    f.let(_y=f"CASE WHEN _c >= {n} AND _ml IS NOT NULL THEN 100 - {div('100', f'(1 + {div("_mg", "_ml")})')} END")
-    if not normalize:
-        return f.out(adaptive_rsi="_y")
-    return f.let(_a=whole("min", "_y"), _b=whole("max", "_y")).out(adaptive_rsi=div("_y - _a", "(_b - _a)"))
+    some = lambda x: f"CASE WHEN {x} = 0 THEN {num(E10)} ELSE {x} END"
+    f = true_range(Feature()).let(_d=diff("Close"), _a=mean("_tr", atr_period)).let(_atr=some("_a")).let(_b=mean("_atr", atr_period)).let(_avg=some("_b"))
+    f.let(_p=clip(div(str(rsi_period), div("_atr", "_avg")), 5, 30)).let(_q=f"coalesce(floor(_p), {rsi_period})").out(_n=f"CAST({whole('max', '_q')} AS INT)", _last=f"COLLECT(_d) {over(1 - max(30, rsi_period), 0)}")
+    window = F.slice("_last", -F.col("_n"), F.col("_n"))
+    part = lambda keep: F.filter(window, keep)
+    average = lambda xs: F.try_divide(F.aggregate(xs, F.lit(0.0), lambda s, x: s + F.abs(x)), F.size(xs))
+    up, down = average(part(lambda x: x > 0)), average(part(lambda x: x < 0))
+    rows = f.add_to(df).withColumn("_y", F.when(F.size("_last") >= F.col("_n"), 100 - 100 / (1 + up / (down + E10))))
+    if normalize:
+        every = Window.partitionBy("symbol")
+        low_, high_ = F.min("_y").over(every), F.max("_y").over(every)
+        rows = rows.withColumn("_y", F.when(high_ > low_, F.try_divide(F.col("_y") - low_, high_ - low_)).when(F.col("_y").isNotNull(), 0.0))
+    return rows.select(*[c for c in df.columns if c != "adaptive_rsi"], F.col("_y").alias("adaptive_rsi"))
 
 
-def adaptive_window(df, rsi_period: int = 14, atr_period: int = 14) -> int:
-    """The window of ``adaptive_rsi`` for ``df``: one number, from a grouped maximum."""
-    f = true_range(Feature()).let(_atr=mean("_tr", atr_period)).let(_m=whole("avg", "_atr"))
-    f.out(_w=clip(div(str(rsi_period), div("_atr", "_m")), 5, 30))
-    top = f.add_to(df).agg({"_w": "max"}).first()[0]
-    return int(top) if top is not None else rsi_period
+OPERATORS["adaptive_rsi"] = adaptive_rsi
 
 
 @operator
-def compute_trix_elder(trix_period: int = 30, ema_period: int = 50) -> Feature:
+def compute_trix_elder(trix_period: int = 30, ema_period: int = 50, eps: float = E8) -> Feature:
     """TRIX and Elder's powers, each divided by its largest absolute value."""
     f = Feature(causal=False).let(_1=ema("Close", trix_period), _e=ema("Close", ema_period)).let(_2=ema("_1", trix_period)).let(_3=ema("_2", trix_period))
     f.let(_t=f"100 * {pct('_3')}", _bull="High - _e", _bear="Low - _e")
     f.let(**{f"_{x}f": f"coalesce({ffill(f'_{x}')}, {bfill(f'_{x}')}, 0)" for x in ("t", "bull", "bear")})
     f.let(**{f"_{x}m": whole("max", f"abs(_{x}f)") for x in ("t", "bull", "bear")})
-    scaled = lambda x: f"CASE WHEN _{x}m > 0 THEN _{x}f / nullif(_{x}m, 0) ELSE _{x}f END"
+    scaled = lambda x: f"_{x}f / (_{x}m + {num(eps)})"
     return f.out(TRIX=scaled("t"), BullPower=scaled("bull"), BearPower=scaled("bear"))
 
 
@@ -250,10 +252,10 @@ def safe_fisher_transform(column: str = "Close", epsilon: float = 1e-7) -> Featu
 
 
 @operator
-def add_fisher_transform(period: int = 10, eps: float = E8) -> Feature:
+def add_fisher_transform(period: int = 10, eps: float = E8, name: str = "fisher") -> Feature:
     f = Feature().let(_hl=HL2, _lo=low("Low", period, None, -1), _hi=high("High", period, None, -1))
     f.let(_x=div("_hl - _lo", f"(_hi - _lo + {num(eps)})")).let(_q=div("1 + _x", f"(1 - _x + {num(eps)})")).let(_y="CASE WHEN _q > 0 THEN ln(_q) / 2 END")
-    return f.out(fisher=clip("_y", -1, 1))
+    return f.out(**{name: clip("_y", -1, 1)})
 
 
 @operator

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.sql import diff, div, lag, mean, num, over, total, upto
 from .averages import different_EMA, different_MA
@@ -101,13 +102,16 @@ def apply_add_indicators(length: int = 20) -> Feature:
 
 @operator
 def apply_indicators(length: int = 20) -> Feature:
-    """The full set, in its intended form: one copy of each column."""
+    """The full set, in its intended form: one copy of each column.
+
+    Spark takes names that differ in case only for one, so beside ``Fisher`` the other transform is ``fisher_transform``.
+    """
     f = Feature()
     for part in (
         lag_features.feature(), volume_acceleration.feature(), linear_regression.feature(length), add_breakout_flags.feature(20, 10), rsi_set.feature(length), volume_indicators.feature(length),
         calc_stochastic_rsi.feature(), add_normalized_volume_profile.feature(), add_volume_filter.feature(), add_atr_normalized.feature((7, 14, 24, 72)),
         add_normalized_ichimoku.feature(), add_normalized_ichimoku_htf.feature(), *[add_normalized_ichimoku_on_rsi.feature(n, prefix=f"rsi{n}_ichimoku") for n in (9, 14, 50)],
-        compute_trix_elder.feature(), compute_combined_indicators.feature(), different_MA.feature(), different_EMA.feature(), VWAP.feature(), add_liquidity_imbalance.feature(), add_all_features.feature(),
+        compute_trix_elder.feature(), compute_combined_indicators.feature(), different_MA.feature(), different_EMA.feature(), VWAP.feature(), add_liquidity_imbalance.feature(), add_all_features.feature("fisher_transform"),
         rolling_wasserstein.feature(100, 50), rolling_wasserstein.feature(20, 10), rolling_statistics.feature(), rsi_manual_features.feature(),
         *[super_trend.feature(p, m) for p, m in ((50, 1.3), (50, 5.0), (7, 1.5), (7, 5.0))], fibo_dinamic.feature(300),
     ):
@@ -116,11 +120,13 @@ def apply_indicators(length: int = 20) -> Feature:
 
 
 def keep_selected_features(df: DataFrame, names: tuple[str, ...] = SELECTED) -> DataFrame:
-    return df.select(*[c for c in names if c in df.columns])
+    """The columns of ``names`` that ``df`` has."""
+    return df.select(*[F.col(f"`{c}`") for c in names if c in df.columns])
 
 
 def drop_low_importance_features(df: DataFrame, names: tuple[str, ...] = UNIMPORTANT) -> DataFrame:
-    return df.drop(*names)
+    """``df`` without ``names``; names are told apart by case, so ``Fisher`` doesn't take ``fisher`` along."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
 
 
 def labelled_features(bars: DataFrame, length: int = 20, target_candles: int = 50, target: float = 0.025, rr_threshold: float = 2) -> DataFrame:

@@ -142,8 +142,10 @@ def _mad(x: np.ndarray, window: int) -> np.ndarray:
 
 @operator
 def add_wave_phase_position(lookback: int = 700, smooth_window: int = 21, price_col: str = "Close") -> Feature:
+    """Smoothed robust distance from the median; windows of smoothing are at most a tenth of the look-back."""
+    slow = min(smooth_window, lookback // 10)
     f = Feature().let(_m=median(price_col, lookback)).let(_d=Rec(_mad, (price_col,), (lookback,))).let(_z=div(f"{price_col} - _m", f"({num(1.4826)} * _d + {num(1e-8)})")).let(_c=f"({clip('_z', -4, 4)}) / 4")
-    return f.let(_a=ewm("_c", smooth_window), _b=ewm("_c", 7)).out(wave_phase="_a", phase_divergence="_b - _a")
+    return f.let(_a=ewm("_c", slow), _b=ewm("_c", slow // 3)).out(wave_phase="_a", phase_divergence="_b - _a")
 
 
 def _phase(x: np.ndarray, window: int) -> np.ndarray:
@@ -191,22 +193,34 @@ def add_close_window_columns(window: int = 60, price_col: str = "Close") -> Feat
     return f.out(**{f"close_win_{k}": f"CASE WHEN _hi > _lo THEN 2 * (_x{k} - _lo) / nullif(_hi - _lo, 0) - 1 WHEN _hi = _lo THEN CAST(0 AS DOUBLE) END" for k in range(window)})
 
 
-def add_close_window_norm_pca(df, window: int = 700, n_components: int = 5, price_col: str = "Close"):
-    """The first components of the scaled windows over all rows of all symbols; null while a window is short.
+def _pca(x: np.ndarray, window: int, components: int) -> np.ndarray:
+    """The first components of the scaled windows before each row, a row each; nan while a window is short.
 
-    Spark's PCA is fitted to all windows (it looks ahead) and its projections are centred here. Signs are arbitrary.
+    The covariance is summed over blocks of windows, so they are never all in memory. A component's largest weight is
+    positive.
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    before = Window.partitionBy("symbol").orderBy("seq").rowsBetween(-window, -1)
-    rows = df.withColumn("_w", F.collect_list(price_col).over(before)).withColumn("_lo", F.min(price_col).over(before)).withColumn("_hi", F.max(price_col).over(before))
-    scaled = F.transform("_w", lambda v: F.coalesce(F.try_divide(2 * (v - F.col("_lo")), F.col("_hi") - F.col("_lo")), F.lit(1.0)) - 1)
-    whole = rows.filter(F.size("_w") == window).withColumn("_v", array_to_vector(scaled))
-    model = PCA(k=n_components, inputCol="_v", outputCol="_p").fit(whole)
-    out = model.transform(whole).withColumn("_a", vector_to_array("_p"))
-    centre = out.agg(*[F.avg(F.col("_a")[i]).alias(f"_m{i}") for i in range(n_components)])
-    out = out.crossJoin(F.broadcast(centre)).select("symbol", "seq", *[(F.col("_a")[i] - F.col(f"_m{i}")).alias(f"close_pca_{i}") for i in range(n_components)])
-    return df.join(out, ["symbol", "seq"], "left")
+    out = np.full((components, len(x)), np.nan)
+    n = len(x) - window
+    if n < 2:
+        return out
+    view = np.lib.stride_tricks.sliding_window_view(x[:-1], window)
+
+    def blocks():
+        for lo in range(0, n, 512):
+            v = view[lo : lo + 512]
+            low, high = v.min(1, keepdims=True), v.max(1, keepdims=True)
+            yield lo, 2 * (v - low) / (high - low + 1e-8) - 1
+
+    mean = sum(b.sum(0) for _, b in blocks()) / n
+    gram = sum((b - mean).T @ (b - mean) for _, b in blocks())
+    axes = np.linalg.eigh(gram)[1][:, ::-1][:, :components]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
+    for lo, b in blocks():
+        out[: axes.shape[1], window + lo : window + lo + len(b)] = ((b - mean) @ axes).T
+    return out
+
+
+@operator
+def add_close_window_norm_pca(window: int = 700, n_components: int = 5, price_col: str = "Close") -> Feature:
+    """The first components of a symbol's scaled windows, fitted to all of them (it looks ahead); null while a window is short."""
+    return Feature(causal=False).out(**{f"close_pca_{i}": Rec(_pca, (price_col,), (window, n_components), i) for i in range(n_components)})

@@ -113,7 +113,7 @@ def Keltner_func(base_atr_period: int = 40, base_multiplier: float = 2, alt_atr_
 @operator
 def super_trend(period: int = 10, multiplier: float = 3.0, eps: float = E8) -> Feature:
     f = true_range(Feature()).let(_m=mean("_tr", period), _hl=HL2).let(_a=lag("_m")).let(_u=f"_hl + {num(multiplier)} * _a", _l=f"_hl - {num(multiplier)} * _a").let(_u=lag("_u"), _l=lag("_l"))
-    f.let(_st=Rec(K.super_trend_level, ("Close", "_u", "_l"), (period,)), _w=Rec(K.super_trend_way, ("Close", "_u", "_l"), (period,)))
+    f.let(_st=Rec(K.super_trend, ("Close", "_u", "_l"), (period,), 0), _w=Rec(K.super_trend, ("Close", "_u", "_l"), (period,), 1))
     f.let(_q=div("_a", f"(abs(Close - _st) + {num(eps)})")).let(_y=f"_w * (1 - ({clip('_q', 0, 1)}))")
     return f.out(**{f"super_trend_{period}_{multiplier}": "least(greatest(coalesce(_y, 0), -1), 1)"})
 

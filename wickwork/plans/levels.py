@@ -20,11 +20,15 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Rec:
-    """A recursion: a kernel over columns, and how DuckDB computes the same (None: it cannot)."""
+    """A recursion: a kernel over columns; of a kernel that gives several series, ``pick`` is the one meant.
+
+    Recursions that differ in ``pick`` only are computed once.
+    """
 
     kernel: Callable[..., np.ndarray]
     columns: tuple[str, ...]
     args: tuple = ()
+    pick: int | None = None
 
 
 @dataclass
@@ -78,7 +82,7 @@ class Feature:
             fresh: dict[str, str] = {}
             for name, x in level.items():
                 if isinstance(x, Rec):
-                    x = Rec(x.kernel, tuple(now.get(c, c) for c in x.columns), x.args)
+                    x = Rec(x.kernel, tuple(now.get(c, c) for c in x.columns), x.args, x.pick)
                     needs = set(x.columns)
                 else:
                     x = _NAME.sub(lambda m: now.get(m[0], m[0]), x)
@@ -128,9 +132,12 @@ def run_kernels(df: DataFrame, recs: dict[str, Rec]) -> DataFrame:
     def run(table):
         table = table.sort_by("seq")
         series = {c: table.column(c).to_numpy() for c in inputs}
-        out = table.select(keep)
+        out, done = table.select(keep), {}
         for name, r in recs.items():
-            y = r.kernel(*[series[c] for c in r.columns], *r.args)
+            call = (r.kernel, r.columns, r.args)
+            if call not in done:
+                done[call] = r.kernel(*[series[c] for c in r.columns], *r.args)
+            y = done[call] if r.pick is None else done[call][r.pick]
             out = out.append_column(name, pa.array(y, pa.float64(), mask=np.isnan(y)))
         return out
 

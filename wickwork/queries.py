@@ -167,7 +167,7 @@ def main_features_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pca_of_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.stats import add_close_window_norm_pca
 
-    return add_close_window_norm_pca(daily_bars(spark, sf_dir), window=60, n_components=3).select("symbol", "seq", "close_pca_0", "close_pca_1", "close_pca_2")
+    return _plain(add_close_window_norm_pca(daily_bars(spark, sf_dir), window=60, n_components=3), ["close_pca_0", "close_pca_1", "close_pca_2"])
 
 
 def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,13 +193,18 @@ def api_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return OPERATORS["apply_indicators"](daily_bars(spark, sf_dir))
+    feature = OPERATORS["apply_indicators"].feature()
+    return _plain(feature.add_to(daily_bars(spark, sf_dir)), feature.outputs)
+
+
+def adaptive_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(OPERATORS["adaptive_rsi"](daily_bars(spark, sf_dir)), ["adaptive_rsi"])
 
 
 _PLAIN = (
     bars_daily, bars_hourly_by_type, bars_quarter_hour, completeness_gate, label_first_touch, label_first_touch_gated, label_grid_summary, rsi_htf_hour, sessions_and_distance,
     threshold_sweep, best_threshold, balanced_threshold, roc_auc, final_metrics, class_balance, top_correlated_pairs, linear_shap_importance, main_features_labelled,
-    pca_of_windows, mutual_information, granger, api_pages, apply_indicators,
+    pca_of_windows, mutual_information, granger, api_pages, apply_indicators, adaptive_rsi,
 )
 
 
