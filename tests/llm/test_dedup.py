@@ -29,14 +29,16 @@ def test_query_matches_sql(spark, name):
     same(spark, SF, queries()[name], oracle_sql()[name])
 
 
-def test_chunk_hashes_combine():
+def test_chunk_hashes_combine(spark):
     data = np.random.default_rng(0).integers(0, 256, 20_000, dtype=np.uint8).tobytes()
     whole = exact_dedup.chunk_hash(data)
     assert whole == tuple(sum(x * pow(b, len(data) - 1 - i, exact_dedup.P) for i, x in enumerate(data)) % exact_dedup.P for b in exact_dedup.BASES)
     for cuts in ([1], [4096], [5000, 5000, 12_000], [0, 20_000]):
         edges = [0, *cuts, len(data)]
         parts = [data[a:b] for a, b in zip(edges, edges[1:])]
-        assert exact_dedup.combine([(*exact_dedup.chunk_hash(p), len(p)) for p in parts]) == whole
+        chunks = [(no, *[x for i in (0, 1) for x in (exact_dedup.chunk_hash(p)[i], pow(exact_dedup.BASES[i], len(p), exact_dedup.P))], len(p)) for no, p in enumerate(parts)]
+        df = spark.createDataFrame([(chunks[::-1],)], "parts array<struct<no int, fp1 long, shift1 long, fp2 long, shift2 long, n_bytes long>>")
+        assert tuple(df.select(exact_dedup.combined(df.parts).alias("x")).select("x.*").first()) == (*whole, len(data))
 
 
 def brute_exact(rows):
@@ -61,6 +63,16 @@ def test_exact_groups(spark):
     assert exact_dedup.exact_groups(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    """Rows that share id and length, in either order, and null ids in the comparison."""
+    rows = [(1, "xx yy"), (1, "ab cd"), (2, "abcd"), (None, "ab cd"), (None, "xx yy"), (None, "zz"), (3, "z z"), (3, "z z")]
+    for order in (rows, rows[::-1]):
+        got = exact_dedup.exact_groups(frame(spark, order)).collect()
+        key = lambda r: (r[0] is None, r[0] or 0, r[3])
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=key) == sorted(brute_exact(order), key=key)
+        assert sorted((r.doc_id, r.group_size) for r in got if r.kept) == [(1, 2), (1, 3), (3, 3)]
+
+
 def test_collisions_are_told_apart(spark, monkeypatch):
     """Fingerprints that are all equal leave it to the comparison of chunks."""
     real = exact_dedup.fingerprints
@@ -71,9 +83,9 @@ def test_collisions_are_told_apart(spark, monkeypatch):
         return real(*args, **kwargs).withColumns({c: F.lit(7).cast("long") for c in ("fp1", "fp2", "n_bytes")})
 
     monkeypatch.setattr(exact_dedup, "fingerprints", blind)
-    rows = [(1, "same text"), (2, "sametext"), (3, "other"), (4, "other"), (5, "third")]
-    got = {r.doc_id: r for r in exact_dedup.exact_groups(frame(spark, rows)).collect()}
-    assert {i: got[i].keep_id for i in got} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    rows = [(1, "same text"), (2, "sametext"), (3, "other"), (4, "other"), (5, "third"), (None, "other"), (1, "nine char")]
+    got = exact_dedup.exact_groups(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in got), key=str) == sorted([(1, 1, 2), (2, 1, 2), (3, 3, 3), (4, 3, 3), (5, 5, 1), (None, 3, 3), (1, 1, 1)], key=str)
 
 
 def test_repeated_units(spark):
@@ -179,6 +191,28 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_null_ids_link(spark, monkeypatch):
+    """Components by brute force over rows, null ids and repeated ids included."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    rows, at = [], 0
+    for i in range(60):
+        at = int(rng.integers(0, 1 << 62)) if i % 6 == 0 else at ^ sum(1 << int(b) for b in rng.choice(62, 3, replace=False))
+        rows.append((None if i % 3 else int(rng.integers(100)), at))
+    rows += [(None, at), (7, 5), (7, 5 << 20)]
+    df = spark.createDataFrame([(i, str(f)) for i, f in rows], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "fingerprints", lambda d, *_: d.select("doc_id", F.col("text").cast("long").alias("fp")))
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, (_, f) in enumerate(rows):
+            low = min(group[j] for j, (_, g) in enumerate(rows) if (f ^ g).bit_count() <= 3)
+            group[i] = min(group[i], low)
+    want = [(i, f"{f:016x}", min((rows[j][0] for j in range(len(rows)) if group[j] == g and rows[j][0] is not None), default=None)) for (i, f), g in zip(rows, group, strict=True)]
+    got = [tuple(r) for r in simhash.near_duplicates(df).select("doc_id", "fingerprint", "component_id").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(10, 40)] + [(100, 7), (7, 103), (5, 5), (200, 201), (201, 200)]
     got = {r.node: r.label for r in components.min_label_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
@@ -193,13 +227,13 @@ def plain_sketch(t, k=3, rows=32, length=2):
     grams = [words[i : i + k] for i in range(len(words) - k + 1)] or [words]
     seen, values = {}, []
     for place, g in enumerate(grams):
-        h = chain([w.encode() for w in g], 42) >> 25
-        values.append((chain([struct.pack("<Q", h), struct.pack("<I", seen.get(h, 0))], 42) >> 25) << 24 | place)
+        h = chain([w.encode() for w in g], 42) >> 28
+        values.append((chain([struct.pack("<Q", h), struct.pack("<I", seen.get(h, 0))], 42) >> 28) << 27 | place)
         seen[h] = seen.get(h, 0) + 1
     out = []
     for no, anchor in enumerate(order_minhash._anchors(rows)):
-        least = sorted(sorted(v ^ anchor << 24 for v in values)[:length], key=lambda v: v & (1 << 24) - 1)
-        out.append(chain([struct.pack("<Q", v >> 24) for v in least] + [struct.pack("<I", no)], 42))
+        least = sorted(sorted(v ^ anchor << 27 for v in values)[:length], key=lambda v: v & (1 << 27) - 1)
+        out.append(chain([struct.pack("<Q", v >> 27) for v in least] + [struct.pack("<I", no)], 42))
     return out
 
 

@@ -5,19 +5,21 @@ fingerprint of two strings in a row is ``H(a) * base**len(b) + H(b)``, so long t
 different tasks hash; the chunks' hashes, shifted by the lengths behind them, add up to that of the whole.
 Rows of equal fingerprint and length are compared with the first of their group chunk by chunk. A row that differs
 from it, which takes a collision, is grouped by its SHA-256 digest instead.
+
+A row is known by its id, its length and the SHA-256 digest of its text without white space, so rows that share an id, or
+have none, are told apart.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, text_or_empty, written
+from .shared import partitions, small_side, text_or_empty, written
 
 #: The Mersenne prime 2**31 - 1: products of two residues fit 64 bits.
 P = (1 << 31) - 1
@@ -26,7 +28,7 @@ BASES = (1_000_003, 998_244_353)
 BLOCK = 4096
 #: Code points of a chunk; a longer text is hashed in several tasks.
 CHUNK = 1 << 16
-WHITE = b" \t\n\r\x0b\x0c"
+WHITE = r"[\x20\x09-\x0D]+"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -58,71 +60,64 @@ def chunk_hash(data: bytes) -> tuple[int, int]:
     return tuple(out)
 
 
-def combine(parts: list[tuple[int, int, int]]) -> tuple[int, int]:
-    """The fingerprint of chunks in a row, each given as (hash, hash, bytes)."""
-    h1 = h2 = 0
-    for a, b, n in parts:
-        h1 = (h1 * pow(BASES[0], n, P) + a) % P
-        h2 = (h2 * pow(BASES[1], n, P) + b) % P
-    return h1, h2
+def combined(parts: Column) -> Column:
+    """The fingerprint of an array of chunks (no, fp1, shift1, fp2, shift2, n_bytes) in the order of ``no``; shift is base**n_bytes mod P."""
+    begin = F.struct(*[F.lit(0).cast("long").alias(x) for x in ("fp1", "fp2", "n_bytes")])
+
+    def step(acc: Column, c: Column) -> Column:
+        after = lambda fp, shift: (acc[fp] * c[shift] + c[fp]) % P
+        return F.struct(after("fp1", "shift1").alias("fp1"), after("fp2", "shift2").alias("fp2"), (acc.n_bytes + c.n_bytes).alias("n_bytes"))
+
+    return F.aggregate(F.sort_array(parts), begin, step)
+
 
+def bare_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n_chars, sha256, bare): the text without white space, its digest, and the length of the text as it was."""
+    text = text_or_empty(df, text_col)
+    rows = df.select(F.col(id_col).alias("doc_id"), F.length(text).cast("long").alias("n_chars"), F.regexp_replace(text, WHITE, "").alias("bare"))
+    return rows.select("doc_id", "n_chars", F.sha2("bare", 256).alias("sha256"), "bare")
 
-_FP = "fp1 long, fp2 long, n_bytes long, sha256 string"
+
+def _pieces(chunk: int) -> Column:
+    """The text ``bare`` in chunks of ``chunk`` code points: an array of (no, part), of one empty part for an empty text."""
+    n = F.greatest(F.ceil(F.length("bare") / chunk), F.lit(1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("no"), F.substring(F.col("bare"), i * chunk + 1, F.lit(chunk)).alias("part")))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """Per row: doc_id, n_chars, fp1, fp2, n_bytes (of the text without white space) and its SHA-256.
+    """Per row: doc_id, n_chars, sha256 and, of the text without white space, fp1, fp2, n_bytes.
 
     Rows of up to ``chunk`` code points are hashed where they are read. Longer ones are cut into chunks that are dealt
-    out over the cluster; a row then gathers its chunks' hashes and bytes (one text at a time, as it was read).
+    out over the cluster; of these only the hashes, shifts and lengths come together again.
     """
-    rows = df.select(F.col(id_col).alias("doc_id"), text_or_empty(df, text_col).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    rows = bare_rows(df, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text in batch.column("text").to_pylist():
-                data = text.encode().translate(None, WHITE)
-                for col, x in zip(out, (*chunk_hash(data), len(data), hashlib.sha256(data).hexdigest()), strict=True):
+            out: list[list[int]] = [[], [], []]
+            for text in batch.column("bare").to_pylist():
+                data = text.encode()
+                for col, x in zip(out, (*chunk_hash(data), len(data)), strict=True):
                     col.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_chars"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], names=["doc_id", "n_chars", "fp1", "fp2", "n_bytes", "sha256"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "n_chars", "sha256")], *(pa.array(c, pa.int64()) for c in out)], names=["doc_id", "n_chars", "sha256", "fp1", "fp2", "n_bytes"])
 
-    schema = f"doc_id {kind}, n_chars long, {_FP}"
-    short = rows.filter(F.col("n_chars") <= chunk).mapInArrow(whole, schema)
+    is_short = F.length("bare") <= chunk
+    short = rows.filter(is_short).mapInArrow(whole, f"doc_id {kind}, n_chars long, sha256 string, fp1 long, fp2 long, n_bytes long")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [x.encode().translate(None, WHITE) for x in batch.column("part").to_pylist()]
+            data = [x.encode() for x in batch.column("part").to_pylist()]
             fps = [chunk_hash(x) for x in data]
-            cols = [batch.column(c) for c in ("row", "no", "doc_id", "n_chars")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64()), pa.array(map(len, data), pa.int64()), pa.array(data, pa.binary())], names=["row", "no", "doc_id", "n_chars", "fp1", "fp2", "n_bytes", "data"])
-
-    def joined(table):
-        table = table.sort_by("no")
-        sha = hashlib.sha256()
-        for x in table.column("data"):
-            sha.update(x.as_py())
-        n = table.column("n_bytes").to_pylist()
-        fp = combine(list(zip(table.column("fp1").to_pylist(), table.column("fp2").to_pylist(), n, strict=True)))
-        first = table.slice(0, 1)
-        return pa.table({"doc_id": first.column("doc_id"), "n_chars": first.column("n_chars"), "fp1": pa.array([fp[0]], pa.int64()), "fp2": pa.array([fp[1]], pa.int64()), "n_bytes": pa.array([sum(n)], pa.int64()), "sha256": pa.array([sha.hexdigest()])})
-
-    # Rows of one id and text are one group: a copy of a row has the same chunks, so the row number tells them apart.
-    long = rows.filter(F.col("n_chars") > chunk).withColumn("row", F.concat_ws("/", F.xxhash64("doc_id", "text").cast("string"), F.monotonically_increasing_id().cast("string")))
-    long = written(long, "long-texts")
-    n = F.ceil(F.col("n_chars") / chunk).cast("int")
-    parts = long.select("row", "doc_id", "n_chars", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("no"), F.substring(F.col("text"), i * chunk + 1, F.lit(chunk)).alias("part")))).alias("p"))
-    parts = parts.select("row", "p.no", "doc_id", "n_chars", "p.part").repartition(partitions(df.sparkSession), "row", "no")
-    parts = parts.mapInArrow(hashed, f"row string, no int, doc_id {kind}, n_chars long, fp1 long, fp2 long, n_bytes long, data binary")
-    return short.unionByName(parts.groupBy("row").applyInArrow(joined, schema))
-
-
-def _chunks(df: DataFrame, who: str, chunk: int) -> DataFrame:
-    """(who, no, part): the text without white space in chunks of ``chunk`` code points."""
-    bare = F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")
-    n = F.greatest(F.ceil(F.length("bare") / chunk), F.lit(1)).cast("int")
-    return df.withColumn("bare", bare).select(who, F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("no"), F.substring(F.col("bare"), i * chunk + 1, F.lit(chunk)).alias("part")))).alias("p")).select(who, "p.no", "p.part")
+            shift = lambda base: pa.array([pow(base, len(x), P) for x in data], pa.int64())  # noqa: B023, E731
+            one, two = (pa.array([f[i] for f in fps], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("no"), one, shift(BASES[0]), two, shift(BASES[1]), pa.array(map(len, data), pa.int64())], names=["row", "no", "fp1", "shift1", "fp2", "shift2", "n_bytes"])
+
+    long = written(rows.filter(~is_short).withColumn("row", F.monotonically_increasing_id()), "long-texts")
+    parts = long.select("row", F.explode(_pieces(chunk)).alias("p")).select("row", "p.no", "p.part").repartition(partitions(df.sparkSession), "row", "no")
+    parts = parts.mapInArrow(hashed, "row long, no int, fp1 long, shift1 long, fp2 long, shift2 long, n_bytes long")
+    whole_fp = parts.groupBy("row").agg(combined(F.collect_list(F.struct("no", "fp1", "shift1", "fp2", "shift2", "n_bytes"))).alias("fp"))
+    return short.unionByName(long.drop("bare").join(whole_fp, "row").select("doc_id", "n_chars", "sha256", "fp.*"))
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -130,36 +125,33 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     doc_id; keep_id, the row of the group that stays: most code points in the original text, then smallest doc_id;
     group_size in rows; kept; text_sha256 of the text without white space. Null texts count as empty, and empty
-    texts are one group. Of repeated rows with one id and text exactly one is kept. Null ids come after all others,
-    so they are kept only where a group has no other id. An empty table gives no rows. Other columns are not read.
+    texts are one group. Of repeated rows with one id and text exactly one is kept; rows of one id with different texts
+    are judged each by its text. Null ids come after all others, so they are kept only where a group has no other id. Very
+    long texts are hashed and compared in chunks. An empty table gives no rows. Other columns are not read.
     """
-    spark = df.sparkSession
     fps = written(fingerprints(df, id_col, text_col, chunk), "fingerprints")
     key = ["fp1", "fp2", "n_bytes"]
+    who = F.struct("doc_id", "n_chars", "sha256")
     # Copies of one row count as one from here on; `copies` remembers how many there were.
-    rows = fps.groupBy("doc_id", "n_chars", *key, "sha256").agg(F.count(F.lit(1)).alias("copies"))
-    rows = written(rows, "rows")
-    order = F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))
-    leaders = written(rows.groupBy(*key).agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key, F.col("lead.c").alias("lead_id"), F.col("lead.a").alias("lead_a")), "leaders")
-
-    # Compare what shares a fingerprint, chunk by chunk; only rows of groups with several texts are read again.
-    members = written(rows.join(leaders, key).select("doc_id", "n_chars", "lead_id", "lead_a"), "members")
-    texts = df.select(F.col(id_col).alias("doc_id"), text_or_empty(df, text_col).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
-    shared = members.groupBy("doc_id", "n_chars").agg(F.first("lead_id").alias("lead_id"), F.first("lead_a").alias("lead_a")).filter("doc_id is not null")
-    shared = written(shared, "shared")
-    if shared.count() <= 500_000:
-        shared = F.broadcast(shared)
-    again = texts.join(shared, ["doc_id", "n_chars"]).select("doc_id", "lead_id", "lead_a", "n_chars", "text")
-    is_lead = (F.col("doc_id") == F.col("lead_id")) & (F.col("n_chars") == -F.col("lead_a"))
-    lead = _chunks(again.filter(is_lead).dropDuplicates(["doc_id"]).select(F.col("lead_id"), "text"), "lead_id", chunk).withColumnRenamed("part", "lead_part")
-    own = _chunks(again.filter(~is_lead).select(F.struct("doc_id", "lead_id", "n_chars").alias("who"), "text"), "who", chunk).select("who.*", "no", "part")
-    differs = own.join(lead, ["lead_id", "no"], "left").filter(F.col("lead_part").isNull() | (F.col("part") != F.col("lead_part"))).select("doc_id", "n_chars").distinct()
+    rows = written(fps.groupBy("doc_id", "n_chars", "sha256", *key).agg(F.count(F.lit(1)).alias("copies")), "rows")
+    order = F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("sha256").alias("d"))
+    as_who = F.struct(F.col("lead.c").alias("doc_id"), (-F.col("lead.a")).alias("n_chars"), F.col("lead.d").alias("sha256"))
+    leaders = rows.groupBy(*key).agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key, as_who.alias("lead"))
+
+    # Compare what shares a fingerprint, chunk by chunk; only rows of groups of several are read again.
+    members = written(rows.join(leaders, key).select(who.alias("who"), "lead"), "members")
+    texts = bare_rows(df, id_col, text_col).select(who.alias("who"), "bare")
+    again = texts.join(small_side(members), "who")
+    is_lead = F.col("who") == F.col("lead")
+    lead = again.filter(is_lead).groupBy("lead").agg(F.first("bare").alias("bare")).select("lead", F.explode(_pieces(chunk)).alias("p")).select("lead", "p.no", F.col("p.part").alias("lead_part"))
+    own = again.filter(~is_lead).select("who", "lead", F.explode(_pieces(chunk)).alias("p")).select("who", "lead", "p.no", "p.part")
+    differs = own.join(lead, ["lead", "no"], "left").filter(F.col("lead_part").isNull() | (F.col("part") != F.col("lead_part"))).select("who").distinct()
     differs = written(differs.withColumn("apart", F.lit(True)), "differs")
 
-    rows = rows.join(differs, ["doc_id", "n_chars"], "left") if differs.limit(1).count() else rows.withColumn("apart", F.lit(None).cast("boolean"))
+    rows = rows.withColumn("who", who)
+    rows = rows.join(differs, "who", "left") if differs.limit(1).count() else rows.withColumn("apart", F.lit(False))
     rows = rows.withColumn("own", F.when(F.col("apart"), F.col("sha256")).otherwise(F.lit("")))
-    groups = rows.groupBy(*key, "own").agg(F.min(order).alias("lead"), F.sum("copies").alias("group_size"))
+    groups = rows.groupBy(*key, "own").agg(F.min(order).alias("lead"), F.sum("copies").alias("group_size")).withColumn("lead", as_who)
     out = rows.join(groups, [*key, "own"])
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    first = F.col("doc_id").eqNullSafe(F.col("lead.c")) & (F.col("n_chars") == -F.col("lead.a")) & (F.col("copy") == 1)
-    return out.select("doc_id", F.col("lead.c").alias("keep_id"), "group_size", first.alias("kept"), F.col("sha256").alias("text_sha256"))
+    return out.select("doc_id", F.col("lead.doc_id").alias("keep_id"), "group_size", ((F.col("who") == F.col("lead")) & (F.col("copy") == 1)).alias("kept"), F.col("sha256").alias("text_sha256"))

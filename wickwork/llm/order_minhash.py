@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import text_or_empty, written
 
@@ -17,8 +18,9 @@ from .shared import text_or_empty, written
 WORDS, ROWS, LENGTH = 3, 32, 2
 #: K-mers near a row's anchor that are looked at first, on average.
 NEAR = 6
-#: Low bits that hold a k-mer's place in the text: texts of up to 2**24 k-mers.
-PLACE_BITS, HASH_BITS = 24, 39
+#: Low bits that hold a k-mer's place in the text, and bits of its hash. A text of 2**27 k-mers has at least 268 MB and
+#: takes arrays of gigabytes; Spark holds no row with many more, and a longer one is an error.
+PLACE_BITS, HASH_BITS = 27, 36
 
 
 def _anchors(rows: int) -> list[int]:
@@ -48,6 +50,7 @@ def numbered_kmers(text: Column, k: int) -> Column:
     def kmers(ws: Column) -> Column:
         n = F.size(ws)
         full = F.transform(F.sequence(F.lit(0), n - k), lambda i: packed(F.xxhash64(*[ws[i + j] for j in range(k)]), i))
+        full = F.when(n - k < 1 << PLACE_BITS, full).otherwise(F.raise_error(F.lit(f"a text has more than 2**{PLACE_BITS} k-mers")).cast("array<bigint>"))
         return F.when(n >= k, full).when(n > 0, F.array(packed(F.xxhash64(ws), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
 
     def number(s: Column) -> Column:
@@ -161,8 +164,11 @@ def edited_and_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near_edited, near_next. The edited text has the last floor(n_chars / 2) code points replaced by the first as many,
     or all, of the next text in descending order of doc_id; the last row's next is the first. Null texts count as empty;
     texts without words have a fingerprint of zeros, like one another. Repeated rows follow each other. A single row is
-    its own next. An empty table gives no rows; other columns are not read.
+    its own next. An empty table gives no rows; other columns are not read. Ids of another type than whole numbers and texts
+    of more than 2**PLACE_BITS k-mers raise an error.
     """
+    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
+        raise TypeError("ids are whole numbers: their order is cut into parts at quantiles")
     table = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(df, text_col).alias("text"))
     both, order = with_next(table)
     n = F.length("text")

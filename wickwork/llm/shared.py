@@ -7,15 +7,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which the small side of a join may be broadcast; larger sides are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which the small side of a join may be broadcast; larger sides are joined by a shuffle.
+BROADCAST_BYTES = 24 << 20
+#: Bytes that a row of a broadcast table takes besides its strings.
+ROW_BYTES = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset and there is one machine only.
+
+    What the operators write there stays until the session's owner clears the folder.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="wickwork-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -36,20 +44,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Keep the Arrow batches that Python workers receive small, since texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_batches(spark: SparkSession, rows: int = 400, size: int = 4 << 20) -> None:
+    """Keep the Arrow batches that Python workers receive small: at most ``rows`` rows and ``size`` bytes, or one longer row.
+
+    Both are settings of the session, so they hold for what else runs in it; smaller settings of its own are left alone.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join ``big`` with ``small``, which is already written; broadcast ``small`` only if it has at most ``limit`` rows."""
-    if small.count() <= limit:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+def size_of(df: DataFrame) -> int:
+    """About how many bytes ``df`` takes in memory: every row's fixed part, its strings and its arrays."""
+    size = F.lit(ROW_BYTES)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            size = size + 16 * F.greatest(F.size(f"`{f.name}`"), F.lit(0))
+    return df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, which is already written, to be broadcast if it takes at most ``limit`` bytes."""
+    return F.broadcast(df) if size_of(df) <= limit else df
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join ``big`` with ``small``, which is already written; broadcast ``small`` only if it takes at most ``limit`` bytes."""
+    return big.join(small_side(small, limit), on, how)
 
 
 def text_or_empty(df: DataFrame, text_col: str = "text"):

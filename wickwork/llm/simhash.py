@@ -103,20 +103,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, fingerprint (16 lowercase hex digits) and component_id, the smallest doc_id reachable over links.
 
     A row for each row of ``df``. Null texts count as empty; texts without words have the fingerprint 0 and are linked
-    like any others. Repeated rows share their component. Rows with a null id have a fingerprint and the component of
-    their fingerprint, which is null if no other row has one. An empty table gives no rows; other columns are not read.
+    like any others. Repeated rows, and rows of one id with different texts, are judged by their fingerprints. Rows with a
+    null id link others like any row; a component of such rows only has a null component_id. An empty table gives no
+    rows; other columns are not read. Very long texts are hashed piece by piece.
     """
     fps = written(fingerprints(df, id_col, text_col, width), "simhash")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    known = classes.filter("rep is not null")
-    found = links(known, most)
-    a = known.select(F.col("fp").alias("a"), F.col("rep").alias("src"))
-    b = known.select(F.col("fp").alias("b"), F.col("rep").alias("dst"))
-    found = written(found, "links")
-    # A document has one fingerprint, so the smallest ids of different classes differ.
-    edges = found.join(a, "a").join(b, "b").select("src", "dst")
-    labels = min_label_components(edges)
-    labels = labels.select(F.col("node").alias("rep"), F.col("label"))
-    classes = written(join_small(classes, labels, ["rep"], "left").select("fp", F.coalesce("label", "rep").alias("component_id")), "components")
+    # Nodes are fingerprints: rows that share one are one node, whatever their ids.
+    labels = written(min_label_components(links(classes, most).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "labels")
+    classes = join_small(classes, labels.withColumnRenamed("node", "fp"), ["fp"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+    first = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
+    classes = written(classes.join(first, "label").select("fp", "component_id"), "components")
     out = fps.join(classes, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
