@@ -1,6 +1,7 @@
 """WARC, mixing, language-model scores, toxicity and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import random
 import zlib
@@ -36,10 +37,23 @@ def test_archives_hold_every_payload(spark):
     keys = [(r.url_key, r.captured_at, r.page_id is None, r.page_id or 0) for r in got]
     assert keys == sorted(keys) and by[1].url_key == "com,example)/a?b"
     assert warc.archive_and_index(pages(spark, rows).limit(0)).count() == 0
-    few = warc.archive_and_index(pages(spark, rows[:4]), min_bytes=1).collect()
+    assert [r.capture_no for r in got] == list(range(1, len(rows) + 1))
+    few = warc.archive_and_index(pages(spark, rows[:4]).selectExpr("*", "1 AS size", "'x' AS url_key", "2 AS value"), min_bytes=1).collect()
     assert {r.page_id for r in few if r.record_type == "revisit"} == {2}
 
 
+def test_archives_of_several_gzip_members():
+    record = lambda i: f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {i}\r\n\r\n{'x' * i}\r\n\r\n".encode()
+    sizes = [5, 0, 70_000, 3_000_000, 1]
+    for group in ([sizes], [[n] for n in sizes], [sizes[:2], sizes[2:]]):
+        data = b"".join(gzip.compress(b"".join(map(record, g))) for g in group)
+        assert [len(block) for _, _, block in warc._stream(data)] == sizes
+        for cut in (1, 9):
+            with pytest.raises(ValueError):
+                list(warc._stream(data[:-cut]))
+    assert list(warc._stream(b"")) == []
+
+
 def plain_split(budget, capacity, weight):
     """Raise a common level until the budget is used."""
     share = dict.fromkeys(capacity, 0.0)
@@ -65,7 +79,7 @@ def test_prefixes_of_epochs(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SMALL_PART", 4)  # several rounds of narrowing
     rng = random.Random(2)
     rows = [(i, "t" * rng.randrange(0, 40), rng.choice(["en", "de", None]), f"s{rng.randrange(3)}", "x") for i in range(600)] + [(1000, "abc", "en", "s0", "x")] * 3 + [(1001, None, "en", "s1", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, w string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, w string").selectExpr("*", "1 AS __lang", "2 AS __id", "3 AS __need")
     tree = {"lang": F.col("lang"), "source": F.col("source")}
     for percent, epochs in ((60, 1), (150, 3), (0, 1), (1000, 2)):
         out = mixing.copies(docs, tree, {"lang": {"en": 5}}, percent, epochs, seed=3)
@@ -97,25 +111,95 @@ def test_prefixes_of_epochs(spark, monkeypatch):
         mixing.copies(docs, tree, {"lang": {"en": 0}}, 50)
 
 
-def test_pseudo_likelihood_prefers_the_language_it_saw(spark):
+def plain_words(text):
+    return (text or "").encode().lower().split()
+
+
+def chain_rows():
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(30)]
     chain = lambda: " ".join(words[(s + 1 + rng.integers(2)) % 30] for s in np.cumsum(rng.integers(1, 3, 120)))
-    rows = [(i, chain()) for i in range(120)] + [(500, " ".join(rng.permutation(chain().split()))), (501, None), (502, ""), (503, "unheard"), (504, "w1")]
+    rows = [(i, chain()) for i in range(120)] + [(500, " ".join(rng.permutation(chain().split()))), (501, None), (502, ""), (503, "unheard"), (504, "w1"), (505, "Twice said"), (505, "twice said"), (None, "w2 w3"), (506, "w1 w2 " * 5000)]
+    return rows
+
+
+def test_pseudo_likelihood_is_that_of_the_definition(spark, monkeypatch):
+    """Counts, triples and scores against plain loops; the rarer words are joined, the others are at hand."""
+    monkeypatch.setattr(pseudo_likelihood, "HEAD", 20)
+    rows = chain_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit("clash"))
-    model = pseudo_likelihood.train(df)
-    assert np.abs(np.exp(model.table.astype(float)).sum(1) - 1).max() < 1e-4
-    got = {r.doc_id: r for r in pseudo_likelihood.score(df, model).collect()}
-    assert got[501].n_words == 0 and got[501].log_likelihood == 0 and got[501].mean_log_likelihood is None
-    assert got[500].mean_log_likelihood < np.mean([got[i].mean_log_likelihood for i in range(120)])
+    model, vocab = pseudo_likelihood.train(df)
+    counts, c = {}, pseudo_likelihood.CLASSES
+    for _, t in rows:
+        for w in plain_words(t):
+            counts[w] = counts.get(w, 0) + 1
+    assert sorted(r.n for r in vocab.collect()) == sorted(counts.values()) and len(model.heads) == 20
+    hashed = {w: pseudo_likelihood.xxhash.xxh64_intdigest(w) - (1 << 63) for w in counts}
+    by_rank = sorted(counts, key=lambda w: (-counts[w], hashed[w]))
+    alone = {w: i for i, w in enumerate(by_rank[:20], 1)}
+    cls = {w: alone.get(w, pseudo_likelihood.shared_class(w)) for w in counts}
+    total, types = np.zeros(c), np.zeros(c)
+    for w, n in counts.items():
+        total[cls[w]] += n
+        types[cls[w]] += 1
+    assert (total == model.total).all() and (types == model.types).all()
+    sums = np.zeros((c, c, c), np.int64)
+    for _, t in rows:
+        near = [0, *[cls[w] for w in plain_words(t)], 0]
+        for x in zip(near, near[1:], near[2:], strict=False):
+            sums[x] += 1
+    assert (pseudo_likelihood.count_triples(df.selectExpr("coalesce(text, '') AS text"), model).reshape(c, c, c) == sums).all()
+    want = []
+    for i, t in rows:
+        ws, value, unseen = plain_words(t), 0.0, 0
+        near = [0, *[cls[w] for w in ws], 0]
+        for w, x in zip(ws, zip(near, near[1:], near[2:], strict=False), strict=False):
+            k = ws.count(w)
+            value += float(model.table[x]) + np.log((counts[w] - k + 0.5) / (total[cls[w]] - k + 0.5 * (types[cls[w]] + 1)))
+            unseen += counts[w] == k
+        want.append((i, len(ws), round(value, 3) + 0.0, unseen))
+    got = pseudo_likelihood.score(df, model, vocab).collect()
+    assert sorted(((r.doc_id, r.n_words, round(r.log_likelihood, 3) + 0.0, r.n_unseen) for r in got), key=str) == sorted(want, key=str)
+    by = {r.doc_id: r for r in got}
+    assert by[501].mean_log_likelihood is None and by[500].mean_log_likelihood < np.mean([by[i].mean_log_likelihood for i in range(120)])
+    empty, none = pseudo_likelihood.train(df.limit(0))
+    assert pseudo_likelihood.score(df.limit(0), empty, none).count() == 0
+
+
+def test_gradients_of_the_window_network():
+    rng = np.random.default_rng(5)
+    by_context = rng.integers(0, 4, (7, 7, 7)).astype(float)
+    w = pseudo_likelihood.initial_weights(rng.normal(size=7), 1, float)
+    loss, g = pseudo_likelihood.gradients(w, by_context, by_context.sum())
     plain = 0.0
-    b = pseudo_likelihood.buckets(rows[0][1])
-    c = [0, *model.classes[b].tolist(), 0]
-    for left, mid, right, k in zip(c, c[1:], c[2:], b, strict=False):
-        plain += float(model.table[left, mid, right]) + float(model.within[k])
-    assert got[0].log_likelihood == pytest.approx(plain, rel=1e-5)
-    empty = pseudo_likelihood.train(df.limit(0))
-    assert pseudo_likelihood.score(df.limit(0), empty).count() == 0
+    for a in range(7):
+        for b in range(7):
+            logit = np.tanh(w["e"][a] @ w["l"] + w["e"][b] @ w["r"] + w["h"]) @ w["o"] + w["b"]
+            plain -= (by_context[a, b] * (logit - np.log(np.exp(logit).sum()))).sum() / by_context.sum()
+    assert loss == pytest.approx(plain)
+    for k, v in w.items():
+        for _ in range(5):
+            at = tuple(int(rng.integers(n)) for n in v.shape)
+            old, sides = v[at], []
+            for e in (1e-5, -1e-5):
+                v[at] = old + e
+                sides.append(pseudo_likelihood.gradients(w, by_context, by_context.sum())[0])
+            v[at] = old
+            assert g[k][at] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-3, abs=1e-8)
+
+
+def test_neighbours_tell_of_words():
+    """On triples it has not seen, the network is better than the frequency of the word alone by half a nat."""
+    rng = np.random.default_rng(2)
+    c = pseudo_likelihood.CLASSES
+    walk = lambda n: np.cumsum(rng.integers(1, 4, n)) % 60 + 1
+    count = lambda s: np.bincount(pseudo_likelihood.triples(s), minlength=c**3)
+    seen, held = count(walk(60_000)), count(walk(20_000))
+    table = pseudo_likelihood.fit(seen)
+    assert np.abs(np.exp(table.astype(float)).sum(1) - 1).max() < 1e-4
+    unigram = (seen.reshape(c, c, c).sum((0, 2)) + 1.0) / (seen.sum() + c)
+    n = held.reshape(c, c, c)
+    assert (n * table).sum() / n.sum() > (n.sum((0, 2)) * np.log(unigram)).sum() / n.sum() + 0.5
 
 
 def plain_kernel(a, b):
@@ -130,11 +214,42 @@ def plain_kernel(a, b):
 
 
 def test_kernel_is_that_of_the_definition():
-    words = ["idiot", "id*iot", "idi", "xyz", "aaaa", "banana", "", "ab"]
-    codes = toxicity._codes(words)
-    for i, a in enumerate(words):
-        for j, b in enumerate(words):
-            assert toxicity.kernel_pairs(codes[i : i + 1], codes[j : j + 1])[0] == pytest.approx(plain_kernel(a, b), rel=1e-4, abs=1e-6)
+    texts, marks = ["idiot", "id*iot", "idi", "xyz", "aaaa", "banana", "", "ab"], ["^idiot", "idiots", "idi", "aaa", "ban", "nab", "idiot"]
+    got = toxicity.kernels(toxicity._codes(texts), marks)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(marks):
+            assert got[i, j] == pytest.approx(plain_kernel(a, b), rel=1e-4, abs=1e-6)
+
+
+def test_sentences_have_the_best_of_their_words():
+    marks = ["^idiot", "^scum"]
+    model = toxicity.Model(marks, np.eye(2), np.ones(2))
+    text = "You ID-IOT!! and more\nwords. q" + "scum" * 20 + "? s c u m"
+    parts = toxicity.sentences(text)
+    assert parts == [["you", "id-iot"], ["and", "more"], ["words"], ["q" + "scum" * 20], ["s", "c", "u", "m"], ["scum"]]
+    model.learn(sorted({w for p in parts for w in p}))
+    got = model.features(parts)
+    for row, ws in zip(got, parts, strict=True):
+        for j, mark in enumerate(marks):
+            best = max(min(1, plain_kernel(x, mark) / plain_kernel(mark, mark)) for w in ws for x in toxicity.windows(w))
+            assert row[j] == pytest.approx(best**toxicity.POWER, rel=1e-3, abs=1e-6)
+    keep = {"you", "scum"}
+    model.forget(keep)
+    assert set(model.place) == keep and model.features([["scum"]])[0, 1] == pytest.approx(1)
+
+
+def test_machine_and_curve_are_optima():
+    """Newton's results against the gradients of what they minimise."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 4))
+    y, cost = np.sign(x[:, 0] + 0.5 * rng.normal(size=200)), rng.random(200) + 0.1
+    w = toxicity._newton_svm(x, y, cost, rounds=200)
+    z = np.c_[x, np.ones(200)]
+    slack = np.maximum(0, 1 - y * (z @ w))
+    assert np.abs(np.r_[1e-2 * w[:-1], 1e-6 * w[-1]] - z.T @ (cost * y * slack)).max() < 1e-4
+    f = np.c_[x[:, :1] * 2, rng.normal(size=(200, 2)), rng.random(200)]
+    slope, offset = toxicity._curve(f, y > 0)
+    assert (slope[:3] >= 0).all() and ((f @ slope + offset > 0) == (y > 0)).mean() > 0.8
 
 
 def toxic_rows(n=700):

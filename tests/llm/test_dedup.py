@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 from helpers import SF, same
+from pyspark.sql import functions as F
 
 from wickwork.llm import components, exact_dedup, golay, order_minhash, simhash, substring_dedup
 from wickwork.llm.queries import oracle_sql, queries
@@ -78,8 +79,6 @@ def test_collisions_are_told_apart(spark, monkeypatch):
     real = exact_dedup.fingerprints
 
     def blind(*args, **kwargs):
-        from pyspark.sql import functions as F
-
         return real(*args, **kwargs).withColumns({c: F.lit(7).cast("long") for c in ("fp1", "fp2", "n_bytes")})
 
     monkeypatch.setattr(exact_dedup, "fingerprints", blind)
@@ -92,7 +91,9 @@ def test_repeated_units(spark):
     line = "one two three four five six seven eight nine."
     rows = [(1, f"Intro.\n{line}\nend"), (2, f"x {text(1)}. {line.upper()}  "), (3, line + " " + line), (4, "too short a line."), (5, "too short a line."), (6, None), (7, text(2) + ".")]
     df = frame(spark, rows)
-    spans = substring_dedup.repeated_units(df)
+    df = df.withColumn("__spans", F.lit(1)).withColumn("id", F.lit(2))
+    sentences = {"pattern": substring_dedup.SENTENCE, "min_words": substring_dedup.SENTENCE_WORDS}
+    spans = substring_dedup.repeated_units(df, **sentences)
     got = sorted((r.doc_id, r.start, r.end, r.keep_doc_id, r.copies) for r in spans.collect())
     texts = dict(rows)
     assert [(g[0], texts[g[0]][g[1] : g[2]].lower()) for g in got] == [(2, line), (3, line), (3, line)] and all(g[3] == 1 and g[4] == 4 for g in got)
@@ -101,6 +102,30 @@ def test_repeated_units(spark):
     assert substring_dedup.repeated_units(df.limit(0)).count() == 0
 
 
+def test_repeated_lines_and_paragraphs(spark):
+    """Every line or paragraph counts; repeated rows are one document, other rows of an id, or without one, their own."""
+    rows = [(2, "Licensed under\nown words\n\nA b\nc d"), (1, "licensed  UNDER\r\nx"), (3, "x\n\na b\nC d\n\nown words"), (3, "x\n\na b\nC d\n\nown words"), (3, "zz\nown words"), (None, "x\nnobody's\nx"), (None, "nobody's"), (4, None), (5, "\n \n")]
+    df = frame(spark, rows)
+    for pattern in (substring_dedup.LINE, substring_dedup.PARAGRAPH):
+        spans = substring_dedup.repeated_units(df, pattern=pattern)
+        keys = {r.t: r.k for r in df.selectExpr("text AS t", "xxhash64(text) AS k").collect()}
+        places = {}
+        for i, t in set(rows):
+            for m in re.finditer(pattern, t or ""):
+                if words := m[0].lower().split():
+                    places.setdefault(" ".join(words), set()).add((i is None, i or 0, m.start() + len(m[0]) - len(m[0].lstrip()), keys[t], m.start() + len(m[0].rstrip()), t))
+        want = {(None if p[0] else p[1], p[5], p[2], p[4]) for v in places.values() for p in v if p != min(v)}
+        texts = {k: t for t, k in keys.items()}
+        assert {(r.doc_id, texts[r.text_key], r.start, r.end) for r in spans.collect()} == want and want
+        clean = substring_dedup.without_units(df, spans)
+        left = []
+        for i, t in rows:
+            for _, _, s, e in sorted((w for w in want if w[:2] == (i, t)), key=lambda w: -w[2]):
+                t = t[:s] + t[e:]
+            left.append((i, t))
+        assert clean.columns == df.columns and sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted(left, key=str)
+
+
 def plain_passages(rows, least=8):
     """Spans of runs of sentences, at least ``least`` words long but no longer on both sides than it takes, that have an earlier copy."""
     places = {}
@@ -120,7 +145,7 @@ def test_repeated_passages_of_short_sentences(spark):
     chance = [" ".join(rng.choice(["Yes.", "It rained.", "No one came\n", "Ä b c."], 12)) for _ in range(12)]
     rows = [(1, f"Start here.\n{short} {text(11, 20)}."), (2, f"{text(12, 20)}. {short.upper()} Another end."), (3, "It rained. Yes."), (4, "Yes. It rained."), (5, None), (6, "... ")] + [(10 + k, t) for k, t in enumerate(chance)]
     df, texts = frame(spark, rows), dict(rows)
-    assert not [r for r in substring_dedup.repeated_units(df).collect() if r.doc_id < 10]
+    assert not [r for r in substring_dedup.repeated_units(df, pattern=substring_dedup.SENTENCE, min_words=8).collect() if r.doc_id < 10]
     spans = substring_dedup.repeated_passages(df)
     got = sorted((r.doc_id, r.start, r.end, r.copies, r.keep_doc_id, r.keep_start) for r in spans.collect())
     assert got == plain_passages(rows) and {g[0] for g in got if g[0] < 10} == {2}
@@ -193,8 +218,6 @@ def test_near_duplicates(spark):
 
 def test_null_ids_link(spark, monkeypatch):
     """Components by brute force over rows, null ids and repeated ids included."""
-    from pyspark.sql import functions as F
-
     rng = np.random.default_rng(1)
     rows, at = [], 0
     for i in range(60):
@@ -251,6 +274,16 @@ def test_order_minhash(spark):
         want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), hexed(a), hexed(b), near(a, b), near(a, c)))
     assert sorted(tuple(r) for r in got) == sorted(want)
     assert order_minhash.edited_and_next(frame(spark, rows).limit(0)).count() == 0
+    with pytest.raises(TypeError):
+        order_minhash.edited_and_next(frame(spark, rows).selectExpr("string(doc_id) AS doc_id", "text"))
+
+
+def test_more_kmers_than_places_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "PLACE_BITS", 4)
+    few = spark.createDataFrame([(" ".join("abcdefghijklmnopqr"),)], "t string")  # 16 k-mers
+    assert len(few.select(order_minhash.numbered_kmers(few.t, 3).alias("x")).first().x) == 16
+    with pytest.raises(Exception, match="k-mers"):
+        few.select(order_minhash.numbered_kmers(F.concat(few.t, F.lit(" s")), 3)).collect()
 
 
 def test_order_counts_in_fingerprints(spark):

@@ -28,8 +28,9 @@ from .shared import text_or_empty
 WORD = 64
 #: Texts are cut before a space that is followed by a visible character: the pattern always starts a match there.
 SAFE_BOUNDARY = re.compile(r" (?=\S)")
-#: Pieces of text whose ids a worker remembers; the memory is emptied beyond that.
-REMEMBERED = 250_000
+#: Characters of pieces whose ids a worker remembers, each with PIECE more; the memory is emptied beyond that.
+#: Longer pieces than LONG characters are not remembered.
+REMEMBERED, PIECE, LONG = 37_500_000, 140, 256
 #: Bytes of pre-tokens that share one linked list and one queue; a longer pre-token has its own.
 RUN_BYTES = 1 << 16
 
@@ -97,6 +98,7 @@ class Codec:
         self.byte_pairs = np.array([[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
         self.pair: dict[tuple[int, int], int] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.size = 0
         self.ints = list(range(max(self.tokens) + 1))  # one object for each id, shared by all that is remembered
         self.decimal = list(map(str, self.ints))
 
@@ -198,15 +200,23 @@ class Codec:
 
     def encode_texts(self, texts: list[str]) -> list[list[int]]:
         """The ids of every text."""
-        if len(self.known) > REMEMBERED:
+        if self.size > REMEMBERED:
             self.known.clear()
+            self.size = 0
         split = []
         for text in texts:
             first, *rest = SAFE_BOUNDARY.split(text) if text else [""]
             split.append(([first] if first else []) + [" " + p for p in rest])
         known = self.known
-        self.learn(list({p for pieces in split for p in pieces if p not in known}))
-        return [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
+        new = list({p for pieces in split for p in pieces if p not in known})
+        self.learn(new)
+        out = [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
+        for p in new:
+            if len(p) > LONG:
+                del known[p]
+            else:
+                self.size += len(p) + PIECE
+        return out
 
     def encode(self, text: str) -> list[int]:
         return self.encode_texts([text])[0]

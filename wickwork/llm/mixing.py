@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import join_small, written
+from .shared import fresh, join_small, written
 
 #: Texts of a part from which it is narrowed down no further.
 SMALL_PART = 128
@@ -74,19 +74,23 @@ def leaf_shares(leaves: DataFrame, levels: list[str], weights: dict[str, dict[st
     return leaves.join(above.withColumnRenamed("budget", "share"), levels)
 
 
-def copies(docs: DataFrame, tree: dict[str, Column], weights: dict[str, dict[str, int]], budget_percent: int, max_epochs: int = 1, seed: int = 0, id_col: str = "doc_id", tokens: Column | None = None) -> DataFrame:
-    """``docs`` and ``__copies``: in how many epochs of its leaf's token-prefix each row occurs, 0 if in none.
+def copies(docs: DataFrame, tree: dict[str, Column], weights: dict[str, dict[str, int]], budget_percent: int, max_epochs: int = 1, seed: int = 0, id_col: str = "doc_id", tokens: Column | None = None, name: str = "__copies") -> DataFrame:
+    """``docs`` and the column ``name``: in how many epochs of its leaf's token-prefix each row occurs, 0 if in none.
 
     ``tree`` names the levels from the root and gives each an expression over ``docs``; nulls are a node of their own,
     "". ``weights`` are whole numbers by level and node, 1 where none is given. The budget is ``budget_percent`` of all
     tokens; what no leaf can use within ``max_epochs`` stays unused. Rows without tokens count as selected where the
-    prefix passes them. Repeated rows of one id stay together. An empty table gives no rows. Besides ``__copies`` the
-    result has the columns of ``docs``, whatever they are called.
+    prefix passes them. Repeated rows of one id stay together, and so do all rows of a leaf without an id. An empty table
+    gives no rows. Besides ``name``, which must be new, the result has the columns of ``docs``, whatever they are called.
     """
+    if fresh(docs, name) != name:
+        raise ValueError(f"there is a column {name} already")
     names = [f"__{x}" for x in tree]
-    table = docs.select("*", *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, tree.values(), strict=True)])
     size = tokens if tokens is not None else approximate_tokens(F.col("text"))
-    rows = written(table.select(*names, F.col(id_col).alias("__id"), size.alias("__tokens")), "mix-rows")
+    nodes = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, tree.values(), strict=True)]
+    # The columns of ``docs`` are one struct, so that their names cannot clash with those used here.
+    table = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), *nodes)
+    rows = written(docs.select(*nodes, F.col(id_col).alias("__id"), size.alias("__tokens")), "mix-rows")
     leaves = rows.groupBy(*names).agg(F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     budget = F.floor(F.col("all_tokens") * budget_percent / 100)
     shares = leaf_shares(leaves, names, {f"__{k}": v for k, v in weights.items()}, budget, max_epochs)
@@ -111,5 +115,5 @@ def copies(docs: DataFrame, tree: dict[str, Column], weights: dict[str, dict[str
     last = written(keys.withColumn("__before", before).filter("__before < __need").groupBy(*names).agg(F.max("__h").alias("__cut")), "mix-last")
 
     out = join_small(table, written(plan.select(*names, "__whole", "__rest").join(last, names, "left"), "mix-leaves"), names, "left")
-    taken = (F.col("__rest") > 0) & (epoch_hash(seed, F.col("__whole"), F.col(id_col)) <= F.col("__cut"))
-    return out.select(*docs.columns, (F.col("__whole") + F.coalesce(taken, F.lit(False)).cast("int")).cast("int").alias("__copies"))
+    taken = (F.col("__rest") > 0) & (epoch_hash(seed, F.col("__whole"), F.col("__id")) <= F.col("__cut"))
+    return out.select("__row.*", (F.col("__whole") + F.coalesce(taken, F.lit(False)).cast("int")).cast("int").alias(name))

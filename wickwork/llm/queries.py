@@ -24,7 +24,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive_and_index(_table(spark, sf_dir, "pages"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured_at")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured_at", "url_key", "capture_no")
 
 
 #: The domains of the sources src0 to src19, five each; any other source is of the domain "other".
@@ -46,12 +46,13 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_units(_table(spark, sf_dir, "documents"))
+    """Sentences of eight words and more, since repeated passages stand in the middle of lines."""
+    return substring_dedup.repeated_units(_table(spark, sf_dir, "documents"), pattern=substring_dedup.SENTENCE, min_words=substring_dedup.SENTENCE_WORDS).drop("text_key")
 
 
 def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4_substring_dedup is bound by its SQL to units of eight words; this one compares shorter ones too."""
-    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+    return pseudo_likelihood.score(docs, *pseudo_likelihood.train(docs))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,17 +105,25 @@ FROM t
 WINDOW g AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 """
 
-WARC = """
+WARC = r"""
 WITH p AS (
-  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) AS first FROM pages
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) AS first,
+    strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id % 315360000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at, lower(coalesce(url, '')) AS u,
+    '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]+)?(.*)$' AS form
+  FROM pages
+),
+keyed AS (
+  SELECT *, CASE WHEN regexp_matches(u, form)
+    THEN array_to_string(list_reverse(string_split(regexp_replace(regexp_extract(u, form, 1), '^www\.', ''), '.')), ',') || ')' || coalesce(nullif(split_part(regexp_extract(u, form, 2), '#', 1), ''), '/')
+    ELSE u END AS url_key FROM p
 )
 SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     (((('0x' || substr(h, (k // 8 * 10 + 1)::INT, 10))::BIGINT >> (35 - 5 * (k % 8))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first THEN first END AS refers_to,
-  strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id % 315360000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
-FROM p
+  CASE WHEN page_id <> first THEN first END AS refers_to, captured_at, url_key,
+  row_number() OVER (ORDER BY url_key, captured_at, page_id) AS capture_no
+FROM keyed
 """
 SUBSTRING_DEDUP = r"""
 WITH parts AS (

@@ -80,6 +80,14 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, limit:
     return big.join(small_side(small, limit), on, how)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(df: DataFrame, text_col: str = "text"):
     """The text column as a string, null counting as empty."""
     return F.coalesce(df[text_col].cast("string"), F.lit(""))

@@ -5,8 +5,9 @@ units of one digest the earliest ranked stays and the others are removed. The ea
 before the shuffle, so a line that half of all texts share weighs no more than another; repeats then find theirs by an
 equi-join, which Spark splits where one digest is frequent.
 
-Units are the sentences of lines by default, so that a passage set into the middle of another line is found too; lines
-and paragraphs are to be had as well.
+Units are lines by default, or paragraphs, or the sentences of lines, so that a passage set into the middle of another line
+is found too. Every unit counts, whatever its length, unless a least number of words is asked for: short sentences
+repeat by chance.
 
 Short units say nothing on their own, but a passage may be built of them. ``repeated_passages`` compares every unit,
 together with as many of its neighbours as it takes to have enough words.
@@ -26,8 +27,8 @@ from .shared import text_or_empty, written
 
 #: Patterns of a unit: a sentence of a line, a line, a paragraph (lines up to an empty one).
 SENTENCE, LINE, PARAGRAPH = r"[^.!?\n]+[.!?]*|[.!?]+", r"[^\n]+", r"[^\n]+(?:\n[^\n]+)*"
-#: Words a unit has at least to count; shorter ones, such as "The end.", repeat by chance.
-MIN_WORDS = 8
+#: Words that a sentence, or a run of them, takes to say something; shorter ones, such as "The end.", repeat by chance.
+SENTENCE_WORDS = 8
 
 
 def units_of(text: str, pattern: re.Pattern, min_words: int) -> list[tuple[int, int, bytes]]:
@@ -72,12 +73,12 @@ def passages_of(text: str, pattern: re.Pattern, min_words: int) -> list[tuple[in
     return [(spans[a][0], spans[b][1], digest(a, b)) for a, b in sorted(runs)]
 
 
-def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = SENTENCE, min_words: int = MIN_WORDS, cut: Callable = units_of) -> DataFrame:
-    """(doc_id, start, end, digest): every unit of at least ``min_words`` words, or what else ``cut`` makes of a text.
+def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = LINE, min_words: int = 1, cut: Callable = units_of) -> DataFrame:
+    """(doc_id, text_key, start, end, digest): every unit of at least ``min_words`` words, or what else ``cut`` makes of a text.
 
     Normalised means A-Z in lower case and runs of ASCII white space as one space, none at the ends.
     """
-    rows = df.select(F.col(id_col).alias("doc_id"), text_or_empty(df, text_col).alias("text"))
+    rows = df.select(F.col(id_col).alias("doc_id"), text_or_empty(df, text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     compiled = re.compile(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,23 +88,23 @@ def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern
                 found = [cut(t, compiled, min_words) for t in part.column("text").to_pylist()]
                 row = pa.array([i for i, us in enumerate(found) for _ in us], pa.int32())
                 flat = [u for us in found for u in us]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), pa.array([u[0] for u in flat], pa.int32()), pa.array([u[1] for u in flat], pa.int32()), pa.array([u[2] for u in flat], pa.binary())], names=["doc_id", "start", "end", "digest"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), part.column("text_key").take(row), pa.array([u[0] for u in flat], pa.int32()), pa.array([u[1] for u in flat], pa.int32()), pa.array([u[2] for u in flat], pa.binary())], names=["doc_id", "text_key", "start", "end", "digest"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start int, end int, digest binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, start int, end int, digest binary")
 
 
-def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = SENTENCE, min_words: int = MIN_WORDS) -> DataFrame:
-    """The units to remove: doc_id, start, end (code points of the original text), unit_md5, copies, keep_doc_id, keep_start.
+def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = LINE, min_words: int = 1) -> DataFrame:
+    """The units to remove: doc_id, text_key, start, end (code points of the original text), unit_md5, copies, keep_doc_id, keep_start.
 
-    Units rank by doc_id, then by place; the first of each digest stays, within one text as well. ``copies`` counts all
+    A text is known by its id and a hash, text_key. Units rank by doc_id, then by place; the first of each digest stays, within one text as well. ``copies`` counts all
     units of the digest. Null texts count as empty and have no units. Rows with a null id rank behind all others.
-    Repeated rows of one id are one document: what they have in common is kept or removed in all of them. An
-    empty table gives no rows; other columns are not read.
+    Repeated rows of one id and text are one document: what is removed goes from all of them. Rows of one id, or none, with
+    other texts are documents of their own. Very long texts are cut whole. An empty table gives no rows; other columns are not read.
     """
     return _repeated(units(df, id_col, text_col, pattern, min_words))
 
 
-def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = SENTENCE, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = SENTENCE, min_words: int = SENTENCE_WORDS) -> DataFrame:
     """Like ``repeated_units``, but of runs of adjacent units that have ``min_words`` words together; every unit is compared.
 
     Spans may overlap. The first place of each unit is never in one: a run over it that repeats an earlier run would
@@ -114,19 +115,25 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _repeated(spans: DataFrame) -> DataFrame:
     found = written(spans, "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("start").alias("s"))
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("text_key").alias("k"))
     first = found.groupBy("digest").agg(F.min(rank).alias("f"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    first = written(first.select("digest", F.col("f.d").alias("keep_doc_id"), F.col("f.s").alias("keep_start"), "copies"), "repeated")
-    out = found.join(first, "digest").filter(~(F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("start") == F.col("keep_start"))))
-    return out.select("doc_id", "start", "end", F.lower(F.hex("digest")).alias("unit_md5"), "copies", "keep_doc_id", "keep_start")
+    first = written(first.select("digest", "f", "copies"), "repeated")
+    out = found.join(first, "digest").filter(rank != F.col("f"))
+    return out.select("doc_id", "text_key", "start", "end", F.lower(F.hex("digest")).alias("unit_md5"), "copies", F.col("f.d").alias("keep_doc_id"), F.col("f.s").alias("keep_start"))
 
 
 def without_units(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the spans of ``spans`` cut out of its texts; a text's own spans are gathered, at most two for each of its units."""
-    own = spans.filter("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__spans")).withColumnRenamed("doc_id", "__id")
-    text = F.col(text_col)
+    """``df`` with the spans of ``spans`` cut out of its texts; a text's own spans are gathered, at most two for each of its units.
+
+    Columns of ``df`` may have any names; null ids are ids like any other.
+    """
+    own = spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.join(own, F.col("id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_key")), "left")
+    text = F.col("text")
     # Pieces between spans, which may overlap: from the furthest end so far to the start of the next.
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
     step = lambda acc, s: F.struct(F.greatest(acc.at, s.end).alias("at"), F.concat(acc.pieces, F.array(F.substring(text, acc.at + 1, F.greatest(s.start - acc.at, F.lit(0))))).alias("pieces"))
-    kept = F.aggregate("__spans", begin, step, lambda acc: F.concat(F.array_join(acc.pieces, ""), F.substring(text, acc.at + 1, F.length(text))))
-    return df.join(own, df[id_col] == own["__id"], "left").withColumn(text_col, F.when(F.col("__spans").isNotNull(), kept).otherwise(text)).select(*df.columns)
+    kept = F.aggregate("spans", begin, step, lambda acc: F.concat(F.array_join(acc.pieces, ""), F.substring(text, acc.at + 1, F.length(text))))
+    kept = F.when(F.col("spans").isNotNull(), kept).otherwise(text)
+    return rows.select(*[kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns])

@@ -20,8 +20,9 @@ from .shared import text_or_empty
 SAFE_BOUNDARY = re.compile(r" (?=\S)")
 #: Bytes of text that one call of the tokenizer gets.
 BATCH_BYTES = 1 << 20
-#: Pieces whose counts a worker remembers; the memory is emptied beyond that.
-REMEMBERED = 600_000
+#: Characters of pieces whose counts a worker remembers, each with PIECE more; the memory is emptied beyond that.
+#: Longer pieces than LONG characters are not remembered.
+REMEMBERED, PIECE, LONG = 72_000_000, 110, 256
 
 _state: dict[str, tuple] = {}
 
@@ -32,14 +33,15 @@ def split_safely(text: str) -> list[str]:
 
 
 def byte_batches(pieces: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """``pieces`` in runs of at most ``limit`` characters each; a longer piece is a run of its own."""
+    """``pieces`` in runs of at most ``limit`` bytes each; a longer piece is a run of its own."""
     run, size = [], 0
     for p in pieces:
-        if run and size + len(p) > limit:
+        n = len(p) if p.isascii() else len(p.encode())
+        if run and size + n > limit:
             yield run
             run, size = [], 0
         run.append(p)
-        size += len(p)
+        size += n
     if run:
         yield run
 
@@ -63,6 +65,7 @@ def _tokenizer(path: str):
 
 
 _counts: dict[str, dict[str, int]] = {}
+_size: dict[str, int] = {}
 
 
 def lengths(texts: list[str], path: str, piecewise: bool) -> list[int]:
@@ -78,12 +81,19 @@ def lengths(texts: list[str], path: str, piecewise: bool) -> list[int]:
             split.append([first, *[" " + p for p in rest]])
         else:
             split.append([])
-    if len(known) > REMEMBERED:
+    if _size.get(path, 0) > REMEMBERED:
         known.clear()
+        _size[path] = 0
     new = list({p for pieces in split for p in pieces if p not in known})
     for run in byte_batches(new):
         known.update(zip(run, encode(run), strict=True))
-    return [sum(map(known.__getitem__, pieces)) for pieces in split]
+    out = [sum(map(known.__getitem__, pieces)) for pieces in split]
+    for p in new:
+        if len(p) > LONG:
+            del known[p]
+        else:
+            _size[path] = _size.get(path, 0) + len(p) + PIECE
+    return out
 
 
 def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, piecewise: bool | None = None) -> DataFrame:

@@ -1,22 +1,25 @@
 """Toxicity: a support vector machine on a subsequence string kernel with Nyström landmarks.
 
 The kernel of two strings counts their common subsequences of three characters, each weighted by a decay for every
-position it spans, so an insult with gaps, inserted characters or another ending still resembles itself. Landmarks are
-word beginnings that cover the toxic training sentences; the kernel against them, whitened by the landmarks' own kernel
-matrix, is the feature vector of a word. A linear machine on it learns from words of clean sentences, all negative, and
-from those words of toxic sentences that carry a landmark (the witnesses), plain and with a character inserted. A
-text has its highest word, the next and the third; a logistic curve over them and the text's length, fitted on the
-training texts, maps them to 0..1, so one word that merely resembles an insult weighs less than several.
+position it spans, so an insult with gaps, inserted characters or another ending still resembles itself. A sentence is
+compared with a landmark by the best of its words (each a window that slides over longer ones, and spelled-out runs of
+single characters once more as a word). Landmarks are word beginnings that cover the toxic training texts; a sentence's
+similarities to them, whitened by the landmarks' own kernel matrix, are its features.
+
+The machine is trained on sentences. All sentences of clean texts are negative; a toxic text has at least one toxic
+sentence: those that the machine puts on the toxic side, or its highest one, are positive, which is decided anew after
+every fit. Positive sentences also come with a character inserted into each word. A logistic curve over a text's three highest sentences and their number,
+fitted on the training texts, maps them to 0..1, so one sentence that merely resembles an insult weighs less than several.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -26,32 +29,31 @@ from pyspark.sql import types as T
 
 from .shared import text_or_empty
 
-#: Training texts of each label at most; the bound on what the driver fits to.
-TRAIN_ROWS = 1500
-#: Distinct words of clean training texts that the machine sees at most.
-CLEAN_WORDS = 50_000
+#: Training texts of each label at most, and bytes of one: the bound on what the driver fits to.
+TRAIN_ROWS, TRAIN_BYTES = 1500, 1 << 15
 ORDER, DECAY = 3, 0.7
+#: Power of the kernel, which is a kernel too: chance likeness of the many words of a sentence weighs less.
+POWER = 2
 #: Characters of a word that are compared at a time; longer words are cut into windows that overlap by half.
 SPAN = 24
-MAX_LANDMARKS = 48
-#: A landmark is compared with a word only if the word holds this share of its letters.
-LETTERS = 0.7
-REMEMBERED = 120_000
+MAX_LANDMARKS, LANDMARK_LENGTHS = 48, range(4, 13)
+#: Bytes of words whose similarities a worker remembers.
+REMEMBERED_BYTES = 24 << 20
 #: Single characters with something between them: s p e l l e d or s.p.e.l.l.e.d words.
 SPELLED = re.compile(r"(?<!\w)\w(?:[\W_]{1,2}\w(?!\w)){2,}")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+SENTENCE_END = re.compile(r"[.!?]+\s+|\n+")
 
 
-def words(text: str) -> list[str]:
-    """The raw words of a text in lower case, and every spelled-out run once more as one word."""
+def sentences(text: str) -> list[list[str]]:
+    """The raw words of each sentence in lower case, and every spelled-out run as a sentence of one word."""
     text = text.lower()
-    out = text.split()
-    out += ["".join(c for c in m if c.isalnum()) for m in SPELLED.findall(text)]
-    return out
+    out = [ws for part in SENTENCE_END.split(text) if (ws := part.split())]
+    return out + [["".join(c for c in m if c.isalnum())] for m in SPELLED.findall(text)]
 
 
 def windows(word: str) -> list[str]:
-    """What the kernel sees of a raw word: trimmed, marked at its start, cut into spans."""
+    """What the kernel sees of a raw word: trimmed, marked at its start, cut into spans that cover it."""
     word = "^" + EDGES.sub("", word)
     if len(word) <= SPAN:
         return [word]
@@ -67,32 +69,35 @@ def _codes(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _masks(codes: np.ndarray) -> np.ndarray:
-    bits = np.where(codes > 0, np.left_shift(np.uint64(1), (codes % 64).astype(np.uint64)), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
-
-
-def kernel_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The gap-weighted kernel of order 3 for a[i] against b[i] (rows of code points, 0 as padding)."""
-    n, la, lb = len(a), a.shape[1], b.shape[1]
-    lam, sq = np.float32(DECAY), np.float32(DECAY * DECAY)
-    zero = np.zeros(n, np.float32)
-    one = [zero] * (lb + 1)  # subsequences of 1 and of 2 characters that end before place j
-    two = [zero] * (lb + 1)
-    total = np.zeros(n, np.float32)
-    for i in range(la):
-        x = a[:, i]
-        row1, row2 = zero, zero
-        new1, new2 = [zero] * (lb + 1), [zero] * (lb + 1)
-        for j in range(1, lb + 1):
-            hit = ((x == b[:, j - 1]) & (x > 0)).astype(np.float32) * sq
-            total += hit * two[j - 1]
-            row1 = lam * row1 + hit
-            row2 = lam * row2 + hit * one[j - 1]
-            new1[j] = lam * one[j] + row1
-            new2[j] = lam * two[j] + row2
-        one, two = new1, new2
-    return total
+def kernels(codes: np.ndarray, marks: list[str]) -> np.ndarray:
+    """The gap-weighted kernel of order 3 of every row of code points (0 as padding) against every mark.
+
+    One step takes a character of a mark and all characters of all rows. Marks that begin alike share their first steps.
+    """
+    n, width = codes.shape
+    out = np.zeros((n, len(marks)), np.float32)
+    lam = np.float32(DECAY)
+    away = np.arange(width) - np.arange(width)[:, None]
+    decay = np.where(away >= 0, lam ** np.maximum(away, 0), 0).astype(np.float32)
+
+    def walk(members: list[int], depth: int, one: np.ndarray, two: np.ndarray, total: np.ndarray) -> None:
+        # one, two: weights of subsequences of 1 and of 2 characters that end before each place
+        by_next: dict[str, list[int]] = {}
+        for m in members:
+            if len(marks[m]) == depth:
+                out[:, m] = total
+            else:
+                by_next.setdefault(marks[m][depth], []).append(m)
+        for char, rest in by_next.items():
+            hit = (codes == ord(char)) * (lam * lam)
+            next_one, next_two = lam * one, lam * two
+            next_one[:, 1:] += hit @ decay
+            next_two[:, 1:] += (hit * one[:, :-1]) @ decay
+            walk(rest, depth + 1, next_one, next_two, total + np.einsum("ij,ij->i", hit, two[:, :-1]))
+
+    zero = np.zeros((n, width + 1), np.float32)
+    walk(list(range(len(marks))), 0, zero, zero, np.zeros(n, np.float32))
+    return out
 
 
 @dataclass
@@ -102,66 +107,83 @@ class Model:
     landmarks: list[str]
     whiten: np.ndarray
     weights: np.ndarray
-    bias: float
+    bias: float = 0.0
     slope: np.ndarray = field(default_factory=lambda: np.zeros(4))
     offset: float = 0.0
-    known: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
-        self.codes = _codes(self.landmarks)
-        self.masks = _masks(self.codes)
-        self.need = np.ceil(np.bitwise_count(self.masks) * LETTERS)
-        self.own = kernel_pairs(self.codes, self.codes)
+        self.own = kernels(_codes(self.landmarks), self.landmarks).diagonal()
+        self.forget()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "known"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("place", "known")}
 
     def __setstate__(self, state):
-        self.__dict__ = state | {"known": {}}
+        self.__dict__ = state
+        self.forget()
+
+    def forget(self, but: set[str] = frozenset()) -> None:
+        """Drop the similarities of all words but those of ``but``."""
+        old = {w: p for w, p in self.place.items() if w in but} if but else {}
+        self.known = self.known[list(old.values())] if old else np.zeros((0, len(self.landmarks)), np.float32)
+        self.place: dict[str, int] = dict(zip(old, range(len(old)), strict=True))
+        self.size = self._bytes(old)
+
+    def _bytes(self, words) -> int:
+        return sum(map(len, words)) + (150 + 4 * len(self.landmarks)) * len(words)
 
     def similarity(self, texts: list[str]) -> np.ndarray:
-        """The kernel of each text against each landmark, as a share of the landmark's own, 1 at most."""
+        """The kernel of each text against each landmark, as a share of the landmark's own, 1 at most, to the power of POWER."""
         out = np.zeros((len(texts), len(self.landmarks)), np.float32)
-        for lo in range(0, len(texts), 20_000):
-            codes = _codes(texts[lo : lo + 20_000])
-            w, m = np.nonzero(np.bitwise_count(_masks(codes)[:, None] & self.masks[None, :]) >= self.need)
-            size = (codes > 0).sum(1)
-            order = np.argsort(size[w], kind="stable")
-            w, m = w[order], m[order]
-            for at in range(0, len(w), 20_000):
-                i, j = w[at : at + 20_000], m[at : at + 20_000]
-                out[lo + i, j] = np.minimum(1, kernel_pairs(codes[i, : size[i[-1]]], self.codes[j]) / self.own[j])
-        return out
-
-    def margins(self, texts: list[str]) -> np.ndarray:
-        return self.similarity(texts) @ (self.whiten @ self.weights) + self.bias
-
-    def features(self, raw: list[str]) -> tuple[float, float, float, float]:
-        """The three highest margins among raw words that are known, and the logarithm of their number."""
-        m = sorted(map(self.known.__getitem__, raw), reverse=True)[:3] if len(raw) < 64 else nlargest(3, map(self.known.__getitem__, raw))
-        return (*m, *[self.bias] * (3 - len(m)), math.log1p(len(raw)))
-
-    def learn(self, new) -> None:
-        cut = [(w, x) for w in new for x in windows(w)]
-        best: dict[str, float] = {}
-        for (w, _), f in zip(cut, self.margins([x for _, x in cut]).tolist() if cut else [], strict=True):
-            best[w] = max(best.get(w, self.bias), f)
-        self.known.update(best)
+        order = np.argsort([len(t) for t in texts], kind="stable")
+        for lo in range(0, len(texts), 1000):
+            rows = order[lo : lo + 1000]
+            out[rows] = np.minimum(1, kernels(_codes([texts[i] for i in rows]), self.landmarks) / self.own)
+        return out**POWER
+
+    def learn(self, new: list[str]) -> None:
+        """Remember the similarities of raw words: the highest of their windows."""
+        cut = [windows(w) for w in new]
+        starts = np.cumsum([0, *map(len, cut)])[:-1]
+        if new:
+            found = np.maximum.reduceat(self.similarity([x for c in cut for x in c]), starts)
+            self.place |= dict(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.known = np.concatenate([self.known, found])
+            self.size += self._bytes(new)
+
+    def features(self, parts: list[list[str]]) -> np.ndarray:
+        """A row for each sentence: its similarities to the landmarks."""
+        if not parts:
+            return np.zeros((0, len(self.landmarks)), np.float32)
+        raw = [w for ws in parts for w in ws]
+        rows = self.known[np.fromiter(map(self.place.__getitem__, raw), np.int64, len(raw))]
+        return np.maximum.reduceat(rows, np.cumsum([0, *map(len, parts)])[:-1])
+
+    def margins(self, features: np.ndarray) -> np.ndarray:
+        return features @ (self.whiten @ self.weights) + self.bias
+
+    def summary(self, parts: list[list[str]]) -> tuple[float, float, float, float]:
+        """The three highest margins of a text's sentences, that of an empty one where there are fewer, and the logarithm of their number."""
+        m = np.sort(np.r_[self.margins(self.features(parts)), [self.bias] * max(0, 3 - len(parts))])[-3:]
+        return (*m[::-1].tolist(), math.log1p(len(parts)))
 
     def score_texts(self, texts: list[str]) -> np.ndarray:
-        raw = [words(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        self.learn({w for ws in raw for w in ws if w not in known})
-        f = np.array([self.features(ws) for ws in raw]).reshape(-1, 4)
+        parts = [sentences(t) for t in texts]
+        needed = {w for p in parts for ws in p for w in ws}
+        if self.size > REMEMBERED_BYTES:
+            self.forget(needed)
+        self.learn(list(needed.difference(self.place)))
+        f = np.array([self.summary(p) for p in parts]).reshape(-1, 4)
         return 1 / (1 + np.exp(-np.clip(f @ self.slope + self.offset, -40, 40)))
 
 
 def choose_landmarks(texts: list[list[str]], toxic: np.ndarray, most: int = MAX_LANDMARKS) -> list[str]:
     """Word beginnings that together cover the toxic texts several times and hardly occur in clean ones.
 
-    A beginning counts once for every word it follows, so copies of one text do not make its words landmarks.
+    Of those that occur in toxic texts more often than chance allows, given how many are tried; if there are none, of all.
+
+    A beginning counts once for every word that it follows where it first occurs in a text, so copies of one text, which
+    have the same word there, do not make its words landmarks.
     """
     good: Counter = Counter()
     where: dict[str, list[int]] = {}
@@ -169,17 +191,21 @@ def choose_landmarks(texts: list[list[str]], toxic: np.ndarray, most: int = MAX_
     for i in np.flatnonzero(toxic):
         seen = set()
         for before, w in zip(["", *texts[i]], texts[i], strict=False):
-            for k in range(4, min(len(w), 8) + 1):
-                seen.add(s := w[:k])
-                after.setdefault(s, set()).add(before)
+            for k in LANDMARK_LENGTHS[: max(0, len(w) - 3)]:
+                if (s := w[:k]) not in seen:
+                    seen.add(s)
+                    after.setdefault(s, set()).add(before)
         for s in seen:
             where.setdefault(s, []).append(i)
     n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
     floor = max(3, 0.006 * n1)
     cand = {s for s in where if min(len(where[s]), len(after[s])) >= floor}
     for i in np.flatnonzero(~toxic):
-        good.update({s for w in set(texts[i]) for k in range(4, min(len(w), 8) + 1) if (s := w[:k]) in cand})
+        good.update({s for w in set(texts[i]) for k in LANDMARK_LENGTHS[: max(0, len(w) - 3)] if (s := w[:k]) in cand})
+    tests = max(2, len(cand))
     cand = {s for s in cand if len(where[s]) / n1 > 6 * (good[s] + 0.5) / n0}
+    if sure := {s for s in cand if _surprise(min(len(where[s]), len(after[s])), good[s], n1, n0) > math.log(tests)}:
+        cand = sure
     left = np.where(toxic, 1.0, 0.0)
     chosen: list[str] = []
     for _ in range(most):
@@ -192,6 +218,13 @@ def choose_landmarks(texts: list[list[str]], toxic: np.ndarray, most: int = MAX_
     return chosen
 
 
+def _surprise(k: int, g: int, n1: int, n0: int) -> float:
+    """A bound on -ln of the chance that k of k + g texts drawn at random are among the n1 toxic ones."""
+    share, expected = k / (k + g), n1 / (n1 + n0)
+    kl = share * math.log(share / expected) + (0 if share == 1 else (1 - share) * math.log((1 - share) / (1 - expected)))
+    return (k + g) * kl if share > expected else 0.0
+
+
 def _newton_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2, rounds: int = 25) -> np.ndarray:
     """Weights, bias last, of the squared-hinge machine."""
     x = np.c_[x, np.ones(len(x))]
@@ -208,73 +241,90 @@ def _newton_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1
     return w
 
 
-def _inserted(word: str, at: int) -> str:
-    return word[:at] + "*-.x_"[at % 5] + word[at:]
+def inserted(words: list[str]) -> list[str]:
+    """The words with a character inserted into each, at places that depend on the word."""
+    return [w[: at] + "*-.x_"[len(w) % 5] + w[at:] for w in words for at in [1 + zlib.crc32(w.encode("utf-8", "replace")) % max(1, len(w) - 1)]]
+
+
+def _fit_machine(model: Model, bags: list[np.ndarray], bent: list[np.ndarray], toxic: np.ndarray, rounds: int = 6) -> None:
+    """Set the machine: negatives are all sentences of clean texts, positives those of toxic texts that it puts on that side.
+
+    The highest sentence of a toxic text is positive in any case. ``bags`` are the sentences' features by text, ``bent``
+    the same with characters inserted. At first the sentences much like a landmark are positive.
+    """
+    negative = np.concatenate([b for b, t in zip(bags, toxic, strict=True) if not t]) @ model.whiten
+    texts = [i for i in np.flatnonzero(toxic) if len(bags[i])]
+    value = lambda f: f.max(1) - 0.8
+    for _ in range(rounds):
+        chosen = []
+        for i in texts:
+            v = value(bags[i])
+            chosen.append((v > 0) | (np.arange(len(v)) == v.argmax()))
+        plain = np.concatenate([bags[i][c] for i, c in zip(texts, chosen, strict=True)]) @ model.whiten
+        gapped = np.concatenate([bent[i][c] for i, c in zip(texts, chosen, strict=True)]) @ model.whiten
+        x = np.r_[negative, plain, gapped]
+        y = np.r_[-np.ones(len(negative)), np.ones(len(plain) + len(gapped))]
+        # Both labels weigh the same; so do near misses, the clean sentences closest to a landmark, and all the others.
+        near = np.concatenate([b.max(1) for b, t in zip(bags, toxic, strict=True) if not t and len(b)] or [np.zeros(0)]) > 0.25
+        cost = np.r_[20 / max(1, len(negative)) + near * (10 / max(1, near.sum())), np.full(len(plain), 10 / len(plain)), np.full(len(gapped), 5 / len(gapped))]
+        w = _newton_svm(x, y, cost)
+        same = np.allclose(w[:-1], model.weights, atol=1e-4)
+        model.weights, model.bias = w[:-1], float(w[-1])
+        value = model.margins
+        if same:
+            break
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model | None:
     """Train on labelled texts; None if one of the labels is missing or no landmark tells them apart."""
     y = np.array(toxic, bool)
-    raw = [words(t) for t in texts]
-    trimmed = [[w for w in (EDGES.sub("", r) for r in ws) if w] for ws in raw]
+    parts = [sentences(t) for t in texts]
+    trimmed = [[w for ws in p for w in (EDGES.sub("", r) for r in ws) if w] for p in parts]
     if not y.any() or y.all() or not (landmarks := choose_landmarks(trimmed, y)):
         return None
-    clean = sorted({w for ws, t in zip(trimmed, y, strict=True) if not t for w in ws}, key=lambda w: hash_order(w))
-    model = Model(landmarks, np.eye(len(landmarks)), np.zeros(len(landmarks)), 0.0)
-    gram = np.array([kernel_pairs(np.repeat(model.codes[i : i + 1], len(landmarks), 0), model.codes) / np.sqrt(model.own[i] * model.own) for i in range(len(landmarks))])
+    model = Model(landmarks, np.eye(len(landmarks)), np.zeros(len(landmarks)))
+    gram = (kernels(_codes(landmarks), landmarks) / np.sqrt(np.outer(model.own, model.own))) ** POWER
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
-    model.whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-
-    negative = model.similarity([x for w in clean[:CLEAN_WORDS] for x in windows(w)])
-    heads = tuple(landmarks)
-    witness = sorted({"^" + w for ws, t in zip(trimmed, y, strict=True) if t for w in ws if ("^" + w).startswith(heads)})
-    gapped = [_inserted(s, at) for s in landmarks for at in range(2, len(s))]
-    positive = model.similarity([w[:SPAN] for w in witness] + gapped)
-    x = np.r_[negative, positive] @ model.whiten
-    label = np.r_[-np.ones(len(negative)), np.ones(len(positive))]
-    # Both labels weigh the same; so do plain and gapped witnesses of a landmark.
-    cost = np.r_[np.full(len(negative), 20 / len(negative)), np.full(len(witness), 10 / max(1, len(witness))), np.full(len(gapped), 5 / len(gapped))]
-    # A clean word that resembles a landmark closely is worth as much as a witness.
-    cost[: len(negative)] += np.where(negative.max(1) > 0.5, 10 / max(1, (negative.max(1) > 0.5).sum()), 0)
-    w = _newton_svm(x, label, cost)
-    model.weights, model.bias = w[:-1], float(w[-1])
-
-    model.learn({w for ws in raw for w in ws})
-    f = np.array([model.features(ws) for ws in raw])
+    model.whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T
+
+    bent = [[inserted(ws) for ws in p] if t else [] for p, t in zip(parts, y, strict=True)]
+    model.learn(sorted({w for p in [*parts, *bent] for ws in p for w in ws}))
+    _fit_machine(model, [model.features(p) for p in parts], [model.features(p) for p in bent], y)
+    f = np.array([model.summary(p) for p in parts])
+    model.slope, model.offset = _curve(f, y)
+    model.forget()
+    return model
+
+
+def _curve(f: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and offset of the logistic curve, by Newton's steps with a little ridge; a higher margin never lowers a score."""
+    n = f.shape[1]
     mean, std = f.mean(0), f.std(0) + 1e-9
     z = np.c_[(f - mean) / std, np.ones(len(f))]
-    use = np.ones(5, bool)
+    use = np.ones(n + 1, bool)
     while True:
-        w, zu = np.zeros(5), z[:, use]
-        for _ in range(50):  # Newton's steps for the logistic curve, with a little ridge
+        w, zu = np.zeros(n + 1), z[:, use]
+        for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            w[use] += np.linalg.solve(zu.T @ (zu * (p * (1 - p))[:, None]) + 0.5 * np.eye(use.sum()), zu.T @ (y - p) - 0.5 * w[use] * (np.arange(5) < 4)[use])
-        falling = np.flatnonzero(w[:3] < 0)
+            w[use] += np.linalg.solve(zu.T @ (zu * (p * (1 - p))[:, None]) + 0.5 * np.eye(use.sum()), zu.T @ (y - p) - 0.5 * w[use] * (np.arange(n + 1) < n)[use])
+        falling = np.flatnonzero(w[: n - 1] < 0)
         if not len(falling):
-            break
-        use[falling] = False  # a more toxic word never lowers a score
-    model.slope, model.offset = w[:4] / std, float(w[4] - (w[:4] * mean / std).sum())
-    model.known.clear()
-    return model
-
-
-def hash_order(word: str) -> int:
-    import zlib
-
-    return zlib.crc32(word.encode("utf-8", "replace"))
+            return w[:n] / std, float(w[n] - (w[:n] * mean / std).sum())
+        use[falling] = False
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model | None:
     """Fit on at most ``rows`` labelled texts of each label, those whose ids hash lowest; held-out ids are left out.
 
-    Rows with a null label or id teach nothing. Of several labels of one id the highest counts.
+    So are texts of more than TRAIN_BYTES. Rows with a null label or id teach nothing. Of several labels of one id the
+    highest counts, of several texts of one id the first in order.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     known = known.filter(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # At most 2 x rows small rows: a fixed bound, so they may be broadcast.
     pick = known.filter("toxic > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).union(known.filter("toxic <= 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
-    got = texts.join(F.broadcast(pick), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(docs, text_col).alias("text")).filter(F.octet_length("text") <= TRAIN_BYTES)
+    got = texts.join(F.broadcast(pick), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
     return fit(got.column("text").to_pylist(), got.column("toxic").to_pylist())
 
 
@@ -286,8 +336,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """Per row of ``docs``: doc_id, held_out, score in 0..1 and predicted (1 if the score is at least 0.5).
 
     Null texts count as empty; an empty text scores as one that resembles no landmark. Without a model (no labelled rows
-    of both kinds) every score is 0. Repeated rows and null ids pass through (held_out is null for a null id); an
-    empty table gives no rows; other columns are not read.
+    of both kinds) every score is 0. Repeated rows and null ids pass through (held_out is null for a null id); very
+    long texts are scored whole; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
 

@@ -18,13 +18,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import join_small, partitions, scratch_path, text_or_empty, written
 
-#: Records of an archive at most.
-RECORDS_PER_FILE = 20_000
+#: Bytes of payload in an archive at most, unless it holds a single record; payloads are written by size classes, each
+#: STEPS times the one below, so that a number of records bounds the bytes.
+ARCHIVE_BYTES, SMALLEST, STEPS = 64 << 20, 16 << 10, 8
 #: Captures of a range, about; ranges are merged in memory.
 CAPTURES_PER_RANGE = 50_000
 #: Bytes that are unpacked at a time.
@@ -53,7 +54,7 @@ def _date(page_id: Column) -> Column:
 
 
 def records(df: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """(value): a WARC/1.1 record for each row, without the last line end."""
+    """(value, size): a WARC/1.1 record for each row, without the last line end, and the bytes of its payload."""
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20]", "%20").alias("url"), text_or_empty(df, payload_col).alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload")).withColumn("same", F.sha2("payload", 256))
     # Only payloads that occur under several ids are looked up again; digests are grouped before the shuffle.
@@ -74,29 +75,46 @@ def records(df: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col:
         F.when(revisit, F.concat(F.lit(f"{end}WARC-Profile: {REVISIT}{end}WARC-Refers-To: "), _name(F.col("first")))).otherwise(""),
         F.lit(f"{end}Content-Type: application/http; msgtype=response{end}Content-Length: "), length.cast("string"), F.lit(end + end),
     )
-    return rows.select(F.concat(head, block, F.lit(end)).alias("value"))
+    return rows.select(F.concat(head, block, F.lit(end)).alias("value"), "size")
 
 
 def write_archives(df: DataFrame, path: str, min_bytes: int = 0, **columns: str) -> None:
     """Write ``df`` as gzipped WARC files below ``path``.
 
     Null payloads and URLs count as empty. Payloads of fewer than ``min_bytes`` are never revisits. Rows with a null id
-    are responses. Repeated rows of the smallest id of a payload are all responses. An empty table writes no record.
+    are responses. Repeated rows of the smallest id of a payload are all responses. Very long payloads have archives of
+    their own. An empty table writes no record; other columns than the three named are not read.
     """
-    records(df, min_bytes, **columns).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows = records(df, min_bytes, **columns)
+    size_class = F.greatest(F.ceil(F.log(float(STEPS), F.greatest("size", F.lit(1)) / SMALLEST)), F.lit(0)).cast("int")
+    for no in sorted(r[0] for r in rows.select(size_class.alias("no")).distinct().collect()) or [0]:  # a dozen classes at most
+        most = max(1, ARCHIVE_BYTES // (SMALLEST * STEPS**no))
+        own = rows.filter(size_class == no).select("value")
+        own.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/size-{no}")
 
 
 def _stream(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header fields, block) of the records in a gzipped archive; offsets are those of the unpacked archive."""
+    """(offset, header fields, block) of the records in a gzipped archive; offsets are those of the unpacked archive.
+
+    The archive may be one gzip member, or a member for each record, or anything between.
+    """
     unpack = zlib.decompressobj(31)
-    buffer, at, fed = bytearray(), 0, 0
+    buffer, at, fed, rest = bytearray(), 0, 0, b""
 
     def more() -> bool:
-        nonlocal fed
-        if fed >= len(data):
+        nonlocal fed, rest, unpack
+        part = rest
+        if not part:
+            part = data[fed : fed + STEP]
+            fed += STEP
+        if not part:
+            if data and not unpack.eof:
+                raise ValueError(f"the archive ends within a gzip member at {at}")
             return False
-        buffer.extend(unpack.decompress(data[fed : fed + STEP]))
-        fed += STEP
+        if unpack.eof:
+            unpack = zlib.decompressobj(31)
+        buffer.extend(unpack.decompress(part))
+        rest = unpack.unused_data
         return True
 
     while True:
@@ -155,7 +173,7 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
                 for lo in range(0, len(rows), 5000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i in (2, 3, 6, 8) else pa.string()) for i, c in enumerate(zip(*rows[lo : lo + 5000], strict=True))], names=names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(run, CAPTURE)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, CAPTURE)
 
 
 def _rank(row: tuple) -> tuple:
@@ -228,10 +246,15 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 def archive_and_index(df: DataFrame, min_bytes: int = 0, **columns: str) -> DataFrame:
     """Write ``df`` as WARC archives in the shared folder, read them back and merge their captures into one order.
 
-    A row for each row of ``df``: the columns of CAPTURE, range_no and range_pos. refers_to is the id of a revisit's
-    response, null for responses.
+    A row for each row of ``df``: the columns of CAPTURE, range_no, range_pos and capture_no, the place in the whole
+    order from 1 on. refers_to is the id of a revisit's response, null for responses.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "warc")
     write_archives(df, path, min_bytes, **columns)
-    return merge_runs(written(captures(spark, path), "runs"))
+    merged = written(merge_runs(written(captures(spark, path), "runs")), "captures")
+    # A row for each range.
+    sizes = merged.groupBy("range_no").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = written(sizes.select("range_no", before.alias("before")), "ranges")
+    return join_small(merged, starts, ["range_no"], "inner").withColumn("capture_no", F.col("before") + F.col("range_pos") + 1).drop("before")
