@@ -102,7 +102,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     col.append(x)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "n_chars", "sha256")], *(pa.array(c, pa.int64()) for c in out)], names=["doc_id", "n_chars", "sha256", "fp1", "fp2", "n_bytes"])
 
-    is_short = F.length("bare") <= chunk
+    is_short = F.col("n_chars") <= chunk
     short = rows.filter(is_short).mapInArrow(whole, f"doc_id {kind}, n_chars long, sha256 string, fp1 long, fp2 long, n_bytes long")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
