@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,7 @@ def sentences(text: str) -> list[list[str]]:
 
 def windows(word: str) -> list[str]:
     """What the kernel sees of a raw word: trimmed, marked at its start, cut into spans that cover it."""
-    word = "^" + EDGES.sub("", word)
+    word = "^" + (word if word[:1].isalnum() and word[-1:].isalnum() else EDGES.sub("", word))
     if len(word) <= SPAN:
         return [word]
     return [word[i : i + SPAN] for i in range(0, len(word) - SPAN // 2, SPAN // 2)]
@@ -74,29 +75,41 @@ def kernels(codes: np.ndarray, marks: list[str]) -> np.ndarray:
 
     One step takes a character of a mark and all characters of all rows. Marks that begin alike share their first steps.
     """
-    n, width = codes.shape
+    codes = np.ascontiguousarray(codes.T)  # a row for each place, so that neighbours in an array are different texts
+    width, n = codes.shape
     out = np.zeros((n, len(marks)), np.float32)
     lam = np.float32(DECAY)
-    away = np.arange(width) - np.arange(width)[:, None]
-    decay = np.where(away >= 0, lam ** np.maximum(away, 0), 0).astype(np.float32)
+    back = np.arange(width)[:, None] - np.arange(width)
+    decay = np.where(back >= 0, lam ** np.maximum(back, 0), 0).astype(np.float32)
+    found: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # where a character stands, and what that adds to `one`
 
-    def walk(members: list[int], depth: int, one: np.ndarray, two: np.ndarray, total: np.ndarray) -> None:
-        # one, two: weights of subsequences of 1 and of 2 characters that end before each place
+    def walk(members: list[int], depth: int, one: np.ndarray | None, two: np.ndarray | None, total: np.ndarray | None) -> None:
+        # one, two: weights of subsequences of 1 and of 2 characters that end before each place; None: there are none yet
         by_next: dict[str, list[int]] = {}
         for m in members:
-            if len(marks[m]) == depth:
-                out[:, m] = total
-            else:
+            if len(marks[m]) > depth:
                 by_next.setdefault(marks[m][depth], []).append(m)
+            elif total is not None:
+                out[:, m] = total
         for char, rest in by_next.items():
-            hit = (codes == ord(char)) * (lam * lam)
-            next_one, next_two = lam * one, lam * two
-            next_one[:, 1:] += hit @ decay
-            next_two[:, 1:] += (hit * one[:, :-1]) @ decay
-            walk(rest, depth + 1, next_one, next_two, total + np.einsum("ij,ij->i", hit, two[:, :-1]))
-
-    zero = np.zeros((n, width + 1), np.float32)
-    walk(list(range(len(marks))), 0, zero, zero, np.zeros(n, np.float32))
+            ahead = max(len(marks[m]) for m in rest) - depth - 1  # what the last characters add to `one` and `two` is never used
+            if char not in found:
+                hit = (codes == ord(char)) * (lam * lam)
+                found[char] = hit, decay @ hit
+            hit, adds = found[char]
+            next_total = total if two is None else (hit * two[:-1]).sum(0)
+            if two is not None and total is not None:
+                next_total += total
+            next_one = next_two = None
+            if ahead > 1:
+                next_one = np.zeros((width + 1, n), np.float32) if one is None else lam * one
+                next_one[1:] += adds
+            if ahead > 0 and one is not None:
+                next_two = np.zeros((width + 1, n), np.float32) if two is None else lam * two
+                next_two[1:] += decay @ (hit * one[:-1])
+            walk(rest, depth + 1, next_one, next_two, next_total)
+
+    walk(list(range(len(marks))), 0, None, None, None)
     return out
 
 
@@ -153,28 +166,39 @@ class Model:
 
     def features(self, parts: list[list[str]]) -> np.ndarray:
         """A row for each sentence: its similarities to the landmarks."""
-        if not parts:
-            return np.zeros((0, len(self.landmarks)), np.float32)
-        raw = [w for ws in parts for w in ws]
-        rows = self.known[np.fromiter(map(self.place.__getitem__, raw), np.int64, len(raw))]
-        return np.maximum.reduceat(rows, np.cumsum([0, *map(len, parts)])[:-1])
+        out = np.zeros((len(parts), len(self.landmarks)), np.float32)
+        lo = 0
+        while lo < len(parts):  # in runs of sentences, so that not all words' similarities are there at once
+            hi, n = lo, 0
+            while hi < len(parts) and n < 50_000:
+                n += len(parts[hi])
+                hi += 1
+            raw = chain.from_iterable(parts[lo:hi])
+            rows = self.known[np.fromiter(map(self.place.__getitem__, raw), np.int64, n)]
+            out[lo:hi] = np.maximum.reduceat(rows, np.cumsum([0, *map(len, parts[lo:hi])])[:-1])
+            lo = hi
+        return out
 
     def margins(self, features: np.ndarray) -> np.ndarray:
         return features @ (self.whiten @ self.weights) + self.bias
 
-    def summary(self, parts: list[list[str]]) -> tuple[float, float, float, float]:
-        """The three highest margins of a text's sentences, that of an empty one where there are fewer, and the logarithm of their number."""
-        m = np.sort(np.r_[self.margins(self.features(parts)), [self.bias] * max(0, 3 - len(parts))])[-3:]
-        return (*m[::-1].tolist(), math.log1p(len(parts)))
+    def summaries(self, texts: list[list[list[str]]]) -> np.ndarray:
+        """A row for each text: the three highest margins of its sentences, that of an empty one where there are fewer, and the logarithm of their number."""
+        m = self.margins(self.features([ws for p in texts for ws in p]))
+        out, at = np.full((len(texts), 4), self.bias), 0
+        for row, p in zip(out, texts, strict=True):
+            own = np.sort(m[at : at + len(p)])[::-1][:3]
+            row[: len(own)], row[3] = own, math.log1p(len(p))
+            at += len(p)
+        return out
 
     def score_texts(self, texts: list[str]) -> np.ndarray:
         parts = [sentences(t) for t in texts]
-        needed = {w for p in parts for ws in p for w in ws}
+        needed = set(chain.from_iterable(chain.from_iterable(parts)))
         if self.size > REMEMBERED_BYTES:
             self.forget(needed)
         self.learn(list(needed.difference(self.place)))
-        f = np.array([self.summary(p) for p in parts]).reshape(-1, 4)
-        return 1 / (1 + np.exp(-np.clip(f @ self.slope + self.offset, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.summaries(parts) @ self.slope + self.offset, -40, 40)))
 
 
 def choose_landmarks(texts: list[list[str]], toxic: np.ndarray, most: int = MAX_LANDMARKS) -> list[str]:
@@ -290,8 +314,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
     bent = [[inserted(ws) for ws in p] if t else [] for p, t in zip(parts, y, strict=True)]
     model.learn(sorted({w for p in [*parts, *bent] for ws in p for w in ws}))
     _fit_machine(model, [model.features(p) for p in parts], [model.features(p) for p in bent], y)
-    f = np.array([model.summary(p) for p in parts])
-    model.slope, model.offset = _curve(f, y)
+    model.slope, model.offset = _curve(model.summaries(parts), y)
     model.forget()
     return model
 
