@@ -53,9 +53,13 @@ def sentences(text: str) -> list[list[str]]:
     return out + [["".join(c for c in m if c.isalnum())] for m in SPELLED.findall(text)]
 
 
+def trim(word: str) -> str:
+    return word if word[:1].isalnum() and word[-1:].isalnum() else EDGES.sub("", word)
+
+
 def windows(word: str) -> list[str]:
     """What the kernel sees of a raw word: trimmed, marked at its start, cut into spans that cover it."""
-    word = "^" + (word if word[:1].isalnum() and word[-1:].isalnum() else EDGES.sub("", word))
+    word = "^" + trim(word)
     if len(word) <= SPAN:
         return [word]
     return [word[i : i + SPAN] for i in range(0, len(word) - SPAN // 2, SPAN // 2)]
@@ -156,13 +160,13 @@ class Model:
 
     def learn(self, new: list[str]) -> None:
         """Remember the similarities of raw words: the highest of their windows."""
-        cut = [windows(w) for w in new]
-        starts = np.cumsum([0, *map(len, cut)])[:-1]
-        if new:
-            found = np.maximum.reduceat(self.similarity([x for c in cut for x in c]), starts)
-            self.place |= dict(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.known = np.concatenate([self.known, found])
-            self.size += self._bytes(new)
+        found = [self.known]
+        for lo in range(0, len(new), 10_000):
+            cut = [windows(w) for w in new[lo : lo + 10_000]]
+            found.append(np.maximum.reduceat(self.similarity([x for c in cut for x in c]), np.cumsum([0, *map(len, cut)])[:-1]))
+        self.place |= dict(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.known = np.concatenate(found)
+        self.size += self._bytes(new)
 
     def features(self, parts: list[list[str]]) -> np.ndarray:
         """A row for each sentence: its similarities to the landmarks."""
@@ -182,14 +186,18 @@ class Model:
     def margins(self, features: np.ndarray) -> np.ndarray:
         return features @ (self.whiten @ self.weights) + self.bias
 
-    def summaries(self, texts: list[list[list[str]]]) -> np.ndarray:
-        """A row for each text: the three highest margins of its sentences, that of an empty one where there are fewer, and the logarithm of their number."""
-        m = self.margins(self.features([ws for p in texts for ws in p]))
-        out, at = np.full((len(texts), 4), self.bias), 0
-        for row, p in zip(out, texts, strict=True):
-            own = np.sort(m[at : at + len(p)])[::-1][:3]
-            row[: len(own)], row[3] = own, math.log1p(len(p))
-            at += len(p)
+    def summary_of(self, features: np.ndarray, sizes: tuple[int, ...] | None = None) -> np.ndarray:
+        """A row for each text, given the features of all sentences and how many each text has (one text with all of them).
+
+        The three highest margins of a text's sentences, that of an empty one where there are fewer, and the logarithm of their number.
+        """
+        m, at = self.margins(features), 0
+        sizes = (len(m),) if sizes is None else sizes
+        out = np.full((len(sizes), 4), self.bias)
+        for row, n in zip(out, sizes, strict=True):
+            own = np.sort(m[at : at + n])[::-1][:3]
+            row[: len(own)], row[3] = own, math.log1p(n)
+            at += n
         return out
 
     def score_texts(self, texts: list[str]) -> np.ndarray:
@@ -198,7 +206,8 @@ class Model:
         if self.size > REMEMBERED_BYTES:
             self.forget(needed)
         self.learn(list(needed.difference(self.place)))
-        return 1 / (1 + np.exp(-np.clip(self.summaries(parts) @ self.slope + self.offset, -40, 40)))
+        f = self.summary_of(self.features([ws for p in parts for ws in p]), tuple(map(len, parts)))
+        return 1 / (1 + np.exp(-np.clip(f @ self.slope + self.offset, -40, 40)))
 
 
 def choose_landmarks(texts: list[list[str]], toxic: np.ndarray, most: int = MAX_LANDMARKS) -> list[str]:
@@ -209,6 +218,16 @@ def choose_landmarks(texts: list[list[str]], toxic: np.ndarray, most: int = MAX_
     A beginning counts once for every word that it follows where it first occurs in a text, so copies of one text, which
     have the same word there, do not make its words landmarks.
     """
+    n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
+    floor = max(3, 0.006 * n1)
+    frequent: set[str] = set()
+    alive: set[str] | None = None
+    for k in LANDMARK_LENGTHS:  # a beginning is frequent only if its own beginning is
+        count: Counter = Counter()
+        for i in np.flatnonzero(toxic):
+            count.update({w[:k] for w in set(texts[i]) if len(w) >= k and (alive is None or w[: k - 1] in alive)})
+        alive = {s for s, n in count.items() if n >= floor}
+        frequent |= alive
     good: Counter = Counter()
     where: dict[str, list[int]] = {}
     after: dict[str, set[str]] = {}
@@ -216,13 +235,13 @@ def choose_landmarks(texts: list[list[str]], toxic: np.ndarray, most: int = MAX_
         seen = set()
         for before, w in zip(["", *texts[i]], texts[i], strict=False):
             for k in LANDMARK_LENGTHS[: max(0, len(w) - 3)]:
-                if (s := w[:k]) not in seen:
+                if (s := w[:k]) not in frequent:
+                    break
+                if s not in seen:
                     seen.add(s)
                     after.setdefault(s, set()).add(before)
         for s in seen:
             where.setdefault(s, []).append(i)
-    n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
-    floor = max(3, 0.006 * n1)
     cand = {s for s in where if min(len(where[s]), len(after[s])) >= floor}
     for i in np.flatnonzero(~toxic):
         good.update({s for w in set(texts[i]) for k in LANDMARK_LENGTHS[: max(0, len(w) - 3)] if (s := w[:k]) in cand})
@@ -302,19 +321,28 @@ def _fit_machine(model: Model, bags: list[np.ndarray], bent: list[np.ndarray], t
 def fit(texts: list[str], toxic: list[int]) -> Model | None:
     """Train on labelled texts; None if one of the labels is missing or no landmark tells them apart."""
     y = np.array(toxic, bool)
-    parts = [sentences(t) for t in texts]
-    trimmed = [[w for ws in p for w in (EDGES.sub("", r) for r in ws) if w] for p in parts]
-    if not y.any() or y.all() or not (landmarks := choose_landmarks(trimmed, y)):
+    pool: dict[str, str] = {}  # words repeat: one string for each
+    one = lambda ws: [pool.setdefault(w, w) for w in ws]
+    parts = [[one(ws) for ws in sentences(t)] for t in texts]
+    if not y.any() or y.all() or not (landmarks := choose_landmarks([one([w for ws in p for r in ws if (w := trim(r))]) for p in parts], y)):
         return None
     model = Model(landmarks, np.eye(len(landmarks)), np.zeros(len(landmarks)))
     gram = (kernels(_codes(landmarks), landmarks) / np.sqrt(np.outer(model.own, model.own))) ** POWER
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     model.whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T
 
-    bent = [[inserted(ws) for ws in p] if t else [] for p, t in zip(parts, y, strict=True)]
-    model.learn(sorted({w for p in [*parts, *bent] for ws in p for w in ws}))
-    _fit_machine(model, [model.features(p) for p in parts], [model.features(p) for p in bent], y)
-    model.slope, model.offset = _curve(model.summaries(parts), y)
+    model.learn(sorted({w for p in parts for ws in p for w in ws}))
+    bags = [model.features(p) for p in parts]
+    bent = []
+    for p, t in zip(parts, y, strict=True):
+        gapped = [inserted(ws) for ws in p] if t else []
+        if model.size > REMEMBERED_BYTES:
+            model.forget()
+        model.learn(list({w for ws in gapped for w in ws}.difference(model.place)))
+        bent.append(model.features(gapped))
+    del pool
+    _fit_machine(model, bags, bent, y)
+    model.slope, model.offset = _curve(np.concatenate([model.summary_of(b) for b in bags]), y)
     model.forget()
     return model
 
