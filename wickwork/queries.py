@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import plain_sql
 from .operators import OPERATORS, evaluate
 from .operators.label import add_target_column_mod, add_target_column_mod_sma_stochrsi_volume_surge, gates, label_grid
 from .operators.resampled import rsi_htf
@@ -79,7 +80,7 @@ def bars_quarter_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completeness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.completeness_gate(daily_bars(spark, sf_dir), 86_400, 0.9).groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"))
+    return B.completeness_gate(daily_bars(spark, sf_dir), 86_400, 0.876).groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"))
 
 
 def label_first_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,10 +202,22 @@ def adaptive_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(OPERATORS["adaptive_rsi"](daily_bars(spark, sf_dir)), ["adaptive_rsi"])
 
 
+def stochastic_rsi_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(OPERATORS["calc_stochastic_rsi"](daily_bars(spark, sf_dir), 10, 12, 5, 4), ["stoch_rsi_k", "stoch_rsi_d", "stoch_cross_bull"])
+
+
+def wave_phase_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(OPERATORS["add_wave_phase_position"](daily_bars(spark, sf_dir), 120, 21), ["wave_phase", "phase_divergence"])
+
+
+def super_trend_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(OPERATORS["super_trend"](daily_bars(spark, sf_dir), 7, 1.5), ["super_trend_7_1.5"])
+
+
 _PLAIN = (
     bars_daily, bars_hourly_by_type, bars_quarter_hour, completeness_gate, label_first_touch, label_first_touch_gated, label_grid_summary, rsi_htf_hour, sessions_and_distance,
     threshold_sweep, best_threshold, balanced_threshold, roc_auc, final_metrics, class_balance, top_correlated_pairs, linear_shap_importance, main_features_labelled,
-    pca_of_windows, mutual_information, granger, api_pages, apply_indicators, adaptive_rsi,
+    pca_of_windows, mutual_information, granger, api_pages, apply_indicators, adaptive_rsi, stochastic_rsi_smoothed, wave_phase_short, super_trend_fast,
 )
 
 
@@ -307,7 +320,7 @@ def oracle_sql() -> dict[str, str]:
         "bars_hourly_by_type": HOURLY,
         "bars_quarter_hour": QUARTERS,
         "api_pages": DAILY,
-        "completeness_gate": f"""SELECT symbol, count(*) AS bars FROM ({DAILY}) GROUP BY symbol HAVING count(*) >= 0.9 * (floor(epoch(max("Data") - min("Data")) / 86400) + 1)""",
+        "completeness_gate": f"""SELECT symbol, count(*) AS bars FROM ({DAILY}) GROUP BY symbol HAVING count(*) >= 0.876 * (floor(epoch(max("Data") - min("Data")) / 86400) + 1)""",
         "label_first_touch": f"""WITH bars AS ({DAILY}), {_label_sql("bars", "0.04::DOUBLE", "0.02::DOUBLE")} SELECT * FROM labels""",
         "label_first_touch_gated": _gated_sql(),
         "label_grid_summary": _grid_sql(),
@@ -324,6 +337,13 @@ def oracle_sql() -> dict[str, str]:
 s AS (SELECT {parts} FROM full_rows, means), t AS ({" UNION ALL ".join(f"SELECT '{c}' AS f, s_{c} AS x FROM s" for c in three)})
 SELECT f AS "Feature", round(x, 5) AS shap, round(100 * x / max(x) OVER (), 5) AS percent, round(100 * sum(x) OVER (ORDER BY x DESC, f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(x) OVER (), 5) AS cumulative, row_number() OVER (ORDER BY x DESC, f)::INT AS rank FROM t""",
         "main_features_labelled": _main_sql(),
+        "adaptive_rsi": plain_sql.adaptive_rsi(DAILY, 14, 14),
+        "stochastic_rsi_smoothed": plain_sql.stochastic_rsi(DAILY, 10, 12, 5, 4),
+        "wave_phase_short": plain_sql.wave_phase(DAILY, 120, 21),
+        "super_trend": plain_sql.super_trend(DAILY, 10, 3.0),
+        "add_wave_phase_position": plain_sql.wave_phase(DAILY, 700, 21),
+        "adaptive_zscore": plain_sql.adaptive_zscore(DAILY, 700, 100),
+        "super_trend_fast": plain_sql.super_trend(DAILY, 7, 1.5),
     }
     pos = "count(*) FILTER (WHERE a.\"Close\" < b.\"Close\") + (count(*) FILTER (WHERE a.\"Close\" = b.\"Close\") + 1) / 2.0"
     out["quantile_position"] = f"""WITH bars AS ({DAILY}) SELECT b.symbol, b.seq, CASE WHEN count(*) = 700 THEN round(2 * (({pos}) / 700 - 0.5), 6) + 0.0 END AS quantile_position
@@ -334,6 +354,6 @@ f AS (SELECT symbol, seq, "High" AS h FROM (SELECT *, greatest(lag("High", 1) OV
 breaks AS (SELECT DISTINCT symbol, hit FROM (SELECT f.symbol, f.seq, min(b.seq) AS hit FROM f JOIN bars AS b ON b.symbol = f.symbol AND b.seq > f.seq AND b."Close" > f.h GROUP BY ALL))
 SELECT b.symbol, b.seq, CASE WHEN EXISTS (SELECT 1 FROM breaks AS k WHERE k.symbol = b.symbol AND k.hit <= b.seq AND k.hit > b.seq - 14) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS structure_break_long FROM bars AS b"""
     for name, (kind, feature) in FEATURES.items():
-        if sql := duckdb_sql(feature, _SOURCES[kind][1], _plain_sql(feature.outputs)):
+        if name not in out and (sql := duckdb_sql(feature, _SOURCES[kind][1], _plain_sql(feature.outputs))):
             out[name] = sql
     return out
