@@ -354,7 +354,7 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch):
     key = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest())
     want = [min((rows[i] for i in range(len(rows)) if label[i] == c), key=key) for c in set(label)]
     docs = spark.createDataFrame([(i, t, "en", "src1", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    for most in (8, 0):  # pairs at once, or hub by hub as long as that gains links
+    for most in (8, 0):  # pairs of a bucket at once, or all by their rarest shingles
         monkeypatch.setattr(near_copies, "PAIRS_PER_ROW", most)
         got = [(r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, "").collect()]
         assert sorted(map(str, got)) == sorted(map(str, want))
@@ -362,6 +362,30 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch):
     assert cp.drop_near_copies(spark, docs.limit(0), "").count() == 0
 
 
+def test_pairs_by_rare_shingles(spark):
+    """All pairs of 0.8 and more, and few of the pairs that share a frequent passage but are no near copies."""
+    from wickwork.llm.near_copies import rare_shingle_pairs, shingles
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    texts = [passage + [word() for _ in range(rng.randint(15, 40))] for _ in range(60)]
+    for base in texts[:20]:
+        own = list(base)
+        own[rng.randrange(len(own))] = word()
+        texts.append(own)
+    texts += [passage, passage[:-1], [], ["one"], passage[:49], passage[:48]]
+    rows = [(str(i).encode(), len(shingles(" ".join(t))), str(i).encode(), " ".join(t)) for i, t in enumerate(texts)]
+    sets = [shingles(r[3]) for r in rows]
+    jaccard = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i)]
+    want = {frozenset(p) for p in pairs if jaccard(*p) >= 0.8}
+    found = rare_shingle_pairs(spark.createDataFrame(rows, "key binary, n int, label binary, text string"), 0.8, 5).collect()
+    got = {frozenset((int(bytes(a)), int(bytes(b)))) for a, b in found}
+    assert want <= got and len(want) > 10
+    assert len(got) < len([p for p in pairs if jaccard(*p) >= 0.4]) / 4
+
+
 def test_llm_queries_run(spark):
     from wickwork.llm.queries import queries
 

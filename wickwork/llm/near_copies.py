@@ -1,12 +1,16 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash links of three bits, which ``simhash`` finds, miss most pairs of that similarity: they differ in seven bits or
-more. Here candidates are texts that share a band of a MinHash signature, and every link is verified on the shingles
-themselves. A pair of similarity s shares none of the bands with probability (1 - s**ROWS)**BANDS, 0.0002 at 0.8.
-
-A bucket is a band's value and the texts that have it. Its texts are first compared with one of them, its hub, since
-most of a large group of near copies are linked by that. Only texts of a bucket that no links join yet are then compared
-pair by pair; if those are too many, with further hubs first. No bucket is cut.
+Candidates come from the Golay keys of ``simhash``, over shingles of that width. Links of three bits miss most pairs of
+that similarity, which differ in seven bits or more, so texts that share a band of a MinHash signature are candidates
+too, and every link is verified on the shingles themselves. A pair of similarity s shares none of the bands with
+probability (1 - s**ROWS)**BANDS, 0.0002 at 0.8.
+
+A bucket is a SimHash component or a band's value, with the texts that have it. Its texts are first compared with one of
+them, its hub, since most of a large group of near copies are linked by that; further hubs follow as long as each halves
+what is left. Then texts of a small bucket that no links join yet are compared pair by pair. Those of large buckets,
+which share frequent passages without being near copies, are joined by their rarest shingles: two texts of similarity t
+share one of the first n - ceil(t * n) + 1 in any order, so with the frequent ones last they seldom meet, and no pair is
+lost. No bucket is cut.
 """
 
 from __future__ import annotations
@@ -16,18 +20,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import min_label_components
 from .shared import text_or_empty, written
+from .simhash import near_duplicates
 
 BANDS, ROWS = 28, 6
 _RNG = np.random.default_rng(28)
 _FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
-#: Pairs a bucket's row may cost before another hub is tried.
+#: Pairs a bucket's row may cost; in buckets where it would cost more, texts are joined by their rarest shingles.
 PAIRS_PER_ROW = 8
+#: Keeps a bound that is a whole number from being rounded up.
+_SLACK = 1e-9
 
 
 def shingles(text: str, width: int = 5) -> set[bytes]:
@@ -92,40 +99,105 @@ def _verified(pairs: DataFrame, signatures: DataFrame, least: float, width: int)
     return written(both.select("a", "b", "ta", "tb").mapInArrow(run, "src binary, dst binary"), "links")
 
 
+def _alike(least: float) -> Column:
+    """No pair of other sizes can be similar enough."""
+    return F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - _SLACK
+
+
+def _bucket_pairs(labelled: DataFrame, least: float) -> DataFrame:
+    """Pairs of texts of different labels in a bucket."""
+    x, y = labelled.alias("x"), labelled.alias("y")
+    found = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & _alike(least))
+    return found.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+
+
+def _hub_pairs(labelled: DataFrame, least: float, seed: float) -> DataFrame:
+    """Pairs of a bucket's hub, which ``seed`` picks, and its texts of other labels."""
+    hub = F.min(F.struct(F.xxhash64("key", F.lit(seed)).alias("h"), "key", "n", "label")).alias("y")
+    x, y = labelled.alias("x"), labelled.groupBy("bucket").agg(hub).select("bucket", "y.*").alias("y")
+    found = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & _alike(least))
+    return found.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+
+
+def _tokens(texts: DataFrame, width: int) -> DataFrame:
+    """(key, n, label, token): a row for each different shingle of ``texts`` (key, n, label, text), as its XXH64."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                tokens = np.array([xxhash.xxh64_intdigest(g, 42) for g in shingles(one.column("text")[0].as_py(), width)], np.uint64).view(np.int64)
+                for lo in range(0, len(tokens), 65536):
+                    part = pa.array(tokens[lo : lo + 65536])
+                    same = pa.array(np.zeros(len(part), np.int32))
+                    yield pa.RecordBatch.from_arrays([*(one.column(c).take(same) for c in ("key", "n", "label")), part], names=["key", "n", "label", "token"])
+
+    return texts.select("key", "n", "label", "text").mapInArrow(run, "key binary, n int, label binary, token long")
+
+
+def rare_shingle_pairs(texts: DataFrame, least: float, width: int) -> DataFrame:
+    """Pairs (a, b) of ``texts`` (key, n, label, text) of different labels: all of that similarity, and few others.
+
+    Shingles are ordered by how many texts have them. A pair is found by its first common shingle, whose place in either
+    text leaves room for as many common ones as the similarity takes; later ones need not be looked at.
+    """
+    tokens = written(_tokens(texts, width), "tokens")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("texts"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    order = Window.partitionBy("key").orderBy("texts", "token")
+    placed = tokens.join(counts, "token").withColumn("place", F.row_number().over(order) - 1)
+    # Shingles that one label has alone join nothing, but they take their places.
+    prefix = placed.filter((F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - _SLACK)) & (F.col("lo") < F.col("hi")))
+    prefix = written(prefix.select("token", "key", "n", "label", "place"), "prefixes")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    smaller = F.struct("x.n", "x.key") < F.struct("y.n", "y.key")
+    size = F.col("x.n") >= least * F.col("y.n") - _SLACK
+    common = F.ceil(least / (1 + least) * (F.col("x.n") + F.col("y.n")) - _SLACK)
+    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= common
+    found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & smaller & size & room)
+    return found.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+
+
+def _buckets(df: DataFrame, signatures: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(bucket, key, n): the buckets that several different texts have."""
+    banded = signatures.select(F.explode("bands").alias("bucket"), "key", "n")
+    texts = df.select(text_or_empty(df, text_col).alias("text")).select(F.sha2("text", 256).alias("key"), "text")
+    golay = near_duplicates(texts, "key", "text", width).select(F.unhex("doc_id").alias("key"), F.xxhash64(F.lit("simhash"), "component_id").alias("bucket")).distinct()
+    golay = golay.join(signatures.select("key", "n").distinct(), "key").select("bucket", "key", "n")
+    members = banded.union(golay)
+    several = members.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("bucket")
+    return written(members.join(several, "bucket").distinct(), "buckets")
+
+
 def near_copies(df: DataFrame, text_col: str = "text", least: float = 0.8, width: int = 5) -> DataFrame:
     """(text_sha256, component): every text that is linked to another, and the smallest digest reachable over links.
 
     Texts are told apart by the SHA-256 digest of what they are, null counting as empty. Texts without words are alike.
     """
     signatures = written(_signatures(df, text_col, width), "signatures")
-    members = signatures.select(F.explode("bands").alias("bucket"), "key", "n")
-    several = members.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("bucket")
-    buckets = written(members.join(several, "bucket").distinct(), "buckets")
-    alike = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")  # no pair of other sizes can be similar enough
-    links, labelled, turn, gained = None, buckets.withColumn("label", F.col("key")), 0, 0
+    labelled = _buckets(df, signatures, text_col, width).withColumn("label", F.col("key"))
+    links, before = None, float("inf")
     while True:
         by_label = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        live = by_label.filter("s * s > q")
-        pairs, rows = live.agg(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
-        if not pairs:
+        live = by_label.filter("s * s > q").select("bucket", (F.expr("s * s - q") > 2 * PAIRS_PER_ROW * F.col("s")).alias("large"), ((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2).alias("pairs"))
+        left = live.agg(F.sum("pairs")).first()[0]
+        if not left:
             break
-        labelled = written(labelled.join(live.select("bucket"), "bucket"), "live")
-        last = turn > 0 and (pairs <= PAIRS_PER_ROW * rows or not gained)
+        labelled = written(labelled.join(live.select("bucket", "large"), "bucket"), "live")
+        last = left > before / 2
+        before = left
         if last:
-            x, y = labelled.alias("x"), labelled.alias("y")
-            found = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & alike)
+            found = _bucket_pairs(labelled.filter("not large"), least)
+            large = labelled.filter("large").select("key", "n", "label").distinct()
+            texts = signatures.select("key", "text").dropDuplicates(["key"]).join(large, "key")
+            found = found.union(rare_shingle_pairs(texts, least, width)).distinct()
         else:
-            hub = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "label")).alias("y")
-            x, y = labelled.alias("x"), labelled.groupBy("bucket").agg(hub).select("bucket", "y.*").alias("y")
-            found = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & alike)
-        more = _verified(found.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), signatures, least, width)
-        gained, turn = more.count(), turn + 1
+            found = _hub_pairs(labelled, least, before)
+        more = _verified(found, signatures, least, width)
         links = more if links is None else links.union(more)
         if last:
             break
-        if gained:
-            labels = min_label_components(links)
-            labelled = labelled.drop("label").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")).select("bucket", "key", "n", "label")
+        labels = min_label_components(links)
+        labelled = labelled.drop("label", "large").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")).select("bucket", "key", "n", "label")
     if links is None:
         return df.sparkSession.createDataFrame([], "text_sha256 string, component string")
     labels = written(min_label_components(links), "labels")
