@@ -53,6 +53,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a five-word Jaccard similarity of 0.8, the row with the smallest id, null last.
 
+    Candidates are links of SimHash fingerprints, found by their Golay keys, and of MinHash bands; every link is verified.
+
     Null and empty texts, and texts without words, are one group; of repeated rows one stays; an empty table stays empty.
     """
     bound_batches(spark)
