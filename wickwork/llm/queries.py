@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, order_minhash, pseudo_likelihood, simhash, substring_dedup, token_counts, toxicity, warc
+from . import bpe, divergence, embedding_dedup, exact_dedup, merkle, mixing, order_minhash, pseudo_likelihood, simhash, substring_dedup, token_counts, toxicity, warc
 from .shared import bound_batches
 
 
@@ -83,12 +83,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle.manifest(docs, tampered={"text": merkle.lowered(F.col("text"))}, when=third)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_warc, op3_mix_sources, op4_substring_dedup, op4_passage_dedup, op5_simhash_near_dedup, op6_order_minhash, op7_exact_dedup, op8_byte_bpe, op9_pseudo_likelihood, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_warc, op3_mix_sources, op4_substring_dedup, op4_passage_dedup, op5_simhash_near_dedup, op6_order_minhash, op7_exact_dedup, op8_byte_bpe, op9_pseudo_likelihood, op10_toxicity, op11_merkle_manifest, op12_source_divergence, op13_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": WARC, "op3_mix_sources": MIX_SOURCES, "op4_substring_dedup": SUBSTRING_DEDUP, "op7_exact_dedup": EXACT_DEDUP}
+    return {"op2_warc": WARC, "op3_mix_sources": MIX_SOURCES, "op4_substring_dedup": SUBSTRING_DEDUP, "op7_exact_dedup": EXACT_DEDUP, "op11_merkle_manifest": _merkle_sql(), "op12_source_divergence": SOURCE_DIVERGENCE}
 
 
 EXACT_DEDUP = r"""
@@ -192,3 +206,60 @@ cut AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY
   - sum(n_tokens) OVER (PARTITION BY domain, lang, source, h) AS before FROM hashed)
 SELECT doc_id, lang0 AS lang, source0 AS source, n_tokens, (whole + CASE WHEN rest > 0 AND before < rest THEN 1 ELSE 0 END)::INT AS copies FROM cut
 """
+
+
+def _climb_sql(name: str, src: str, by: str, levels: int) -> str:
+    """CTEs that hash runs of eight, level by level: {name}0 is ``src`` (by, i, h), {name}k has the nodes k levels up; a lone node stays as it is."""
+    out = [f"{name}0 AS MATERIALIZED (SELECT {by} AS t, i, h, count(*) OVER (PARTITION BY {by}) AS n FROM {src})"]
+    for k in range(1, levels + 1):
+        out.append(f"{name}{k} AS MATERIALIZED (SELECT t, i // 8 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, (any_value(n) + 7) // 8 AS n FROM {name}{k - 1} GROUP BY t, i // 8)")
+    return ",\n".join(out)
+
+
+def _siblings_sql(name: str, k: int, place: str, tree: str) -> str:
+    """What stands before and after a node in its run, in the order of the run."""
+    same = f"FROM {name}{k} AS s WHERE s.t IS NOT DISTINCT FROM {tree} AND s.i // 8 = ({place}) // 8"
+    return f"(SELECT coalesce(string_agg(s.h, '' ORDER BY s.i), '') {same} AND s.i < ({place})) AS a, (SELECT coalesce(string_agg(s.h, '' ORDER BY s.i), '') {same} AND s.i > ({place})) AS z"
+
+
+def _merkle_sql(levels: int = 7, top: int = 3) -> str:
+    """For at most 8^7 documents of a language and 8^3 languages."""
+    hashed = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    bit = "list_reduce([{x}, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda s, c: {bit.format(x='xor(s, c)')}), 4294967295)"
+    steps, last = [], "d"
+    for name, count, place, tree in (("l", levels, "i", "lang"), ("r", top, "j", "''")):
+        for k in range(count):
+            where = f"p.{place} // {8**k}"
+            lone = f"(SELECT any_value(n) FROM {name}{k} AS s WHERE s.t IS NOT DISTINCT FROM {'p.lang' if tree == 'lang' else tree}) = 1"
+            sides = _siblings_sql(name, k, where, "p.lang" if tree == "lang" else tree)
+            steps.append(f"p_{name}{k} AS MATERIALIZED (SELECT * EXCLUDE (a, z, lone), proof || a || z AS proof, CASE WHEN lone THEN now ELSE sha256(a || now || z) END AS now FROM (SELECT p.* EXCLUDE (proof, now), proof, now, {lone} AS lone, {sides} FROM {last} AS p))".replace("* EXCLUDE (a, z, lone), proof ||", "* EXCLUDE (a, z, lone, proof, now), proof ||"))
+            last = f"p_{name}{k}"
+    return f"""WITH leaves AS MATERIALIZED (SELECT doc_id, lang, {hashed("text")} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {hashed("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+{_climb_sql("l", "(SELECT lang, i, leaf AS h FROM placed)", "lang", levels)},
+subs AS MATERIALIZED (SELECT t AS lang, h AS subroot, row_number() OVER (ORDER BY encode(t) NULLS FIRST) - 1 AS j FROM l{levels}),
+{_climb_sql("r", "(SELECT '' AS t, j AS i, subroot AS h FROM subs)", "t", top)},
+d AS MATERIALIZED (SELECT p.*, subroot, j, '' AS proof, coalesce(changed, leaf) AS now FROM placed AS p JOIN subs AS s ON s.lang IS NOT DISTINCT FROM p.lang),
+{", ".join(steps)}
+SELECT doc_id, leaf, subroot, root.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = root.h AS verified FROM {last}, r{top} AS root"""
+
+
+SOURCE_DIVERGENCE = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS no,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+words AS (SELECT lang, source, no, unnest(terms) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT no) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*)::HUGEINT AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+grid AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0)::HUGEINT AS c FROM groups AS g JOIN kept AS k USING (lang) LEFT JOIN counts AS c USING (lang, source, term)),
+p AS MATERIALIZED (SELECT lang, source, term, c, 1 + 1000000000::HUGEINT * (c + 2) // (sum(c) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM grid JOIN v USING (lang)),
+q AS MATERIALIZED (SELECT lang, term, 1 + 1000000000::HUGEINT * (c + 2) // (sum(c) OVER (PARTITION BY lang) + 2 * v) AS q FROM (SELECT lang, term, sum(c)::HUGEINT AS c FROM counts GROUP BY ALL) JOIN v USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p AS a JOIN p AS b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups AS a JOIN groups AS b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN sums AS s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+best AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM (
+  SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM (SELECT *, 'pair' AS part FROM pairs UNION ALL SELECT *, 'term' FROM best))
+WHERE part = 'pair' OR rank <= 10
+"""
