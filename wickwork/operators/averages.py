@@ -10,20 +10,20 @@ E8 = 1e-8
 
 
 def _crossed(f: Feature, name: str, a: str, b: str, w: int = 5) -> Feature:
-    """1 if a > b has changed within the last w rows; 0 on the first w - 1."""
+    """1 if a > b has changed within the last w rows, unknown counting as false; 0 on the first w - 1."""
     p = f"_{name}"
-    f.let(**{f"{p}_s": flag(f"{a} > {b}")}).let(**{f"{p}_l": lag(f"{p}_s")}).let(**{f"{p}_c": flag(f"{p}_s <> {p}_l OR {p}_l IS NULL")})
+    f.let(**{f"{p}_s": flag(f"{a} > {b}")}).let(**{f"{p}_l": lag(f"{p}_s")}).let(**{f"{p}_c": flag(f"{p}_s <> coalesce({p}_l, 0)")})
     return f.out(**{name: f"coalesce({high(f'{p}_c', w)}, 0)"})
 
 
 @operator
 def different_MA(price_col: str = "Close", eps: float = E8) -> Feature:
     f = Feature().let(_e50=seeded(price_col, 50), _e200=seeded(price_col, 200)).let(_s100=mean(price_col, 100), _s200=mean(price_col, 200))
-    f.let(_ed=div(f"_e200 - {price_col}", f"({price_col} + {num(eps)})"), _above=flag("_e50 > _e200"), _m=div("_e50 - _e200", f"({price_col} + {num(eps)})"), _n=div("_s100 - _s200", f"({price_col} + {num(eps)})"))
-    f.let(_was=lag("_above"), _d50=diff("_e50"), _d200=diff("_e200"))
+    f.let(_ed=div(f"_e200 - {price_col}", f"({price_col} + {num(eps)})"), _above=flag("_e50 > _e200"), _l50=lag("_e50"), _l200=lag("_e200"))
+    f.let(_d50=diff("_e50"), _d200=diff("_e200"))
     f.out(
-        ema200_diff=clip("_ed", -1, 1), ema50_ema200_diff="_m", sma100_sma200_diff="_n", ema50_above_ema200="_above",
-        ema50_cross_up=flag("_above = 1 AND _was = 0"), ema50_cross_down=flag("_above = 0 AND _was = 1"),
+        ema200_diff=clip("_ed", -1, 1), ema50_ema200_diff="_e50 - _e200", sma100_sma200_diff="_s100 - _s200", ema50_above_ema200="_above",
+        ema50_cross_up=flag("_e50 > _e200 AND _l50 <= _l200"), ema50_cross_down=flag("_e50 < _e200 AND _l50 >= _l200"),
         ema50_slope=f"atan(_d50) / {PI}", ema200_slope=f"atan(_d200) / {PI}",
     )
     return f.out(ema50_slope_vs_ema200="ema50_slope - ema200_slope")
@@ -53,10 +53,10 @@ def different_EMA(price_col: str = "Close", eps: float = E8) -> Feature:
 def different_EMA_binary(price_col: str = "Close") -> Feature:
     f = _raw_flags(Feature(), price_col, (9, 20, 50, 100, 200))
     spans = (20, 50, 100, 200)
-    f.let(**{f"_d{n}": diff(f"_r{n}", 5) for n in spans}, _gap="_r20 - _r50").let(**{f"_a{n}": f"atan(_d{n}) / {PI}" for n in spans}, _gap1=lag("_gap"))
-    f.let(**{f"_b{n}": lag(f"_a{n}", 5) for n in spans}, _u20=diff("_r20"), _u50=diff("_r50"))
+    f.let(**{f"_d{n}": diff(f"_r{n}", 5) for n in spans}, _gap="_r20 - _r50").let(**{f"_a{n}": f"atan(_d{n}) / {PI}" for n in spans}, _wider=diff("_gap", 5))
+    f.let(**{f"_b{n}": lag(f"_a{n}", 5) for n in spans})
     f.out(**{f"ema{n}_slope_increased": flag(f"_a{n} > _b{n}") for n in spans})
-    return f.out(ema20_and_50_rising_diverging=flag("_u20 > 0 AND _u50 > 0 AND abs(_gap) > abs(_gap1)"))
+    return f.out(ema20_and_50_rising_diverging=flag("_d20 > 0 AND _d50 > 0 AND _wider > 0"))
 
 
 @operator

@@ -75,10 +75,11 @@ def fibo_dinamic(period: int = 300, eps: float = E8) -> Feature:
 
 
 @operator
-def fibo_3_lines_dinamic(length: int = 200, mult: float = 3.0, lines_to_use: tuple[float, float, float] = (0.236, 0.5, 1.0), eps: float = E10) -> Feature:
+def fibo_3_lines_dinamic(length: int = 200, src: str = "hlc3", mult: float = 3.0, lines_to_use: tuple[float, float, float] = (0.236, 0.5, 1.0), eps: float = E10) -> Feature:
     """Where the price stands against three lines around a basis; the basis divides by the sum of prices."""
     up, _, dn = lines_to_use
-    f = Feature().let(_p=HLC3).let(_a=total("_p * Volume", length), _b=total("_p", length), _s=std("_p", length)).let(_m=div("_a", f"(_b + {num(eps)})"), _d=f"{num(mult)} * _s").let(_u=f"_m + {num(up)} * _d", _l=f"_m - {num(dn)} * _d")
+    source = {"hlc3": HLC3, "close": "Close", "open": "Open", "high": "High", "low": "Low"}[src]
+    f = Feature().let(_p=source).let(_a=total("_p * Volume", length), _b=total("_p", length), _s=std("_p", length)).let(_m=div("_a", f"(_b + {num(eps)})"), _d=f"{num(mult)} * _s").let(_u=f"_m + {num(up)} * _d", _l=f"_m - {num(dn)} * _d")
     f.let(_hi=f"CASE WHEN Close >= _u THEN CAST(-1 AS DOUBLE) WHEN Close > _m AND _u > _m THEN {div('Close - _m', f'(_u - _m + {num(eps)})')} ELSE CAST(0 AS DOUBLE) END")
     f.let(_lo=f"CASE WHEN Close <= _l THEN CAST(-1 AS DOUBLE) WHEN Close < _m AND _m > _l THEN {div('_l - Close', f'(_l - _m + {num(eps)})')} ELSE CAST(0 AS DOUBLE) END")
     return f.out(fibo_upper=clip("_hi", -1, 1), fibo_basis=div("Close - _m", f"(_d + {num(eps)})"), fibo_lower=clip("_lo", -1, 1))

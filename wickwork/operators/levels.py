@@ -16,13 +16,13 @@ E8 = 1e-8
 
 @operator
 def add_breakout_flags(resistance_window: int = 20, lookback: int = 5) -> Feature:
-    f = Feature().let(_r=high("High", resistance_window, 1, -1)).out(breakout_now=flag("Close > _r"))
+    f = Feature().let(_r=high("High", resistance_window, 1, -1)).out(breakout_now=flag("High > _r"))
     return f.out(breakout_in_5=f"max(breakout_now) {over(-lookback, 0)}")
 
 
 @operator
 def add_breakdown_flags(support_window: int = 20, lookback: int = 5) -> Feature:
-    f = Feature().let(_s=low("Low", support_window, 1, -1)).out(breakdown_now=flag("Close < _s"))
+    f = Feature().let(_s=low("Low", support_window, 1, -1)).out(breakdown_now=flag("Low < _s"))
     return f.out(breakdown_in_5=f"max(breakdown_now) {over(-lookback, 0)}")
 
 

@@ -174,7 +174,7 @@ def compute_combined_indicators(stc_fast: int = 23, stc_slow: int = 50, stc_cycl
     """Trend cycle, Fisher transform and Keltner width, cut at their 1 % and 99 % quantiles and standardised."""
     f = true_range(Feature(causal=False)).let(_hl=HL2, _hlc=HLC3)
     f.let(_ef=ema("Close", stc_fast), _es=ema("Close", stc_slow), _etr=ema("_tr", keltner_atr_period), _eh=ema("_hlc", keltner_atr_period))
-    f.let(_macd="_ef - _es", _lo=low("Low", fisher_length, 1), _hi=high("High", fisher_length, 1)).let(_sig=ema("_macd", stc_cycle))
+    f.let(_macd="_ef - _es", _lo=low("_hl", fisher_length, 1), _hi=high("_hl", fisher_length, 1)).let(_sig=ema("_macd", stc_cycle))
     f.let(_s0=f"CASE WHEN abs(_sig) < {num(E10)} THEN CAST(0 AS DOUBLE) ELSE (_macd - _sig) / nullif(_sig, 0) END", _x0=f"CASE WHEN abs(_hi - _lo) < {num(E10)} THEN CAST(0 AS DOUBLE) ELSE 2 * ((_hl - _lo) / nullif(_hi - _lo, 0)) - 1 END")
     f.let(_s1=clip("_s0", -1, 1), _x1=clip("_x0", -0.999, 0.999)).let(_x2="ln((1 + _x1) / (1 - _x1)) / 2")
     f.let(_STC=ema("_s1", stc_cycle), _Fisher=ema("_x2", fisher_length)).let(_KeltnerWidth=f"2 * {num(keltner_multiplier)} * {div('_etr', '_eh')}")
@@ -253,7 +253,7 @@ def safe_fisher_transform(column: str = "Close", epsilon: float = 1e-7) -> Featu
 
 @operator
 def add_fisher_transform(period: int = 10, eps: float = E8, name: str = "fisher") -> Feature:
-    f = Feature().let(_hl=HL2, _lo=low("Low", period, None, -1), _hi=high("High", period, None, -1))
+    f = Feature().let(_hl=HL2).let(_lo=low("_hl", period, None, -1), _hi=high("_hl", period, None, -1))
     f.let(_x=div("_hl - _lo", f"(_hi - _lo + {num(eps)})")).let(_q=div("1 + _x", f"(1 - _x + {num(eps)})")).let(_y="CASE WHEN _q > 0 THEN ln(_q) / 2 END")
     return f.out(**{name: clip("_y", -1, 1)})
 
@@ -261,4 +261,4 @@ def add_fisher_transform(period: int = 10, eps: float = E8, name: str = "fisher"
 @operator
 def add_price_acceleration(window: int = 5) -> Feature:
     f = Feature(causal=False).let(_d=diff("Close"), _p=pct("Close")).let(_dd=diff("_d"), _s=whole("stddev_samp", "_p")).let(_m=mean("_dd", window))
-    return f.out(Acceleration="CASE WHEN _s = 0 OR _s IS NULL THEN CAST(0 AS DOUBLE) ELSE tanh(_m / nullif(_s, 0)) END")
+    return f.out(Acceleration="CASE WHEN _s > 0 THEN tanh(_m / nullif(_s, 0)) ELSE _m * 0 END")

@@ -10,11 +10,12 @@ from .averages import different_EMA, different_MA
 from .base import OPERATORS, Feature, ema, operator, rsi, rsi_plain
 from .ichimoku import add_normalized_ichimoku, add_normalized_ichimoku_htf, add_normalized_ichimoku_on_rsi, fib_dist_050_last50, fibo_dinamic
 from .label import add_target_column_mod
-from .levels import add_all_features, add_breakout_flags
-from .momentum import calc_stochastic_rsi, compute_combined_indicators, compute_trix_elder
+from .levels import add_all_features, add_breakdown_flags, add_breakout_flags
+from .momentum import add_price_acceleration, calc_stochastic_rsi, compute_combined_indicators, compute_trix_elder
+from .sessions import quarter_theory
 from .stats import rolling_statistics, rolling_wasserstein
-from .volatility import add_atr_normalized, super_trend
-from .volume import VWAP, add_liquidity_imbalance, add_normalized_volume_profile, add_volume_filter, volume_base_indicators
+from .volatility import Keltner_func, add_atr_normalized, super_trend
+from .volume import VWAP, add_liquidity_imbalance, add_normalized_volume_profile, add_volume_features, add_volume_filter, calculate_LISS, volume_base_indicators
 
 E8 = 1e-8
 # The columns that models keep.
@@ -66,7 +67,7 @@ def rsi_set(length: int = 20) -> Feature:
     f = Feature()
     for n in (7, 21, 100):
         rsi(f, f"_rsi{n}", n)
-    return f.out(**{f"RSI{n}": f"_rsi{n} / 100" for n in (7, 21, 100)}).out(RSI21_diff=diff("RSI21", length // 2))
+    return f.out(**{f"RSI{n}": f"_rsi{n}" for n in (7, 21, 100)}).out(RSI21_diff=diff("RSI21", length // 2))
 
 
 @operator
@@ -80,10 +81,10 @@ def volume_indicators(length: int = 20) -> Feature:
 
 
 @operator
-def rsi_manual_features(period: int = 14) -> Feature:
+def rsi_manual_features(period: int = 14, length: int = 20) -> Feature:
     f = rsi_plain(Feature(causal=False), "_r", period, E8).out(RSI_14_manual="_r").let(_m="avg(_r) OVER (PARTITION BY symbol)", _s="stddev_pop(_r) OVER (PARTITION BY symbol)")
-    f.out(RSI_14_zscore=f"coalesce({div('_r - _m', '_s')}, 0)", RSI_14_ma=mean("_r", 20)).out(RSI_dist_from_mean="_r - RSI_14_ma")
-    f.let(_mf=f"({div('(Close - Low) - (High - Close)', f'(High - Low + {num(E8)})')} * Volume)").let(_a=total("_mf", 20), _b=total("Volume", 20)).out(cmf_manual=div("_a", f"(_b + {num(E8)})"))
+    f.out(RSI_14_zscore=f"coalesce((_r - _m) / (_s + {num(E8)}), 0)", RSI_14_ma=mean("_r", 20)).out(RSI_dist_from_mean="_r - RSI_14_ma")
+    f.let(_mf=f"({div('(Close - Low) - (High - Close)', f'(High - Low + {num(E8)})')} * Volume)").let(_a=total("_mf", length), _b=total("Volume", length)).out(cmf_manual=div("_a", f"(_b + {num(E8)})"))
     # Changes below 1e-12 are rounding.
     f.let(_dc=diff("Close"), _df=f"round({diff('cmf_manual')}, 12)", _dr=diff("_r"))
     return f.out(cmf_price_div="CASE WHEN _df > 0 AND _dc < 0 THEN 1 ELSE 0 END", rsi_price_div="CASE WHEN _dr > 0 AND _dc < 0 THEN 1 ELSE 0 END")
@@ -102,17 +103,19 @@ def apply_add_indicators(length: int = 20) -> Feature:
 
 @operator
 def apply_indicators(length: int = 20) -> Feature:
-    """The full set, in its intended form: one copy of each column.
+    """The full set, every step with its parameters: one copy of each column, and the ATR of 14 rows, which the liquidity score takes.
 
     Spark takes names that differ in case only for one, so beside ``Fisher`` the other transform is ``fisher_transform``.
     """
     f = Feature()
     for part in (
-        lag_features.feature(), volume_acceleration.feature(), linear_regression.feature(length), add_breakout_flags.feature(20, 10), rsi_set.feature(length), volume_indicators.feature(length),
-        calc_stochastic_rsi.feature(), add_normalized_volume_profile.feature(), add_volume_filter.feature(), add_atr_normalized.feature((7, 14, 24, 72)),
+        lag_features.feature(), add_price_acceleration.feature(), linear_regression.feature(length), add_volume_features.feature(20), volume_acceleration.feature(), add_breakout_flags.feature(50, length // 2),
+        rsi_set.feature(length), volume_indicators.feature(length), calc_stochastic_rsi.feature(14, 14, 3, 5), add_normalized_volume_profile.feature(100, 3, 5, 10), add_volume_filter.feature(use_ema=True),
+        add_atr_normalized.feature((7, 24, 72)), add_atr_normalized.feature((14,), add_velocity=False, add_acceleration=False),
         add_normalized_ichimoku.feature(), add_normalized_ichimoku_htf.feature(), *[add_normalized_ichimoku_on_rsi.feature(n, prefix=f"rsi{n}_ichimoku") for n in (9, 14, 50)],
-        compute_trix_elder.feature(), compute_combined_indicators.feature(), different_MA.feature(), different_EMA.feature(), VWAP.feature(), add_liquidity_imbalance.feature(), add_all_features.feature("fisher_transform"),
-        rolling_wasserstein.feature(100, 50), rolling_wasserstein.feature(20, 10), rolling_statistics.feature(), rsi_manual_features.feature(),
+        compute_trix_elder.feature(), compute_combined_indicators.feature(), different_MA.feature(), different_EMA.feature(), VWAP.feature(), add_liquidity_imbalance.feature(), calculate_LISS.feature(100),
+        add_all_features.feature("fisher_transform"), quarter_theory.feature(), add_breakdown_flags.feature(50, length // 2),
+        rolling_wasserstein.feature(100, 50), rolling_wasserstein.feature(20, 10), rolling_statistics.feature(), Keltner_func.feature(), rsi_manual_features.feature(14, length),
         *[super_trend.feature(p, m) for p, m in ((50, 1.3), (50, 5.0), (7, 1.5), (7, 5.0))], fibo_dinamic.feature(300),
     ):
         f.then(part)

@@ -30,7 +30,7 @@ def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
     n, s = len(x), np.std(x)
     if n <= m or s == 0:
         return 0.0
-    t = np.lib.stride_tricks.sliding_window_view(x, m)[: n - m]
+    t = np.lib.stride_tricks.sliding_window_view(x, m)
     near = np.abs(t[:, None] - t[None, :]).max(2) <= r * s
     count = (near.sum() - len(t)) // 2
     return float(-np.log(count / (n - m))) if count else 0.0
@@ -186,11 +186,11 @@ def quantile_position(lookback: int = 700, price_col: str = "Close") -> Feature:
 
 @operator
 def add_close_window_columns(window: int = 60, price_col: str = "Close") -> Feature:
-    """The rows before, scaled to -1..1 over themselves; rows of the warm-up stay, with nulls."""
+    """The rows before, scaled to -1..1 over themselves (-1 where they are all equal); rows of the warm-up stay, with nulls."""
     from ..functions.sql import high, lag, low
 
     f = Feature().let(_lo=low(price_col, window, None, -1), _hi=high(price_col, window, None, -1), **{f"_x{k}": lag(price_col, window - k) for k in range(window)})
-    return f.out(**{f"close_win_{k}": f"CASE WHEN _hi > _lo THEN 2 * (_x{k} - _lo) / nullif(_hi - _lo, 0) - 1 WHEN _hi = _lo THEN CAST(0 AS DOUBLE) END" for k in range(window)})
+    return f.out(**{f"close_win_{k}": f"2 * ((_x{k} - _lo) / (_hi - _lo + {num(1e-8)})) - 1" for k in range(window)})
 
 
 def _pca(x: np.ndarray, window: int, components: int) -> np.ndarray:

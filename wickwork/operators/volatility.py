@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.sql import HL2, HLC3, clip, diff, div, ffill, flag, high, lag, low, mean, minmax, num, over, pct, std, total
+from ..functions.sql import HL2, HLC3, TR, clip, diff, div, ffill, flag, high, lag, low, mean, minmax, num, over, pct, std, total
 from .base import Feature, K, Rec, ema, ewm, operator, rsi_plain, seeded, true_range, wilder
 
 E8 = 1e-8
@@ -26,17 +26,24 @@ def add_atr_normalized(windows: tuple[int, ...] = (14, 24, 48), ema: bool = True
 
 
 @operator
-def add_atr_normalized_rsi_weight(windows: tuple[int, ...] = (14, 24, 48), normalize: bool = True, rsi_period: int = 14, slope_window: int = 5, eps: float = E8) -> Feature:
-    """ATR in percent of the price, weighted by RSI over its slope, with velocity and acceleration."""
+def add_atr_normalized_rsi_weight(windows: tuple[int, ...] = (14, 24, 48), ema: bool = True, normalize: bool = True, add_velocity: bool = True, add_acceleration: bool = True, rsi_period: int = 14, slope_window: int = 5, eps: float = E8) -> Feature:
+    """ATR, in percent of the price and weighted by RSI over its slope if ``normalize``, with velocity and acceleration.
+
+    The RSI is 100 where nothing fell, and null where nothing moved.
+    """
     f = true_range(Feature())
-    rsi_plain(f, "_r", rsi_period, 0.0, least=1)
+    rsi_plain(f, "_r0", rsi_period, 0.0, least=1)
+    f.let(_r="CASE WHEN _r0_ml = 0 AND _r0_mg > 0 THEN CAST(100 AS DOUBLE) ELSE _r0 END")
     f.let(_rs=diff("_r", slope_window)).let(_w=div("_r", f"(_rs / {slope_window} + {num(eps)})"))
-    f.let(**{f"_a{w}": ewm("_tr", w) for w in windows})
+    f.let(**{f"_a{w}": ewm("_tr", w) if ema else mean("_tr", w, 1) for w in windows})
     name = lambda w: f"atr_{w}_norm" if normalize else f"atr_{w}"
     f.out(**{name(w): f"100 * {div(f'_a{w}', 'Close')}" if normalize else f"_a{w}" for w in windows})
-    f.out(**{f"{name(w)}_rsi_weight": f"{name(w)} * _w" for w in windows})
+    if normalize:
+        f.out(**{f"{name(w)}_rsi_weight": f"{name(w)} * _w" for w in windows})
+    if not add_velocity:
+        return f
     f.out(**{f"{name(w)}_velocity": div(diff(name(w)), lag(name(w))) for w in windows})
-    return f.out(**{f"{name(w)}_acceleration": diff(f"{name(w)}_velocity") for w in windows})
+    return f.out(**{f"{name(w)}_acceleration": diff(f"{name(w)}_velocity") for w in windows}) if add_acceleration else f
 
 
 @operator
@@ -145,5 +152,5 @@ def add_atr_ratio(short_period: int = 14, long_period: int = 12, eps: float = E8
 
 @operator
 def atr_position(lookback: int = 700, atr_window: int = 14, price_col: str = "Close", eps: float = E8) -> Feature:
-    f = true_range(Feature()).let(_m=mean(price_col, lookback), _a=mean("_tr", atr_window)).let(_y=div(f"{price_col} - _m", f"(2 * _a + {num(eps)})"))
+    f = Feature().let(_pc=lag(price_col)).let(_tr=TR).let(_m=mean(price_col, lookback), _a=mean("_tr", atr_window)).let(_y=div(f"{price_col} - _m", f"(2 * _a + {num(eps)})"))
     return f.out(atr_position=clip("_y", -1, 1))

@@ -10,9 +10,9 @@ from .volatility import _dynamics, add_atr_normalized
 E8, E10 = 1e-8, 1e-10
 
 
-def _z(f: Feature, name: str, x: str, w: int, eps: float = E8) -> Feature:
+def _z(f: Feature, name: str, x: str, w: int) -> Feature:
     f.let(**{f"{name}_m": mean(x, w), f"{name}_s": std(x, w)})
-    return f.let(**{name: div(f"{x} - {name}_m", f"({name}_s + {num(eps)})")})
+    return f.let(**{name: div(f"{x} - {name}_m", f"{name}_s")})
 
 
 @operator
@@ -21,7 +21,7 @@ def add_normalized_volume_profile(window: int = 20, lag: int = 0, change_window:
 
     f = Feature().let(_pv=f"{HLC3} * Volume").let(_a=total("_pv", window), _b=total("Volume", window)).let(_p=div("_a", "_b")).let(_sm=mean("_p", sma_window), _ch=pct("_p", change_window))
     for name, x in (("VP_Norm", "_p"), ("VP_SMA_Norm", "_sm"), ("VP_Change_Norm", "_ch")):
-        _z(f, f"_{name}", x, 10).out(**{name: f"_{name}"})
+        _z(f, f"_{name}", x, sma_window).out(**{name: f"_{name}"})
     return f.out(VP_Norm_Lag=sql.lag("VP_Norm", lag)) if lag > 0 else f
 
 
@@ -78,10 +78,11 @@ def VWAP_binary() -> Feature:
 
 @operator
 def add_vwap_features_with_norm(ema_span: int = 9, vwap_ema_span: int = 360, zscore_window: int = 100, rsi_period: int = 14) -> Feature:
-    f = _vwap(Feature().let(_e=ema("Close", ema_span)), "_e").let(_v6=ema("_w", vwap_ema_span)).out(vwap_ema6h_norm=div("_w - _v6", f"(_v6 + {num(E8)})"))
-    f.let(_m=mean("vwap_ema6h_norm", zscore_window), _s=std("vwap_ema6h_norm", zscore_window), _dist="_e - _w", _cs=std("Close", zscore_window))
-    f.out(vwap_ema6h_zscore=f"(vwap_ema6h_norm - _m) / CASE WHEN _s = 0 THEN {num(E8)} ELSE _s END", vwap_price_distance_direct=f"_dist / CASE WHEN _cs = 0 THEN {num(E8)} ELSE _cs END")
-    f.let(_dm=mean("_dist", zscore_window), _ds=std("_dist", zscore_window)).out(vwap_price_distance=f"(_dist - _dm) / CASE WHEN _ds = 0 THEN {num(E8)} ELSE _ds END")
+    """The day's weighted price of an average: its own slow against its own fast average, and the average's distance from it over 100 rows."""
+    f = _vwap(Feature().let(_e=ema("Close", ema_span)), "_e").let(_v6=ema("_w", vwap_ema_span), _v5=ema("_w", 5)).out(vwap_ema6h_norm=div("_v6 - _v5", f"(_v6 + {num(E8)})"))
+    f.let(_m=mean("vwap_ema6h_norm", zscore_window), _s=std("vwap_ema6h_norm", zscore_window), _dist="_e - _v6", _cs=std("Close", 100))
+    f.out(vwap_ema6h_zscore=f"(vwap_ema6h_norm - _m) / CASE WHEN _s = 0 THEN {num(E8)} ELSE _s END", vwap_price_distance_direct=f"CASE WHEN _cs IS NOT NULL THEN _dist / greatest(_cs, {num(E8)}) END")
+    f.let(_dm=mean("_dist", 100), _ds=std("_dist", 100)).out(vwap_price_distance=f"(_dist - _dm) / (_ds + {num(E8)})")
     rsi_plain(f, "_r", rsi_period, E8, "_e", first_row=False)
     return f.out(RSI_vwap_divergence="(_r - 50) / 50 - sign(vwap_ema6h_norm)")
 
@@ -93,14 +94,14 @@ def add_liquidity_imbalance(period: int = 20) -> Feature:
 
 
 @operator
-def calculate_LISS() -> Feature:
+def calculate_LISS(profile_window: int = 20) -> Feature:
     """A liquidity score of volume profile, ATR and trend cycle, scaled to 0..1; computes what it needs."""
     f = Feature(causal=False)
-    for part in (add_normalized_volume_profile.feature(), add_atr_normalized.feature((14,), add_velocity=False), compute_combined_indicators.feature()):
+    for part in (add_normalized_volume_profile.feature(profile_window), add_atr_normalized.feature((14,), add_velocity=False), compute_combined_indicators.feature()):
         f.levels += part.levels
     f.let(_vm=high("Volume", 20)).let(_q="Volume / CASE WHEN _vm = 0 THEN CAST(1 AS DOUBLE) ELSE _vm END").let(_qc=clip("_q", 1e-7 - 1, 1 - 1e-7)).let(_fv="ln((1 + _qc) / (1 - _qc)) / 2")
     f.let(_y="2 * VP_Norm / (1 + 1 / (1 + exp(atr_14_norm))) - STC * _fv").let(_a=whole("min", "_y"), _b=whole("max", "_y"))
-    return f.out(LISS=div("_y - _a", "(_b - _a)"))
+    return f.out(LISS=div("_y - _a", f"(_b - _a + {num(E10)})"))
 
 
 @operator

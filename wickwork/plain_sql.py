@@ -78,3 +78,208 @@ m AS (SELECT symbol, seq, "Close" AS p, CASE WHEN count("Close") OVER {_frame(lo
 s AS (SELECT x.symbol, x.seq, sum({w}) AS w, sum({w} * {w}) AS w2, sum({w} * z.c) AS a, sum({w} * z.c * z.c) AS b FROM m AS x JOIN m AS z ON z.symbol = x.symbol AND z.seq <= x.seq GROUP BY x.symbol, x.seq),
 v AS (SELECT symbol, seq, CASE WHEN w * w - w2 > 1e-12 THEN (b / w - (a / w) * (a / w)) * w * w / (w * w - w2) END AS v FROM s)
 SELECT symbol, seq, round((p - med) / (sqrt(greatest(v, 0)) + 1e-8), 6) + 0.0 AS adaptive_zscore FROM m JOIN v USING (symbol, seq)"""
+
+
+# Formulas of the feature set -----------------------------------------------------------------------------------------
+
+W = "(PARTITION BY symbol ORDER BY seq)"
+
+
+def _ema(name: str, src: str, x: str, span: int, seeded: bool = False) -> str:
+    """(symbol, seq, y): the average as the sum of all values up to the row with its weights, started by the first value or the mean of the first ``span``."""
+    s, keep = (span if seeded else 1), f"(1 - 2.0::DOUBLE / ({span} + 1))"
+    return f"""{name}_x AS MATERIALIZED (SELECT symbol, seq, ({x})::DOUBLE AS x, row_number() OVER {W} AS i FROM {src} WHERE ({x}) IS NOT NULL),
+{name} AS MATERIALIZED (SELECT b.symbol, b.seq, sum(CASE WHEN a.i <= {s} THEN pow({keep}, b.i - {s}) * a.x / {s} ELSE (1 - {keep}) * pow({keep}, b.i - a.i) * a.x END) AS y
+  FROM {name}_x AS b JOIN {name}_x AS a ON a.symbol = b.symbol AND a.i <= b.i WHERE b.i >= {s} GROUP BY b.symbol, b.seq)"""
+
+
+def _wilder_rsi(name: str, src: str, n: int) -> str:
+    """(symbol, seq, y): gains over gains and losses, both with the same falling weights, which cancel."""
+    w = f"pow(1 - 1.0::DOUBLE / {n}, b.seq - a.seq)"
+    return f"""{name}_d AS MATERIALIZED (SELECT symbol, seq, "Close" - lag("Close") OVER {W} AS d FROM {src}),
+{name} AS MATERIALIZED (SELECT b.symbol, b.seq, 100 * sum(CASE WHEN a.d > 0 THEN {w} * a.d ELSE 0 END) / nullif(sum({w} * abs(a.d)), 0) AS y
+  FROM {name}_d AS b JOIN {name}_d AS a ON a.symbol = b.symbol AND a.seq <= b.seq AND a.seq > 1 WHERE b.seq > {n} GROUP BY b.symbol, b.seq)"""
+
+
+def _rounded(**columns: str) -> str:
+    return "symbol, seq, " + ", ".join(f'round(({x})::DOUBLE, {3 if c in COARSE else 6}) + 0.0 AS "{c}"' for c, x in columns.items())
+
+
+#: Results as large as prices or larger, which two orders of summation give alike to three decimals.
+COARSE = ("ema50_ema200_diff", *[f"atr_{w}_norm_rsi_weight" for w in (14, 24, 48)])
+
+
+def _join(first: str, names: list[str]) -> str:
+    return first + "".join(f" LEFT JOIN (SELECT symbol, seq, y AS {n} FROM {n}) USING (symbol, seq)" for n in names)
+
+
+def breakout(bars: str, w: int, back: int, down: bool = False) -> str:
+    side, fn, cmp, name = ("Low", "min", "<", "breakdown") if down else ("High", "max", ">", "breakout")
+    return f"""WITH bars AS ({bars}),
+b AS (SELECT *, {fn}("{side}") OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) AS edge FROM bars),
+n AS (SELECT symbol, seq, CASE WHEN "{side}" {cmp} edge THEN 1 ELSE 0 END AS now FROM b)
+SELECT {_rounded(**{f"{name}_now": "now", f"{name}_in_5": f"max(now) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN {back} PRECEDING AND CURRENT ROW)"})} FROM n"""
+
+
+def rsi_set(bars: str, length: int) -> str:
+    return f"""WITH bars AS ({bars}), {", ".join(_wilder_rsi(f"r{n}", "bars", n) for n in (7, 21, 100))}
+SELECT {_rounded(RSI7="r7", RSI21="r21", RSI100="r100", RSI21_diff=f"r21 - lag(r21, {length // 2}) OVER {W}")} FROM {_join("bars", ["r7", "r21", "r100"])}"""
+
+
+def different_ma(bars: str) -> str:
+    t = _join("bars", ["e50", "e200"])
+    return f"""WITH bars AS ({bars}), {_ema("e50", "bars", '"Close"', 50, True)}, {_ema("e200", "bars", '"Close"', 200, True)},
+t AS (SELECT *, {_full("avg", '"Close"', 100)} AS s100, {_full("avg", '"Close"', 200)} AS s200, lag(e50) OVER {W} AS l50, lag(e200) OVER {W} AS l200 FROM {t})
+SELECT {_rounded(ema200_diff='CASE WHEN e200 IS NOT NULL THEN greatest(-1, least(1, (e200 - "Close") / ("Close" + 1e-8))) END', ema50_ema200_diff="e50 - e200", sma100_sma200_diff="s100 - s200", ema50_above_ema200="coalesce((e50 > e200)::INT, 0)", ema50_cross_up="coalesce((e50 > e200 AND l50 <= l200)::INT, 0)", ema50_cross_down="coalesce((e50 < e200 AND l50 >= l200)::INT, 0)", ema50_slope="atan(e50 - l50) / pi()", ema200_slope="atan(e200 - l200) / pi()", ema50_slope_vs_ema200="atan(e50 - l50) / pi() - atan(e200 - l200) / pi()")} FROM t"""
+
+
+def _raw_averages() -> str:
+    return ", ".join(_ema(f"r{n}", "bars", '"Close"', n, True) for n in (9, 20, 50, 100, 200))
+
+
+def _crossings(src: str) -> str:
+    pairs = ((9, 20), (20, 50), (50, 100), (100, 200))
+    now = ", ".join(f"coalesce(r{a} > r{b}, false) AS u{a}" for a, b in pairs)
+    turned = ", ".join(f"(u{a} <> coalesce(lag(u{a}) OVER {W}, false))::INT AS c{a}" for a, _ in pairs)
+    last = ", ".join(f"CASE WHEN seq >= 5 THEN max(c{a}) OVER {_frame(5)} ELSE 0 END AS ema{a}_crossed_ema{b}_last5" for a, b in pairs)
+    return f"x0 AS (SELECT symbol, seq, {now} FROM {src}), x1 AS (SELECT *, {turned} FROM x0), x AS (SELECT symbol, seq, {last} FROM x1)"
+
+
+_CROSS = ("ema9_crossed_ema20_last5", "ema20_crossed_ema50_last5", "ema50_crossed_ema100_last5", "ema100_crossed_ema200_last5")
+
+
+def _different_ema_columns() -> dict[str, str]:
+    spans = (20, 50, 100, 200)
+    back = {20: 10, 50: 25, 100: 50, 200: 100}
+    out = {f"ema{n}_norm": f"e{n}" for n in spans} | {f"ema{n}_slope": f"atan(e{n} - lag(e{n}, 5) OVER {W}) / pi()" for n in spans}
+    out |= {"ema20_ema50_diff": "e20 - e50", "ema50_ema100_diff": "e50 - e100", "ema100_ema200_diff": "e100 - e200"} | {f"ema{n}_diff": f"e{n} - lag(e{n}, {back[n]}) OVER {W}" for n in spans}
+    return out | {f"price_above_ema{n}": f'coalesce(("Close" > r{n})::INT, 0)' for n in spans} | {c: c for c in _CROSS}
+
+
+def _different_ema_tables(bars: str) -> str:
+    averages = ", ".join(_ema(f"e{n}", "n", "x", n, True) for n in (20, 50, 100, 200))
+    every = _join("bars", [f"e{n}" for n in (20, 50, 100, 200)] + [f"r{n}" for n in (9, 20, 50, 100, 200)])
+    return f"""bars AS ({bars}), n AS (SELECT symbol, seq, "Close" / nullif({_full("avg", '"Close"', 60)}, 0) AS x FROM bars),
+{averages}, {_raw_averages()}, t AS MATERIALIZED (SELECT * FROM {every}), {_crossings("t")}"""
+
+
+def different_ema(bars: str) -> str:
+    return f"WITH {_different_ema_tables(bars)} SELECT {_rounded(**_different_ema_columns())} FROM t JOIN x USING (symbol, seq)"
+
+
+def different_ema_binary(bars: str) -> str:
+    spans = (20, 50, 100, 200)
+    every = _join("bars", [f"r{n}" for n in (9, *spans)])
+    slopes = ", ".join(f"r{n} - lag(r{n}, 5) OVER {W} AS d{n}" for n in spans)
+    columns = {f"price_above_ema{n}": f'coalesce(("Close" > r{n})::INT, 0)' for n in (9, *spans)} | {c: c for c in _CROSS}
+    columns |= {f"ema{n}_slope_increased": f"coalesce((d{n} > lag(d{n}, 5) OVER {W})::INT, 0)" for n in spans}
+    columns["ema20_and_50_rising_diverging"] = f"coalesce((d20 > 0 AND d50 > 0 AND (r20 - r50) - (lag(r20, 5) OVER {W} - lag(r50, 5) OVER {W}) > 0)::INT, 0)"
+    return f"WITH bars AS ({bars}), {_raw_averages()}, t AS MATERIALIZED (SELECT *, {slopes} FROM {every}), {_crossings('t')} SELECT {_rounded(**columns)} FROM t JOIN x USING (symbol, seq)"
+
+
+def main_indicators(bars: str) -> str:
+    """RSI, the averages and the place in the range of the 50 rows before."""
+    box = """CASE WHEN lo IS NOT NULL AND seq > 50 AND (hi - lo) / nullif(lo, 0) >= 0.03 THEN greatest(-1, least(1, ("Close" - (hi + lo) / 2) / (hi - lo))) ELSE -1 END"""
+    before = "(PARTITION BY symbol ORDER BY seq ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)"
+    columns = {"RSI21": "q21 / 100", "RSI21_diff": f"(q21 - lag(q21, 5) OVER {W}) / 100", "RSI_50_21_diff": "(q50 - q21) / 100"} | _different_ema_columns() | {"fib_dist_050_last50": box}
+    return f"""WITH {_different_ema_tables(bars)}, {_wilder_rsi("q21", "bars", 21)}, {_wilder_rsi("q50", "bars", 50)},
+m AS (SELECT *, max("High") OVER {before} AS hi, min("Low") OVER {before} AS lo FROM {_join("t", ["q21", "q50"])} JOIN x USING (symbol, seq))
+SELECT {_rounded(**columns)} FROM m"""
+
+
+def vwap_features(bars: str, span: int, slow: int, z: int, rsi: int) -> str:
+    day = '(PARTITION BY symbol, "Data"::DATE ORDER BY seq)'
+    gain, loss = _full("avg", "greatest(d, d - d)", rsi), _full("avg", "greatest(-d, d - d)", rsi)
+    return f"""WITH bars AS ({bars}), {_ema("e", "bars", '"Close"', span)},
+v AS (SELECT symbol, seq, sum(e * "Volume") OVER {day} / CASE WHEN sum("Volume") OVER {day} = 0 THEN 1e-8 ELSE sum("Volume") OVER {day} END AS v FROM {_join("bars", ["e"])}),
+{_ema("s", "v", "v", slow)}, {_ema("f", "v", "v", 5)},
+t AS (SELECT *, (s - f) / (s + 1e-8) AS norm, e - s AS dist, e - lag(e) OVER {W} AS d FROM {_join("bars", ["e", "s", "f"])}),
+u AS (SELECT *, {_full("avg", "norm", z)} AS nm, {_full("stddev_samp", "norm", z)} AS ns, {_full("stddev_samp", '"Close"', 100)} AS cs, {_full("avg", "dist", 100)} AS dm, {_full("stddev_samp", "dist", 100)} AS ds, {gain} AS g, {loss} AS l FROM t)
+SELECT {_rounded(vwap_ema6h_norm="norm", vwap_ema6h_zscore="(norm - nm) / CASE WHEN ns = 0 THEN 1e-8 ELSE ns END", vwap_price_distance_direct="CASE WHEN cs IS NOT NULL THEN dist / greatest(cs, 1e-8) END", vwap_price_distance="(dist - dm) / (ds + 1e-8)", RSI_vwap_divergence="(100 - 100 / (1 + g / (l + 1e-8)) - 50) / 50 - sign(norm)")} FROM u"""
+
+
+def combined(bars: str, fast: int, slow: int, cycle: int, fisher: int, atr: int, mult: float) -> str:
+    tail = lambda c: f"(least(greatest({c}, quantile_cont({c}, 0.01) OVER (PARTITION BY symbol)), quantile_cont({c}, 0.99) OVER (PARTITION BY symbol)))"
+    return f"""WITH {_tr(bars)}, {_ema("a", "bars", '"Close"', fast)}, {_ema("b", "bars", '"Close"', slow)},
+m AS MATERIALIZED (SELECT symbol, seq, a - b AS m FROM {_join("bars", ["a", "b"])}), {_ema("g", "m", "m", cycle)},
+raw AS MATERIALIZED (SELECT symbol, seq, CASE WHEN abs(g) < 1e-10 THEN 0 ELSE greatest(-1, least(1, (m - g) / g)) END AS x FROM {_join("m", ["g"])}), {_ema("stc", "raw", "x", cycle)},
+h AS (SELECT symbol, seq, ("High" + "Low") / 2 AS h FROM bars), r AS (SELECT *, min(h) OVER {_frame(fisher)} AS lo, max(h) OVER {_frame(fisher)} AS hi FROM h),
+p AS (SELECT symbol, seq, CASE WHEN hi - lo < 1e-10 THEN 0 ELSE greatest(-0.999, least(0.999, 2 * (h - lo) / (hi - lo) - 1)) END AS p FROM r), q AS MATERIALIZED (SELECT symbol, seq, ln((1 + p) / (1 - p)) / 2 AS q FROM p), {_ema("fis", "q", "q", fisher)},
+{_ema("atr", "t", "tr", atr)}, {_ema("mid", "bars", '("High" + "Low" + "Close") / 3', atr)},
+k AS (SELECT symbol, seq, stc AS "STC", fis AS "Fisher", 2 * {mult} * atr / mid AS "KeltnerWidth" FROM {_join("bars", ["stc", "fis", "atr", "mid"])}),
+c AS (SELECT symbol, seq, {", ".join(f'{tail(f'"{c}"')} AS "{c}"' for c in ("STC", "Fisher", "KeltnerWidth"))} FROM k)
+SELECT {_rounded(**{c: f'("{c}" - avg("{c}") OVER (PARTITION BY symbol)) / (stddev_samp("{c}") OVER (PARTITION BY symbol) + 1e-10)' for c in ("STC", "Fisher", "KeltnerWidth")})} FROM c"""
+
+
+def _fisher(period: int) -> str:
+    before = f"(PARTITION BY symbol ORDER BY seq ROWS BETWEEN {period} PRECEDING AND 1 PRECEDING)"
+    return f"""f0 AS (SELECT symbol, seq, ("High" + "Low") / 2 AS h FROM bars), f1 AS (SELECT symbol, seq, CASE WHEN seq > {period} THEN (h - min(h) OVER {before}) / (max(h) OVER {before} - min(h) OVER {before} + 1e-8) END AS x FROM f0),
+f2 AS (SELECT symbol, seq, (1 + x) / nullif(1 - x + 1e-8, 0) AS q FROM f1), f AS (SELECT symbol, seq, CASE WHEN q > 0 THEN greatest(-1, least(1, ln(q) / 2)) END AS fisher FROM f2)"""
+
+
+def fisher(bars: str, period: int) -> str:
+    return f"WITH bars AS ({bars}), {_fisher(period)} SELECT {_rounded(fisher='fisher')} FROM f"
+
+
+def all_features(bars: str) -> str:
+    before = lambda n: f"(PARTITION BY symbol ORDER BY seq ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    weight = "pow(1 - 1.0::DOUBLE / 14, b.seq - a.seq)"
+    return f"""WITH {_tr(bars)}, {_fisher(10)}, {_wilder_rsi("r", "bars", 14)},
+k AS MATERIALIZED (SELECT b.symbol, b.seq, sum({weight} * a.tr) / sum({weight}) AS y FROM t AS b JOIN t AS a ON a.symbol = b.symbol AND a.seq <= b.seq AND a.seq > 1 WHERE b.seq > 14 GROUP BY b.symbol, b.seq),
+u AS (SELECT *, CASE WHEN seq > 9 THEN (max("High") OVER {before(9)} + min("Low") OVER {before(9)}) / 2 END AS ten, lag("Close") OVER {W} AS c1, CASE WHEN count(r) OVER {before(5)} = 5 THEN min(r) OVER {before(5)} END AS rl,
+  CASE WHEN seq > 5 THEN min("Low") OVER {before(5)} END AS pl, CASE WHEN seq > 10 THEN min("Low") OVER {before(10)} END AS l10, CASE WHEN seq > 12 THEN avg("Close") OVER {before(12)} END AS m12, CASE WHEN count(k) OVER {before(12)} = 12 THEN avg(k) OVER {before(12)} END AS km
+  FROM {_join("bars", ["r", "k"])} JOIN f USING (symbol, seq))
+SELECT {_rounded(tenkan_breakout=f'coalesce(("Close" > ten AND c1 <= lag(ten) OVER {W})::INT, 0)', bullish_div=f"coalesce((rl > lag(rl) OVER {W} AND pl < lag(pl) OVER {W})::INT, 0)", fisher="fisher", fake_bull='coalesce(("Low" < l10 AND "Close" > l10)::INT, 0)', h1_trend='CASE WHEN m12 IS NOT NULL THEN greatest(-1, least(1, ("Close" - m12) / (m12 + 1e-8))) END', atr_ratio="CASE WHEN km IS NOT NULL THEN greatest(0, least(2, k / (km + 1e-8))) / 2 END")} FROM u"""
+
+
+def volume_profile(bars: str, window: int, lag: int, change: int, sma: int) -> str:
+    z = lambda c: f"({c} - {_full('avg', c, sma)}) / nullif({_full('stddev_samp', c, sma)}, 0)"
+    last = {"VP_Norm_Lag": f"lag(z1, {lag}) OVER {W}"} if lag else {}
+    return f"""WITH bars AS ({bars}), v AS (SELECT symbol, seq, ("High" + "Low" + "Close") / 3 * "Volume" AS pv, "Volume" AS v FROM bars),
+p AS (SELECT symbol, seq, {_full("sum", "pv", window)} / nullif({_full("sum", "v", window)}, 0) AS p FROM v),
+s AS (SELECT *, {_full("avg", "p", sma)} AS s, p / nullif(lag(p, {change}) OVER {W}, 0) - 1 AS c FROM p),
+z AS (SELECT symbol, seq, {z("p")} AS z1, {z("s")} AS z2, {z("c")} AS z3 FROM s)
+SELECT {_rounded(VP_Norm="z1", VP_SMA_Norm="z2", VP_Change_Norm="z3", **last)} FROM z"""
+
+
+def close_windows(bars: str, window: int) -> str:
+    before = f"(PARTITION BY symbol ORDER BY seq ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING)"
+    return f"""WITH bars AS ({bars}), w AS (SELECT symbol, seq, list("Close") OVER {before} AS l FROM bars), c AS (SELECT *, list_min(l) AS lo, list_max(l) AS hi FROM w)
+SELECT {_rounded(**{f"close_win_{k}": f"CASE WHEN len(l) = {window} THEN 2 * ((l[{k + 1}] - lo) / (hi - lo + 1e-8)) - 1 END" for k in range(window)})} FROM c"""
+
+
+def atr_rsi_weight(bars: str, windows: tuple[int, ...], ema: bool, normalize: bool, velocity: bool, acceleration: bool, rsi: int, slope: int) -> str:
+    def mean(w: int) -> str:
+        if not ema:
+            return f"a{w} AS MATERIALIZED (SELECT symbol, seq, avg(tr) OVER {_frame(w)} AS y FROM t)"
+        weight = f"pow(1 - 2.0::DOUBLE / ({w} + 1), b.seq - a.seq)"
+        return f"a{w} AS MATERIALIZED (SELECT b.symbol, b.seq, sum({weight} * coalesce(a.tr, 0)) / sum({weight}) AS y FROM t AS b JOIN t AS a ON a.symbol = b.symbol AND a.seq <= b.seq GROUP BY b.symbol, b.seq)"
+
+    name = {w: f"atr_{w}_norm" if normalize else f"atr_{w}" for w in windows}
+    columns = {name[w]: f"n{w}" for w in windows}
+    if normalize:
+        columns |= {f"{name[w]}_rsi_weight": f"n{w} * weight" for w in windows}
+    if velocity:
+        columns |= {f"{name[w]}_velocity": f"v{w}" for w in windows}
+    if velocity and acceleration:
+        columns |= {f"{name[w]}_acceleration": f"v{w} - lag(v{w}) OVER {W}" for w in windows}
+    shown = ", ".join(f'100 * a{w} / "Close" AS n{w}' if normalize else f"a{w} AS n{w}" for w in windows)
+    return f"""WITH {_tr(bars)}, {", ".join(map(mean, windows))},
+g AS (SELECT symbol, seq, avg(coalesce(greatest(d, d - d), 0)) OVER {_frame(rsi)} AS g, avg(coalesce(greatest(-d, d - d), 0)) OVER {_frame(rsi)} AS l FROM t),
+r AS (SELECT symbol, seq, CASE WHEN l > 0 THEN 100 - 100 / (1 + g / l) WHEN g > 0 THEN 100 END AS r FROM g),
+s AS (SELECT symbol, seq, r / nullif((r - lag(r, {slope}) OVER {W}) / {slope} + 1e-8, 0) AS weight FROM r),
+n AS (SELECT symbol, seq, weight, {shown} FROM {_join("bars", [f"a{w}" for w in windows])} JOIN s USING (symbol, seq)),
+v AS (SELECT *, {", ".join(f"(n{w} - lag(n{w}) OVER {W}) / nullif(lag(n{w}) OVER {W}, 0) AS v{w}" for w in windows)} FROM n)
+SELECT {_rounded(**columns)} FROM v"""
+
+
+def atr_position(bars: str, lookback: int, atr: int, price: str) -> str:
+    return f"""WITH bars AS ({bars}), b AS (SELECT symbol, seq, "{price}" AS p, greatest("High" - "Low", abs("High" - lag("{price}") OVER {W}), abs("Low" - lag("{price}") OVER {W})) AS tr FROM bars),
+m AS (SELECT symbol, seq, p, {_full("avg", "p", lookback)} AS m, {_full("avg", "tr", atr)} AS a FROM b)
+SELECT {_rounded(atr_position="CASE WHEN m IS NOT NULL AND a IS NOT NULL THEN greatest(-1, least(1, (p - m) / (2 * a + 1e-8))) END")} FROM m"""
+
+
+def price_acceleration(bars: str, window: int) -> str:
+    return f"""WITH bars AS ({bars}), d AS (SELECT symbol, seq, "Close" - lag("Close") OVER {W} AS d, "Close" / nullif(lag("Close") OVER {W}, 0) - 1 AS p FROM bars),
+a AS (SELECT *, d - lag(d) OVER {W} AS a FROM d), m AS (SELECT symbol, seq, {_full("avg", "a", window)} AS m, stddev_samp(p) OVER (PARTITION BY symbol) AS s FROM a)
+SELECT {_rounded(Acceleration="CASE WHEN s > 0 THEN tanh(m / s) ELSE m * 0 END")} FROM m"""

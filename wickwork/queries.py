@@ -55,8 +55,8 @@ _SOURCES = {"daily": (daily_bars, DAILY), "hourly": (hourly_bars, HOURLY)}
 
 
 def _plain(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Every result as a double of six decimals, so that engines with other summation orders agree."""
-    return df.select("symbol", "seq", *[(F.round(F.col(f"`{c}`").cast("double"), 6) + F.lit(0.0)).alias(c) for c in columns])
+    """Every result as a double of six decimals (three for large ones), so that engines with other summation orders agree."""
+    return df.select("symbol", "seq", *[(F.round(F.col(f"`{c}`").cast("double"), 3 if c in plain_sql.COARSE else 6) + F.lit(0.0)).alias(c) for c in columns])
 
 
 def _plain_sql(columns: list[str]) -> str:
@@ -344,6 +344,22 @@ SELECT f AS "Feature", round(x, 5) AS shap, round(100 * x / max(x) OVER (), 5) A
         "add_wave_phase_position": plain_sql.wave_phase(DAILY, 700, 21),
         "adaptive_zscore": plain_sql.adaptive_zscore(DAILY, 700, 100),
         "super_trend_fast": plain_sql.super_trend(DAILY, 7, 1.5),
+        "add_breakout_flags": plain_sql.breakout(DAILY, 20, 5),
+        "add_breakdown_flags": plain_sql.breakout(DAILY, 20, 5, down=True),
+        "rsi_set": plain_sql.rsi_set(DAILY, 20),
+        "different_MA": plain_sql.different_ma(DAILY),
+        "different_EMA": plain_sql.different_ema(DAILY),
+        "different_EMA_binary": plain_sql.different_ema_binary(DAILY),
+        "apply_main_indicators": plain_sql.main_indicators(DAILY),
+        "add_vwap_features_with_norm": plain_sql.vwap_features(HOURLY, 9, 360, 100, 14),
+        "compute_combined_indicators": plain_sql.combined(DAILY, 23, 50, 10, 10, 20, 2.0),
+        "add_fisher_transform": plain_sql.fisher(DAILY, 10),
+        "add_all_features": plain_sql.all_features(DAILY),
+        "add_normalized_volume_profile": plain_sql.volume_profile(DAILY, 20, 0, 5, 10),
+        "add_close_window_columns": plain_sql.close_windows(DAILY, 60),
+        "add_atr_normalized_rsi_weight": plain_sql.atr_rsi_weight(DAILY, (14, 24, 48), True, True, True, True, 14, 5),
+        "atr_position": plain_sql.atr_position(DAILY, 700, 14, "Close"),
+        "add_price_acceleration": plain_sql.price_acceleration(DAILY, 5),
     }
     pos = "count(*) FILTER (WHERE a.\"Close\" < b.\"Close\") + (count(*) FILTER (WHERE a.\"Close\" = b.\"Close\") + 1) / 2.0"
     out["quantile_position"] = f"""WITH bars AS ({DAILY}) SELECT b.symbol, b.seq, CASE WHEN count(*) = 700 THEN round(2 * (({pos}) / 700 - 0.5), 6) + 0.0 END AS quantile_position
