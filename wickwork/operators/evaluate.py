@@ -93,8 +93,8 @@ def get_top_correlated_pairs(df: DataFrame, columns: list[str], top_n: int = 20)
 
 
 def importance_table(importance: DataFrame) -> DataFrame:
-    """(Feature, SHAP_Importance) with percent of the highest, rank and cumulative percent of the sum."""
+    """(Feature, SHAP_Importance) with percent of the highest, rank and the running sum of these percents."""
     order = Window.orderBy(F.desc("SHAP_Importance"), "Feature")  # one row a feature
     every = Window.partitionBy()
     out = importance.withColumn("SHAP_%", 100 * F.col("SHAP_Importance") / F.max("SHAP_Importance").over(every)).withColumn("Rank", F.row_number().over(order))
-    return out.withColumn("Cumulative_SHAP_%", 100 * F.sum("SHAP_Importance").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("SHAP_Importance").over(every))
+    return out.withColumn("Cumulative_SHAP_%", F.sum("SHAP_%").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -157,6 +157,34 @@ def linear_shap_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("Feature", *[F.round(c, 5).alias(n) for c, n in (("SHAP_Importance", "shap"), ("SHAP_%", "percent"), ("Cumulative_SHAP_%", "cumulative"))], F.col("Rank").alias("rank"))
 
 
+SHAP_FEATURES = ["bb_z_20", "bb_width_20", "RSI_14", "Volume"]
+#: Splits of two trees, (feature, threshold, left, right) or None for a leaf; covers and leaf values come from the data.
+SHAP_SPLITS = (
+    ((0, 0.4, 1, 2), (1, 2.3, 3, 4), (2, 52.0, 5, 6), None, (0, -0.6, 7, 8), None, (3, 1.5, 9, 10), None, None, None, None),
+    ((3, 1.5, 1, 2), (2, 49.0, 3, 4), (0, 0.0, 5, 6), None, None, None, None),
+)
+
+
+def _shap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return add_target_column_mod(OPERATORS["ta_rsi"](OPERATORS["add_bollinger_features"](daily_bars(spark, sf_dir))), 20, 0.04, 2.0)
+
+
+def tree_shap_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapley values of every row under two trees whose covers and leaves are those of the data, as a table of importance."""
+    import numpy as np
+
+    from .operators import trees
+
+    made = []
+    for nodes in SHAP_SPLITS:
+        column = lambda k, empty, of=nodes: np.array([empty if n is None else n[k] for n in of])
+        made.append(trees.Tree(column(0, -1), column(1, 0.0), column(2, -1), column(3, -1), np.ones(len(nodes)), np.zeros(len(nodes))))
+    rows = _shap_rows(spark, sf_dir)
+    forest = trees.recounted(rows, SHAP_FEATURES, trees.Forest(tuple(made), (0.5, 0.5)), "target")
+    table = trees.shap_table(trees.tree_shap(rows, SHAP_FEATURES, forest), SHAP_FEATURES)
+    return table.select("Feature", F.col("Rank").alias("rank"), F.col("Direction").alias("direction"), *[F.round(c, 6).alias(n) for c, n in (("SHAP_Importance", "importance"), ("SHAP_%", "percent"), ("Cumulative_SHAP_%", "cumulative"))])
+
+
 def main_features_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load, main features, label, warm-up dropped, class shares and means: the flagship."""
     from .operators.pipelines import labelled_features
@@ -216,7 +244,7 @@ def super_trend_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PLAIN = (
     bars_daily, bars_hourly_by_type, bars_quarter_hour, completeness_gate, label_first_touch, label_first_touch_gated, label_grid_summary, rsi_htf_hour, sessions_and_distance,
-    threshold_sweep, best_threshold, balanced_threshold, roc_auc, final_metrics, class_balance, top_correlated_pairs, linear_shap_importance, main_features_labelled,
+    threshold_sweep, best_threshold, balanced_threshold, roc_auc, final_metrics, class_balance, top_correlated_pairs, linear_shap_importance, tree_shap_importance, main_features_labelled,
     pca_of_windows, mutual_information, granger, api_pages, apply_indicators, adaptive_rsi, stochastic_rsi_smoothed, wave_phase_short, super_trend_fast,
 )
 
@@ -309,6 +337,46 @@ def _grid_sql() -> str:
 SELECT rr_threshold, target_share, count(*) AS n, sum(target)::BIGINT AS positive FROM labels GROUP BY ALL"""
 
 
+def _tree_shap_sql() -> str:
+    """The definition: over all subsets of the other features, how the expected prediction changes with the feature."""
+    from itertools import combinations
+    from math import factorial
+
+    n = len(SHAP_FEATURES)
+    sums, terms = [], {k: [] for k in range(n)}
+
+    def walk(t: int, node: int, here: str) -> None:
+        sums.append(f"count(*) FILTER (WHERE {here})::DOUBLE AS c{t}_{node}, avg(target) FILTER (WHERE {here}) AS v{t}_{node}")
+        if (split := SHAP_SPLITS[t][node]) is not None:
+            left = f'"{SHAP_FEATURES[split[0]]}" <= {split[1]}::DOUBLE'
+            walk(t, split[2], f"{here} AND {left}")
+            walk(t, split[3], f"{here} AND NOT ({left})")
+
+    def mean(t: int, node: int, known: set[int]) -> str:
+        if (split := SHAP_SPLITS[t][node]) is None:
+            return f"coalesce(v{t}_{node}, 0)"
+        a, b = (mean(t, c, known) for c in split[2:])
+        if split[0] in known:
+            return f'CASE WHEN "{SHAP_FEATURES[split[0]]}" <= {split[1]}::DOUBLE THEN {a} ELSE {b} END'
+        return f"(c{t}_{split[2]} * ({a}) + c{t}_{split[3]} * ({b})) / c{t}_{node}"
+
+    for t in range(len(SHAP_SPLITS)):
+        walk(t, 0, "true")
+    for k in range(n):
+        for size in range(n):
+            for known in combinations([j for j in range(n) if j != k], size):
+                weight = factorial(size) * factorial(n - size - 1) / factorial(n) / len(SHAP_SPLITS)
+                terms[k] += [f"{weight!r}::DOUBLE * (({mean(t, 0, {*known, k})}) - ({mean(t, 0, set(known))}))" for t in range(len(SHAP_SPLITS))]
+    f = Feature().then(OPERATORS["add_bollinger_features"].feature()).then(OPERATORS["ta_rsi"].feature())
+    there = " AND ".join(f'"{c}" IS NOT NULL' for c in SHAP_FEATURES)
+    values = ", ".join(f"{' + '.join(x)} AS s{k}" for k, x in terms.items())
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS f, avg(abs(s{k})) AS a, avg(s{k}) AS m FROM s" for k, c in enumerate(SHAP_FEATURES))
+    return f"""WITH bars AS ({DAILY}), {_label_sql("bars", "0.04::DOUBLE", "0.02::DOUBLE")}, rows AS MATERIALIZED (SELECT * FROM ({duckdb_sql(f, DAILY, "*")}) JOIN labels USING (symbol, seq) WHERE {there}),
+counts AS MATERIALIZED (SELECT {", ".join(sums)} FROM rows), s AS MATERIALIZED (SELECT {values} FROM rows, counts), t AS ({rows})
+SELECT f AS "Feature", row_number() OVER (ORDER BY a DESC, f)::INT AS rank, CASE WHEN m > 0 THEN 'Positive' ELSE 'Negative' END AS direction, round(a, 6) AS importance, round(100 * a / max(a) OVER (), 6) AS percent,
+  round(sum(100 * a / (SELECT max(a) FROM t)) OVER (ORDER BY a DESC, f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cumulative FROM t"""
+
+
 def oracle_sql() -> dict[str, str]:
     scored = _bollinger_scored()
     corr = " UNION ALL ".join(f"""SELECT '{a}' AS a, '{b}' AS b, abs(corr("{a}", "{b}")) AS r FROM rows""" for i, a in enumerate(_CORRELATED) for b in _CORRELATED[i + 1 :])
@@ -335,7 +403,8 @@ def oracle_sql() -> dict[str, str]:
         "top_correlated_pairs": f"""{_chopped()} SELECT a, b, round(r, 6) AS r FROM ({corr}) WHERE r IS NOT NULL ORDER BY r DESC, a, b LIMIT 5""",
         "linear_shap_importance": f"""{_chopped()}, full_rows AS (SELECT * FROM rows WHERE {" AND ".join(f"{c} IS NOT NULL" for c in three)}), means AS (SELECT {", ".join(f"avg({c}) AS m_{c}" for c in three)} FROM full_rows),
 s AS (SELECT {parts} FROM full_rows, means), t AS ({" UNION ALL ".join(f"SELECT '{c}' AS f, s_{c} AS x FROM s" for c in three)})
-SELECT f AS "Feature", round(x, 5) AS shap, round(100 * x / max(x) OVER (), 5) AS percent, round(100 * sum(x) OVER (ORDER BY x DESC, f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(x) OVER (), 5) AS cumulative, row_number() OVER (ORDER BY x DESC, f)::INT AS rank FROM t""",
+SELECT f AS "Feature", round(x, 5) AS shap, round(100 * x / max(x) OVER (), 5) AS percent, round(sum(100 * x / (SELECT max(x) FROM t)) OVER (ORDER BY x DESC, f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 5) AS cumulative, row_number() OVER (ORDER BY x DESC, f)::INT AS rank FROM t""",
+        "tree_shap_importance": _tree_shap_sql(),
         "main_features_labelled": _main_sql(),
         "adaptive_rsi": plain_sql.adaptive_rsi(DAILY, 14, 14),
         "stochastic_rsi_smoothed": plain_sql.stochastic_rsi(DAILY, 10, 12, 5, 4),
