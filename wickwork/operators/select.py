@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import grid
 from .evaluate import threshold_sweep
 from .label import add_target_column_mod
 
@@ -181,8 +182,14 @@ def plot_f1_vs_n_estimators(df: DataFrame, features: list[str], sizes: range = r
 
 
 def evaluate_parameters(bars: DataFrame, features: list[str], train_to: int, valid_to: int, target_candles: int = 20, rr_thresholds=(1.5, 2.0, 2.5, 3.0, 3.5, 4.0), targets=tuple(0.001 + 0.0005 * i for i in range(11)), estimator=None) -> list[dict]:
-    """Relabel, fit and score for every pair of the grid; pairs whose valid rows have one class are left out."""
-    estimator, out = estimator or forest(), []
+    """Label, fit and score for every pair of the grid; pairs whose valid rows have one class are left out.
+
+    The forests of all pairs grow together (``grid``); with an ``estimator`` of one's own each pair is fitted by itself.
+    """
+    if estimator is None:
+        got = grid.evaluate_parameters(bars, features, train_to, valid_to, target_candles, rr_thresholds, targets)
+        return [r.asDict() for r in got.orderBy("rr_threshold", "target").collect()]
+    out = []
     for rr in rr_thresholds:
         for target in targets:
             rows = assemble(add_target_column_mod(bars, target_candles, target, rr), features)

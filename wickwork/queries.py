@@ -165,6 +165,35 @@ SHAP_SPLITS = (
 )
 
 
+GRID_CUTS = {"bb_z_20": [k / 4 for k in range(-7, 8)], "bb_width_20": [1.5 + k / 8 for k in range(13)], "RSI_14": [40.0 + k for k in range(21)]}
+
+
+def grid_first_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first split of a tree for each of the 66 labels, all from one scan."""
+    import numpy as np
+
+    from .operators import grid
+
+    pairs, names = grid.grid_of(GRID_RR, GRID_TARGETS), list(GRID_CUTS)
+    bars = OPERATORS["ta_rsi"](OPERATORS["add_bollinger_features"](daily_bars(spark, sf_dir)))
+    rows = grid.binned(bars, names, list(GRID_CUTS.values()), pairs)
+    settings = grid.Settings(subsample=None, share=1.0)
+    best = grid.best_splits(rows, grid.Forests(len(pairs), range(1)), 0, len(names), 1 + max(map(len, GRID_CUTS.values())), np.zeros(0), settings)
+    cut = F.array(*[F.array(*map(F.lit, c)) for c in GRID_CUTS.values()])
+    named = F.array(*[F.struct(F.lit(rr).alias("rr_threshold"), F.lit(t).alias("target_share")) for rr, t in pairs])[F.col("tree")]
+    best = best.filter("feature >= 0").select(named.alias("g"), F.array(*map(F.lit, names))[F.col("feature")].alias("feature"), F.round(cut[F.col("feature")][F.col("cut")], 6).alias("threshold"), F.round("gain", 6).alias("gain"), "n", "n_left", F.round("value", 6).alias("value"))
+    return best.select("g.*", "feature", "threshold", "gain", "n", "n_left", "value")
+
+
+def grid_of_forests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forests of eight trees for all 66 labels, scored on the rows after the first 1,200."""
+    from .operators import grid
+
+    bars = OPERATORS["ta_rsi"](OPERATORS["add_bollinger_features"](daily_bars(spark, sf_dir)))
+    out = grid.evaluate_parameters(bars, ["bb_z_20", "bb_width_20", "RSI_14", "Volume"], 1200, 1800, trees=8, settings=grid.Settings(depth=5))
+    return out.select("rr_threshold", F.col("target").alias("target_share"), *[F.round(c, 6).alias(c) for c in ("f1", "precision", "recall", "positive_ratio")])
+
+
 def _shap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_target_column_mod(OPERATORS["ta_rsi"](OPERATORS["add_bollinger_features"](daily_bars(spark, sf_dir))), 20, 0.04, 2.0)
 
@@ -244,7 +273,7 @@ def super_trend_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PLAIN = (
     bars_daily, bars_hourly_by_type, bars_quarter_hour, completeness_gate, label_first_touch, label_first_touch_gated, label_grid_summary, rsi_htf_hour, sessions_and_distance,
-    threshold_sweep, best_threshold, balanced_threshold, roc_auc, final_metrics, class_balance, top_correlated_pairs, linear_shap_importance, tree_shap_importance, main_features_labelled,
+    threshold_sweep, best_threshold, balanced_threshold, roc_auc, final_metrics, class_balance, top_correlated_pairs, linear_shap_importance, tree_shap_importance, grid_first_splits, grid_of_forests, main_features_labelled,
     pca_of_windows, mutual_information, granger, api_pages, apply_indicators, adaptive_rsi, stochastic_rsi_smoothed, wave_phase_short, super_trend_fast,
 )
 
@@ -337,6 +366,24 @@ def _grid_sql() -> str:
 SELECT rr_threshold, target_share, count(*) AS n, sum(target)::BIGINT AS positive FROM labels GROUP BY ALL"""
 
 
+def _first_splits_sql() -> str:
+    pairs = ", ".join(f"({r!r}::DOUBLE, {t!r}::DOUBLE)" for r in GRID_RR for t in GRID_TARGETS)
+    cuts = ", ".join(f"({i}, '{c}', {k}, {t!r}::DOUBLE)" for i, (c, ts) in enumerate(GRID_CUTS.items()) for k, t in enumerate(ts))
+    f = Feature().then(OPERATORS["add_bollinger_features"].feature()).then(OPERATORS["ta_rsi"].feature())
+    entropy = lambda p, w: f"CASE WHEN {w} > 0 AND {p} > 0 AND {p} < {w} THEN -({p} / {w} * log2({p} / {w}) + (1 - {p} / {w}) * log2(1 - {p} / {w})) ELSE 0 END"
+    each = "CASE feature " + " ".join(f"WHEN '{c}' THEN \"{c}\"" for c in GRID_CUTS) + " END"
+    return f"""WITH bars AS ({DAILY}), grid(rr_threshold, target_share) AS (VALUES {pairs}), cells AS (SELECT * FROM bars, grid),
+{_label_sql("cells", "b.target_share", "b.target_share / b.rr_threshold", ", b.rr_threshold, b.target_share").replace("labels AS (SELECT symbol, seq, b.rr_threshold, b.target_share", "labels AS (SELECT symbol, seq, rr_threshold, target_share")},
+x AS MATERIALIZED (SELECT symbol, seq, {", ".join(f'"{c}"' for c in GRID_CUTS)} FROM ({duckdb_sql(f, DAILY, "*")}) WHERE {" AND ".join(f'"{c}" IS NOT NULL' for c in GRID_CUTS)}),
+cuts(i, feature, k, threshold) AS (VALUES {cuts}),
+s AS (SELECT rr_threshold, target_share, i, feature, k, threshold, count(*) AS n, count(*) FILTER (WHERE {each} <= threshold) AS n_left, 5.0::DOUBLE * sum(target) AS p, 5.0::DOUBLE * sum(target) FILTER (WHERE {each} <= threshold) AS lp
+  FROM labels JOIN x USING (symbol, seq), cuts GROUP BY ALL),
+w AS (SELECT *, n + p / 5 * 4 AS w, n_left + coalesce(lp, 0) / 5 * 4 AS lw FROM s WHERE n_left >= 6 AND n - n_left >= 6),
+g AS (SELECT *, {entropy("p", "w")} - (lw * {entropy("lp", "lw")} + (w - lw) * {entropy("(p - lp)", "(w - lw)")}) / w AS gain FROM w),
+b AS (SELECT *, row_number() OVER (PARTITION BY rr_threshold, target_share ORDER BY round(gain, 12) DESC, i, k) AS no FROM g)
+SELECT rr_threshold, target_share, feature, threshold, round(gain, 6) AS gain, n, n_left, round(p / w, 6) AS value FROM b WHERE no = 1 AND gain >= 2e-4"""
+
+
 def _tree_shap_sql() -> str:
     """The definition: over all subsets of the other features, how the expected prediction changes with the feature."""
     from itertools import combinations
@@ -405,6 +452,7 @@ def oracle_sql() -> dict[str, str]:
 s AS (SELECT {parts} FROM full_rows, means), t AS ({" UNION ALL ".join(f"SELECT '{c}' AS f, s_{c} AS x FROM s" for c in three)})
 SELECT f AS "Feature", round(x, 5) AS shap, round(100 * x / max(x) OVER (), 5) AS percent, round(sum(100 * x / (SELECT max(x) FROM t)) OVER (ORDER BY x DESC, f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 5) AS cumulative, row_number() OVER (ORDER BY x DESC, f)::INT AS rank FROM t""",
         "tree_shap_importance": _tree_shap_sql(),
+        "grid_first_splits": _first_splits_sql(),
         "main_features_labelled": _main_sql(),
         "adaptive_rsi": plain_sql.adaptive_rsi(DAILY, 14, 14),
         "stochastic_rsi_smoothed": plain_sql.stochastic_rsi(DAILY, 10, 12, 5, 4),
