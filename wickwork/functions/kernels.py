@@ -9,28 +9,39 @@ def _valid(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~np.isnan(x))
 
 
-def ema(x: np.ndarray, alpha: float) -> np.ndarray:
-    """y = alpha * x + (1 - alpha) * y, from the first value on; nulls are passed over."""
+def ema(x: np.ndarray, alpha: float, state: list[float] = ()) -> np.ndarray:
+    """y = alpha * x + (1 - alpha) * y, from the first value on; nulls are passed over. ``state``: y so far."""
     out, at = np.full(len(x), np.nan), _valid(x)
-    y = None
+    y = state[0] if state else None
     for i, v in zip(at.tolist(), x[at].tolist(), strict=True):
         y = v if y is None else alpha * v + (1 - alpha) * y
         out[i] = y
     return out
 
 
-def ewm(x: np.ndarray, alpha: float, least: int = 1) -> np.ndarray:
-    """The mean of all values so far, weighted by powers of (1 - alpha); null before ``least`` values."""
+def ema_after(state: list[float], n: int, s: float, head: list[float], alpha: float) -> list[float]:
+    """The state after n values whose sum, decayed by 1 - alpha, is ``s``."""
+    return [(1 - alpha) ** n * (state or head)[0] + alpha * s]
+
+
+def ewm(x: np.ndarray, alpha: float, least: int = 1, state: list[float] = ()) -> np.ndarray:
+    """The mean of all values so far, weighted by powers of (1 - alpha); null before ``least`` values. ``state``: their number, sum and weight so far."""
     out, at = np.full(len(x), np.nan), _valid(x)
-    a = b = 0.0
+    before, a, b = state or (0, 0.0, 0.0)
     keep = 1 - alpha
-    for n, (i, v) in enumerate(zip(at.tolist(), x[at].tolist(), strict=True), 1):
+    for n, (i, v) in enumerate(zip(at.tolist(), x[at].tolist(), strict=True), int(before) + 1):
         a, b = v + keep * a, 1 + keep * b
         if n >= least:
             out[i] = a / b
     return out
 
 
+def ewm_after(state: list[float], n: int, s: float, head: list[float], alpha: float) -> list[float]:
+    before, a, b = state or (0, 0.0, 0.0)
+    fade = (1 - alpha) ** n
+    return [before + n, fade * a + s, fade * b + (1 - fade) / alpha]
+
+
 def ewm_var(x: np.ndarray, alpha: float) -> np.ndarray:
     """The variance under the weights of ``ewm``, bias-corrected; null for a single value."""
     out, at = np.full(len(x), np.nan), _valid(x)
@@ -48,19 +59,41 @@ def ewm_var(x: np.ndarray, alpha: float) -> np.ndarray:
     return out
 
 
-def seeded(x: np.ndarray, n: int) -> np.ndarray:
-    """The mean of the first n values at the n-th, then an ema of span n."""
+def seeded(x: np.ndarray, n: int, state: list[float] = ()) -> np.ndarray:
+    """The mean of the first n values at the n-th, then an ema of span n. ``state``: y so far, or all values if they are fewer than n."""
     out, at = np.full(len(x), np.nan), _valid(x)
-    if len(at) < n:
-        return out
-    alpha, y = 2 / (n + 1), float(np.mean(x[at[:n]]))
-    out[at[n - 1]] = y
-    for i, v in zip(at[n:].tolist(), x[at[n:]].tolist(), strict=True):
+    alpha, values = 2 / (n + 1), x[at]
+    if state and state[0] == 1:
+        y = state[1]
+    else:
+        first = list(state[1:])
+        missing = n - len(first)
+        if len(at) < missing:
+            return out
+        y = float(np.mean([*first, *values[:missing]]))
+        out[at[missing - 1]] = y
+        at, values = at[missing:], values[missing:]
+    for i, v in zip(at.tolist(), values.tolist(), strict=True):
         y = alpha * v + (1 - alpha) * y
         out[i] = y
     return out
 
 
+def seeded_after(state: list[float], count: int, s: float, head: list[float], n: int) -> list[float]:
+    """(1, y), or before the n-th value (0, all values)."""
+    alpha, keep = 2 / (n + 1), 1 - 2 / (n + 1)
+    if state and state[0] == 1:
+        return [1, keep**count * state[1] + alpha * s]
+    first = state[1:]
+    missing = n - len(first)
+    if count < missing:
+        return [0, *first, *head[:count]]
+    start = float(np.mean([*first, *head[:missing]]))
+    early = sum(v * keep ** (missing - 1 - k) for k, v in enumerate(head[:missing]))
+    fade = keep ** (count - missing)
+    return [1, fade * start + alpha * (s - fade * early)]
+
+
 def super_trend(close: np.ndarray, upper: np.ndarray, lower: np.ndarray, period: int) -> np.ndarray:
     """The trailing level and the direction, +1 or -1 (0 before the first), as two rows."""
     n = len(close)

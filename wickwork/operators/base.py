@@ -15,14 +15,14 @@ OPERATORS: dict[str, Callable[..., DataFrame]] = {}
 
 
 def operator(build: Callable[..., Feature]) -> Callable[..., DataFrame]:
-    """Register a feature: called with bars and its parameters it returns the bars with the feature's columns.
+    """Register a feature: called with bars and its parameters (and ``block_rows``, for long symbols) it returns the bars with the feature's columns.
 
     ``.feature(...)`` is the feature itself, for combining or for writing it as SQL.
     """
 
     @functools.wraps(build)
-    def apply(df: DataFrame, *args, **kwargs) -> DataFrame:
-        return build(*args, **kwargs).add_to(df)
+    def apply(df: DataFrame, *args, block_rows: int | None = None, **kwargs) -> DataFrame:
+        return build(*args, **kwargs).add_to(df, block_rows)
 
     apply.feature = build
     OPERATORS[build.__name__] = apply

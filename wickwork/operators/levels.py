@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from ..functions.sql import clip, div, flag, high, lag, low, num, over
+from ..plans.levels import VIEWS
 from .averages import add_h1_trend
 from .base import Feature, K, Rec, ema, operator, true_range, wilder
 from .ichimoku import add_tenkan_breakout
@@ -12,6 +13,8 @@ from .momentum import add_fisher_transform, add_rsi_divergence
 from .volatility import add_atr_ratio
 
 E8 = 1e-8
+# What the kernels of this file look back.
+VIEWS |= {"_first_mode": lambda window: window, "_line_distance": lambda long, *_: long, "_support": lambda window, *_: window}
 
 
 @operator

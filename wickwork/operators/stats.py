@@ -9,9 +9,12 @@ from __future__ import annotations
 import numpy as np
 
 from ..functions.sql import clip, div, median, num, over
+from ..plans.levels import VIEWS
 from .base import Feature, K, Rec, ewm, operator
 
 E10 = 1e-10
+# What the kernels of this file look back.
+VIEWS |= {"_windowed": lambda window, name, end=0: window - 1 + end, "_mad": lambda window: window - 1, "_rank": lambda window: window - 1, "_phase": lambda window: window}
 
 
 def hurst_exponent(x: np.ndarray, max_lag: int = 100) -> float:

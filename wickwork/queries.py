@@ -267,6 +267,12 @@ def wave_phase_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(OPERATORS["add_wave_phase_position"](daily_bars(spark, sf_dir), 120, 21), ["wave_phase", "phase_divergence"])
 
 
+def different_EMA_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The averages carried over blocks of 300 rows."""
+    feature = OPERATORS["different_EMA"].feature()
+    return _plain(feature.add_to(daily_bars(spark, sf_dir), block_rows=300), feature.outputs)
+
+
 def super_trend_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(OPERATORS["super_trend"](daily_bars(spark, sf_dir), 7, 1.5), ["super_trend_7_1.5"])
 
@@ -274,7 +280,7 @@ def super_trend_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLAIN = (
     bars_daily, bars_hourly_by_type, bars_quarter_hour, completeness_gate, label_first_touch, label_first_touch_gated, label_grid_summary, rsi_htf_hour, sessions_and_distance,
     threshold_sweep, best_threshold, balanced_threshold, roc_auc, final_metrics, class_balance, top_correlated_pairs, linear_shap_importance, tree_shap_importance, grid_first_splits, grid_of_forests, main_features_labelled,
-    pca_of_windows, mutual_information, granger, api_pages, apply_indicators, adaptive_rsi, stochastic_rsi_smoothed, wave_phase_short, super_trend_fast,
+    pca_of_windows, mutual_information, granger, api_pages, apply_indicators, adaptive_rsi, stochastic_rsi_smoothed, wave_phase_short, super_trend_fast, different_EMA_in_blocks,
 )
 
 
@@ -466,6 +472,7 @@ SELECT f AS "Feature", round(x, 5) AS shap, round(100 * x / max(x) OVER (), 5) A
         "rsi_set": plain_sql.rsi_set(DAILY, 20),
         "different_MA": plain_sql.different_ma(DAILY),
         "different_EMA": plain_sql.different_ema(DAILY),
+        "different_EMA_in_blocks": plain_sql.different_ema(DAILY),
         "different_EMA_binary": plain_sql.different_ema_binary(DAILY),
         "apply_main_indicators": plain_sql.main_indicators(DAILY),
         "add_vwap_features_with_norm": plain_sql.vwap_features(HOURLY, 9, 360, 100, 14),
