@@ -20,6 +20,13 @@ CASES = {
     "add_atr_normalized_rsi_weight": (((9, 30), False, False, True, False, 7, 3), plain_sql.atr_rsi_weight(DAILY, (9, 30), False, False, True, False, 7, 3)),
     "atr_position": ((90, 20, "Open"), plain_sql.atr_position(DAILY, 90, 20, "Open")),
     "add_price_acceleration": ((9,), plain_sql.price_acceleration(DAILY, 9)),
+    "add_structural_features": ((40,), plain_sql.structural(DAILY, 40)),
+    "add_liquidity_distance": ((60,), plain_sql.liquidity_distance(DAILY, 60)),
+    "calculate_resistance_distance": ((90, 12, 8, "Close", 5), plain_sql.line_distance(DAILY, 90, 12, 8, 5)),
+    "calculate_support_distance": ((90, 12, 8, "Close", 5), plain_sql.line_distance(DAILY, 90, 12, 8, 5, support=True)),
+    "add_support_resistance_features": ((120, 9, 3, 0.05), plain_sql.support_resistance(DAILY, 120, 9, 3, 0.05)),
+    "kagi_conversion_line": ((7, 11, 9), plain_sql.kagi(DAILY, 7, 11, 9)),
+    "add_fft_phase_position": (("Close", 48), plain_sql.fft_phase(DAILY, 48)),
 }
 
 
@@ -30,7 +37,7 @@ def test_other_settings(spark, name):
     same(spark, SF, lambda s, d: queries._plain(feature.add_to(queries.daily_bars(s, d)), feature.outputs), sql)
 
 
-@pytest.mark.parametrize("name", ["different_MA", "different_EMA", "different_EMA_binary", "add_all_features", "apply_main_indicators", "add_vwap_features_with_norm"])
+@pytest.mark.parametrize("name", ["different_MA", "different_EMA", "different_EMA_binary", "add_all_features", "apply_main_indicators", "add_vwap_features_with_norm", "rolling_statistics", "add_parabolic_sar_feature"])
 def test_registered_setting(spark, name):
     same(spark, SF, queries.queries()[name], queries.oracle_sql()[name])
 

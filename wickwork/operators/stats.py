@@ -95,8 +95,15 @@ FUNCTIONS = {f.__name__: f for f in (hurst_exponent, sample_entropy, dominant_fr
 
 
 def _windowed(x: np.ndarray, window: int, name: str, end: int = 0) -> np.ndarray:
-    """A function of the ``window`` values that end ``end`` rows before each row; nan where one is missing."""
+    """A function of the ``window`` values that end ``end`` rows before each row; nan where one is missing.
+
+    The fractal dimension takes what rows there are while the window is short.
+    """
     out = np.full(len(x), np.nan)
+    if name == "higuchi_fd":
+        for i in range(min(window - 1, len(x))):
+            if not np.isnan(x[: i + 1]).any():
+                out[i] = higuchi_fd(x[: i + 1])
     if len(x) < window:
         return out
     f = FUNCTIONS[name]

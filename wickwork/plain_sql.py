@@ -106,7 +106,7 @@ def _rounded(**columns: str) -> str:
 
 
 #: Results as large as prices or larger, which two orders of summation give alike to three decimals.
-COARSE = ("ema50_ema200_diff", *[f"atr_{w}_norm_rsi_weight" for w in (14, 24, 48)])
+COARSE = ("ema50_ema200_diff", "nar_res", *[f"atr_{w}_norm_rsi_weight" for w in (14, 24, 48)])
 
 
 def _join(first: str, names: list[str]) -> str:
@@ -283,3 +283,152 @@ def price_acceleration(bars: str, window: int) -> str:
     return f"""WITH bars AS ({bars}), d AS (SELECT symbol, seq, "Close" - lag("Close") OVER {W} AS d, "Close" / nullif(lag("Close") OVER {W}, 0) - 1 AS p FROM bars),
 a AS (SELECT *, d - lag(d) OVER {W} AS a FROM d), m AS (SELECT symbol, seq, {_full("avg", "a", window)} AS m, stddev_samp(p) OVER (PARTITION BY symbol) AS s FROM a)
 SELECT {_rounded(Acceleration="CASE WHEN s > 0 THEN tanh(m / s) ELSE m * 0 END")} FROM m"""
+
+
+# Windows, lines and state machines -----------------------------------------------------------------------------------
+
+
+def _pairs(window: int, src: str = "bars", column: str = '"Close"') -> str:
+    """(symbol, seq, j, x): the ``window`` values up to each row by their place, for rows with a full window."""
+    return f"SELECT b.symbol, b.seq, a.seq - b.seq + {window} - 1 AS j, a.{column} AS x FROM {src} AS b JOIN {src} AS a ON a.symbol = b.symbol AND a.seq > b.seq - {window} AND a.seq <= b.seq WHERE b.seq >= {window}"
+
+
+def rolling_statistics(bars: str) -> str:
+    """Hurst exponent, sample entropy, strongest frequency and last residual of a ridge regression, from sums over pairs of values.
+
+    The residual's five coefficients solve (A + 1) w = b, written down by elimination.
+    """
+    n, lag = 20, 5
+    steps, last = [], "e0"
+    cols = [f"a{i}{j}" for i in range(lag) for j in range(i, lag)] + [f"b{i}" for i in range(lag)]
+    at = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+    for k in range(lag):
+        new = {c: c for c in cols}
+        for i in range(k + 1, lag):
+            for j in range(i, lag):
+                new[at(i, j)] = f"{at(i, j)} - {at(k, i)} * {at(k, j)} / {at(k, k)}"
+            new[f"b{i}"] = f"b{i} - {at(k, i)} * b{k} / {at(k, k)}"
+        steps.append(f"e{k + 1} AS (SELECT * EXCLUDE ({', '.join(cols)}), {', '.join(f'{x} AS {c}' for c, x in new.items())} FROM {last})")
+        last = f"e{k + 1}"
+    for k in reversed(range(lag)):
+        rest = "".join(f" - {at(k, j)} * w{j}" for j in range(k + 1, lag))
+        steps.append(f"w_{k} AS (SELECT *, (b{k}{rest}) / {at(k, k)} AS w{k} FROM {last})")
+        last = f"w_{k}"
+    means = ", ".join([f"avg(v[{i + 1}]) AS m{i}" for i in range(lag)] + ["avg(y) AS ym"])
+    moments = ", ".join([f"sum((v[{i + 1}] - m{i}) * (v[{j + 1}] - m{j}))" + (" + 1" if i == j else "") + f" AS a{i}{j}" for i in range(lag) for j in range(i, lag)] + [f"sum((v[{i + 1}] - m{i}) * (y - ym)) AS b{i}" for i in range(lag)])
+    lasts = ", ".join([f"max(CASE WHEN j = {n - 1} THEN v[{i + 1}] - m{i} END) AS d{i}" for i in range(lag)] + [f"max(CASE WHEN j = {n - 1} THEN y - ym END) AS dy"])
+    return f"""WITH bars AS ({bars}),
+p100 AS MATERIALIZED ({_pairs(100)}), tau AS (SELECT a.symbol, a.seq, k, stddev_pop(b.x - a.x) AS t FROM p100 AS a, range(2, 99) AS r(k), p100 AS b WHERE b.symbol = a.symbol AND b.seq = a.seq AND b.j = a.j + k GROUP BY ALL),
+h AS (SELECT symbol, seq, regr_slope(ln(t), ln(k)) AS hurst FROM tau WHERE t > 0 GROUP BY ALL),
+p50 AS MATERIALIZED (SELECT *, lead(x) OVER (PARTITION BY symbol, seq ORDER BY j) AS x1, stddev_pop(x) OVER (PARTITION BY symbol, seq) AS s FROM ({_pairs(50)})),
+c AS (SELECT a.symbol, a.seq, any_value(a.s) AS s, count(*) FILTER (WHERE greatest(abs(a.x - b.x), abs(a.x1 - b.x1)) <= 0.2 * a.s) AS n FROM p50 AS a JOIN p50 AS b ON a.symbol = b.symbol AND a.seq = b.seq AND a.j < b.j WHERE b.x1 IS NOT NULL GROUP BY ALL),
+e AS (SELECT symbol, seq, CASE WHEN s = 0 OR n = 0 THEN 0 ELSE -ln(n / 48.0) END AS entropy FROM c),
+p64 AS MATERIALIZED (SELECT *, x - avg(x) OVER (PARTITION BY symbol, seq) AS d FROM ({_pairs(64)})),
+f0 AS (SELECT symbol, seq, k, pow(sum(d * cos(2 * pi() * j * k / 64)), 2) + pow(sum(d * sin(2 * pi() * j * k / 64)), 2) AS power FROM p64, range(0, 33) AS r(k) GROUP BY ALL),
+f AS (SELECT symbol, seq, arg_max(k, power) / 64.0 AS fft_freq FROM f0 GROUP BY ALL),
+p20 AS MATERIALIZED ({_pairs(n)}), v AS (SELECT symbol, seq, j, x AS y, list(x) OVER (PARTITION BY symbol, seq ORDER BY j ROWS BETWEEN {lag} PRECEDING AND 1 PRECEDING) AS v FROM p20),
+q AS MATERIALIZED (SELECT * FROM v WHERE j >= {lag}), m AS (SELECT symbol, seq, {means} FROM q GROUP BY ALL), e0 AS (SELECT symbol, seq, {moments}, {lasts} FROM q JOIN m USING (symbol, seq) GROUP BY ALL), {", ".join(steps)},
+r AS (SELECT symbol, seq, dy{"".join(f" - d{i} * w{i}" for i in range(lag))} AS nar_res FROM {last})
+SELECT symbol, seq, round(hurst, 6) + 0.0 AS hurst, round(entropy, 6) + 0.0 AS entropy, round(fft_freq, 6)::DOUBLE + 0.0 AS fft_freq, round(nar_res, 3) + 0.0 AS nar_res FROM bars LEFT JOIN h USING (symbol, seq) LEFT JOIN e USING (symbol, seq) LEFT JOIN f USING (symbol, seq) LEFT JOIN r USING (symbol, seq)"""
+
+
+def structural(bars: str, w: int) -> str:
+    """Entropy of the spectrum under a Hann window, sign changes, and the slope of curve lengths; the last also over short windows."""
+    e = "1e-10"
+    half = w // 2 + 1
+    return f"""WITH bars AS ({bars}), p AS MATERIALIZED (SELECT *, x - avg(x) OVER (PARTITION BY symbol, seq) AS d FROM ({_pairs(w)})),
+s0 AS (SELECT symbol, seq, k, (pow(sum(d * g * cos(2 * pi() * j * k / {w})), 2) + pow(sum(d * g * sin(2 * pi() * j * k / {w})), 2)) * CASE WHEN k = 0 OR 2 * k = {w} THEN 1 ELSE 2 END AS p
+  FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * j / {w}) AS g FROM p), range(0, {half}) AS r(k) GROUP BY symbol, seq, k),
+s1 AS (SELECT symbol, seq, p / (sum(p) OVER (PARTITION BY symbol, seq) + {e}) AS p FROM s0), s AS (SELECT symbol, seq, -sum(p * log2(p + {e})) / log2({half}) AS se FROM s1 GROUP BY ALL),
+t0 AS (SELECT symbol, seq, j, sign(x - lag(x) OVER (PARTITION BY symbol, seq ORDER BY j)) AS g FROM p), t1 AS (SELECT symbol, seq, g <> lag(g) OVER (PARTITION BY symbol, seq ORDER BY j) AS c FROM t0),
+t AS (SELECT symbol, seq, 1 - count(*) FILTER (WHERE c) / ({w} - 2 + {e}) AS ts FROM t1 GROUP BY ALL),
+q AS MATERIALIZED (SELECT b.symbol, b.seq, least(b.seq, {w}) AS n, a.seq - greatest(b.seq - {w}, 0) - 1 AS j, a."Close" AS x FROM bars AS b JOIN bars AS a ON a.symbol = b.symbol AND a.seq > b.seq - {w} AND a.seq <= b.seq WHERE b.seq > 5),
+l0 AS (SELECT a.symbol, a.seq, k, a.j % k AS m, any_value(a.n) AS n, sum(abs(b.x - a.x)) AS s FROM q AS a, range(1, 6) AS r(k), q AS b WHERE b.symbol = a.symbol AND b.seq = a.seq AND b.j = a.j + k GROUP BY ALL),
+l1 AS (SELECT symbol, seq, k, sum(s * (n - 1) / ((n - m) // k * k + {e})) / k AS l FROM l0 GROUP BY symbol, seq, k),
+l AS (SELECT symbol, seq, CASE WHEN min(l) > 0 THEN regr_slope(ln(nullif(l, 0)), ln(k)) END AS fd FROM l1 GROUP BY ALL)
+SELECT {_rounded(**{f"spectral_entropy_{w}": "se", f"trend_stability_{w}": "ts", f"fractal_dim_{w}": "fd", f"signal_complexity_{w}": "se * ts * (fd - 1)"})} FROM bars LEFT JOIN s USING (symbol, seq) LEFT JOIN t USING (symbol, seq) LEFT JOIN l USING (symbol, seq)"""
+
+
+def liquidity_distance(bars: str, window: int) -> str:
+    return f"""WITH bars AS ({bars}), c AS (SELECT b.symbol, b.seq, round(a."Close", 2) AS v, count(*) AS n, min(a.seq) AS first FROM bars AS b JOIN bars AS a ON a.symbol = b.symbol AND a.seq < b.seq AND a.seq >= b.seq - {window} WHERE b.seq > {window} GROUP BY ALL),
+m AS (SELECT symbol, seq, v AS m FROM c QUALIFY row_number() OVER (PARTITION BY symbol, seq ORDER BY n DESC, first) = 1)
+SELECT {_rounded(liq_distance='CASE WHEN m IS NOT NULL THEN greatest(-1, least(1, ("Close" - m) / (m + 1e-8))) END')} FROM bars LEFT JOIN m USING (symbol, seq)"""
+
+
+def line_distance(bars: str, long: int, short: int, seg: int, span: int, support: bool = False) -> str:
+    """A line by least squares through the extreme of the rows before and the extremes of the whole segments after it."""
+    x, fn, arg, default, name = ('"Low"', "min", "ASC", -1, "support_slope_dist") if support else ('"High"', "max", "DESC", 1, "resistance_slope_dist")
+    worse = ">=" if support else "<="
+    return f"""WITH bars AS ({bars}), {_ema("e", "bars", '"Close"', span)},
+w AS MATERIALIZED (SELECT b.symbol, b.seq, a.seq - b.seq + {long} AS j, a.{x} AS x FROM bars AS b JOIN bars AS a ON a.symbol = b.symbol AND a.seq < b.seq AND a.seq >= b.seq - {long} WHERE b.seq > {long}),
+k AS (SELECT symbol, seq, first(j ORDER BY x {arg}, j) AS peak, {fn}(x) AS far, {fn}(x) FILTER (WHERE j >= {long - short}) AS near FROM w GROUP BY ALL),
+ok AS (SELECT *, ({long} - peak - 1) // {seg} AS segments FROM k WHERE NOT far {worse} near AND peak < {long - seg} AND ({long} - peak - 1) // {seg} >= 2),
+s AS (SELECT w.symbol, w.seq, (j - peak - 1) // {seg} + 1 AS t, {fn}(x) AS y, any_value(segments) AS n FROM w JOIN ok USING (symbol, seq) WHERE j > peak AND j <= peak + segments * {seg} GROUP BY ALL UNION ALL SELECT symbol, seq, 0, far, segments FROM ok),
+r AS (SELECT symbol, seq, regr_slope(y, t) * any_value(n) + regr_intercept(y, t) AS level FROM s GROUP BY symbol, seq)
+SELECT {_rounded(**{name: f"CASE WHEN level IS NULL THEN {default} ELSE greatest(-1, least(1, (e - level) / (abs(level) + 1e-8))) END"})} FROM {_join("bars", ["e"])} LEFT JOIN r USING (symbol, seq)"""
+
+
+def support_resistance(bars: str, window: int, look: int, vol: int, tolerance: float) -> str:
+    before, after = look // 2, (look - 1) // 2
+    frame = f"(PARTITION BY symbol ORDER BY seq ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING)"
+    weight = "pow(1 - 1.0::DOUBLE / 200, b.seq - a.seq)"
+    flag = lambda c: f"coalesce(max(({c})::INT), 0)"
+    return f"""WITH {_tr(bars)},
+k AS (SELECT b.symbol, b.seq, sum({weight} * a.tr) / sum({weight}) AS atr FROM t AS b JOIN t AS a ON a.symbol = b.symbol AND a.seq <= b.seq AND a.seq > 1 WHERE b.seq > 200 GROUP BY b.symbol, b.seq),
+d AS (SELECT *, CASE WHEN "Close" > "Open" THEN "Volume" WHEN "Close" < "Open" THEN -"Volume" ELSE 0 END AS delta, "Low" = min("Low") OVER {frame} AND count(*) OVER {frame} = {look} AS lo, "High" = max("High") OVER {frame} AND count(*) OVER {frame} = {look} AS hi FROM bars),
+v AS (SELECT symbol, seq, "Close" AS c, atr, max(delta) OVER l AS vh, min(delta) OVER l AS vl FROM d LEFT JOIN k USING (symbol, seq) WINDOW l AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN {vol} PRECEDING AND 1 PRECEDING)),
+s AS (SELECT v.symbol, v.seq, {flag(f"lo AND delta > vh AND abs(c - p.\"Low\") / (p.\"Low\" + 1e-8) <= {tolerance}")} AS ns, {flag(f"hi AND delta < vl AND abs(c - p.\"High\") / (p.\"High\" + 1e-8) <= {tolerance}")} AS nr,
+  {flag('lo AND delta > vh AND p."Low" <= c AND c <= p."Low" + atr')} AS bs, {flag('hi AND delta < vl AND p."High" - atr <= c AND c <= p."High"')} AS br
+  FROM v JOIN d AS p ON p.symbol = v.symbol AND p.seq >= v.seq - {window - before} AND p.seq < v.seq - {after} AND (lo OR hi) WHERE v.seq > {window} GROUP BY ALL)
+SELECT symbol, seq, {", ".join(f"coalesce({a}, 0) + 0.0::DOUBLE AS {n}" for a, n in (("ns", "near_support_level"), ("nr", "near_resistance_level"), ("bs", "in_support_box"), ("br", "in_resistance_box")))} FROM bars LEFT JOIN s USING (symbol, seq)"""
+
+
+def parabolic_sar(bars: str, step: float, most: float) -> str:
+    """The trend, the stop, the extreme point and the step, row by row; a turn starts from the extreme point."""
+    return f"""WITH RECURSIVE bars AS ({bars}),
+b AS MATERIALIZED (SELECT symbol, seq, "High" AS h, "Low" AS l, lag("High") OVER w AS h1, lag("Low") OVER w AS l1, coalesce(lag("High", 2) OVER w, lag("High") OVER w) AS h2, coalesce(lag("Low", 2) OVER w, lag("Low") OVER w) AS l2, lead("High") OVER w AS hn, lead("Low") OVER w AS ln FROM bars WINDOW w AS {W}),
+s AS (
+  SELECT symbol, seq, NOT (l - ln > greatest(0, hn - h)) AS up, CASE WHEN NOT (l - ln > greatest(0, hn - h)) THEN l ELSE h END AS sar, CASE WHEN NOT (l - ln > greatest(0, hn - h)) THEN h ELSE l END AS ep, {step}::DOUBLE AS af, false AS shown FROM b WHERE seq = 1
+  UNION ALL
+  SELECT b.symbol, b.seq, s.up <> turn, CASE WHEN turn THEN e2 ELSE c2 END, CASE WHEN turn THEN CASE WHEN s.up THEN b.l ELSE b.h END ELSE e2 END, CASE WHEN turn THEN {step}::DOUBLE ELSE a2 END, true
+  FROM s JOIN b ON b.symbol = s.symbol AND b.seq = s.seq + 1,
+    LATERAL (SELECT s.sar + s.af * (s.ep - s.sar) AS c) AS x,
+    LATERAL (SELECT CASE WHEN s.up THEN b.l < c ELSE b.h > c END AS turn, CASE WHEN s.up THEN greatest(s.ep, b.h) ELSE least(s.ep, b.l) END AS e2,
+      CASE WHEN (s.up AND b.h > s.ep) OR (NOT s.up AND b.l < s.ep) THEN least({most}::DOUBLE, s.af + {step}::DOUBLE) ELSE s.af END AS a2, CASE WHEN s.up THEN least(c, b.l1, b.l2) ELSE greatest(c, b.h1, b.h2) END AS c2) AS y
+)
+SELECT symbol, seq, CASE WHEN abs(y) >= 1e9 THEN round(y, -6) ELSE round(y, 6) END + 0.0 AS parabolic_sar_norm FROM (SELECT bars.symbol, bars.seq, CASE WHEN up AND shown THEN (sar - "Low") / ("High" - "Low" + 1e-8) END AS y FROM bars LEFT JOIN s USING (symbol, seq))"""
+
+
+def kagi(bars: str, taps: int, base: int, vortex: int) -> str:
+    """The reversal line and the drifting baseline row by row; the smoothing is the quadratic's value by its fixed weights."""
+    import numpy as np
+
+    m = taps // 2
+    at = np.arange(-m, m + 1)
+    fit = np.linalg.pinv(np.vander(at, 3))
+    weights = lambda p: (np.vander([p], 3) @ fit)[0].tolist()
+    sums = lambda p: " + ".join(f"{w!r}::DOUBLE * v[{k + 1}]" for k, w in enumerate(weights(p)))
+    smooth = "CASE " + " ".join(f"WHEN g = {p} THEN {sums(p)}" for p in range(-m, m + 1)) + " END"
+    scale = lambda c: f"({c} - {_full('min', c, 100)}) / ({_full('max', c, 100)} - {_full('min', c, 100)} + 1e-10)"
+    fill = lambda c: f"first_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    return f"""WITH RECURSIVE bars AS ({bars}),
+t AS (SELECT symbol, seq, "High" - "Low" AS r, ("High" + "Low") / 2 AS hl, CASE WHEN seq > 1 THEN greatest("High" - "Low", abs("High" - lag("Close") OVER w), abs("Low" - lag("Close") OVER w)) END AS tr, abs("High" - lag("Low") OVER w) AS vp, abs("Low" - lag("High") OVER w) AS vn, "Close" AS c FROM bars WINDOW w AS {W}),
+b AS MATERIALIZED (SELECT *, 1.5 * {_full("avg", "r", taps)} AS th, avg(hl) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN {base} PRECEDING AND 1 PRECEDING) AS bm, lag(hl, {base}) OVER {W} AS bl, {_full("avg", "hl", base)} AS b0,
+  {_full("sum", "vp", vortex)} / {_full("sum", "tr", vortex)} - {_full("sum", "vn", vortex)} / {_full("sum", "tr", vortex)} AS vx FROM t),
+k AS (SELECT symbol, seq, c AS line, true AS up FROM b WHERE seq = 1 UNION ALL
+  SELECT b.symbol, b.seq, CASE WHEN CASE WHEN k.up THEN b.c > k.line ELSE b.c < k.line END OR coalesce(abs(b.c - k.line) >= b.th, false) THEN k.line + (b.c - k.line) ELSE k.line END,
+    CASE WHEN NOT CASE WHEN k.up THEN b.c > k.line ELSE b.c < k.line END AND coalesce(abs(b.c - k.line) >= b.th, false) THEN NOT k.up ELSE k.up END FROM k JOIN b ON b.symbol = k.symbol AND b.seq = k.seq + 1),
+h AS (SELECT symbol, seq, b0 AS y FROM b WHERE seq = {base} UNION ALL SELECT b.symbol, b.seq, h.y + (b.bm - h.y) / {base} + 0.5 * (b.hl - b.bl) FROM h JOIN b ON b.symbol = h.symbol AND b.seq = h.seq + 1),
+n AS (SELECT *, max(seq) OVER (PARTITION BY symbol) AS n FROM k), g AS (SELECT symbol, seq, CASE WHEN seq <= {m} THEN seq - {m + 1} WHEN seq > n - {m} THEN seq - n + {m} ELSE 0 END AS g, least(greatest(seq, {m + 1}), n - {m}) AS mid FROM n),
+v AS (SELECT g.symbol, g.seq, any_value(g.g) AS g, list(k.line ORDER BY k.seq) AS v FROM g JOIN k ON k.symbol = g.symbol AND k.seq >= g.mid - {m} AND k.seq <= g.mid + {m} GROUP BY g.symbol, g.seq),
+a AS (SELECT b.symbol, b.seq, {smooth} AS ka, h.y AS th, vx FROM b JOIN v USING (symbol, seq) LEFT JOIN h USING (symbol, seq)),
+z AS (SELECT symbol, seq, 2 * {scale("ka")} - 1 AS z1, {scale("th")} AS z2, 2 * {scale("vx")} - 1 AS z3, 2 * {scale("(ka - th)")} - 1 AS z4 FROM a)
+SELECT {_rounded(kagi_conversion=fill("z1"), phase_baseline=fill("z2"), vortex_cloud=fill("z3"), kagi_phase_diff=fill("z4"))} FROM z"""
+
+
+def fft_phase(bars: str, window: int) -> str:
+    """The angle of the strongest positive frequency of the rows before, by the definition of the transform."""
+    return f"""WITH bars AS ({bars}), p AS MATERIALIZED (SELECT symbol, seq + 1 AS seq, j, x - avg(x) OVER (PARTITION BY symbol, seq) AS x FROM ({_pairs(window)})),
+f AS (SELECT symbol, seq, k, sum(x * cos(2 * pi() * j * k / {window})) AS re, -sum(x * sin(2 * pi() * j * k / {window})) AS im FROM p, range(1, {window // 2}) AS r(k) GROUP BY ALL),
+m AS (SELECT symbol, seq, arg_max(atan2(im, re), re * re + im * im) / pi() AS y FROM f GROUP BY ALL)
+SELECT {_rounded(fft_phase_position="y")} FROM bars LEFT JOIN m USING (symbol, seq)"""

@@ -59,6 +59,13 @@ def _plain(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select("symbol", "seq", *[(F.round(F.col(f"`{c}`").cast("double"), 3 if c in plain_sql.COARSE else 6) + F.lit(0.0)).alias(c) for c in columns])
 
 
+def add_parabolic_sar_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat bars divide by the epsilon alone; their values are told apart to a million."""
+    rows = OPERATORS["add_parabolic_sar_feature"](daily_bars(spark, sf_dir))
+    y = F.col("parabolic_sar_norm")
+    return rows.select("symbol", "seq", (F.when(F.abs(y) >= 1e9, F.round(y, -6)).otherwise(F.round(y, 6)) + F.lit(0.0)).alias("parabolic_sar_norm"))
+
+
 def _plain_sql(columns: list[str]) -> str:
     return "symbol, seq, " + ", ".join(f'round("{c}"::DOUBLE, 6) + 0.0 AS "{c}"' for c in columns)
 
@@ -280,12 +287,12 @@ def super_trend_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLAIN = (
     bars_daily, bars_hourly_by_type, bars_quarter_hour, completeness_gate, label_first_touch, label_first_touch_gated, label_grid_summary, rsi_htf_hour, sessions_and_distance,
     threshold_sweep, best_threshold, balanced_threshold, roc_auc, final_metrics, class_balance, top_correlated_pairs, linear_shap_importance, tree_shap_importance, grid_first_splits, grid_of_forests, main_features_labelled,
-    pca_of_windows, mutual_information, granger, api_pages, apply_indicators, adaptive_rsi, stochastic_rsi_smoothed, wave_phase_short, super_trend_fast, different_EMA_in_blocks,
+    pca_of_windows, mutual_information, granger, api_pages, apply_indicators, adaptive_rsi, stochastic_rsi_smoothed, wave_phase_short, super_trend_fast, different_EMA_in_blocks, add_parabolic_sar_feature,
 )
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in _PLAIN} | {name: _feature_query(*x) for name, x in FEATURES.items()}
+    return {name: _feature_query(*x) for name, x in FEATURES.items()} | {f.__name__: f for f in _PLAIN}
 
 
 # DuckDB ------------------------------------------------------------------------------------------------------------
@@ -484,6 +491,14 @@ SELECT f AS "Feature", round(x, 5) AS shap, round(100 * x / max(x) OVER (), 5) A
         "add_atr_normalized_rsi_weight": plain_sql.atr_rsi_weight(DAILY, (14, 24, 48), True, True, True, True, 14, 5),
         "atr_position": plain_sql.atr_position(DAILY, 700, 14, "Close"),
         "add_price_acceleration": plain_sql.price_acceleration(DAILY, 5),
+        "rolling_statistics": plain_sql.rolling_statistics(DAILY),
+        "add_structural_features": plain_sql.structural(DAILY, 100),
+        "add_liquidity_distance": plain_sql.liquidity_distance(DAILY, 1000),
+        "calculate_resistance_distance": plain_sql.line_distance(DAILY, 200, 20, 20, 9),
+        "calculate_support_distance": plain_sql.line_distance(DAILY, 200, 20, 20, 9, support=True),
+        "add_support_resistance_features": plain_sql.support_resistance(DAILY, 1000, 20, 2, 0.01),
+        "add_parabolic_sar_feature": plain_sql.parabolic_sar(DAILY, 0.02, 0.2),
+        "kagi_conversion_line": plain_sql.kagi(DAILY, 9, 26, 14),
     }
     pos = "count(*) FILTER (WHERE a.\"Close\" < b.\"Close\") + (count(*) FILTER (WHERE a.\"Close\" = b.\"Close\") + 1) / 2.0"
     out["quantile_position"] = f"""WITH bars AS ({DAILY}) SELECT b.symbol, b.seq, CASE WHEN count(*) = 700 THEN round(2 * (({pos}) / 700 - 0.5), 6) + 0.0 END AS quantile_position
