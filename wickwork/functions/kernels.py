@@ -94,25 +94,25 @@ def seeded_after(state: list[float], count: int, s: float, head: list[float], n:
     return [1, fade * start + alpha * (s - fade * early)]
 
 
+def super_trend_step(close: float, up: float, lo: float, state: tuple[float, float], first: bool) -> tuple[float, float]:
+    """The trailing level and the direction after a bar, from those before it."""
+    if first:
+        return (lo, 1.0) if not close < up else (up, -1.0)
+    last, way = state
+    if way > 0:
+        at = lo if not last > lo else last
+        return (up, -1.0) if close < at else (at, 1.0)
+    at = up if not last < up else last
+    return (lo, 1.0) if close > at else (at, -1.0)
+
+
 def super_trend(close: np.ndarray, upper: np.ndarray, lower: np.ndarray, period: int) -> np.ndarray:
     """The trailing level and the direction, +1 or -1 (0 before the first), as two rows."""
     n = len(close)
     level, way = np.full(n, np.nan), np.zeros(n)
-    for i in range(period, n):
-        up, lo = upper[i], lower[i]
-        if i == period:
-            rising = not close[i] < up
-            level[i], way[i] = (lo, 1) if rising else (up, -1)
-            continue
-        last = level[i - 1]
-        if way[i - 1] > 0:
-            at = lo if not last > lo else last
-            fell = close[i] < at
-            level[i], way[i] = (up, -1) if fell else (at, 1)
-        else:
-            at = up if not last < up else last
-            rose = close[i] > at
-            level[i], way[i] = (lo, 1) if rose else (at, -1)
+    state = (np.nan, 0.0)
+    for i, (c, up, lo) in enumerate(zip(close[period:].tolist(), upper[period:].tolist(), lower[period:].tolist(), strict=True), period):
+        level[i], way[i] = state = super_trend_step(c, up, lo, state, i == period)
     return np.stack([level, way])
 
 
@@ -155,31 +155,42 @@ def theta(x: np.ndarray, period: int) -> np.ndarray:
     return out
 
 
+def psar_step(high: float, low: float, before: list[tuple], state: tuple | None, step: float, most: float) -> tuple[tuple | None, float]:
+    """(up, sar, extreme point, step size) after a bar, and the stop if the trend is up, else nan.
+
+    ``before`` are the last bars (high, low, ...), the newest last; the first bar only waits for the second.
+    """
+    if not before:
+        return None, np.nan
+    h1, l1 = before[-1][:2]
+    h2, l2 = before[-2][:2] if len(before) > 1 else (h1, l1)
+    if state is None:
+        up = not (l1 - low > max(0.0, high - h1))
+        state = (True, l1, h1, step) if up else (False, h1, l1, step)
+    up, sar, ep, af = state
+    sar += af * (ep - sar)
+    if up:
+        turn = low < sar
+        if high > ep:
+            ep, af = high, min(most, af + step)
+        sar = min(sar, l1, l2)
+    else:
+        turn = high > sar
+        if low < ep:
+            ep, af = low, min(most, af + step)
+        sar = max(sar, h1, h2)
+    if turn:
+        up, sar, af = not up, ep, step
+        ep = high if up else low
+    return (up, sar, ep, af), sar if up else np.nan
+
+
 def psar_long(high: np.ndarray, low: np.ndarray, step: float, most: float) -> np.ndarray:
     """Parabolic SAR where the trend is up, else null."""
-    n = len(high)
-    out = np.full(n, np.nan)
-    if n < 2:
-        return out
-    up = not (low[0] - low[1] > max(0.0, high[1] - high[0]))
-    sar, ep, af = (low[0], high[0], step) if up else (high[0], low[0], step)
-    for i in range(1, n):
-        sar += af * (ep - sar)
-        if up:
-            turn = low[i] < sar
-            if high[i] > ep:
-                ep, af = high[i], min(most, af + step)
-            sar = min(sar, low[i - 1], low[max(0, i - 2)])
-        else:
-            turn = high[i] > sar
-            if low[i] < ep:
-                ep, af = low[i], min(most, af + step)
-            sar = max(sar, high[i - 1], high[max(0, i - 2)])
-        if turn:
-            up, sar, af = not up, ep, step
-            ep = high[i] if up else low[i]
-        if up:
-            out[i] = sar
+    out, state, before = np.full(len(high), np.nan), None, []
+    for i, (h, lo) in enumerate(zip(high.tolist(), low.tolist(), strict=True)):
+        state, out[i] = psar_step(h, lo, before, state, step, most)
+        before = [*before[-1:], (h, lo)]
     return out
 
 

@@ -98,3 +98,20 @@ def importance_table(importance: DataFrame) -> DataFrame:
     every = Window.partitionBy()
     out = importance.withColumn("SHAP_%", 100 * F.col("SHAP_Importance") / F.max("SHAP_Importance").over(every)).withColumn("Rank", F.row_number().over(order))
     return out.withColumn("Cumulative_SHAP_%", F.sum("SHAP_%").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def plot_feature_pairplot(df: DataFrame, features: list[str], target: str = "target", bins: int = 20) -> DataFrame:
+    """(a, b, target, bin_a, bin_b, n): how many rows of each class lie where, for every pair of features; what a plot of pairs shows.
+
+    A feature with itself is its own histogram (bin_a = bin_b). Bins are equally wide between a feature's least and
+    greatest value; a constant feature has one bin. Rows with a null in a feature or the target are left out. The ranges are
+    one pass, and all pairs one aggregate over rows that carry their bins only.
+    """
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{k}") for k, c in enumerate(features)], F.col(target).alias("target")).na.drop()
+    ranges = rows.agg(*[f(f"x{k}").alias(f"{n}{k}") for k in range(len(features)) for n, f in (("lo", F.min), ("hi", F.max))])
+    # One row of ranges.
+    place = lambda k: F.least(F.coalesce(F.floor(F.try_divide(F.col(f"x{k}") - F.col(f"lo{k}"), F.col(f"hi{k}") - F.col(f"lo{k}")) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+    placed = rows.crossJoin(F.broadcast(ranges)).select("target", *[place(k).alias(f"b{k}") for k in range(len(features))])
+    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
+    each = F.explode(F.array(*[F.struct(F.lit(features[i]).alias("a"), F.lit(features[j]).alias("b"), F.col(f"b{i}").alias("bin_a"), F.col(f"b{j}").alias("bin_b")) for i, j in pairs]))
+    return placed.select("target", each.alias("p")).groupBy("p.a", "p.b", "target", "p.bin_a", "p.bin_b").agg(F.count(F.lit(1)).alias("n"))

@@ -7,10 +7,17 @@ objects.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sql import clip, div, median, num, over
+from ..plans.blocks import BLOCK, ROW, numbered
 from ..plans.levels import VIEWS
-from .base import Feature, K, Rec, ewm, operator
+from ..plans.tables import written
+from .base import OPERATORS, Feature, K, Rec, ewm, operator
 
 E10 = 1e-10
 # What the kernels of this file look back.
@@ -203,34 +210,79 @@ def add_close_window_columns(window: int = 60, price_col: str = "Close") -> Feat
     return f.out(**{f"close_win_{k}": f"2 * ((_x{k} - _lo) / (_hi - _lo + {num(1e-8)})) - 1" for k in range(window)})
 
 
-def _pca(x: np.ndarray, window: int, components: int) -> np.ndarray:
-    """The first components of the scaled windows before each row, a row each; nan while a window is short.
+#: Rows of a block of windows; each block leaves the sums of its windows' products.
+PCA_ROWS = 8192
 
-    The covariance is summed over blocks of windows, so they are never all in memory. A component's largest weight is
-    positive.
-    """
-    out = np.full((components, len(x)), np.nan)
-    n = len(x) - window
-    if n < 2:
-        return out
-    view = np.lib.stride_tricks.sliding_window_view(x[:-1], window)
-
-    def blocks():
-        for lo in range(0, n, 512):
-            v = view[lo : lo + 512]
-            low, high = v.min(1, keepdims=True), v.max(1, keepdims=True)
-            yield lo, 2 * (v - low) / (high - low + 1e-8) - 1
-
-    mean = sum(b.sum(0) for _, b in blocks()) / n
-    gram = sum((b - mean).T @ (b - mean) for _, b in blocks())
-    axes = np.linalg.eigh(gram)[1][:, ::-1][:, :components]
-    axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
-    for lo, b in blocks():
-        out[: axes.shape[1], window + lo : window + lo + len(b)] = ((b - mean) @ axes).T
-    return out
 
+def _scaled_windows(x: np.ndarray, window: int):
+    """Blocks of the windows before each row from row ``window`` on, each window scaled to -1..1."""
+    view = np.lib.stride_tricks.sliding_window_view(x[:-1], window) if len(x) > window else np.zeros((0, window))
+    for lo in range(0, len(view), 512):
+        v = view[lo : lo + 512]
+        low, high = v.min(1, keepdims=True), v.max(1, keepdims=True)
+        yield lo, 2 * (v - low) / (high - low + 1e-8) - 1
 
-@operator
-def add_close_window_norm_pca(window: int = 700, n_components: int = 5, price_col: str = "Close") -> Feature:
-    """The first components of a symbol's scaled windows, fitted to all of them (it looks ahead); null while a window is short."""
-    return Feature(causal=False).out(**{f"close_pca_{i}": Rec(_pca, (price_col,), (window, n_components), i) for i in range(n_components)})
+
+def add_close_window_norm_pca(df: DataFrame, window: int = 700, n_components: int = 5, price_col: str = "Close") -> DataFrame:
+    """``close_pca_0`` and on: the first components of a symbol's scaled windows, fitted to all of them (it looks ahead); null while a window is short.
+
+    Windows are taken by blocks of rows, each with the rows before it. A block leaves the sums of its windows and of their
+    products, row by row of the matrix; what comes together for a symbol is one matrix of window by window. A component's
+    largest weight is positive.
+    """
+    names = [f"close_pca_{i}" for i in range(n_components)]
+    size = max(PCA_ROWS, 4 * window)
+    kept = [f for f in df.schema.fields if f.name not in names]
+    rows = numbered(df.select(*[f"`{f.name}`" for f in kept]).withColumn("__x", F.col(f"`{price_col}`").cast("double")))
+    rows = written(rows.withColumn(BLOCK, F.explode(F.expr(f"sequence({ROW} div {size}, ({ROW} + {window}) div {size})"))), "windows")
+    kind = df.schema["symbol"].dataType.simpleString()
+
+    def ordered(table: pa.Table) -> tuple[np.ndarray, int]:
+        """The block's values after those before it, and how many come before."""
+        at = table.column(ROW).to_numpy()
+        return table.column("__x").to_numpy(), int((at < table.column(BLOCK)[0].as_py() * size).sum())
+
+    def moments(table: pa.Table) -> pa.Table:
+        table = table.sort_by(ROW)
+        x, _ = ordered(table)
+        n, total, gram = 0, np.zeros(window), np.zeros((window, window))
+        for _, v in _scaled_windows(x, window):
+            n, total, gram = n + len(v), total + v.sum(0), gram + v.T @ v
+        some = window if n else 0
+        return pa.table({"symbol": pa.array([table.column("symbol")[0].as_py()] * some, table.schema.field("symbol").type), "i": pa.array(range(some), pa.int32()), "n": pa.array([n] * some, pa.int64()), "total": pa.array(total[:some]), "line": pa.array(gram[:some].tolist(), pa.list_(pa.float64()))})
+
+    def summed(table: pa.Table) -> pa.Table:
+        line = np.array(table.column("line").to_pylist()).sum(0)
+        return pa.table({"symbol": table.column("symbol").slice(0, 1), "i": table.column("i").slice(0, 1), "n": pa.array([pc.sum(table.column("n")).as_py()], pa.int64()), "total": pa.array([pc.sum(table.column("total")).as_py()]), "line": pa.array([line.tolist()], pa.list_(pa.float64()))})
+
+    def fitted(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        n, mean = table.column("n")[0].as_py(), table.column("total").to_numpy() / table.column("n")[0].as_py()
+        axes = np.linalg.eigh(np.array(table.column("line").to_pylist()) - n * np.outer(mean, mean))[1][:, ::-1][:, :n_components]
+        axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
+        enough = n >= 2
+        return pa.table({"symbol": table.column("symbol").slice(0, int(enough)), "mean": pa.array([mean.tolist()][: int(enough)], pa.list_(pa.float64())), "axes": pa.array([axes.T.ravel().tolist()][: int(enough)], pa.list_(pa.float64()))})
+
+    sums = f"symbol {kind}, i int, n long, total double, line array<double>"
+    parts = rows.select("symbol", ROW, BLOCK, "__x").groupBy("symbol", BLOCK).applyInArrow(moments, sums)
+    fit = written(parts.groupBy("symbol", "i").applyInArrow(summed, sums).groupBy("symbol").applyInArrow(fitted, f"symbol {kind}, mean array<double>, axes array<double>"), "window-axes")
+    begin = rows.select(F.col("symbol").alias("of"), F.col(BLOCK).alias("no")).distinct().join(fit, F.col("of") == fit["symbol"]).drop("symbol")
+
+    def projected(table: pa.Table, given: pa.Table) -> pa.Table:
+        table = table.sort_by(ROW)
+        x, before = ordered(table)
+        out = np.full((n_components, len(x)), np.nan)
+        if given.num_rows:
+            mean, axes = np.array(given.column("mean")[0].as_py()), np.array(given.column("axes")[0].as_py()).reshape(-1, window)
+            for lo, v in _scaled_windows(x, window):
+                out[: len(axes), window + lo : window + lo + len(v)] = axes @ (v - mean).T
+        table = table.select([f.name for f in kept])
+        for name, y in zip(names, out, strict=True):
+            table = table.append_column(name, pa.array(y, pa.float64(), mask=np.isnan(y)))
+        return table.slice(before)
+
+    schema = T.StructType([*kept, *[T.StructField(n, T.DoubleType()) for n in names]])
+    return rows.groupBy("symbol", BLOCK).cogroup(begin.groupBy("of", "no")).applyInArrow(projected, schema)
+
+
+OPERATORS["add_close_window_norm_pca"] = add_close_window_norm_pca

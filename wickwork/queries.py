@@ -235,6 +235,18 @@ def pca_of_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(add_close_window_norm_pca(daily_bars(spark, sf_dir), window=60, n_components=3), ["close_pca_0", "close_pca_1", "close_pca_2"])
 
 
+def add_close_window_norm_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(OPERATORS["add_close_window_norm_pca"](daily_bars(spark, sf_dir)), [f"close_pca_{k}" for k in range(5)])
+
+
+PAIRPLOT = ["bb_z_20", "bb_width_20", "Volume"]
+
+
+def feature_pairplot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = add_target_column_mod(OPERATORS["add_bollinger_features"](daily_bars(spark, sf_dir)), 20, 0.04, 2.0)
+    return evaluate.plot_feature_pairplot(rows, PAIRPLOT, bins=12)
+
+
 def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.select import explain_model_mutual_info
 
@@ -287,7 +299,7 @@ def super_trend_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLAIN = (
     bars_daily, bars_hourly_by_type, bars_quarter_hour, completeness_gate, label_first_touch, label_first_touch_gated, label_grid_summary, rsi_htf_hour, sessions_and_distance,
     threshold_sweep, best_threshold, balanced_threshold, roc_auc, final_metrics, class_balance, top_correlated_pairs, linear_shap_importance, tree_shap_importance, grid_first_splits, grid_of_forests, main_features_labelled,
-    pca_of_windows, mutual_information, granger, api_pages, apply_indicators, adaptive_rsi, stochastic_rsi_smoothed, wave_phase_short, super_trend_fast, different_EMA_in_blocks, add_parabolic_sar_feature,
+    pca_of_windows, mutual_information, granger, api_pages, apply_indicators, adaptive_rsi, stochastic_rsi_smoothed, wave_phase_short, super_trend_fast, different_EMA_in_blocks, add_parabolic_sar_feature, add_close_window_norm_pca, feature_pairplot,
 )
 
 
@@ -437,6 +449,16 @@ SELECT f AS "Feature", row_number() OVER (ORDER BY a DESC, f)::INT AS rank, CASE
   round(sum(100 * a / (SELECT max(a) FROM t)) OVER (ORDER BY a DESC, f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cumulative FROM t"""
 
 
+def _pairplot_sql() -> str:
+    at = lambda c: f'least(coalesce(floor((x."{c}" - r."lo_{c}") / nullif(r."hi_{c}" - r."lo_{c}", 0) * 12), 0), 11)::INT'
+    pairs = [(a, b) for i, a in enumerate(PAIRPLOT) for b in PAIRPLOT[i:]]
+    each = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, target, {at(a)} AS bin_a, {at(b)} AS bin_b FROM x, r" for a, b in pairs)
+    ranges = ", ".join(f'min("{c}") AS "lo_{c}", max("{c}") AS "hi_{c}"' for c in PAIRPLOT)
+    return f"""WITH bars AS ({DAILY}), {_label_sql("bars", "0.04::DOUBLE", "0.02::DOUBLE")},
+x AS MATERIALIZED (SELECT * FROM ({duckdb_sql(OPERATORS["add_bollinger_features"].feature(), DAILY, "*")}) JOIN labels USING (symbol, seq) WHERE {" AND ".join(f'"{c}" IS NOT NULL' for c in PAIRPLOT)}), r AS (SELECT {ranges} FROM x)
+SELECT a, b, target, bin_a, bin_b, count(*) AS n FROM ({each}) GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
     scored = _bollinger_scored()
     corr = " UNION ALL ".join(f"""SELECT '{a}' AS a, '{b}' AS b, abs(corr("{a}", "{b}")) AS r FROM rows""" for i, a in enumerate(_CORRELATED) for b in _CORRELATED[i + 1 :])
@@ -465,6 +487,7 @@ def oracle_sql() -> dict[str, str]:
 s AS (SELECT {parts} FROM full_rows, means), t AS ({" UNION ALL ".join(f"SELECT '{c}' AS f, s_{c} AS x FROM s" for c in three)})
 SELECT f AS "Feature", round(x, 5) AS shap, round(100 * x / max(x) OVER (), 5) AS percent, round(sum(100 * x / (SELECT max(x) FROM t)) OVER (ORDER BY x DESC, f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 5) AS cumulative, row_number() OVER (ORDER BY x DESC, f)::INT AS rank FROM t""",
         "tree_shap_importance": _tree_shap_sql(),
+        "feature_pairplot": _pairplot_sql(),
         "grid_first_splits": _first_splits_sql(),
         "main_features_labelled": _main_sql(),
         "adaptive_rsi": plain_sql.adaptive_rsi(DAILY, 14, 14),
