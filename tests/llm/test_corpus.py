@@ -154,8 +154,8 @@ def test_pseudo_likelihood_is_that_of_the_definition(spark, monkeypatch):
         ws, value, unseen = plain_words(t), 0.0, 0
         near = [0, *[cls[w] for w in ws], 0]
         for w, x in zip(ws, zip(near, near[1:], near[2:], strict=False), strict=False):
-            k = ws.count(w)
-            value += float(model.table[x]) + np.log((counts[w] - k + 0.5) / (total[cls[w]] - k + 0.5 * (types[cls[w]] + 1)))
+            k, own = ws.count(w), sum(cls[v] == cls[w] for v in ws)
+            value += float(model.table[x]) + np.log((counts[w] - k + 0.5) / (total[cls[w]] - own + 0.5 * (types[cls[w]] + 1)))
             unseen += counts[w] == k
         want.append((i, len(ws), round(value, 3) + 0.0, unseen))
     got = pseudo_likelihood.score(df, model, vocab).collect()
@@ -166,6 +166,15 @@ def test_pseudo_likelihood_is_that_of_the_definition(spark, monkeypatch):
     assert pseudo_likelihood.score(df.limit(0), empty, none).count() == 0
 
 
+def test_what_is_left_of_a_class_sums_to_one():
+    """Words of one class with counts 10, 5 and 5, whatever the text takes out, and a share for unseen words."""
+    n = np.array([10.0, 5, 5, 0])
+    for own in ([10, 5, 0, 0], [0, 0, 0, 0], [1, 2, 3, 0]):
+        k = np.array(own, float)
+        p = np.exp(pseudo_likelihood.word_log_probability(n, k, n.sum(), k.sum(), 3))
+        assert p.sum() == pytest.approx(1)
+
+
 def test_gradients_of_the_window_network():
     rng = np.random.default_rng(5)
     by_context = rng.integers(0, 4, (7, 7, 7)).astype(float)

@@ -3,8 +3,9 @@
 Every word is predicted from both sides, in two steps. A bidirectional window network predicts the word's class from
 the words around it: an embedding of each neighbour, a hidden layer, a softmax. The word within its class is then
 predicted from how often each word of the corpus occurs: the vocabulary is a Spark table with a row for every distinct
-word, so it grows with the corpus. A text's own occurrences are taken out of the counts before it is scored, as is usual
-for a likelihood of texts that belong to the corpus: a word that no other text has is scored as an unseen word.
+word, so it grows with the corpus. All words of a text are taken out of these counts before it is scored, as is usual for
+a likelihood of texts that belong to the corpus: a word that no other text has is scored as an unseen word, and what is
+left of a class, with a share for words that nobody has, sums up to 1. The network is fitted to all texts, the scored one too.
 
 Frequent words are classes of their own; the others share classes by their endings, which tell languages and kinds of
 words apart. With a window of one class on either side the corpus enters the network's loss only through the counts of
@@ -253,13 +254,13 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     return model, vocab
 
 
-def word_log_probability(n, k, total, types):
-    """Of a word that occurs n times, k of them in the text itself, in a class of ``total`` occurrences of ``types`` words.
+def word_log_probability(n, k, total, own, types):
+    """Of a word that occurs n times, k of them in the text itself, in a class of ``total`` occurrences, ``own`` of them in the text, of ``types`` words.
 
-    Works on arrays and on columns: the text's own occurrences are taken out and an unseen word has PRIOR of them.
+    Works on arrays and on columns: all of the text's words are taken out, each word has PRIOR occurrences more, and so have unseen ones together.
     """
     log = np.log if isinstance(n, np.ndarray) else F.log
-    return log((n - k + PRIOR) / (total - k + PRIOR * (types + 1)))
+    return log((n - k + PRIOR) / (total - own + PRIOR * (types + 1)))
 
 
 def score(df: DataFrame, model: Model, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,31 +278,33 @@ def score(df: DataFrame, model: Model, vocab: DataFrame, id_col: str = "doc_id",
         own, words = shared.value, Words()
         table = own.table.reshape(-1)
         for batch in batches:
-            n_words, sums, unseen, rare_h, rare_k, rare_c = [], [], [], [], [], []
+            n_words, sums, unseen, rare_h, rare_k, rare_c, rare_own = [], [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 h, c = words.of(text)
                 c, _ = own.classes(h, c)
                 value = table[triples(c)].sum(dtype=np.float64)
+                of_class = np.bincount(c, minlength=CLASSES)
                 h, first, k = np.unique(h, return_index=True, return_counts=True)
                 c, n = own.classes(h, c[first])
                 known = n >= 0
-                value += (k[known] * word_log_probability(n[known].astype(float), k[known], own.total[c[known]], own.types[c[known]])).sum()
+                value += (k[known] * word_log_probability(n[known].astype(float), k[known], own.total[c[known]], of_class[c[known]], own.types[c[known]])).sum()
                 n_words.append(int(k.sum()))
                 sums.append(float(value))
                 unseen.append(int(k[known & (n <= k)].sum()))
                 rare_h.append(h[~known])
                 rare_k.append(k[~known].astype(np.int32))
                 rare_c.append(c[~known].astype(np.int16))
+                rare_own.append(of_class[c[~known]])
             ends = pa.array(np.cumsum([0, *map(len, rare_h)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), kind)) for x, kind in ((rare_h, pa.int64()), (rare_k, pa.int32()), (rare_c, pa.int16()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(sums, pa.float64()), pa.array(unseen, pa.int64()), *lists], names=["doc_id", "n_words", "known", "unseen", "h", "k", "c"])
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), kind)) for x, kind in ((rare_h, pa.int64()), (rare_k, pa.int32()), (rare_c, pa.int16()), (rare_own, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(sums, pa.float64()), pa.array(unseen, pa.int64()), *lists], names=["doc_id", "n_words", "known", "unseen", "h", "k", "c", "own"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    first = rows.mapInArrow(run, f"doc_id {kind}, n_words long, known double, unseen long, h array<long>, k array<int>, c array<smallint>")
+    first = rows.mapInArrow(run, f"doc_id {kind}, n_words long, known double, unseen long, h array<long>, k array<int>, c array<smallint>, own array<long>")
     first = written(first.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = first.select("row", F.explode(F.arrays_zip("h", "k", "c")).alias("w")).select("row", "w.h", "w.k", "w.c").join(vocab.select("h", "n"), "h")
-    sizes = F.lit([float(x) for x in model.total]), F.lit([float(x) for x in model.types])
-    value = F.col("k") * word_log_probability(F.col("n"), F.col("k"), *[F.get(x, F.col("c").cast("int")) for x in sizes])
+    rare = first.select("row", F.explode(F.arrays_zip("h", "k", "c", "own")).alias("w")).select("row", "w.h", "w.k", "w.c", "w.own").join(vocab.select("h", "n"), "h")
+    total, types = (F.get(F.lit([float(x) for x in v]), F.col("c").cast("int")) for v in (model.total, model.types))
+    value = F.col("k") * word_log_probability(F.col("n"), F.col("k"), total, F.col("own"), types)
     sums = rare.groupBy("row").agg(F.sum(value).alias("rare"), F.sum(F.when(F.col("n") <= F.col("k"), F.col("k")).otherwise(0)).alias("rare_unseen"))
     out = first.select("row", "doc_id", "n_words", "known", "unseen").join(sums, "row", "left")
     total = F.col("known") + F.coalesce("rare", F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,15 +59,33 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _bytes_of(value: Column, kind: T.DataType) -> Column | None:
+    """What a value takes besides its fixed part: strings, and all that is in structs, arrays and maps; None for plain values."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long")
+    if isinstance(kind, T.StructType):
+        parts = [p for f in kind.fields if (p := _bytes_of(value[f.name], f.dataType)) is not None]
+        return sum(parts, F.lit(16 * len(kind.fields)).cast("long"))
+    if isinstance(kind, T.MapType):
+        each = _bytes_of(F.map_entries(value), T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])))
+        return F.coalesce(each, F.lit(0).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        within = lambda x: _bytes_of(x, kind.elementType)
+        plain = F.lit(16).cast("long") * F.greatest(F.size(value), F.lit(0))
+        if within(F.lit(None).cast(kind.elementType)) is None:
+            return plain
+        return plain + F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(within(x), F.lit(0).cast("long"))), F.lit(0).cast("long"))
+    return None
+
+
 def size_of(df: DataFrame) -> int:
-    """About how many bytes ``df`` takes in memory: every row's fixed part, its strings and its arrays."""
-    size = F.lit(ROW_BYTES)
+    """About how many bytes ``df`` takes in memory: every row's fixed part, its strings, and what its structs, arrays and maps hold."""
+    size = F.lit(ROW_BYTES).cast("long")
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            size = size + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
-        elif isinstance(f.dataType, T.ArrayType):
-            size = size + 16 * F.greatest(F.size(f"`{f.name}`"), F.lit(0))
-    return df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+        part = _bytes_of(F.col(f"`{f.name}`"), f.dataType)
+        if part is not None:
+            size = size + F.coalesce(part, F.lit(0).cast("long"))
+    return df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
