@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import grid
 from .evaluate import threshold_sweep
+from .neighbours import neighbour_mutual_info
 from .label import add_target_column_mod
 
 
@@ -114,8 +115,11 @@ def explain_model_boruta(df: DataFrame, features: list[str], estimator=None, max
     return [c for c in features if c in kept]
 
 
-def explain_model_mutual_info(df: DataFrame, features: list[str], bins: int = 32) -> DataFrame:
-    """(Feature, MI): mutual information of the target and each feature cut at its quantiles, in nats."""
+def explain_model_mutual_info(df: DataFrame, features: list[str], bins: int | None = None, top_n: int | None = 20) -> DataFrame:
+    """(Feature, MI): mutual information of the target and each feature in nats, from nearest neighbours; with ``bins``, from features cut at their quantiles."""
+    if bins is None:
+        out = neighbour_mutual_info(df, features)
+        return out.limit(top_n) if top_n else out
     cuts = df.agg(*[F.percentile_approx(c, [i / bins for i in range(1, bins)], 10_000).alias(c) for c in features]).first()
 
     def bin_of(c: str):

@@ -247,11 +247,23 @@ def feature_pairplot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.plot_feature_pairplot(rows, PAIRPLOT, bins=12)
 
 
+def csv_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars written as CSV and loaded as the CSV entry point does: main features, label of 50 rows, rows of the warm-up removed."""
+    from .operators.pipelines import labelled_features
+    from .plans.tables import shared_path
+
+    path = shared_path(spark, "bars-csv")
+    bars = daily_bars(spark, sf_dir)
+    bars.filter("symbol = 'F'").select("Data", *B.PRICES).write.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    rows = labelled_features(B.read_csv(spark, path))
+    return rows.select("seq", "target", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("RSI21", "ema50_norm", "fib_dist_050_last50")])
+
+
 def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.select import explain_model_mutual_info
 
     rows = add_target_column_mod(OPERATORS["add_bollinger_features"](daily_bars(spark, sf_dir)))
-    return explain_model_mutual_info(rows, ["bb_z_20", "bb_width_20"])
+    return explain_model_mutual_info(rows, ["bb_z_20", "bb_width_20"]).select("Feature", F.round("MI", 6).alias("MI"))
 
 
 def granger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,7 +311,7 @@ def super_trend_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLAIN = (
     bars_daily, bars_hourly_by_type, bars_quarter_hour, completeness_gate, label_first_touch, label_first_touch_gated, label_grid_summary, rsi_htf_hour, sessions_and_distance,
     threshold_sweep, best_threshold, balanced_threshold, roc_auc, final_metrics, class_balance, top_correlated_pairs, linear_shap_importance, tree_shap_importance, grid_first_splits, grid_of_forests, main_features_labelled,
-    pca_of_windows, mutual_information, granger, api_pages, apply_indicators, adaptive_rsi, stochastic_rsi_smoothed, wave_phase_short, super_trend_fast, different_EMA_in_blocks, add_parabolic_sar_feature, add_close_window_norm_pca, feature_pairplot,
+    pca_of_windows, mutual_information, granger, api_pages, apply_indicators, adaptive_rsi, stochastic_rsi_smoothed, wave_phase_short, super_trend_fast, different_EMA_in_blocks, add_parabolic_sar_feature, add_close_window_norm_pca, feature_pairplot, csv_features,
 )
 
 
@@ -379,6 +391,14 @@ def _main_sql() -> str:
 SELECT target, count(*) AS n, {", ".join(f'round(avg("{c}"), 6) + 0.0 AS "{c}"' for c in cols)} FROM rows JOIN labels USING (symbol, seq) WHERE {there} GROUP BY target"""
 
 
+def _csv_sql() -> str:
+    there = " AND ".join(f'"{c}" IS NOT NULL' for c in OPERATORS["apply_main_indicators"].feature().outputs)
+    label = _label_sql("bars", "0.025::DOUBLE", "0.0125::DOUBLE").replace("b.seq + 20", "b.seq + 50")
+    bars = f"SELECT * FROM ({DAILY}) WHERE symbol = 'F'"
+    return f"""WITH bars AS ({bars}), rows AS ({plain_sql.main_indicators(bars)}), {label}
+SELECT seq, target, "RSI21", ema50_norm, fib_dist_050_last50 FROM rows JOIN labels USING (symbol, seq) WHERE {there}"""
+
+
 def _gated_sql() -> str:
     return f"""WITH bars AS ({DAILY}), g AS ({duckdb_sql(gates(), DAILY, "symbol, seq, _gate")}), {_label_sql("bars", "0.04::DOUBLE", "0.02::DOUBLE")}
 SELECT symbol, seq, CASE WHEN _gate = 1 THEN target ELSE 0 END AS target FROM labels JOIN g USING (symbol, seq)"""
@@ -449,6 +469,20 @@ SELECT f AS "Feature", row_number() OVER (ORDER BY a DESC, f)::INT AS rank, CASE
   round(sum(100 * a / (SELECT max(a) FROM t)) OVER (ORDER BY a DESC, f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cumulative FROM t"""
 
 
+def _mutual_info_sql(k: int = 3) -> str:
+    """All pairs of rows: the k-th nearest of the class, then how many of any class are nearer."""
+    psi = lambda n: f"(ln({n} + 8) - 1 / (2 * ({n} + 8)) - 1 / (12 * pow({n} + 8, 2)) + 1 / (120 * pow({n} + 8, 4)) - 1 / (252 * pow({n} + 8, 6)) + 1 / (240 * pow({n} + 8, 8)) - list_sum(list_transform(range(0, 8), lambda i: 1 / ({n} + i))))"
+    names = ("bb_z_20", "bb_width_20")
+    long = " UNION ALL ".join(f"SELECT '{c}' AS f, symbol, seq, target, \"{c}\" AS x FROM r WHERE \"{c}\" IS NOT NULL" for c in names)
+    return f"""WITH bars AS ({DAILY}), {_label_sql("bars", "0.04::DOUBLE", "0.02::DOUBLE")},
+r AS (SELECT * FROM ({duckdb_sql(OPERATORS["add_bollinger_features"].feature(), DAILY, "*")}) JOIN labels USING (symbol, seq)),
+l AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY f, symbol, seq) AS id, count(*) OVER (PARTITION BY f, target) AS size FROM ({long})),
+d AS (SELECT a.f, a.id, list_sort(min(abs(a.x - b.x), {k}))[least({k}, any_value(a.size) - 1)] AS radius FROM l AS a JOIN l AS b ON a.f = b.f AND a.target = b.target AND a.id <> b.id GROUP BY a.f, a.id),
+m AS (SELECT a.f, a.id, any_value(a.size)::DOUBLE AS size, least({k}, any_value(a.size) - 1)::DOUBLE AS k, count(*) FILTER (WHERE CASE WHEN radius > 0 THEN abs(a.x - b.x) < radius ELSE a.x = b.x END)::DOUBLE AS m
+  FROM l AS a JOIN d USING (f, id) JOIN l AS b ON a.f = b.f WHERE b.size > 1 GROUP BY a.f, a.id)
+SELECT f AS "Feature", round(greatest({psi("any_value(n)")} + avg({psi("k")}) - avg({psi("size")}) - avg({psi("m")}), 0), 6) AS "MI" FROM (SELECT *, (count(*) OVER (PARTITION BY f))::DOUBLE AS n FROM m) GROUP BY f"""
+
+
 def _pairplot_sql() -> str:
     at = lambda c: f'least(coalesce(floor((x."{c}" - r."lo_{c}") / nullif(r."hi_{c}" - r."lo_{c}", 0) * 12), 0), 11)::INT'
     pairs = [(a, b) for i, a in enumerate(PAIRPLOT) for b in PAIRPLOT[i:]]
@@ -488,6 +522,8 @@ s AS (SELECT {parts} FROM full_rows, means), t AS ({" UNION ALL ".join(f"SELECT
 SELECT f AS "Feature", round(x, 5) AS shap, round(100 * x / max(x) OVER (), 5) AS percent, round(sum(100 * x / (SELECT max(x) FROM t)) OVER (ORDER BY x DESC, f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 5) AS cumulative, row_number() OVER (ORDER BY x DESC, f)::INT AS rank FROM t""",
         "tree_shap_importance": _tree_shap_sql(),
         "feature_pairplot": _pairplot_sql(),
+        "mutual_information": _mutual_info_sql(),
+        "csv_features": _csv_sql(),
         "grid_first_splits": _first_splits_sql(),
         "main_features_labelled": _main_sql(),
         "adaptive_rsi": plain_sql.adaptive_rsi(DAILY, 14, 14),
