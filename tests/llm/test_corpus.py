@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -319,8 +320,54 @@ def test_pipeline_stages_do_what_their_operators_say(spark):
     assert {1000, 1001, 1002}.isdisjoint({r.doc_id for r in near.collect()}) and near.columns == docs.columns
     mixed = cp.mix(spark, docs, root)
     assert mixed.columns == docs.columns and 0 < mixed.count() < docs.count()
+    # Row by row: what each stage must keep, from the scores and by brute force, then the ids of the library.
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    model = toxicity.train(docs, spark.read.parquet(f"{root}/labels.parquet"))
+    left = [r for r in toxicity.with_score(docs, model, "p").collect() if r.p < 0.5]
+    bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    longest = {}
+    for r in left:
+        longest[bare(r.text)] = min(longest.get(bare(r.text), r), r, key=lambda r: (-len(r.text or ""), r.doc_id))
+    sets = {r.doc_id: set(zip(*((r.text or "").split()[i:] for i in range(5)), strict=False)) for r in longest.values()}
+    assert not any(a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0 for a in sets for b in sets)  # no near copies among them
+    kept = spark.createDataFrame(list(longest.values()), "doc_id long, text string, lang string, source string, n_chars long, p double").drop("p")
+    mixed = cp.mix(spark, kept, root).collect()
+    leaf = lambda r: (r.lang, r.source)
+    tokens = lambda r: -(-len((r.text or "").encode()) // 4)
+    order = lambda r: hashlib.md5(f"17:0:{r.doc_id}".encode()).hexdigest()
+    for g in {leaf(r) for r in longest.values()}:  # a prefix of the leaf's epoch
+        inside = sorted((r for r in longest.values() if leaf(r) == g), key=order)
+        got = {r.doc_id for r in mixed if leaf(r) == g}
+        assert {r.doc_id for r in inside[: len(got)]} == got
+    total = sum(map(tokens, longest.values()))
+    assert 0.9 * total - 5 <= sum(map(tokens, mixed)) < 0.9 * total + sum(max(tokens(r) for r in longest.values() if leaf(r) == g) for g in {leaf(r) for r in longest.values()})
+    library = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
     out = cp.run(spark, root)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == out.select("doc_id").distinct().count()
+    assert {r.doc_id: list(r.ids) for r in out.collect()} == {r.doc_id: library.encode_ordinary(r.text or "") for r in mixed} and out.count() == len(mixed)
+
+
+def test_pipeline_on_empty_and_clashing_tables(spark):
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, toxicity int, copies int, `row` int, digest string, label string, component string"
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    texts = ["one text of its own, long enough to be judged", "One text of its own, long enough to be judged", "another one", "another  one", None, "a third text"]
+    rows = [(i, t, "en", "src1", 1, i, i, i, "d", "l", "c") for i, t in enumerate(texts)]
+    for docs, most in ((spark.createDataFrame([], schema), 0), (spark.createDataFrame(rows, schema), 4)):
+        root = cp.scratch_path(spark, "pipe")
+        docs.write.parquet(f"{root}/documents.parquet")
+        labels.write.parquet(f"{root}/labels.parquet")
+        kept = cp.drop_toxic(spark, docs, root)
+        once = cp.drop_exact_copies(spark, kept, root)
+        near = cp.drop_near_copies(spark, once, root)
+        assert all(x.columns == docs.columns for x in (kept, once, near, cp.mix(spark, docs, root)))
+        assert sorted(r.doc_id for r in near.collect()) == [0, 3, 4, 5][:most]
+        out = cp.run(spark, root)
+        got = {r.doc_id for r in out.collect()}
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and got <= {0, 3, 4, 5} and bool(got) == bool(most)
 
 
 def test_exact_copies_go_by_row(spark):

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from .shared import written
 
 
-def min_label_components(edges: DataFrame) -> DataFrame:
+def min_label_components(edges: DataFrame, stored: bool = False) -> DataFrame:
     """(node, label): label is the smallest node of the component, for every node of ``edges`` (src, dst).
 
     Alternates the large-star and small-star steps until only stars are left. Each step is a grouped minimum, which is
     combined before the shuffle, and an equi-join back; neither gathers a node's neighbours. Each round is written to
-    the shared folder. Loops, repeated edges and nulls are ignored.
+    the shared folder. Loops, repeated edges and nulls are ignored. Edges that are ``stored`` already, so that reading them
+    again costs little, are not written once more.
     """
-    edges = edges.filter("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    edges = written(edges, "edges")
+    edges = edges.filter("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    edges = edges if stored else written(edges.distinct(), "edges")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))

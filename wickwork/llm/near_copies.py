@@ -196,9 +196,11 @@ def near_copies(df: DataFrame, text_col: str = "text", least: float = 0.8, width
         links = more if links is None else links.union(more)
         if last:
             break
-        labels = min_label_components(links)
+        labels = min_label_components(links, stored=True)
+        # What is joined so far goes on as one edge for each text, to the least of its component.
+        links = labels.filter("node != label").select(F.col("node").alias("src"), F.col("label").alias("dst"))
         labelled = labelled.drop("label", "large").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")).select("bucket", "key", "n", "label")
     if links is None:
         return df.sparkSession.createDataFrame([], "text_sha256 string, component string")
-    labels = written(min_label_components(links), "labels")
+    labels = min_label_components(links, stored=True)
     return labels.select(F.lower(F.hex("node")).alias("text_sha256"), F.lower(F.hex("label")).alias("component"))
