@@ -34,7 +34,8 @@ def _one_of_each(docs: DataFrame, digest: Column, groups: DataFrame) -> DataFram
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones, doesn't reject.
 
-    Null texts count as empty and stay; repeated rows are judged alike; without labels of both kinds, or without rows, all stay.
+    Null texts count as empty and stay; repeated rows are judged alike; very long texts are scored whole; without labels of
+    both kinds, or without rows, all stay.
     """
     bound_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -43,7 +44,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that are equal without white space, null ids included; null texts count as empty."""
+    """One row of each group of texts that are equal without white space, null ids included.
+
+    Null texts count as empty; very long ones are compared chunk by chunk; an empty table stays empty.
+    """
     bound_batches(spark)
     groups = exact_dedup.exact_groups(docs).filter("group_size > 1").groupBy("text_sha256").agg(F.first("keep_id").alias("keep_id"))
     digest = F.sha2(F.regexp_replace(text_or_empty(docs), r"[\x20\x09-\x0D]+", ""), 256)
@@ -55,7 +59,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Candidates are links of SimHash fingerprints, found by their Golay keys, and of MinHash bands; every link is verified.
 
-    Null and empty texts, and texts without words, are one group; of repeated rows one stays; an empty table stays empty.
+    Null and empty texts, and texts without words, are one group; of repeated rows one stays; very long texts are compared
+    with all their shingles; an empty table stays empty.
     """
     bound_batches(spark)
     digest = F.sha2(text_or_empty(docs), 256)
@@ -71,16 +76,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """At most one epoch of each source, nine tenths of all tokens, towards the target weights.
 
-    Null sources and languages are a leaf of their own; repeated rows of an id go or stay together.
+    Null sources and languages are a leaf of their own; repeated rows of an id go or stay together; very long texts count
+    with all their tokens, so that a prefix ends at most one text beyond its budget; an empty table stays empty.
     """
     copies = fresh(docs, "copies")
     return mixing.copies(docs, mix_tree(), MIX_WEIGHTS, budget_percent=90, max_epochs=1, seed=17, name=copies).filter(F.col(copies) > 0).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of what they decode to, a row for each row; null texts count as empty."""
+    """The ids of every text, how many they are, and digests of them and of what they decode to, a row for each row.
+
+    Null texts count as empty; very long ones are encoded whole; an empty table gives no rows.
+    """
     bound_batches(spark)
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -91,7 +100,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_bpe", encode),
 ]
 
-#: The classifier and the fingerprints have no SQL form; tests hold the result against brute force.
+#: The classifier and the fingerprints have no SQL form; tests hold the stages and run() against brute force.
 ORACLE_SQL = None
 
 
