@@ -26,6 +26,19 @@ CASES = {
     "calculate_support_distance": ((90, 12, 8, "Close", 5), plain_sql.line_distance(DAILY, 90, 12, 8, 5, support=True)),
     "add_support_resistance_features": ((120, 9, 3, 0.05), plain_sql.support_resistance(DAILY, 120, 9, 3, 0.05)),
     "kagi_conversion_line": ((7, 11, 9), plain_sql.kagi(DAILY, 7, 11, 9)),
+    "compute_rsi": ((9,), plain_sql.rsi_of_means(DAILY, 9)),
+    "compute_cmf": ((7,), plain_sql.money_flow(DAILY, 7)),
+    "add_liquidity_imbalance": ((6,), plain_sql.liquidity_imbalance(DAILY, 6)),
+    "add_tenkan_breakout": ((4,), plain_sql.tenkan_breakout(DAILY, 4)),
+    "add_false_breakout": ((3,), plain_sql.false_breakout(DAILY, 3)),
+    "add_h1_trend": ((30,), plain_sql.trend_of_mean(DAILY, 30)),
+    "add_macd": ((5, 11, 4, 30), plain_sql.macd(DAILY, 5, 11, 4, 30)),
+    "VW_MACD": ((5, 9, 3, False), plain_sql.volume_macd(DAILY, 5, 9, 3, False)),
+    "EWO": (("Close", 3, 14, False), plain_sql.oscillator_of_means(DAILY, 3, 14, False)),
+    "add_volume_features": ((8,), plain_sql.volume_features(DAILY, 8)),
+    "add_candle_vol_size_features": ((7,), plain_sql.candle_volume(DAILY, 7)),
+    "add_choppiness_index": ((25,), plain_sql.choppiness(DAILY, 25)),
+    "add_bollinger_features": ((11, 3.0), plain_sql.bollinger(DAILY, 11, 3.0)),
     "add_fft_phase_position": (("Close", 48), plain_sql.fft_phase(DAILY, 48)),
 }
 

@@ -285,6 +285,102 @@ a AS (SELECT *, d - lag(d) OVER {W} AS a FROM d), m AS (SELECT symbol, seq, {_fu
 SELECT {_rounded(Acceleration="CASE WHEN s > 0 THEN tanh(m / s) ELSE m * 0 END")} FROM m"""
 
 
+# Means, ranges and bands ---------------------------------------------------------------------------------------------
+
+
+def _shifted(fn: str, x: str, w: int) -> str:
+    """``fn`` over the w rows before."""
+    frame = f"(PARTITION BY symbol ORDER BY seq ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
+    return f"CASE WHEN count({x}) OVER {frame} = {w} THEN {fn}({x}) OVER {frame} END"
+
+
+def rsi_of_means(bars: str, period: int) -> str:
+    return f"""WITH bars AS ({bars}), d AS (SELECT symbol, seq, coalesce("Close" - lag("Close") OVER {W}, 0) AS d FROM bars),
+m AS (SELECT symbol, seq, {_full("avg", "greatest(d, 0)", period)} AS g, {_full("avg", "greatest(-d, 0)", period)} AS l FROM d)
+SELECT {_rounded(rsi_manual="100 - 100 / (1 + g / (l + 1e-8))")} FROM m"""
+
+
+def money_flow(bars: str, length: int) -> str:
+    return f"""WITH bars AS ({bars}), x AS (SELECT symbol, seq, "Volume" AS v, (2 * "Close" - "High" - "Low") / ("High" - "Low" + 1e-8) * "Volume" AS f FROM bars),
+m AS (SELECT symbol, seq, {_full("sum", "f", length)} AS f, {_full("sum", "v", length)} AS v FROM x)
+SELECT {_rounded(cmf_manual="f / (v + 1e-8)")} FROM m"""
+
+
+def liquidity_imbalance(bars: str, period: int) -> str:
+    return f"""WITH bars AS ({bars}), x AS (SELECT symbol, seq, ("Close" - "High" + ("Close" - "Low")) / ("High" - "Low" + 1e-10) * ln(1 + "Volume") AS x FROM bars)
+SELECT {_rounded(liq_imb="x / (m + 1e-10)")} FROM (SELECT *, {_full("max", "abs(x)", period)} AS m FROM x)"""
+
+
+def tenkan_breakout(bars: str, period: int) -> str:
+    return f"""WITH bars AS ({bars}), t AS (SELECT symbol, seq, "Close" AS c, ({_shifted("max", '"High"', period)} + {_shifted("min", '"Low"', period)}) / 2 AS t FROM bars),
+l AS (SELECT *, lag(c) OVER {W} AS c1, lag(t) OVER {W} AS t1 FROM t)
+SELECT {_rounded(tenkan_sen="t", tenkan_breakout="coalesce((c > t AND c1 <= t1)::INT, 0)")} FROM l"""
+
+
+def false_breakout(bars: str, window: int) -> str:
+    return f"""WITH bars AS ({bars}), r AS (SELECT symbol, seq, "Low", "Close", {_shifted("max", '"High"', window)} AS hi, {_shifted("min", '"Low"', window)} AS lo FROM bars)
+SELECT {_rounded(high_prev="hi", low_prev="lo", fake_bull='coalesce(("Low" < lo AND "Close" > lo)::INT, 0)')} FROM r"""
+
+
+def trend_of_mean(bars: str, period: int) -> str:
+    return f"""WITH bars AS ({bars}), m AS (SELECT symbol, seq, "Close" AS c, {_shifted("avg", '"Close"', period)} AS m FROM bars)
+SELECT {_rounded(h1_trend="CASE WHEN m IS NOT NULL THEN greatest(-1, least(1, (c - m) / (m + 1e-8))) END")} FROM m"""
+
+
+def macd(bars: str, fast: int, slow: int, signal: int, window: int) -> str:
+    return f"""WITH bars AS ({bars}), {_ema("a", "bars", '"Close"', fast)}, {_ema("b", "bars", '"Close"', slow)},
+m AS MATERIALIZED (SELECT symbol, seq, a - b AS m FROM {_join("bars", ["a", "b"])}), {_ema("s", "m", "m", signal)},
+h AS (SELECT symbol, seq, m - s AS h FROM {_join("m", ["s"])}), r AS (SELECT *, {_full("min", "h", window)} AS lo, {_full("max", "h", window)} AS hi FROM h)
+SELECT {_rounded(macd_norm="2 * (h - lo) / (hi - lo + 1e-8) - 1")} FROM r"""
+
+
+def volume_macd(bars: str, fast: int, slow: int, signal: int, normalize: bool) -> str:
+    """Before the averages exist, the first value counts; the scale is the largest value of a symbol."""
+    mean = lambda n: f"""{_full("sum", '"Close" * "Volume"', n)} / CASE WHEN {_full("sum", '"Volume"', n)} = 0 THEN 1e-8 ELSE {_full("sum", '"Volume"', n)} END"""
+    first = {c: f"coalesce({c}, first_value({c} IGNORE NULLS) OVER {W[:-1]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)" for c in "msh"}
+    top = {c: f" / (max(abs({c})) OVER (PARTITION BY symbol) + 1e-8)" if normalize else "" for c in "msh"}
+    return f"""WITH bars AS ({bars}), v AS MATERIALIZED (SELECT symbol, seq, {mean(fast)} - {mean(slow)} AS m FROM bars), {_ema("s", "v", "m", signal)},
+h AS (SELECT symbol, seq, m, s, m - s AS h FROM {_join("v", ["s"])}), f AS (SELECT symbol, seq, {", ".join(f"{x} AS {c}" for c, x in first.items())} FROM h)
+SELECT {_rounded(vw_macd="m" + top["m"], vw_signal="s" + top["s"], vw_hist="h" + top["h"])} FROM f"""
+
+
+def oscillator_of_means(bars: str, short: int, long: int, percent: bool) -> str:
+    mean = lambda n: f'avg("Close") OVER {_frame(n)}'
+    return f"""WITH bars AS ({bars}), m AS (SELECT symbol, seq, ({mean(short)} - {mean(long)}) {'/ nullif("Close", 0) * 100' if percent else ""} AS y FROM bars) SELECT {_rounded(EWO="y")} FROM m"""
+
+
+def volume_features(bars: str, w: int) -> str:
+    """The skewness is the bias-corrected one of the list of values."""
+    at = "list_sum(list_transform(l, lambda v: pow(v - m, {k})))"
+    skew = f"CASE WHEN {at.format(k=2)} / {w} > 1e-9 THEN {w} * sqrt({w} - 1.0::DOUBLE) / ({w} - 2) * {at.format(k=3)} / pow({at.format(k=2)}, 1.5) ELSE 0 END"
+    return f"""WITH bars AS ({bars}), l AS (SELECT symbol, seq, "Volume" AS v, list("Volume"::DOUBLE) OVER {_frame(w)} AS l FROM bars),
+m AS (SELECT symbol, seq, v, l, list_avg(l) AS m, list_median(l) AS md, list_stddev_samp(l) AS s FROM l WHERE len(l) = {w}),
+y AS (SELECT symbol, seq, greatest(-5, least(5, {skew})) / 5 AS k, greatest(0, least(5, s / (m + 1e-9))) / 5 AS c, greatest(0, least(3, (v - md) / (md + 1e-9))) / 3 AS p FROM m)
+SELECT {_rounded(**{f"volume_skew_{w}": "k", f"volume_volatility_{w}": "c", f"volume_spike_{w}": "p"})} FROM bars LEFT JOIN y USING (symbol, seq)"""
+
+
+def candle_volume(bars: str, w: int) -> str:
+    columns = {}
+    for name, x in (("prod", "p"), ("hmean", "h")):
+        y = f"({x} / ({x}m + 1e-8) / (v / (vm + vd + 1e-8) + 1e-8))"
+        columns |= {f"candle_vol_size_{name}": y, f"candle_vol_size_{name}_tanh": f"tanh({y})", f"candle_vol_size_{name}_log": f"sign({y}) * ln(1 + abs({y}))"}
+    return f"""WITH bars AS ({bars}), b AS (SELECT symbol, seq, "Volume" AS v, abs("Close" - "Open") AS body, "High" - "Low" AS full_size FROM bars),
+s AS (SELECT symbol, seq, v, body * full_size AS p, body * full_size / (body + full_size + 1e-8) AS h FROM b),
+m AS (SELECT *, {_full("avg", "p", w)} AS pm, {_full("avg", "h", w)} AS hm, {_full("avg", "v", w)} AS vm, {_full("median", "v", w)} AS vd FROM s)
+SELECT {_rounded(**columns)} FROM m"""
+
+
+def choppiness(bars: str, period: int) -> str:
+    y = f"(100 * log10((s + 1e-8) / (hi - lo + 1e-8)) / log10({period} + 1e-8) - 20) / (61.8 - 20)"
+    return f"""WITH {_tr(bars)}, m AS (SELECT symbol, seq, {_full("sum", "tr", period)} AS s, {_full("max", '"High"', period)} AS hi, {_full("min", '"Low"', period)} AS lo FROM t)
+SELECT {_rounded(**{f"choppiness_index_{period}": f"CASE WHEN s IS NOT NULL THEN greatest(0, least(1, {y})) END"})} FROM m"""
+
+
+def bollinger(bars: str, period: int, width: float) -> str:
+    return f"""WITH bars AS ({bars}), m AS (SELECT symbol, seq, "Close" AS c, {_full("avg", '"Close"', period)} AS m, {_full("stddev_samp", '"Close"', period)} AS s FROM bars)
+SELECT {_rounded(**{f"bb_z_{period}": "(c - m) / (s + 1e-8)", f"bb_width_{period}": f"(m + {width} * s - (m - {width} * s)) / (m + 1e-8)"})} FROM m"""
+
+
 # Windows, lines and state machines -----------------------------------------------------------------------------------
 
 

@@ -549,6 +549,19 @@ SELECT f AS "Feature", round(x, 5) AS shap, round(100 * x / max(x) OVER (), 5) A
         "add_close_window_columns": plain_sql.close_windows(DAILY, 60),
         "add_atr_normalized_rsi_weight": plain_sql.atr_rsi_weight(DAILY, (14, 24, 48), True, True, True, True, 14, 5),
         "atr_position": plain_sql.atr_position(DAILY, 700, 14, "Close"),
+        "compute_rsi": plain_sql.rsi_of_means(DAILY, 14),
+        "compute_cmf": plain_sql.money_flow(DAILY, 20),
+        "add_liquidity_imbalance": plain_sql.liquidity_imbalance(DAILY, 20),
+        "add_tenkan_breakout": plain_sql.tenkan_breakout(DAILY, 9),
+        "add_false_breakout": plain_sql.false_breakout(DAILY, 10),
+        "add_h1_trend": plain_sql.trend_of_mean(DAILY, 12),
+        "add_macd": plain_sql.macd(DAILY, 12, 26, 9, 100),
+        "VW_MACD": plain_sql.volume_macd(DAILY, 12, 26, 9, True),
+        "EWO": plain_sql.oscillator_of_means(DAILY, 5, 35, True),
+        "add_volume_features": plain_sql.volume_features(DAILY, 20),
+        "add_candle_vol_size_features": plain_sql.candle_volume(DAILY, 20),
+        "add_choppiness_index": plain_sql.choppiness(DAILY, 14),
+        "add_bollinger_features": plain_sql.bollinger(DAILY, 20, 2),
         "add_price_acceleration": plain_sql.price_acceleration(DAILY, 5),
         "rolling_statistics": plain_sql.rolling_statistics(DAILY),
         "add_structural_features": plain_sql.structural(DAILY, 100),
