@@ -39,6 +39,15 @@ CASES = {
     "add_candle_vol_size_features": ((7,), plain_sql.candle_volume(DAILY, 7)),
     "add_choppiness_index": ((25,), plain_sql.choppiness(DAILY, 25)),
     "add_bollinger_features": ((11, 3.0), plain_sql.bollinger(DAILY, 11, 3.0)),
+    "calculate_rsi_slope": ((9, 6, 3), plain_sql.rsi_slope(DAILY, 9, 6, 3)),
+    "fib_dist_050_last50": ((20, 0.1), plain_sql.middle_of_range(DAILY, 20, 0.1)),
+    "fibo_dinamic": ((40,), plain_sql.fibo(DAILY, 40)),
+    "compute_trix_elder": ((7, 12), plain_sql.trix_elder(DAILY, 7, 12)),
+    "compute_atr_trailing": ((5, 1.5), plain_sql.atr_trailing(DAILY, 5, 1.5)),
+    "add_hidden_divergence": ((6,), plain_sql.hidden_divergence(DAILY, 6)),
+    "add_rsi_divergence": ((7, 12), plain_sql.divergence_of_lows(DAILY, 7, 12)),
+    "Keltner_func": ((12, 1.25, 20, 2.5, 3), plain_sql.keltner(DAILY, 12, 1.25, 20, 2.5, 3)),
+    "bullish_volume_dominance_binary": ((4,), plain_sql.volume_dominance(DAILY, 4)),
     "add_fft_phase_position": (("Close", 48), plain_sql.fft_phase(DAILY, 48)),
 }
 
@@ -50,7 +59,7 @@ def test_other_settings(spark, name):
     same(spark, SF, lambda s, d: queries._plain(feature.add_to(queries.daily_bars(s, d)), feature.outputs), sql)
 
 
-@pytest.mark.parametrize("name", ["different_MA", "different_EMA", "different_EMA_binary", "add_all_features", "apply_main_indicators", "add_vwap_features_with_norm", "rolling_statistics", "add_parabolic_sar_feature"])
+@pytest.mark.parametrize("name", ["different_MA", "different_EMA", "different_EMA_binary", "add_all_features", "apply_main_indicators", "add_vwap_features_with_norm", "rolling_statistics", "add_parabolic_sar_feature", "VWAP", "VWAP_binary"])
 def test_registered_setting(spark, name):
     same(spark, SF, queries.queries()[name], queries.oracle_sql()[name])
 

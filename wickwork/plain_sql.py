@@ -381,6 +381,76 @@ def bollinger(bars: str, period: int, width: float) -> str:
 SELECT {_rounded(**{f"bb_z_{period}": "(c - m) / (s + 1e-8)", f"bb_width_{period}": f"(m + {width} * s - (m - {width} * s)) / (m + 1e-8)"})} FROM m"""
 
 
+def rsi_slope(bars: str, length: int, lookback: int, strength: float) -> str:
+    frame = f"(PARTITION BY symbol ORDER BY seq ROWS BETWEEN {lookback} PRECEDING AND 1 PRECEDING)"
+    return f"""WITH bars AS ({bars}), {_wilder_rsi("r", "bars", length)}, x AS (SELECT symbol, seq, r FROM {_join("bars", ["r"])})
+SELECT {_rounded(rsi_slope=f"CASE WHEN count(r) OVER {frame} = {lookback} THEN tanh(regr_slope(r, seq) OVER {frame} * {strength}) END")} FROM x"""
+
+
+def middle_of_range(bars: str, window: int, threshold: float) -> str:
+    return f"""WITH bars AS ({bars}), r AS (SELECT symbol, seq, "Close" AS c, {_shifted("max", '"High"', window)} AS hi, {_shifted("min", '"Low"', window)} AS lo FROM bars)
+SELECT {_rounded(fib_dist_050_last50=f"CASE WHEN lo <> 0 AND (hi - lo) / lo >= {threshold} THEN greatest(-1, least(1, (c - (lo + 0.5 * (hi - lo))) / (hi - lo))) ELSE -1 END")} FROM r"""
+
+
+def fibo(bars: str, period: int) -> str:
+    return f"""WITH bars AS ({bars}), r AS (SELECT symbol, seq, "Close" AS c, {_full("max", '"High"', period)} AS hi, {_full("min", '"Low"', period)} AS lo FROM bars)
+SELECT {_rounded(**{f"fibo_dinamic_{period}": "CASE WHEN hi IS NOT NULL THEN greatest(-1, least(1, (c - (lo + 0.5 * (hi - lo))) / (hi - lo + 1e-8))) END"})} FROM r"""
+
+
+def trix_elder(bars: str, trix: int, span: int) -> str:
+    return f"""WITH bars AS ({bars}), {_ema("a", "bars", '"Close"', trix)}, {_ema("b", "a", "y", trix)}, {_ema("c", "b", "y", trix)}, {_ema("e", "bars", '"Close"', span)},
+x AS (SELECT symbol, seq, (c / lag(c) OVER {W} - 1) * 100 AS t, "High" - e AS u, "Low" - e AS d FROM {_join("bars", ["c", "e"])}),
+f AS (SELECT symbol, seq, coalesce(t, lead(t) OVER {W}, 0) AS t, u, d FROM x)
+SELECT {_rounded(**{n: f"{x} / (max(abs({x})) OVER (PARTITION BY symbol) + 1e-8)" for n, x in (("TRIX", "t"), ("BullPower", "u"), ("BearPower", "d"))})} FROM f"""
+
+
+def atr_trailing(bars: str, period: int, multiplier: float) -> str:
+    return f"""WITH {_tr(bars)}, a AS (SELECT symbol, seq, "Close" AS c, avg(CASE WHEN seq > 1 THEN tr END) OVER {_frame(period)} AS a FROM t),
+s AS (SELECT *, c - {multiplier} * a AS stop FROM a), g AS (SELECT *, CASE WHEN c > lag(stop) OVER {W} THEN 1 ELSE -1 END AS g FROM s)
+SELECT {_rounded(TrailingStop="stop", ATR_Signal="g", ATR_Signal_Norm="(g + 1) / 2", ATR_x10="a * 10")} FROM g"""
+
+
+def hidden_divergence(bars: str, period: int) -> str:
+    return f"""WITH bars AS ({bars}), d AS (SELECT symbol, seq, "Close" AS c, coalesce("Close" - lag("Close") OVER {W}, 0) AS d FROM bars),
+m AS (SELECT symbol, seq, c, {_full("avg", "greatest(d, 0)", period)} AS g, {_full("avg", "greatest(-d, 0)", period)} AS l FROM d),
+r AS (SELECT symbol, seq, c - lag(c) OVER {W} AS dc, 100 - 100 / (1 + g / (l + 1e-10)) AS r FROM m), x AS (SELECT *, r - lag(r) OVER {W} AS dr FROM r)
+SELECT {_rounded(hidden_div="coalesce((dc > 0 AND dr < 0)::INT, 0) - coalesce((dc < 0 AND dr > 0)::INT, 0)")} FROM x"""
+
+
+def divergence_of_lows(bars: str, window: int, back: int) -> str:
+    return f"""WITH bars AS ({bars}), {_wilder_rsi("r", "bars", window)}, j AS (SELECT symbol, seq, "Low" AS low, r FROM {_join("bars", ["r"])}),
+m AS (SELECT symbol, seq, {_shifted("min", "r", back)} AS a, {_shifted("min", "low", back)} AS b FROM j)
+SELECT {_rounded(rsi_low="a", price_low="b", bullish_div=f"coalesce((a > lag(a) OVER {W} AND b < lag(b) OVER {W})::INT, 0)")} FROM m"""
+
+
+def keltner(bars: str, base: int, base_mult: float, alt: int, alt_mult: float, shift: int) -> str:
+    return f"""WITH {_tr(bars)}, p AS MATERIALIZED (SELECT symbol, seq, tr, ("High" + "Low" + "Close") / 3 AS p FROM t), q AS MATERIALIZED (SELECT symbol, seq, lag(p, {shift}) OVER {W} AS p FROM p),
+{_ema("t5", "p", "tr", 5)}, {_ema("p5", "p", "p", 5)}, {_ema("tb", "p", "tr", base)}, {_ema("pb", "p", "p", base)}, {_ema("ta", "p", "tr", 2 * alt)}, {_ema("pa", "q", "p", alt)},
+k AS (SELECT symbol, seq, 2.0::DOUBLE * t5 / (p5 + 1e-8) AS k, 2.0::DOUBLE * {base_mult} * tb / (pb + 1e-8) AS a, {alt_mult}::DOUBLE * ta / (pa + 1e-8) AS b FROM {_join("p", ["t5", "p5", "tb", "pb", "ta", "pa"])})
+SELECT {_rounded(KeltnerWidth_v2_norm="(a - k) / (a + 1e-8)", KeltnerWidth_v3_norm="(b - k) / (b + 1e-8)")} FROM k"""
+
+
+def volume_dominance(bars: str, window: int) -> str:
+    return f"""WITH bars AS ({bars}), s AS (SELECT symbol, seq, {_full("sum", """(CASE WHEN "Close" > "Open" THEN "Volume" WHEN "Close" < "Open" THEN -"Volume" ELSE 0 END)""", window)} AS s FROM bars)
+SELECT {_rounded(**{f"bullish_volume_dominance_{window}": "coalesce((s > 0)::INT, 0)"})} FROM s"""
+
+
+def _day_price() -> str:
+    """(symbol, seq, c, w): the close and the day's volume-weighted close so far."""
+    day = '(PARTITION BY symbol, "Data"::DATE ORDER BY seq)'
+    return f"""w AS MATERIALIZED (SELECT symbol, seq, "Close" AS c, sum("Close" * "Volume") OVER {day} / CASE WHEN sum("Volume") OVER {day} = 0 THEN 1e-8 ELSE sum("Volume") OVER {day} END AS w FROM bars)"""
+
+
+def day_prices(bars: str, slope: int, name: str) -> str:
+    return f"""WITH bars AS ({bars}), {_day_price()}, {_ema("slow", "w", "w", 360)}, {_ema("quick", "w", "w", 5)}
+SELECT {_rounded(**{"vwap_intraday_norm": "(w - quick) / (w + 1e-8)", "vwap_ema6h_norm": "(slow - quick) / (slow + 1e-8)", name: f"coalesce(w / nullif(lag(w, {slope}) OVER {W}, 0) - 1, 0) * 100"})} FROM {_join("w", ["slow", "quick"])}"""
+
+
+def above_day_prices(bars: str) -> str:
+    return f"""WITH bars AS ({bars}), {_day_price()}, {_ema("slow", "w", "w", 360)}
+SELECT {_rounded(price_above_vwap_intraday="(c > w)::INT", price_above_vwap_ema6h="(c > slow)::INT")} FROM {_join("w", ["slow"])}"""
+
+
 # Windows, lines and state machines -----------------------------------------------------------------------------------
 
 

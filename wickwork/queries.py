@@ -562,6 +562,17 @@ SELECT f AS "Feature", round(x, 5) AS shap, round(100 * x / max(x) OVER (), 5) A
         "add_candle_vol_size_features": plain_sql.candle_volume(DAILY, 20),
         "add_choppiness_index": plain_sql.choppiness(DAILY, 14),
         "add_bollinger_features": plain_sql.bollinger(DAILY, 20, 2),
+        "calculate_rsi_slope": plain_sql.rsi_slope(DAILY, 50, 10, 10),
+        "fib_dist_050_last50": plain_sql.middle_of_range(DAILY, 50, 0.03),
+        "fibo_dinamic": plain_sql.fibo(DAILY, 300),
+        "compute_trix_elder": plain_sql.trix_elder(DAILY, 30, 50),
+        "compute_atr_trailing": plain_sql.atr_trailing(DAILY, 14, 3),
+        "add_hidden_divergence": plain_sql.hidden_divergence(DAILY, 14),
+        "add_rsi_divergence": plain_sql.divergence_of_lows(DAILY, 14, 5),
+        "Keltner_func": plain_sql.keltner(DAILY, 40, 2, 100, 1.5, 5),
+        "bullish_volume_dominance_binary": plain_sql.volume_dominance(DAILY, 10),
+        "VWAP": plain_sql.day_prices(HOURLY, 28, "VWAP_slope"),
+        "VWAP_binary": plain_sql.above_day_prices(HOURLY),
         "add_price_acceleration": plain_sql.price_acceleration(DAILY, 5),
         "rolling_statistics": plain_sql.rolling_statistics(DAILY),
         "add_structural_features": plain_sql.structural(DAILY, 100),
