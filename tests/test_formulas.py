@@ -48,6 +48,13 @@ CASES = {
     "add_rsi_divergence": ((7, 12), plain_sql.divergence_of_lows(DAILY, 7, 12)),
     "Keltner_func": ((12, 1.25, 20, 2.5, 3), plain_sql.keltner(DAILY, 12, 1.25, 20, 2.5, 3)),
     "bullish_volume_dominance_binary": ((4,), plain_sql.volume_dominance(DAILY, 4)),
+    "ta_rsi": ((5,), plain_sql.wilder_rsi(DAILY, 5)),
+    "calc_stochastic_rsi": ((9, 20, 4, 2), plain_sql.stochastic_rsi(DAILY, 9, 20, 4, 2)),
+    "rsi_stochastic_hybrid": ((6, 25, 5), plain_sql.rsi_and_range(DAILY, 6, 25, 5)),
+    "add_atr_normalized": (((5, 30), False, 40, True, True, 3), plain_sql.atr_normalized(DAILY, (5, 30), False, 40, 3)),
+    "volume_base_indicators_binary": ((5, 9, 30, 12, "sma"), plain_sql.volume_flags(DAILY, 5, 9, 30, 12, "sma")),
+    "add_normalized_ichimoku": ((4, 11, 23), plain_sql.ichimoku(DAILY, 4, 11, 23)),
+    "add_normalized_ichimoku_htf": ((15, 40, 90), plain_sql.ichimoku(DAILY, 15, 40, 90, "_htf")),
     "add_fft_phase_position": (("Close", 48), plain_sql.fft_phase(DAILY, 48)),
 }
 

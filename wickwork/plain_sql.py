@@ -451,6 +451,48 @@ def above_day_prices(bars: str) -> str:
 SELECT {_rounded(price_above_vwap_intraday="(c > w)::INT", price_above_vwap_ema6h="(c > slow)::INT")} FROM {_join("w", ["slow"])}"""
 
 
+def wilder_rsi(bars: str, n: int) -> str:
+    return f"""WITH bars AS ({bars}), {_wilder_rsi("r", "bars", n)} SELECT {_rounded(**{f"RSI_{n}": "r"})} FROM {_join("bars", ["r"])}"""
+
+
+def rsi_and_range(bars: str, window: int, stoch: int, smooth: int) -> str:
+    return f"""WITH {_tr(bars)}, m AS (SELECT symbol, seq, {_full("avg", "CASE WHEN d > 0 THEN d WHEN d <= 0 THEN 0 END", window)} AS g, {_full("avg", "CASE WHEN d < 0 THEN -d WHEN d >= 0 THEN 0 END", window)} AS l,
+  100 * ("Close" - {_full("min", '"Low"', stoch)}) / ({_full("max", '"High"', stoch)} - {_full("min", '"Low"', stoch)} + 1e-8) AS k FROM t),
+y AS (SELECT symbol, seq, 0.5 * ((100 - 100 / (1 + g / (l + 1e-8))) / 50 - 1) + 0.5 * ({_full("avg", "k", smooth)} / 50 - 1) AS y FROM m)
+SELECT {_rounded(rsi_stoch_hybrid="CASE WHEN y IS NOT NULL THEN greatest(-1, least(1, y)) END")} FROM y"""
+
+
+def atr_normalized(bars: str, windows: tuple[int, ...], ema: bool, norm: int, step: int) -> str:
+    """The average weighs all true ranges so far by powers, which are divided by their sum."""
+    keep = lambda n: f"pow(1 - 2.0::DOUBLE / ({n} + 1), b.seq - a.seq)"
+    weighed = ", ".join(f"sum({keep(n)} * a.tr) / sum({keep(n)}) AS a{n}" for n in windows)
+    plain = ", ".join(f"avg(tr) OVER {_frame(n)} AS a{n}" for n in windows)
+    averages = f"SELECT b.symbol, b.seq, {weighed} FROM t AS b JOIN t AS a ON a.symbol = b.symbol AND a.seq <= b.seq GROUP BY b.symbol, b.seq" if ema else f"SELECT symbol, seq, {plain} FROM t"
+    scaled = ", ".join(f"2 * (a{n} - min(a{n}) OVER {_frame(norm)}) / (max(a{n}) OVER {_frame(norm)} - min(a{n}) OVER {_frame(norm)} + 1e-8) - 1 AS n{n}" for n in windows)
+    speeds = ", ".join(f"(n{n} - lag(n{n}, {step}) OVER {W}) / {step} AS v{n}" for n in windows)
+    columns = {}
+    for n in windows:
+        columns |= {f"atr_{n}_norm": f"n{n}", f"atr_{n}_norm_velocity": f"v{n}", f"atr_{n}_norm_acceleration": f"v{n} - lag(v{n}, {step}) OVER {W}"}
+    return f"""WITH {_tr(bars)}, a AS MATERIALIZED ({averages}), n AS (SELECT symbol, seq, {scaled} FROM a), v AS (SELECT *, {speeds} FROM n) SELECT {_rounded(**columns)} FROM v"""
+
+
+def volume_flags(bars: str, obv: int, ad: int, force: int, vol: int, kind: str) -> str:
+    mean = _ema("m", "x", "v", vol) if kind == "ema" else f"m AS (SELECT symbol, seq, {_full('avg', 'v', vol)} AS y FROM x)"
+    names = {f"obv_gt_ema{obv}": "o > e1", f"ad_gt_ema{ad}": "a > e2", f"force_gt_ema{force}": "f > e3", f"volume_gt_{kind}{vol}": "v > m"}
+    return f"""WITH bars AS ({bars}), d AS (SELECT *, "Close" - lag("Close") OVER {W} AS d FROM bars),
+x AS MATERIALIZED (SELECT symbol, seq, "Volume" AS v, d * "Volume" AS f, sum(CASE WHEN d > 0 THEN "Volume" WHEN d < 0 THEN -"Volume" ELSE 0 END) OVER {W} AS o,
+  sum((("Close" - "Low") - ("High" - "Close")) / CASE WHEN "High" = "Low" THEN 1e-8 ELSE "High" - "Low" END * "Volume") OVER {W} AS a FROM d),
+{_ema("e1", "x", "o", obv)}, {_ema("e2", "x", "a", ad)}, {_ema("e3", "x", "f", force)}, {mean}
+SELECT {_rounded(**{n: f"coalesce(({c})::INT, 0)" for n, c in names.items()})} FROM {_join("x", ["e1", "e2", "e3", "m"])}"""
+
+
+def ichimoku(bars: str, tenkan: int, kijun: int, senkou: int, suffix: str = "") -> str:
+    middle = lambda n: f'(max("High") OVER {_frame(n)} + min("Low") OVER {_frame(n)}) / 2'
+    lines = {"tenkan_sen": "t", "kijun_sen": "k", "senkou_span_a": f"lag((t + k) / 2) OVER {W}", "senkou_span_b": f"lag(s) OVER {W}"}
+    return f"""WITH bars AS ({bars}), m AS (SELECT symbol, seq, "Close" AS c, {middle(tenkan)} AS t, {middle(kijun)} AS k, {middle(senkou)} AS s FROM bars)
+SELECT {_rounded(**{f"{n}_norm{suffix}": f"({x}) / c" for n, x in lines.items()})} FROM m"""
+
+
 # Windows, lines and state machines -----------------------------------------------------------------------------------
 
 

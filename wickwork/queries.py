@@ -573,6 +573,13 @@ SELECT f AS "Feature", round(x, 5) AS shap, round(100 * x / max(x) OVER (), 5) A
         "bullish_volume_dominance_binary": plain_sql.volume_dominance(DAILY, 10),
         "VWAP": plain_sql.day_prices(HOURLY, 28, "VWAP_slope"),
         "VWAP_binary": plain_sql.above_day_prices(HOURLY),
+        "ta_rsi": plain_sql.wilder_rsi(DAILY, 14),
+        "calc_stochastic_rsi": plain_sql.stochastic_rsi(DAILY, 14, 14, 3, 3),
+        "rsi_stochastic_hybrid": plain_sql.rsi_and_range(DAILY, 14, 14, 3),
+        "add_atr_normalized": plain_sql.atr_normalized(DAILY, (14, 24, 48), True, 100, 5),
+        "volume_base_indicators_binary": plain_sql.volume_flags(DAILY, 20, 20, 13, 20, "ema"),
+        "add_normalized_ichimoku": plain_sql.ichimoku(DAILY, 9, 26, 52),
+        "add_normalized_ichimoku_htf": plain_sql.ichimoku(DAILY, 108, 312, 624, "_htf"),
         "add_price_acceleration": plain_sql.price_acceleration(DAILY, 5),
         "rolling_statistics": plain_sql.rolling_statistics(DAILY),
         "add_structural_features": plain_sql.structural(DAILY, 100),
