@@ -55,6 +55,10 @@ CASES = {
     "volume_base_indicators_binary": ((5, 9, 30, 12, "sma"), plain_sql.volume_flags(DAILY, 5, 9, 30, 12, "sma")),
     "add_normalized_ichimoku": ((4, 11, 23), plain_sql.ichimoku(DAILY, 4, 11, 23)),
     "add_normalized_ichimoku_htf": ((15, 40, 90), plain_sql.ichimoku(DAILY, 15, 40, 90, "_htf")),
+    "lag_features": (("Open", (2, 6), (3, 4)), plain_sql.lagged(DAILY, "Open", (2, 6), (3, 4))),
+    "linear_regression": ((7,), plain_sql.line_end(DAILY, 7)),
+    "calculate_atr_slope": ((6, 9, 2), plain_sql.atr_slope(DAILY, 6, 9, 2)),
+    "calculate_atr_ema_normalized": ((5, 12), plain_sql.atr_from_mean(DAILY, 5, 12)),
     "add_fft_phase_position": (("Close", 48), plain_sql.fft_phase(DAILY, 48)),
 }
 

@@ -493,6 +493,42 @@ def ichimoku(bars: str, tenkan: int, kijun: int, senkou: int, suffix: str = "")
 SELECT {_rounded(**{f"{n}_norm{suffix}": f"({x}) / c" for n, x in lines.items()})} FROM m"""
 
 
+def lagged(bars: str, column: str, ratios: tuple[int, ...], logs: tuple[int, ...]) -> str:
+    """Every row is taken with the rows before it; a mean counts if all of its rows are there."""
+    at = lambda k: f"max(a.x) FILTER (WHERE a.seq = b.seq - {k})"
+    mean = lambda k, w: f"CASE WHEN b.seq > {k + w - 1} THEN avg(a.x) FILTER (WHERE a.seq <= b.seq - {k} AND a.seq > b.seq - {k + w}) END"
+    columns = {f"{column}_lag{k}_diff_ratio": f"({at(k)} - {at(k + 1)}) / ({mean(k + 1, 20)} + 1e-8)" for k in ratios}
+    columns |= {f"{column}_log_lag{k}": f"ln(nullif(abs({at(k)}), 0) / ({mean(k, 100)} + 1e-8))" for k in logs}
+    each = ", ".join(f'{x} AS "{c}"' for c, x in columns.items())
+    return f"""WITH bars AS ({bars}), x AS MATERIALIZED (SELECT symbol, seq, "{column}" AS x FROM bars),
+y AS (SELECT b.symbol, b.seq, {each} FROM x AS b JOIN x AS a ON a.symbol = b.symbol AND a.seq <= b.seq AND a.seq > b.seq - 120 GROUP BY b.symbol, b.seq)
+SELECT {_rounded(**{c: f'"{c}"' for c in columns})} FROM y"""
+
+
+def line_end(bars: str, n: int) -> str:
+    """The end of a least-squares line is three times the linearly weighted mean less twice the plain one."""
+    return f"""WITH bars AS ({bars}), l AS (SELECT symbol, seq, "Close" AS c, list("Close"::DOUBLE) OVER {_frame(n)} AS l FROM bars),
+y AS (SELECT symbol, seq, CASE WHEN len(l) = {n} THEN (3 * 2 * list_sum(list_transform(range(1, {n} + 1), lambda i: i * l[i])) / ({n} * ({n} + 1)) - 2 * list_avg(l)) / (c + 1e-8) - 1 END AS y FROM l)
+SELECT {_rounded(linreg="y", linreg_lag=f"lag(y, {n}) OVER {W}")} FROM y"""
+
+
+def _atr_sums(n: int) -> str:
+    """(symbol, seq, y): true ranges so far, weighed by powers, over the sum of the weights."""
+    keep = f"pow(1 - 2.0::DOUBLE / ({n} + 1), b.seq - a.seq)"
+    return f"atr AS MATERIALIZED (SELECT b.symbol, b.seq, sum({keep} * a.tr) / sum({keep}) AS y FROM t AS b JOIN t AS a ON a.symbol = b.symbol AND a.seq <= b.seq GROUP BY b.symbol, b.seq)"
+
+
+def atr_slope(bars: str, length: int, lookback: int, strength: float) -> str:
+    frame = f"(PARTITION BY symbol ORDER BY seq ROWS BETWEEN {lookback} PRECEDING AND 1 PRECEDING)"
+    return f"""WITH {_tr(bars)}, {_atr_sums(length)}
+SELECT {_rounded(atr_slope=f"CASE WHEN count(y) OVER {frame} = {lookback} THEN tanh(regr_slope(y, seq) OVER {frame} * {strength}) END")} FROM atr"""
+
+
+def atr_from_mean(bars: str, length: int, span: int) -> str:
+    return f"""WITH {_tr(bars)}, {_atr_sums(length)}, {_ema("e", "atr", "y", span, True)}, j AS (SELECT symbol, seq, atr.y AS a, e FROM {_join("atr", ["e"])})
+SELECT {_rounded(atr_ema_norm="CASE WHEN e IS NOT NULL THEN greatest(-1, least(1, (e - a) / (a + 1e-5))) END")} FROM j"""
+
+
 # Windows, lines and state machines -----------------------------------------------------------------------------------
 
 

@@ -580,6 +580,10 @@ SELECT f AS "Feature", round(x, 5) AS shap, round(100 * x / max(x) OVER (), 5) A
         "volume_base_indicators_binary": plain_sql.volume_flags(DAILY, 20, 20, 13, 20, "ema"),
         "add_normalized_ichimoku": plain_sql.ichimoku(DAILY, 9, 26, 52),
         "add_normalized_ichimoku_htf": plain_sql.ichimoku(DAILY, 108, 312, 624, "_htf"),
+        "lag_features": plain_sql.lagged(DAILY, "Close", (1, 3, 8), (1, 5, 8)),
+        "linear_regression": plain_sql.line_end(DAILY, 20),
+        "calculate_atr_slope": plain_sql.atr_slope(DAILY, 14, 5, 5),
+        "calculate_atr_ema_normalized": plain_sql.atr_from_mean(DAILY, 14, 20),
         "add_price_acceleration": plain_sql.price_acceleration(DAILY, 5),
         "rolling_statistics": plain_sql.rolling_statistics(DAILY),
         "add_structural_features": plain_sql.structural(DAILY, 100),
