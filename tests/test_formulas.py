@@ -59,6 +59,9 @@ CASES = {
     "linear_regression": ((7,), plain_sql.line_end(DAILY, 7)),
     "calculate_atr_slope": ((6, 9, 2), plain_sql.atr_slope(DAILY, 6, 9, 2)),
     "calculate_atr_ema_normalized": ((5, 12), plain_sql.atr_from_mean(DAILY, 5, 12)),
+    "atr_local_extremes": (("atr_24_norm", 6), plain_sql.atr_extremes(DAILY, 6)),
+    "add_atr_features": (("atr_24_norm", 9, 4), plain_sql.atr_squeeze(DAILY, 9, 4)),
+    "add_atr_regimes": (("atr_24_norm", 20, 0.8, 1.2), plain_sql.atr_regimes(DAILY, 20, 0.8, 1.2)),
     "add_fft_phase_position": (("Close", 48), plain_sql.fft_phase(DAILY, 48)),
 }
 
@@ -70,7 +73,7 @@ def test_other_settings(spark, name):
     same(spark, SF, lambda s, d: queries._plain(feature.add_to(queries.daily_bars(s, d)), feature.outputs), sql)
 
 
-@pytest.mark.parametrize("name", ["different_MA", "different_EMA", "different_EMA_binary", "add_all_features", "apply_main_indicators", "add_vwap_features_with_norm", "rolling_statistics", "add_parabolic_sar_feature", "VWAP", "VWAP_binary"])
+@pytest.mark.parametrize("name", ["different_MA", "different_EMA", "different_EMA_binary", "add_all_features", "apply_main_indicators", "add_vwap_features_with_norm", "rolling_statistics", "add_parabolic_sar_feature", "VWAP", "VWAP_binary", "volume_acceleration", "add_atr_24_norm_dynamics"])
 def test_registered_setting(spark, name):
     same(spark, SF, queries.queries()[name], queries.oracle_sql()[name])
 

@@ -106,7 +106,7 @@ def _rounded(**columns: str) -> str:
 
 
 #: Results as large as prices or larger, which two orders of summation give alike to three decimals.
-COARSE = ("ema50_ema200_diff", "nar_res", *[f"atr_{w}_norm_rsi_weight" for w in (14, 24, 48)])
+COARSE = ("ema50_ema200_diff", "nar_res", "atr_24_norm_pct_change", "atr_24_norm_pct_change_rolling_mean_10", *[f"atr_{w}_norm_rsi_weight" for w in (14, 24, 48)])
 
 
 def _join(first: str, names: list[str]) -> str:
@@ -529,6 +529,39 @@ def atr_from_mean(bars: str, length: int, span: int) -> str:
 SELECT {_rounded(atr_ema_norm="CASE WHEN e IS NOT NULL THEN greatest(-1, least(1, (e - a) / (a + 1e-5))) END")} FROM j"""
 
 
+def volume_acceleration(bars: str) -> str:
+    change = lambda k: f"(v - lag(v, {k}) OVER {W}) - (lag(v) OVER {W} - lag(v, {k + 1}) OVER {W})"
+    return f"""WITH bars AS ({bars}), m AS (SELECT symbol, seq, "Volume" AS v, {_full("avg", '"Volume"', 20)} AS m FROM bars)
+SELECT {_rounded(accel_volume=f"({change(5)}) / (m + 1e-8)", accel_volume_fast=f"({change(1)}) / (m + 1e-8)")} FROM m"""
+
+
+def _atr_24(bars: str) -> str:
+    """The ATR of 24 rows as x, from -1 to 1 over the last 100 rows."""
+    f = _frame(100)
+    return f"WITH {_tr(bars)}, {_atr_sums(24)}, n AS MATERIALIZED (SELECT symbol, seq, 2 * (y - min(y) OVER {f}) / (max(y) OVER {f} - min(y) OVER {f} + 1e-8) - 1 AS x FROM atr)"
+
+
+def atr_changes(bars: str) -> str:
+    name = "atr_24_norm"
+    columns = {name: "x", f"{name}_rolling_std_10": _full("stddev_samp", "x", 10), f"{name}_rolling_std_30": _full("stddev_samp", "x", 30), f"{name}_diff_1": "d", f"{name}_pct_change": "p"}
+    columns |= {f"{name}_rolling_diff_mean_10": _full("avg", "d", 10), f"{name}_pct_change_rolling_mean_10": _full("avg", "p", 10), f"{name}_diff2": f"d - lag(d) OVER {W}"}
+    return f"{_atr_24(bars)}, c AS (SELECT *, x - lag(x) OVER {W} AS d, x / nullif(lag(x) OVER {W}, 0) - 1 AS p FROM n) SELECT {_rounded(**columns)} FROM c"
+
+
+def atr_extremes(bars: str, window: int) -> str:
+    return f"""{_atr_24(bars)} SELECT {_rounded(atr_24_norm="x", atr_24_norm_low=f"coalesce(x = {_full('min', 'x', window)}, false)::INT", atr_24_norm_high=f"coalesce(x = {_full('max', 'x', window)}, false)::INT")} FROM n"""
+
+
+def atr_squeeze(bars: str, window: int, back: int) -> str:
+    return f"""{_atr_24(bars)}, c AS (SELECT *, coalesce(x < {_full("avg", "x", window)}, false) AS c FROM n)
+SELECT {_rounded(atr_24_norm="x", atr_24_norm_compress="c::INT", atr_24_norm_expansion=f"coalesce(x > lag(x, {back}) OVER {W} AND lag(c) OVER {W}, false)::INT")} FROM c"""
+
+
+def atr_regimes(bars: str, window: int, low: float, high: float) -> str:
+    return f"""{_atr_24(bars)}, m AS (SELECT *, {_full("avg", "x", window)} AS m FROM n)
+SELECT {_rounded(atr_24_norm="x", atr_24_norm_regime=f"CASE WHEN x < m * {low} THEN -1 WHEN x > m * {high} THEN 1 ELSE 0 END")} FROM m"""
+
+
 # Windows, lines and state machines -----------------------------------------------------------------------------------
 
 

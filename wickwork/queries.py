@@ -584,6 +584,11 @@ SELECT f AS "Feature", round(x, 5) AS shap, round(100 * x / max(x) OVER (), 5) A
         "linear_regression": plain_sql.line_end(DAILY, 20),
         "calculate_atr_slope": plain_sql.atr_slope(DAILY, 14, 5, 5),
         "calculate_atr_ema_normalized": plain_sql.atr_from_mean(DAILY, 14, 20),
+        "volume_acceleration": plain_sql.volume_acceleration(DAILY),
+        "add_atr_24_norm_dynamics": plain_sql.atr_changes(DAILY),
+        "atr_local_extremes": plain_sql.atr_extremes(DAILY, 14),
+        "add_atr_features": plain_sql.atr_squeeze(DAILY, 5, 2),
+        "add_atr_regimes": plain_sql.atr_regimes(DAILY, 50, 0.5, 1.5),
         "add_price_acceleration": plain_sql.price_acceleration(DAILY, 5),
         "rolling_statistics": plain_sql.rolling_statistics(DAILY),
         "add_structural_features": plain_sql.structural(DAILY, 100),
