@@ -1,7 +1,8 @@
 """Features against SQL written from their formulas, at other settings than the registered queries have."""
 
+import numpy as np
 import pytest
-from helpers import SF, same
+from helpers import SF, bars, same
 from pyspark.sql import functions as F
 
 from wickwork import plain_sql, queries
@@ -63,6 +64,26 @@ CASES = {
     "add_atr_features": (("atr_24_norm", 9, 4), plain_sql.atr_squeeze(DAILY, 9, 4)),
     "add_atr_regimes": (("atr_24_norm", 20, 0.8, 1.2), plain_sql.atr_regimes(DAILY, 20, 0.8, 1.2)),
     "add_fft_phase_position": (("Close", 48), plain_sql.fft_phase(DAILY, 48)),
+    "TMA_Overlay": ((False,), plain_sql.smoothed_averages(DAILY, (21, 50, 200))),
+    "add_normalized_ichimoku_on_rsi": ((9, 5, 12, 30, True, "rsi9"), plain_sql.ichimoku_on_rsi(DAILY, 9, 5, 12, 30, "rsi9")),
+    "get_fibonacci_flags": ((40, 0.5), plain_sql.retracements(DAILY, 40, 0.5)),
+    "fibo_3_lines_dinamic": ((30, "open", 2.0, (0.5, 0.5, 0.7)), plain_sql.three_lines(DAILY, 30, '"Open"', 2.0, 0.5, 0.7)),
+    "add_rsi_level_signal": ((5, 60, 0.05, 4), plain_sql.rsi_levels(DAILY, 5, 60, 0.05, 4)),
+    "find_bullish_rsi_divergence": ((5, 4), plain_sql.lows_against_rsi(DAILY, 5, 4)),
+    "rsi_divergence": ((9, 3, 2, 4), plain_sql.pivots_against_rsi(DAILY, 9, 3, 2, 4)),
+    "calculate_smooth_divergence": ((9,), plain_sql.smooth_divergence(DAILY, 9)),
+    "ppo": (("Open", 20, 5, 13, 3, 1, False), plain_sql.price_oscillator(DAILY, "Open", 20, 5, 13, 3, 1, False)),
+    "bollinger_awesome_alert": ((True, True, True, 12, 1.5, 4, 21, 7, 30, 40.0), plain_sql.bands_and_awesome(DAILY, 12, 1.5, 4, 21, 7, 30, True, True, 40.0)),
+    "add_price_atr_interaction": (("atr_24_norm", 5, 1.2, False, True), plain_sql.range_against_atr(DAILY, 5, 1.2, True)),
+    "add_atr_ratio": ((7, 20), plain_sql.atr_ratio(DAILY, 7, 20)),
+    "sfp_fractals": ((20, 5), plain_sql.broken_lows(DAILY, 20, 5)),
+    "rolling_wasserstein": ((40, 20), plain_sql.halves(DAILY, 40)),
+    "add_volume_filter": ((True, 10, 50), plain_sql.volume_filter(DAILY, True, 10, 50)),
+    "volume_base_indicators": ((12, 3), plain_sql.volume_base(DAILY, 12, 3)),
+    "calculate_LISS": ((45,), plain_sql.liquidity_score(DAILY, 45)),
+    "add_volume_dynamics": (("Close", 0.5), plain_sql.volume_dynamics(DAILY, "Close", 0.5)),
+    "volume_indicators": ((9,), plain_sql.money_flows(DAILY, 9)),
+    "rsi_manual_features": ((10, 15), plain_sql.rsi_and_flow(DAILY, 10, 15)),
 }
 
 
@@ -83,6 +104,67 @@ def test_vwap_features_at_other_settings(spark):
     same(spark, SF, lambda s, d: queries._plain(feature.add_to(queries.hourly_bars(s, d)), feature.outputs), plain_sql.vwap_features(HOURLY, 5, 60, 40, 9))
 
 
+#: Features over hourly bars, most of which have a range and several trades.
+HOURS = {
+    "quarter_theory": ((3,), plain_sql.quarters(HOURLY, 3)),
+    "volume_base_indicators": ((28, 5), plain_sql.volume_base(HOURLY, 28, 5)),
+    "volume_indicators": ((20,), plain_sql.money_flows(HOURLY, 20)),
+    "calculate_smooth_divergence": ((14,), plain_sql.smooth_divergence(HOURLY, 14)),
+    "sfp_fractals": ((14, 3), plain_sql.broken_lows(HOURLY, 14, 3)),
+    "TMA_Overlay": ((), plain_sql.smoothed_averages(HOURLY)),
+}
+
+
+@pytest.mark.parametrize("name", HOURS)
+def test_over_hours(spark, name):
+    args, sql = HOURS[name]
+    feature = OPERATORS[name].feature(*args)
+    same(spark, SF, lambda s, d: queries._plain(feature.add_to(queries.hourly_bars(s, d)), feature.outputs), sql)
+
+
+def test_fisher_of_a_share(spark):
+    """Shares of a candle, its ends included, which are cut off."""
+    share = "CASE WHEN {h} > {l} THEN 2 * ({c} - {l}) / ({h} - {l}) - 1 ELSE 0 END"
+    bars = f"""SELECT *, {share.format(h='"High"', l='"Low"', c='"Close"')} AS share FROM ({HOURLY})"""
+    feature = OPERATORS["safe_fisher_transform"].feature("share", 1e-3)
+    rows = lambda s, d: feature.add_to(queries.hourly_bars(s, d).withColumn("share", F.expr(share.format(h="High", l="Low", c="Close"))))
+    same(spark, SF, lambda s, d: queries._plain(rows(s, d), feature.outputs), plain_sql.fisher_of(bars, "share", 1e-3))
+
+
+def _near_a_level(r, back, tolerance, touches):
+    """Density clustering by a plain loop: 1 if the last value is near the mean of a cluster of turning points."""
+    r = np.asarray(r)[-back:]
+    x = np.array([r[i] for i in range(1, len(r) - 1) if (r[i] > r[i - 1] and r[i] > r[i + 1]) or (r[i] < r[i - 1] and r[i] < r[i + 1])])
+    if not len(x):
+        return 0, 0
+    near = np.abs(x[:, None] - x) <= x.mean() * tolerance
+    label, n = np.full(len(x), -1), 0
+    for i in np.flatnonzero(near.sum(1) >= touches):
+        if label[i] < 0:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if label[j] < 0:
+                    label[j] = n
+                    if near[j].sum() >= touches:
+                        todo += list(np.flatnonzero(near[j]))
+            n += 1
+    return int(any(abs(r[-1] - x[label == k].mean()) / x[label == k].mean() <= tolerance for k in range(n))), n
+
+
+@pytest.mark.parametrize(("touches", "tolerance", "back"), [(1, 0.005, 60), (2, 0.012, 60), (3, 0.015, 60), (4, 0.015, 140), (5, 0.02, 140)])
+def test_levels_are_density_clusters(spark, touches, tolerance, back):
+    _, df = bars(spark, 150, symbols=[f"s{i}" for i in range(40)])
+    feature = OPERATORS["add_rsi_level_signal"].feature(7, back, tolerance, touches)
+    got = feature.add_to(df).select("symbol", "seq", "rsi", "rsi_near_level").toPandas().sort_values(["symbol", "seq"])
+    marks, clusters = 0, 0
+    for _, g in got.groupby("symbol"):
+        want, n = _near_a_level(g.rsi.dropna(), back, tolerance, touches)
+        assert g.rsi_near_level.iloc[-1] == want and g.rsi_near_level.iloc[:-1].sum() == 0
+        marks, clusters = marks + want, clusters + n
+    assert 0 < marks < 40 and clusters > marks
+
+
 #: The steps of the full set, in their order, with their parameters.
 STEPS = [
     ("lag_features", {}), ("add_price_acceleration", {}), ("linear_regression", {"length": 20}), ("add_volume_features", {"window": 20}), ("volume_acceleration", {}),
@@ -101,13 +183,13 @@ def test_the_full_set_has_every_step(spark):
     parts = [OPERATORS[name].feature(**kwargs) for name, kwargs in STEPS]
     missing = {c for p in parts for c in p.outputs} - set(feature.outputs)
     assert not missing
-    bars = queries.daily_bars(spark, SF).filter("symbol = 'F'").limit(400)
-    whole = feature.add_to(bars)
+    rows = queries.daily_bars(spark, SF).filter("symbol = 'F'").limit(400)
+    whole = feature.add_to(rows)
     checked = ["Acceleration", "LISS", "VP_Norm_Lag", "breakdown_in_5", "breakout_in_5", "stoch_rsi_d", "volume_filter", "volume_skew_20", "Q_L1_Q1", "entropy", "RSI21_diff", "ema50_norm"]
     checked = [c for c in checked if c in feature.outputs] + [c for c in OPERATORS["Keltner_func"].feature().outputs]
     owner = {c: p for p in parts for c in p.outputs}
     got = {r["seq"]: r for r in whole.select("seq", *[F.col(c) for c in checked]).collect()}
     for c in checked:
-        for r in owner[c].add_to(bars).select("seq", c).collect():
+        for r in owner[c].add_to(rows).select("seq", c).collect():
             a, b = got[r["seq"]][c], r[c]
             assert (a is None) == (b is None) and (a is None or abs(a - b) <= 1e-9 * max(1, abs(b))), (c, r["seq"], a, b)

@@ -60,16 +60,17 @@ def different_EMA_binary(price_col: str = "Close") -> Feature:
 
 
 @operator
-def TMA_Overlay(eps: float = 1e-10) -> Feature:
+def TMA_Overlay(show_100_line: bool = True, show_trend_fill: bool = True, show_bullish_3_line: bool = True, show_bullish_engulfing: bool = True, eps: float = 1e-10) -> Feature:
     """Smoothed averages that build on the mean of the rows before, not on themselves; three-line and engulfing flags."""
-    f = Feature().let(_e2=ema("Close", 2)).let(**{f"_m{n}": mean("Close", n, 1, -1) for n in (21, 50, 100, 200)}, **{f"_o{k}": lag("Open", k) for k in (1, 2, 3)}, **{f"_c{k}": lag("Close", k) for k in (1, 2, 3)})
+    lines = (21, 50, 100, 200) if show_100_line else (21, 50, 200)
+    f = Feature().let(_e2=ema("Close", 2)).let(**{f"_m{n}": mean("Close", n, 1, -1) for n in lines}, **{f"_o{k}": lag("Open", k) for k in (1, 2, 3)}, **{f"_c{k}": lag("Close", k) for k in (1, 2, 3)})
     norm = lambda x: div(f"({x}) - Close", f"(abs(Close) + {num(eps)})")
-    f.out(**{f"smma_{n}_norm": norm(f"(_m{n} * {n - 1} + Close) / {n}") for n in (21, 50, 100, 200)}, ema_2_norm=norm("_e2"))
-    return f.out(
-        trend_fill="CASE WHEN ema_2_norm > 0 THEN 1 WHEN ema_2_norm < 0 THEN -1 ELSE 0 END",
-        bull_3_line=flag("_c3 < _o3 AND _c2 < _o2 AND _c1 < _o1 AND Close > _o1"),
-        bull_engulfing=flag("Open <= _c1 AND Open < _o1 AND Close > _o1"),
-    )
+    f.out(**{f"smma_{n}_norm": norm(f"(_m{n} * {n - 1} + Close) / {n}") for n in lines}, ema_2_norm=norm("_e2"))
+    if show_trend_fill:
+        f.out(trend_fill="CASE WHEN ema_2_norm > 0 THEN 1 WHEN ema_2_norm < 0 THEN -1 ELSE 0 END")
+    if show_bullish_3_line:
+        f.out(bull_3_line=flag("_c3 < _o3 AND _c2 < _o2 AND _c1 < _o1 AND Close > _o1"))
+    return f.out(bull_engulfing=flag("Open <= _c1 AND Open < _o1 AND Close > _o1")) if show_bullish_engulfing else f
 
 
 @operator

@@ -24,16 +24,24 @@ def ta_rsi(period: int = 14) -> Feature:
 
 @operator
 def add_rsi_level_signal(rsi_period: int = 14, lookback_window: int = 200, tolerance: float = 0.03, min_touch_count: int = 2) -> Feature:
-    """1 on a symbol's last row if its RSI is near a cluster of the local extremes of the last rows."""
+    """1 on a symbol's last row if its RSI is near a density cluster of the local extremes of the last rows."""
     f = rsi(Feature(causal=False), "rsi", rsi_period)
     f.outputs.append("rsi")
     f.let(_n="count(*) OVER (PARTITION BY symbol)", _a=lag("rsi"), _b=lag("rsi", -1))
     inner = f"seq > _n - {lookback_window} + 1 AND seq < _n AND _a IS NOT NULL"
     f.let(_x=f"CASE WHEN {inner} AND ((rsi > _a AND rsi > _b) OR (rsi < _a AND rsi < _b)) THEN rsi END")
     f.let(_eps=f"avg(_x) OVER (PARTITION BY symbol) * {num(tolerance)}", _has=flag("_x IS NOT NULL"), _last="max(CASE WHEN seq = _n THEN rsi END) OVER (PARTITION BY symbol)")
-    f.let(_gap="_x - lag(_x) OVER (PARTITION BY symbol, _has ORDER BY _x, seq)")
-    f.let(_no="sum(CASE WHEN _gap > _eps THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, _has ORDER BY _x, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-    f.let(_level=f"CASE WHEN _has = 1 AND count(_x) OVER (PARTITION BY symbol, _has, _no) >= {min_touch_count} THEN avg(_x) OVER (PARTITION BY symbol, _has, _no) END")
+    # In units of the reach: a core has enough points within 1, cores within 1 of each other are one cluster, named by its first core in time.
+    f.let(_z=div("_x", "_eps")).let(_near="count(_z) OVER (PARTITION BY symbol, _has ORDER BY _z RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)")
+    f.let(_core=f"CASE WHEN _has = 1 AND _near >= {min_touch_count} THEN _z END").let(_is=flag("_core IS NOT NULL")).let(_gap="_core - lag(_core) OVER (PARTITION BY symbol, _is ORDER BY _core, seq)")
+    f.let(_no="sum(CASE WHEN _gap > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, _is ORDER BY _core, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    f.let(_first="CASE WHEN _is = 1 THEN min(seq) OVER (PARTITION BY symbol, _is, _no) END")
+    # The other points join the cluster of a core within reach, of two the earlier.
+    side = lambda fn, x, rows: f"{fn}({x}) IGNORE NULLS OVER (PARTITION BY symbol, _has ORDER BY _z, seq ROWS BETWEEN {rows})"
+    below, above = "UNBOUNDED PRECEDING AND CURRENT ROW", "CURRENT ROW AND UNBOUNDED FOLLOWING"
+    f.let(_pz=side("last_value", "_core", below), _pf=side("last_value", "_first", below), _nz=side("first_value", "_core", above), _nf=side("first_value", "_first", above))
+    f.let(_own="CASE WHEN _has = 1 THEN coalesce(_first, least(CASE WHEN _z - _pz <= 1 THEN _pf END, CASE WHEN _nz - _z <= 1 THEN _nf END)) END")
+    f.let(_level="CASE WHEN _own IS NOT NULL THEN avg(_x) OVER (PARTITION BY symbol, _own) END")
     f.let(_hit=whole("max", flag(f"abs(_last - _level) / nullif(_level, 0) <= {tolerance}")))
     return f.out(rsi_near_level=flag("seq = _n AND _hit = 1"))
 
@@ -64,8 +72,7 @@ def calc_stochastic_rsi(rsi_period: int = 14, stoch_period: int = 14, smooth_k:
 @operator
 def find_bullish_rsi_divergence(rsi_period: int = 7, lookback: int = 5) -> Feature:
     """Divergence between the lows of price and RSI; pivots look lookback // 2 rows ahead."""
-    half = lookback // 2
-    frame = over(-half, half)
+    frame = over(-(lookback // 2), (lookback - 1) // 2)
     f = rsi(Feature(causal=False), "_r", rsi_period)
     pivot = lambda x: f"coalesce(count({x}) {frame} = {lookback} AND min({x}) {frame} = {x}, false)"
     f.out(**{f"price_low_{lookback}": pivot("Low"), f"rsi_low_{lookback}": pivot("_r")})
@@ -192,7 +199,7 @@ def add_macd(fast: int = 12, slow: int = 26, signal: int = 9, window_norm: int =
 
 
 @operator
-def ppo(source_col: str = "Close", div_lookback_period: int = 55, fast: int = 12, slow: int = 26, smoother: int = 2, signal_duration: int = 3) -> Feature:
+def ppo(source_col: str = "Close", div_lookback_period: int = 55, fast: int = 12, slow: int = 26, smoother: int = 2, signal_duration: int = 3, long_term_div: bool = True) -> Feature:
     """PPO and its bullish divergence signal: troughs of the oscillator against troughs of price."""
     f = Feature().let(_a=ema(source_col, fast), _b=ema(source_col, slow)).let(_p=f"100 * {div('_a - _b', '_b')}").out(PPO=mean("_p", smoother))
     f.let(**{f"_p{k}": lag("PPO", k) for k in (1, 2)}, **{f"_l{k}": lag("Low", k) for k in range(1, 6)})
@@ -204,7 +211,9 @@ def ppo(source_col: str = "Close", div_lookback_period: int = 55, fast: int = 12
     f.let(_w0=when("_trough", "_p1"), _c0=when("_pt", "_l1"), _y0=when("_trough", "CAST(_pt1 AS DOUBLE) * _low5"), _t0=when("_pt", "_lowest"))
     f.let(_cppo=lag("_w0", 1), _pppo=lag("_w0", 2), _cpb=lag("_c0", 1), _y6=lag("_y0", 2), _ltf=lag("_t0", 2), _delayed="CASE WHEN _pt = 1 AND _tc > 0 THEN _l1 ELSE CAST(0 AS DOUBLE) END")
     f.let(_i4=flag("_cppo > _pmin1"))
-    fire = "(_cpb < _y6 AND _trough = 1 AND _cppo > _pppo) OR (_delayed < _y6 AND _cppo > _pppo) OR (_trough = 1 AND _i4 = 1 AND _cpb < _ltf) OR (_i4 = 1 AND _delayed < _ltf)"
+    fire = "(_cpb < _y6 AND _trough = 1 AND _cppo > _pppo) OR (_delayed < _y6 AND _cppo > _pppo)"
+    if long_term_div:
+        fire += " OR (_trough = 1 AND _i4 = 1 AND _cpb < _ltf) OR (_i4 = 1 AND _delayed < _ltf)"
     return f.let(_fire=flag(fire)).out(bullish_signal=fires_within("_fire", signal_duration))
 
 

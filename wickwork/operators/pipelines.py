@@ -72,10 +72,13 @@ def rsi_set(length: int = 20) -> Feature:
 
 @operator
 def volume_indicators(length: int = 20) -> Feature:
-    """Changes of on-balance volume and accumulation, force index, money flow and money flow index."""
+    """Changes of on-balance volume and accumulation, force index, money flow and money flow index.
+
+    The force index is an average of 13 rows that starts at the 13th with the mean of the changes so far.
+    """
     f = Feature().let(_d=diff("Close"), _tp="(High + Low + Close) / 3").let(_td=diff("_tp"))
     f.let(_ov="CASE WHEN _d < 0 THEN -Volume WHEN _d = 0 THEN 0 ELSE Volume END", _av=f"coalesce({div('2 * Close - High - Low', '(High - Low)')}, 0) * Volume", _fi="_d * Volume")
-    f.let(_obv=upto("sum", "_ov"), _ad=upto("sum", "_av")).let(_e=ema("_fi", 13))
+    f.let(_obv=upto("sum", "_ov"), _ad=upto("sum", "_av")).let(_fs=f"CASE WHEN seq = 13 THEN {upto('avg', '_fi')} WHEN seq > 13 THEN _fi END").let(_e=ema("_fs", 13))
     f.let(_pos="CASE WHEN _td > 0 THEN _tp * Volume ELSE CAST(0 AS DOUBLE) END", _neg="CASE WHEN _td < 0 THEN _tp * Volume ELSE CAST(0 AS DOUBLE) END", _v10=mean("Volume", 10), _sa=total("_av", length), _sv=total("Volume", length)).let(_p=total("_pos", length), _n=total("_neg", length))
     return f.out(OBV=div(diff("_obv"), f"(Volume + {num(E8)})"), AD=div(diff("_ad"), f"(Volume + {num(E8)})"), EFI=div("_e", f"(_v10 + {num(E8)})"), CMF=div("_sa", "_sv"), MFI=f"100 * {div('_p', '(_p + _n)')}")
 

@@ -99,7 +99,7 @@ def add_price_atr_interaction(atr_col: str = "atr_24_norm", amplitude_window: in
     f.let(_a1=lag(atr_col))
     conds = ["Close > Open", f"candle_atr_ratio > {num(ratio_threshold)}", f"{atr_col} < _a1"] + ([f"{atr_col}_regime = -1"] if use_regime else [])
     f.out(atr_breakout_signal=flag(" AND ".join(conds)))
-    return f.out(**{f"breakout_cond_{i}": flag(c) for i, c in enumerate(conds, 1)}) if debug else f
+    return f.out(**{f"breakout_cond_{i}": flag(c) for i, c in enumerate(conds)}) if debug else f
 
 
 @operator

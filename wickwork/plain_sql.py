@@ -106,7 +106,7 @@ def _rounded(**columns: str) -> str:
 
 
 #: Results as large as prices or larger, which two orders of summation give alike to three decimals.
-COARSE = ("ema50_ema200_diff", "nar_res", "atr_24_norm_pct_change", "atr_24_norm_pct_change_rolling_mean_10", *[f"atr_{w}_norm_rsi_weight" for w in (14, 24, 48)])
+COARSE = ("ema50_ema200_diff", "nar_res", "candle_atr_ratio", "candle_atr_ratio_ma", "atr_24_norm_pct_change", "atr_24_norm_pct_change_rolling_mean_10", *[f"atr_{w}_norm_rsi_weight" for w in (14, 24, 48)])
 
 
 def _join(first: str, names: list[str]) -> str:
@@ -709,3 +709,215 @@ def fft_phase(bars: str, window: int) -> str:
 f AS (SELECT symbol, seq, k, sum(x * cos(2 * pi() * j * k / {window})) AS re, -sum(x * sin(2 * pi() * j * k / {window})) AS im FROM p, range(1, {window // 2}) AS r(k) GROUP BY ALL),
 m AS (SELECT symbol, seq, arg_max(atan2(im, re), re * re + im * im) / pi() AS y FROM f GROUP BY ALL)
 SELECT {_rounded(fft_phase_position="y")} FROM bars LEFT JOIN m USING (symbol, seq)"""
+
+
+# Patterns, divergences and volume --------------------------------------------------------------------------------------
+
+
+def smoothed_averages(bars: str, lines: tuple[int, ...] = (21, 50, 100, 200)) -> str:
+    mean = lambda n: f'avg("Close") OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)'
+    against = lambda x: f'({x} - "Close") / (abs("Close") + 1e-10)'
+    columns = {f"smma_{n}_norm": against(f'({mean(n)} * {n - 1} + "Close") / {n}') for n in lines} | {"ema_2_norm": against("e"), "trend_fill": 'sign(e - "Close")'}
+    columns["bull_3_line"] = f"""(count(*) FILTER (WHERE "Close" < "Open") OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) = 3 AND "Close" > lag("Open") OVER {W})::INT"""
+    columns["bull_engulfing"] = f"""coalesce(("Open" <= lag("Close") OVER {W} AND "Open" < lag("Open") OVER {W} AND "Close" > lag("Open") OVER {W})::INT, 0)"""
+    return f"""WITH bars AS ({bars}), {_ema("e", "bars", '"Close"', 2)} SELECT {_rounded(**columns)} FROM {_join("bars", ["e"])}"""
+
+
+def ichimoku_on_rsi(bars: str, n: int, tenkan: int, kijun: int, senkou: int, prefix: str) -> str:
+    half = lambda w: f"(max(r) OVER {_frame(w)} + min(r) OVER {_frame(w)}) / 2"
+    filled = lambda x: f"last_value({x} / nullif(r, 0) IGNORE NULLS) OVER {W}"
+    columns = {f"RSI_{n}": "r", f"{prefix}_tenkan_norm": filled("t"), f"{prefix}_kijun_norm": filled("k"), f"{prefix}_senkou_a_norm": filled("a"), f"{prefix}_senkou_b_norm": filled("b")}
+    return f"""WITH bars AS ({bars}), {_wilder_rsi("r", "bars", n)}, x AS (SELECT symbol, seq, r FROM {_join("bars", ["r"])}),
+h AS (SELECT *, {half(tenkan)} AS t, {half(kijun)} AS k, {half(senkou)} AS s FROM x), l AS (SELECT *, (lag(t) OVER {W} + lag(k) OVER {W}) / 2 AS a, lag(s) OVER {W} AS b FROM h)
+SELECT {_rounded(**columns)} FROM l"""
+
+
+def retracements(bars: str, window: int, threshold: float) -> str:
+    """Whether the high came after the low is read from where each stands in the list of the rows before."""
+    before = f"(PARTITION BY symbol ORDER BY seq ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING)"
+    level = lambda x: f"CASE WHEN up THEN hi - {x} * (hi - lo) ELSE lo + {x} * (hi - lo) END"
+    columns = {f"fib_dist_{int(x * 1000)}": f"CASE WHEN seq > {window} AND (hi - lo) / (lo + 1e-10) >= {threshold} THEN (c - {level(x)}) / (c + 1e-10) END" for x in (0.236, 0.382, 0.5, 0.618, 0.786)}
+    return f"""WITH bars AS ({bars}), l AS (SELECT symbol, seq, "Close" AS c, max("High") OVER {_frame(window)} AS hi, min("Low") OVER {_frame(window)} AS lo, list("High") OVER {before} AS hs, list("Low") OVER {before} AS ls FROM bars),
+u AS (SELECT symbol, seq, c, hi, lo, list_position(hs, list_max(hs)) > list_position(ls, list_min(ls)) AS up FROM l) SELECT {_rounded(**columns)} FROM u"""
+
+
+def three_lines(bars: str, length: int, source: str, mult: float, up: float, down: float) -> str:
+    inside = lambda x: f"greatest(-1, least(1, {x}))"
+    columns = {
+        "fibo_upper": f"CASE WHEN c >= m + {up} * d THEN -1 WHEN c > m AND d > 0 THEN {inside(f'(c - m) / ({up} * d + 1e-10)')} ELSE 0 END", "fibo_basis": "(c - m) / (d + 1e-10)",
+        "fibo_lower": f"CASE WHEN c <= m - {down} * d THEN -1 WHEN c < m AND d > 0 THEN {inside(f'(m - {down} * d - c) / (1e-10 - {down} * d)')} ELSE 0 END",
+    }
+    return f"""WITH bars AS ({bars}), s AS (SELECT symbol, seq, "Close" AS c, {source} AS p, ({source}) * "Volume" AS pv FROM bars),
+b AS (SELECT symbol, seq, c, {_full("sum", "pv", length)} / ({_full("sum", "p", length)} + 1e-10) AS m, {mult} * {_full("stddev_samp", "p", length)} AS d FROM s) SELECT {_rounded(**columns)} FROM b"""
+
+
+def rsi_levels(bars: str, n: int, back: int, tolerance: float, touches: int) -> str:
+    """Density clusters of the turning points: points with enough others within reach, all such points that reach each other, and who is within reach of one of them."""
+    return f"""WITH RECURSIVE bars AS ({bars}), {_wilder_rsi("r", "bars", n)}, x AS MATERIALIZED (SELECT symbol, seq, r, lag(r) OVER {W} AS a, lead(r) OVER {W} AS b, max(seq) OVER (PARTITION BY symbol) AS n FROM {_join("bars", ["r"])}),
+e AS MATERIALIZED (SELECT symbol, seq, r AS v, avg(r) OVER (PARTITION BY symbol) * {tolerance} AS eps FROM x WHERE seq > n - {back} + 1 AND seq < n AND ((r > a AND r > b) OR (r < a AND r < b))),
+near AS MATERIALIZED (SELECT p.symbol, p.seq AS i, q.seq AS j FROM e AS p JOIN e AS q ON p.symbol = q.symbol AND abs(p.v - q.v) <= p.eps),
+core AS MATERIALIZED (SELECT symbol, i FROM near GROUP BY symbol, i HAVING count(*) >= {touches}),
+reach AS (SELECT symbol, i AS root, i FROM core UNION SELECT reach.symbol, reach.root, near.j FROM reach JOIN near ON near.symbol = reach.symbol AND near.i = reach.i JOIN core ON core.symbol = near.symbol AND core.i = near.j),
+cluster AS MATERIALIZED (SELECT symbol, i, min(root) AS c FROM reach GROUP BY symbol, i),
+member AS (SELECT near.symbol, near.i, coalesce(any_value(own.c), min(cluster.c)) AS c FROM near JOIN cluster ON cluster.symbol = near.symbol AND cluster.i = near.j LEFT JOIN cluster AS own ON own.symbol = near.symbol AND own.i = near.i GROUP BY near.symbol, near.i),
+level AS (SELECT member.symbol, c, avg(v) AS l FROM member JOIN e ON e.symbol = member.symbol AND e.seq = member.i GROUP BY ALL)
+SELECT {_rounded(rsi="r", rsi_near_level=f"(seq = n AND EXISTS (SELECT 1 FROM level WHERE level.symbol = x.symbol AND abs(x.r - l) / l <= {tolerance}))::INT")} FROM x"""
+
+
+def lows_against_rsi(bars: str, n: int, back: int) -> str:
+    frame = f"(PARTITION BY symbol ORDER BY seq ROWS BETWEEN {back // 2} PRECEDING AND {(back - 1) // 2} FOLLOWING)"
+    lowest = lambda x: f"coalesce(count({x}) OVER {frame} = {back} AND min({x}) OVER {frame} = {x}, false)"
+    return f"""WITH bars AS ({bars}), {_wilder_rsi("r", "bars", n)}, p AS MATERIALIZED (SELECT symbol, seq, "Low" AS x, r, {lowest('"Low"')} AS pl, {lowest("r")} AS rl FROM {_join("bars", ["r"])}),
+j AS (SELECT i.symbol, i.seq, max(j.seq) AS j FROM p AS i JOIN p AS j ON j.symbol = i.symbol AND j.pl AND j.seq BETWEEN i.seq - {2 * back - 1} AND i.seq - 1 WHERE i.pl AND i.rl AND i.seq > {2 * back} GROUP BY ALL),
+d AS (SELECT j.symbol, j.seq, i.x, i.r, k.x AS x0, k.r AS r0, (SELECT max(z.r) - min(z.r) FROM p AS z WHERE z.symbol = j.symbol AND z.seq BETWEEN j.j AND j.seq) AS w
+  FROM j JOIN p AS i ON i.symbol = j.symbol AND i.seq = j.seq JOIN p AS k ON k.symbol = j.symbol AND k.seq = j.j),
+f AS (SELECT symbol, seq, CASE WHEN w > 0 THEN round((r - r0) / w, 3) ELSE 0 END AS w FROM d WHERE (x < x0 AND r > r0) OR (x > x0 AND r < r0) OR (abs(x - x0) < 0.01 * x0 AND r > r0))
+SELECT {_rounded(**{f"price_low_{back}": "pl::INT", f"rsi_low_{back}": "rl::INT", f"has_divergence_{back}": "(w IS NOT NULL)::INT", f"divergence_power_{back}": "coalesce(w, 0)"})} FROM p LEFT JOIN f USING (symbol, seq)"""
+
+
+def pivots_against_rsi(bars: str, n: int, left: int, right: int, rows: int) -> str:
+    frame = f"(PARTITION BY symbol ORDER BY seq ROWS BETWEEN {left} PRECEDING AND {right} FOLLOWING)"
+    shown = lambda c: f"EXISTS (SELECT 1 FROM d WHERE d.symbol = x.symbol AND d.{c} AND x.seq BETWEEN d.seq + {right} AND d.seq + {right + rows - 1})::INT"
+    return f"""WITH bars AS ({bars}), {_wilder_rsi("r", "bars", n)}, x AS MATERIALIZED (SELECT symbol, seq, "Low" AS l, r, count(r) OVER {frame} = {left + right + 1} AND "Low" = min("Low") OVER {frame} AND r = min(r) OVER {frame} AS p FROM {_join("bars", ["r"])}),
+j AS (SELECT i.symbol, i.seq, max(j.seq) AS j FROM x AS i JOIN x AS j ON j.symbol = i.symbol AND j.seq < i.seq - {right} WHERE i.p AND j.p GROUP BY ALL),
+d AS MATERIALIZED (SELECT j.symbol, j.seq, i.l < k.l AND i.r > k.r AS b, i.l > k.l AND i.r < k.r AS h FROM j JOIN x AS i ON i.symbol = j.symbol AND i.seq = j.seq JOIN x AS k ON k.symbol = j.symbol AND k.seq = j.j)
+SELECT {_rounded(rsi="r", bull_signal=shown("b"), hidden_bull_signal=shown("h"))} FROM x"""
+
+
+def smooth_divergence(bars: str, window: int) -> str:
+    before = f"(PARTITION BY symbol ORDER BY seq ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING)"
+    flow = "CASE WHEN d < 0 THEN -v WHEN d = 0 THEN 0 ELSE v END"
+    return f"""WITH bars AS ({bars}), {_wilder_rsi("r", "bars", 14)}, {_ema("f", "bars", '"Close"', 12, True)}, {_ema("s", "bars", '"Close"', 26, True)},
+x AS (SELECT symbol, seq, r, f - s AS m, "Volume" AS v, "Close" - lag("Close") OVER {W} AS d, 100 * ("Close" - {_full("min", '"Low"', 3)}) / nullif({_full("max", '"High"', 3)} - {_full("min", '"Low"', 3)}, 0) AS k FROM {_join("bars", ["r", "f", "s"])}),
+o AS (SELECT *, sum({flow}) OVER {W} AS o, min(m) OVER {before} AS lo, max(m) OVER {before} AS hi FROM x),
+n AS (SELECT symbol, seq, [(r - 30) / 40, ({_full("avg", "k", 3)} - 20) / 60, CASE WHEN m IS NULL OR hi IS NULL THEN NULL WHEN hi > lo THEN 2 * (m - lo) / (hi - lo) - 1 ELSE -1 END, tanh((o - {_full("avg", "o", window)}) / ({_full("stddev_samp", "o", window)} + 1e-10))] AS l FROM o),
+d AS (SELECT symbol, seq, CASE WHEN seq <= {window} THEN 0 WHEN len(list_filter(l, lambda q: q IS NOT NULL)) = 4 THEN (0.35 * (l[2] - l[1]) + 0.25 * (l[4] - l[2])) / 0.85 * (list_max(l) - list_min(l)) / (list_avg(list_transform(l, lambda q: abs(q))) + 1e-10) END AS y FROM n)
+SELECT {_rounded(divergence="CASE WHEN max(abs(y)) OVER (PARTITION BY symbol) > 0 THEN y / max(abs(y)) OVER (PARTITION BY symbol) ELSE y END")} FROM d"""
+
+
+def price_oscillator(bars: str, column: str, back: int, fast: int, slow: int, smooth: int, rows: int, long_term: bool = True) -> str:
+    """A trough of price: the run of equal lows before a rise lies below the low before that run, of at most four rows."""
+    held = lambda c, x: f"last_value(CASE WHEN {c} THEN {x} END IGNORE NULLS) OVER {W}"
+    fell = " OR ".join(f"({' AND '.join(f'l1 = l{i}' for i in range(2, k + 1))}{' AND ' if k > 1 else ''}l1 < l{k + 1})" for k in range(1, 5))
+    before = lambda x, w: f"min({x}) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
+    last = " OR (t AND up AND cp < lf) OR (up AND late < lf)" if long_term else ""
+    lags = ", ".join(f'lag("Low", {k}) OVER {W} AS l{k}' for k in range(1, 6))
+    return f"""WITH bars AS ({bars}), {_ema("f", "bars", f'"{column}"', fast)}, {_ema("s", "bars", f'"{column}"', slow)},
+o AS (SELECT symbol, seq, "Low" AS l, {lags}, 100 * (f / nullif(s, 0) - 1) AS o FROM {_join("bars", ["f", "s"])}), p AS (SELECT *, {_full("avg", "o", smooth)} AS p FROM o),
+t AS (SELECT *, lag(p) OVER {W} AS p1, coalesce(p > lag(p) OVER {W} AND lag(p) OVER {W} < lag(p, 2) OVER {W}, false) AS t, coalesce(l > l1 AND ({fell}), false) AS pt, {before("l", back)} AS least, {before("p", back)} AS pleast, {before("l", 5)} AS five FROM p),
+h AS (SELECT *, {held("t", "p1")} AS hp, {held("pt", "l1")} AS hl, {held("pt", "least")} AS hm, lag(pt) OVER {W} AS pt1 FROM t), y AS (SELECT *, {held("t", "CASE WHEN pt1 THEN five ELSE 0 END")} AS hy FROM h),
+w AS (SELECT *, lag(hp) OVER {W} AS c0, lag(hp, 2) OVER {W} AS c1, lag(hl) OVER {W} AS cp, lag(hm, 2) OVER {W} AS lf, lag(hy, 2) OVER {W} AS y6, coalesce(sum(t::INT) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) > 0, false) AS recent FROM y), z AS (SELECT *, CASE WHEN pt AND recent THEN l1 ELSE 0 END AS late, c0 > pleast AS up FROM w),
+g AS (SELECT symbol, seq, p, coalesce((t AND cp < y6 AND c0 > c1) OR (late < y6 AND c0 > c1){last}, false) AS g FROM z)
+SELECT {_rounded(PPO="p", bullish_signal=f"max(g::INT) OVER {_frame(rows + 1)}")} FROM g"""
+
+
+def bands_and_awesome(bars: str, length: int, mult: float, fast: int, slow_hl: int, fast_hl: int, squeeze: int, ema: bool = False, band: bool = False, threshold: float | None = None) -> str:
+    basis = _ema("b", "bars", '"Close"', length) if ema else f"""b AS (SELECT symbol, seq, {_full("avg", '"Close"', length)} AS y FROM bars)"""
+    allowed = lambda side: (f" AND {side}" if band else "") + (f" AND q > {threshold}" if threshold is not None else "")
+    signal = f"CASE WHEN f > b AND f1 <= b1 AND c > b AND abs(ao) = 1{allowed('c < b + dev')} THEN 1 WHEN f < b AND f1 >= b1 AND c < b AND abs(ao) = 2{allowed('c > b - dev')} THEN -1 ELSE 0 END"
+    return f"""WITH {_tr(bars)}, {basis}, {_ema("f", "bars", '"Close"', fast)},
+h AS (SELECT symbol, seq, "Close" AS c, ("High" + "Low") / 2 AS h, b, f FROM {_join("bars", ["b", "f"])}), k AS (SELECT symbol, seq, {_full("avg", "tr", 14)} AS atr FROM t),
+a AS (SELECT *, {_full("avg", "h", fast_hl)} - {_full("avg", "h", slow_hl)} AS x, {mult} * {_full("stddev_samp", "c", length)} AS dev, lag(f) OVER {W} AS f1, lag(b) OVER {W} AS b1 FROM h),
+g AS (SELECT *, coalesce(x >= 0, false) AS pos, coalesce(x > lag(x) OVER {W}, false) AS up, 100 * dev / nullif({_full("avg", "dev", squeeze)}, 0) AS q FROM a), o AS (SELECT *, CASE WHEN pos THEN 1 ELSE -1 END * CASE WHEN up THEN 1 ELSE 2 END AS ao FROM g)
+SELECT {_rounded(fast_ma="f", bb_basis="b", xSMA1_SMA2="x", AO="ao", bb_squeeze="q", atr="atr", BA_Signal=signal)} FROM o JOIN k USING (symbol, seq)"""
+
+
+def fisher_of(bars: str, column: str, eps: float) -> str:
+    return f"""WITH bars AS ({bars}) SELECT {_rounded(**{f"{column}_fisher": f'atanh(greatest({eps} - 1, least(1 - {eps}, "{column}")))'})} FROM bars"""
+
+
+def range_against_atr(bars: str, window: int, ratio: float, debug: bool = False) -> str:
+    conds = ['"Close" > "Open"', f"q > {ratio}", f"x < lag(x) OVER {W}"]
+    columns = {"atr_24_norm": "x", "candle_atr_ratio": "q", "candle_atr_ratio_ma": _full("avg", "q", window), "atr_breakout_signal": f"coalesce(({' AND '.join(conds)})::INT, 0)"}
+    columns |= {f"breakout_cond_{i}": f"coalesce(({c})::INT, 0)" for i, c in enumerate(conds)} if debug else {}
+    return f"""{_atr_24(bars)}, q AS (SELECT symbol, seq, x, "Open", "Close", 100 * ("High" - "Low") / nullif(x * "Close", 0) AS q FROM n JOIN bars USING (symbol, seq)) SELECT {_rounded(**columns)} FROM q"""
+
+
+def atr_ratio(bars: str, short: int, long: int) -> str:
+    weight = f"pow(1 - 1.0::DOUBLE / {short}, b.seq - a.seq)"
+    return f"""WITH {_tr(bars)}, k AS (SELECT b.symbol, b.seq, sum({weight} * a.tr) / sum({weight}) AS k FROM t AS b JOIN t AS a ON a.symbol = b.symbol AND a.seq <= b.seq AND a.seq > 1 WHERE b.seq > {short} GROUP BY b.symbol, b.seq),
+m AS (SELECT symbol, seq, k, {_shifted("avg", "k", long)} AS m FROM bars LEFT JOIN k USING (symbol, seq)) SELECT {_rounded(atr_ratio="CASE WHEN m IS NOT NULL THEN greatest(0, least(2, k / (m + 1e-8))) / 2 END")} FROM m"""
+
+
+def broken_lows(bars: str, back: int, recent: int) -> str:
+    """Every pair of a row and a three-bar low before it, with the extremes since."""
+    return f"""WITH bars AS ({bars}), n AS (SELECT symbol, seq, "Low" AS l, lag("Low") OVER {W} AS a, lead("Low") OVER {W} AS b FROM bars), f AS (SELECT symbol, seq, l FROM n WHERE l < a AND l < b),
+p AS (SELECT b.symbol, b.seq, f.l, b."Close" AS c, min(z."Low") AS lo, max(z."High") AS hi, any_value(m.last) AS now
+  FROM bars AS b JOIN f ON f.symbol = b.symbol AND f.seq BETWEEN b.seq - {back} AND b.seq - 1 JOIN bars AS z ON z.symbol = b.symbol AND z.seq > f.seq AND z.seq <= b.seq
+  JOIN (SELECT symbol, seq, min("Low") OVER {_frame(recent + 1)} AS last FROM bars) AS m ON m.symbol = b.symbol AND m.seq = b.seq GROUP BY b.symbol, b.seq, f.seq, f.l, c),
+q AS (SELECT *, l = min(l) OVER (PARTITION BY symbol, seq) AS lowest, CASE WHEN c > l THEN CASE WHEN hi > l THEN (c - l) / (hi - l) ELSE 0 END WHEN lo < l THEN (c - l) / (l - lo) ELSE 0 END AS x FROM p),
+g AS (SELECT symbol, seq, count(*) FILTER (WHERE now < l) AS k, avg(x) FILTER (WHERE now < l AND lowest) AS x FROM q GROUP BY symbol, seq)
+SELECT {_rounded(fractals_broken_count="coalesce(k, 0)", fractals_broken_ratio="CASE WHEN coalesce(k, 0) = 0 THEN -1 ELSE greatest(-1, least(1, coalesce(x, 0))) END")} FROM bars LEFT JOIN g USING (symbol, seq)"""
+
+
+def quarters(bars: str, levels: int) -> str:
+    columns = {f"Q_L{n}_{q}": f"(s * {4**n} // 86400 = {q - 1})::INT" for n in range(1, levels + 1) for q in range(1, 4**n + 1)}
+    return f"""WITH bars AS ({bars}), s AS (SELECT symbol, seq, floor(epoch("Data"))::BIGINT % 86400 AS s FROM bars) SELECT {_rounded(**columns)} FROM s"""
+
+
+def halves(bars: str, window: int) -> str:
+    """The mean gap between values of the same rank in the older and the newer half."""
+    half = window // 2
+    return f"""WITH bars AS ({bars}), p AS (SELECT b.symbol, b.seq, a.seq > b.seq - {half} AS newer, a."Close" AS x FROM bars AS b JOIN bars AS a ON a.symbol = b.symbol AND a.seq > b.seq - {window} AND a.seq <= b.seq WHERE b.seq >= {window}),
+r AS (SELECT *, row_number() OVER (PARTITION BY symbol, seq, newer ORDER BY x) AS i FROM p), w AS (SELECT a.symbol, a.seq, avg(abs(a.x - b.x)) AS w FROM r AS a JOIN r AS b ON b.symbol = a.symbol AND b.seq = a.seq AND b.i = a.i AND b.newer AND NOT a.newer GROUP BY ALL)
+SELECT {_rounded(**{f"wasserstein_{window}": "w"})} FROM bars LEFT JOIN w USING (symbol, seq)"""
+
+
+def volume_filter(bars: str, ema: bool, short: int, long: int) -> str:
+    keep = lambda n: f"pow(1 - 2.0::DOUBLE / ({n} + 1), b.seq - a.seq)"
+    weighed = ", ".join(f'sum({keep(n)} * a."Volume") / sum({keep(n)}) AS {c}' for c, n in (("s", short), ("l", long)))
+    means = f"SELECT b.symbol, b.seq, {weighed} FROM bars AS b JOIN bars AS a ON a.symbol = b.symbol AND a.seq <= b.seq GROUP BY b.symbol, b.seq" if ema else f'SELECT symbol, seq, avg("Volume") OVER {_frame(short)} AS s, avg("Volume") OVER {_frame(long)} AS l FROM bars'
+    return f"""WITH bars AS ({bars}), m AS ({means}) SELECT {_rounded(volume_filter="coalesce(100 * (s / nullif(l, 0) - 1), 0)")} FROM m"""
+
+
+def volume_base(bars: str, length: int, short: int) -> str:
+    z = lambda c: f"({c} - {_full('avg', c, length)}) / nullif({_full('stddev_samp', c, length)}, 0)"
+    return f"""WITH bars AS ({bars}), d AS (SELECT symbol, seq, "Volume" AS v, "Close" - lag("Close") OVER {W} AS d, "Volume" * (2 * "Close" - "Low" - "High") / nullif("High" - CASE WHEN "Low" = 0 THEN 0.0001 ELSE "Low" END, 0) AS ad FROM bars),
+o AS (SELECT *, sum(sign(d) * v) OVER {W} AS o, d * v AS f, {_full("sum", "ad", length)} AS s FROM d)
+SELECT {_rounded(obv_zscore=z("o"), volume_ma_ratio=f"v / nullif({_full('avg', 'v', length)}, 0)", ad_cum_pct_change=f"s / nullif(lag(s, {short}) OVER {W}, 0) - 1", force_index_z=z("f"))} FROM o"""
+
+
+def added_indicators(bars: str) -> str:
+    return f"SELECT * FROM ({atr_normalized(bars, (24,), True, 200, 5)}) JOIN ({volume_base(bars, 28, 5)}) USING (symbol, seq)"
+
+
+def liquidity_score(bars: str, window: int) -> str:
+    """Profile, ATR and trend cycle as in their own queries, but not rounded."""
+    tail = lambda q: f"quantile_cont(stc, {q}) OVER (PARTITION BY symbol)"
+    f = _frame(100)
+    return f"""WITH {_tr(bars)}, {_atr_sums(14)}, n AS MATERIALIZED (SELECT symbol, seq, 2 * (y - min(y) OVER {f}) / (max(y) OVER {f} - min(y) OVER {f} + 1e-8) - 1 AS n FROM atr),
+{_ema("a", "bars", '"Close"', 23)}, {_ema("b", "bars", '"Close"', 50)}, m AS MATERIALIZED (SELECT symbol, seq, a - b AS m FROM {_join("bars", ["a", "b"])}), {_ema("g", "m", "m", 10)},
+raw AS MATERIALIZED (SELECT symbol, seq, CASE WHEN abs(g) < 1e-10 THEN 0 ELSE greatest(-1, least(1, m / g - 1)) END AS x FROM {_join("m", ["g"])}), {_ema("stc", "raw", "x", 10)},
+c AS (SELECT symbol, seq, least(greatest(stc, {tail(0.01)}), {tail(0.99)}) AS c FROM {_join("bars", ["stc"])}),
+z AS (SELECT symbol, seq, (c - avg(c) OVER (PARTITION BY symbol)) / (stddev_samp(c) OVER (PARTITION BY symbol) + 1e-10) AS z FROM c),
+v AS (SELECT symbol, seq, ("High" + "Low" + "Close") / 3 * "Volume" AS pv, "Volume" AS v FROM bars), p AS (SELECT symbol, seq, v, {_full("max", "v", 20)} AS top, {_full("sum", "pv", window)} / nullif({_full("sum", "v", window)}, 0) AS p FROM v),
+q AS (SELECT symbol, seq, (p - {_full("avg", "p", 10)}) / nullif({_full("stddev_samp", "p", 10)}, 0) AS vp, atanh(least(1 - 1e-7, v / CASE WHEN top = 0 THEN 1 ELSE top END)) AS w FROM p),
+l AS (SELECT symbol, seq, CASE WHEN w IS NOT NULL THEN 2 * vp / (1 + 1 / (1 + exp(n))) - z * w END AS l FROM q JOIN n USING (symbol, seq) JOIN z USING (symbol, seq))
+SELECT {_rounded(LISS="(l - min(l) OVER (PARTITION BY symbol)) / (max(l) OVER (PARTITION BY symbol) - min(l) OVER (PARTITION BY symbol) + 1e-10)")} FROM l"""
+
+
+def volume_dynamics(bars: str, column: str, sigma: float) -> str:
+    raw = {
+        "rolling_std_10": _full("stddev_samp", "v", 10), "rolling_std_30": _full("stddev_samp", "v", 30), "diff_1": "d", "rolling_diff_mean_10": _full("avg", "d", 10), "pct_change": "p",
+        "pct_change_rolling_mean_10": _full("avg", "p", 10), "diff2": f"d - lag(d) OVER {W}", "spike": _full("sum", "s", 10), "up_cluster": _full("sum", "u", 10), "down_cluster": _full("sum", "w", 10), "volume_cluster_diff": _full("sum", "u - w", 10),
+    }
+    scaled = lambda c: f"2 * ({c} - {_full('min', c, 100)}) / ({_full('max', c, 100)} - {_full('min', c, 100)} + 1e-8) - 1"
+    return f"""WITH bars AS ({bars}), v AS (SELECT symbol, seq, "{column}" AS v, CASE WHEN "Close" > "Open" THEN "{column}" ELSE 0 END AS u, CASE WHEN "Close" < "Open" THEN "{column}" ELSE 0 END AS w FROM bars),
+d AS (SELECT *, v - lag(v) OVER {W} AS d, v / nullif(lag(v) OVER {W}, 0) - 1 AS p, coalesce(v > {_full("avg", "v", 20)} + {sigma} * {_full("stddev_samp", "v", 20)}, false)::INT AS s FROM v),
+r AS (SELECT symbol, seq, {", ".join(f"{x} AS {c}" for c, x in raw.items())} FROM d) SELECT {_rounded(**{f"{column}_{c}": scaled(c) for c in raw})} FROM r"""
+
+
+def money_flows(bars: str, length: int) -> str:
+    """The force index starts at the 13th row with the mean of the changes so far."""
+    return f"""WITH bars AS ({bars}), d AS MATERIALIZED (SELECT symbol, seq, "Volume" AS v, ("High" + "Low" + "Close") / 3 AS t, ("Close" - lag("Close") OVER {W}) AS d, coalesce((2 * "Close" - "High" - "Low") / nullif("High" - "Low", 0), 0) * "Volume" AS a FROM bars),
+s AS MATERIALIZED (SELECT symbol, seq, CASE WHEN seq = 13 THEN avg(d * v) OVER {W} WHEN seq > 13 THEN d * v END AS x FROM d), {_ema("e", "s", "x", 13)},
+t AS (SELECT *, t - lag(t) OVER {W} AS dt FROM d), f AS (SELECT *, CASE WHEN dt > 0 THEN t * v ELSE 0 END AS up, CASE WHEN dt <> 0 THEN t * v ELSE 0 END AS moved FROM t)
+SELECT {_rounded(OBV="CASE WHEN seq > 1 THEN sign(d) * v / (v + 1e-8) END", AD="CASE WHEN seq > 1 THEN a / (v + 1e-8) END", EFI=f"e / ({_full('avg', 'v', 10)} + 1e-8)", CMF=f"{_full('sum', 'a', length)} / nullif({_full('sum', 'v', length)}, 0)", MFI=f"100 * {_full('sum', 'up', length)} / nullif({_full('sum', 'moved', length)}, 0)")}
+FROM f LEFT JOIN (SELECT symbol, seq, y AS e FROM e) USING (symbol, seq)"""
+
+
+def rsi_and_flow(bars: str, period: int, length: int) -> str:
+    return f"""WITH bars AS ({bars}), d AS (SELECT symbol, seq, "Close" AS c, coalesce("Close" - lag("Close") OVER {W}, 0) AS d, (2 * "Close" - "Low" - "High") / ("High" - "Low" + 1e-8) * "Volume" AS f, "Volume" AS v FROM bars),
+m AS (SELECT *, 100 - 100 / (1 + {_full("avg", "greatest(d, 0)", period)} / ({_full("avg", "greatest(-d, 0)", period)} + 1e-8)) AS r, {_full("sum", "f", length)} / ({_full("sum", "v", length)} + 1e-8) AS cmf FROM d),
+n AS (SELECT *, {_full("avg", "r", 20)} AS ma, r - lag(r) OVER {W} AS dr, round(cmf - lag(cmf) OVER {W}, 12) AS df, c - lag(c) OVER {W} AS dc FROM m)
+SELECT {_rounded(RSI_14_manual="r", RSI_14_zscore="coalesce((r - avg(r) OVER (PARTITION BY symbol)) / (stddev_pop(r) OVER (PARTITION BY symbol) + 1e-8), 0)", RSI_14_ma="ma", RSI_dist_from_mean="r - ma", cmf_manual="cmf", cmf_price_div="coalesce((df > 0 AND dc < 0)::INT, 0)", rsi_price_div="coalesce((dr > 0 AND dc < 0)::INT, 0)")} FROM n"""

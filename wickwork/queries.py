@@ -598,6 +598,29 @@ SELECT f AS "Feature", round(x, 5) AS shap, round(100 * x / max(x) OVER (), 5) A
         "add_support_resistance_features": plain_sql.support_resistance(DAILY, 1000, 20, 2, 0.01),
         "add_parabolic_sar_feature": plain_sql.parabolic_sar(DAILY, 0.02, 0.2),
         "kagi_conversion_line": plain_sql.kagi(DAILY, 9, 26, 14),
+        "TMA_Overlay": plain_sql.smoothed_averages(DAILY),
+        "add_normalized_ichimoku_on_rsi": plain_sql.ichimoku_on_rsi(DAILY, 14, 9, 26, 52, "rsi14_ichimoku"),
+        "get_fibonacci_flags": plain_sql.retracements(DAILY, 300, 0.003),
+        "fibo_3_lines_dinamic": plain_sql.three_lines(DAILY, 200, '("High" + "Low" + "Close") / 3', 3.0, 0.236, 1.0),
+        "add_rsi_level_signal": plain_sql.rsi_levels(DAILY, 14, 200, 0.03, 2),
+        "find_bullish_rsi_divergence": plain_sql.lows_against_rsi(DAILY, 7, 5),
+        "rsi_divergence": plain_sql.pivots_against_rsi(DAILY, 14, 5, 5, 5),
+        "calculate_smooth_divergence": plain_sql.smooth_divergence(DAILY, 14),
+        "ppo": plain_sql.price_oscillator(DAILY, "Close", 55, 12, 26, 2, 3),
+        "bollinger_awesome_alert": plain_sql.bands_and_awesome(DAILY, 20, 2.0, 3, 34, 5, 100),
+        "safe_fisher_transform": plain_sql.fisher_of(DAILY, "Close", 1e-7),
+        "add_price_atr_interaction": plain_sql.range_against_atr(DAILY, 3, 0.8),
+        "add_atr_ratio": plain_sql.atr_ratio(DAILY, 14, 12),
+        "sfp_fractals": plain_sql.broken_lows(DAILY, 14, 3),
+        "quarter_theory": plain_sql.quarters(HOURLY, 2),
+        "rolling_wasserstein": plain_sql.halves(DAILY, 100),
+        "add_volume_filter": plain_sql.volume_filter(DAILY, False, 20, 100),
+        "volume_base_indicators": plain_sql.volume_base(DAILY, 28, 5),
+        "calculate_LISS": plain_sql.liquidity_score(DAILY, 20),
+        "add_volume_dynamics": plain_sql.volume_dynamics(DAILY, "Volume", 1.5),
+        "volume_indicators": plain_sql.money_flows(DAILY, 20),
+        "rsi_manual_features": plain_sql.rsi_and_flow(DAILY, 14, 20),
+        "apply_add_indicators": plain_sql.added_indicators(DAILY),
     }
     pos = "count(*) FILTER (WHERE a.\"Close\" < b.\"Close\") + (count(*) FILTER (WHERE a.\"Close\" = b.\"Close\") + 1) / 2.0"
     out["quantile_position"] = f"""WITH bars AS ({DAILY}) SELECT b.symbol, b.seq, CASE WHEN count(*) = 700 THEN round(2 * (({pos}) / 700 - 0.5), 6) + 0.0 END AS quantile_position
