@@ -1,4 +1,4 @@
-"""Expressions over the rows of a symbol, as SQL text that Spark and DuckDB both read.
+"""Expressions over the rows of a symbol, as Spark SQL text.
 
 Every function takes and gives SQL. Rows are addressed by position: frames are ROWS frames over the rows of a symbol in
 the order of ``seq``. An average over w rows is null until w values are there, unless ``least`` says otherwise.
@@ -62,9 +62,9 @@ def std(x: str, w: int, end: int = 0) -> str:
 
 
 def median(x: str, w: int) -> str:
-    """The middle of w values; the marker becomes each engine's exact quantile."""
+    """The middle of w values."""
     frame = over(1 - w, 0)
-    return f"CASE WHEN count({x}) {frame} >= {w} THEN MEDIAN_OF({x}) {frame} END"
+    return f"CASE WHEN count({x}) {frame} >= {w} THEN percentile({x}, 0.5D) {frame} END"
 
 
 def whole(fn: str, x: str) -> str:

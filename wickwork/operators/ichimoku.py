@@ -55,8 +55,8 @@ def kagi_conversion_line(conversion_period: int = 9, baseline_period: int = 26,
 def get_fibonacci_flags(window: int = 300, threshold: float = 0.003) -> Feature:
     """Distance to five retracement levels; the trend is up if the high came after the low within the rows before."""
     f = Feature().let(_hi=high("High", window), _lo=low("Low", window), _ph=high("High", window, None, -1), _pl=low("Low", window, None, -1))
-    first = over(-window, -1)
-    f.let(_ah=f"FIRST_MAX(High) {first}", _al=f"FIRST_MIN(Low) {first}")
+    # Of equal extremes the first.
+    f.let(_ah=f"max_by(seq, named_struct('x', High, 's', -seq)) {over(-window, -1)}", _al=f"min_by(seq, named_struct('x', Low, 's', seq)) {over(-window, -1)}")
     f.let(_ok=f"seq > {window} AND (_hi - _lo) / nullif(_lo, 0) >= {num(threshold)}", _up="_ah > _al", _r="_hi - _lo")
     level = lambda r: f"CASE WHEN _up THEN _hi - {num(r)} * _r ELSE _lo + {num(r)} * _r END"
     return f.out(**{f"fib_dist_{round(r * 1000)}": f"CASE WHEN _ok THEN (Close - ({level(r)})) / (Close + {num(E10)}) END" for r in (0.236, 0.382, 0.5, 0.618, 0.786)})

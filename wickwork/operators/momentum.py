@@ -149,7 +149,7 @@ def adaptive_rsi(df: DataFrame, rsi_period: int = 14, atr_period: int = 14, norm
     """
     some = lambda x: f"CASE WHEN {x} = 0 THEN {num(E10)} ELSE {x} END"
     f = true_range(Feature()).let(_d=diff("Close"), _a=mean("_tr", atr_period)).let(_atr=some("_a")).let(_b=mean("_atr", atr_period)).let(_avg=some("_b"))
-    f.let(_p=clip(div(str(rsi_period), div("_atr", "_avg")), 5, 30)).let(_q=f"coalesce(floor(_p), {rsi_period})").out(_n=f"CAST({whole('max', '_q')} AS INT)", _last=f"COLLECT(_d) {over(1 - max(30, rsi_period), 0)}")
+    f.let(_p=clip(div(str(rsi_period), div("_atr", "_avg")), 5, 30)).let(_q=f"coalesce(floor(_p), {rsi_period})").out(_n=f"CAST({whole('max', '_q')} AS INT)", _last=f"collect_list(_d) {over(1 - max(30, rsi_period), 0)}")
     window = F.slice("_last", -F.col("_n"), F.col("_n"))
     part = lambda keep: F.filter(window, keep)
     average = lambda xs: F.try_divide(F.aggregate(xs, F.lit(0.0), lambda s, x: s + F.abs(x)), F.size(xs))
@@ -186,7 +186,7 @@ def compute_combined_indicators(stc_fast: int = 23, stc_slow: int = 50, stc_cycl
     f.let(_s1=clip("_s0", -1, 1), _x1=clip("_x0", -0.999, 0.999)).let(_x2="ln((1 + _x1) / (1 - _x1)) / 2")
     f.let(_STC=ema("_s1", stc_cycle), _Fisher=ema("_x2", fisher_length)).let(_KeltnerWidth=f"2 * {num(keltner_multiplier)} * {div('_etr', '_eh')}")
     for name in ("STC", "Fisher", "KeltnerWidth"):
-        f.let(**{f"_{name}q1": f"QUANTILE_OF(_{name}, 0.01) OVER (PARTITION BY symbol)", f"_{name}q9": f"QUANTILE_OF(_{name}, 0.99) OVER (PARTITION BY symbol)"})
+        f.let(**{f"_{name}q1": f"percentile(_{name}, 0.01D) OVER (PARTITION BY symbol)", f"_{name}q9": f"percentile(_{name}, 0.99D) OVER (PARTITION BY symbol)"})
         f.let(**{f"_{name}c": f"least(greatest(_{name}, _{name}q1), _{name}q9)"})
         zscore_all(f, f"_{name}z", f"_{name}c", E10).out(**{name: f"_{name}z"})
     return f

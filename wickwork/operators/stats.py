@@ -135,9 +135,9 @@ def rolling_wasserstein(window: int = 100, compare: int = 50, price_col: str = "
     """Distance between the older and the newer half of a window: mean gap of their sorted values."""
     if window != 2 * compare:
         raise ValueError("the halves are equally long")
-    frame = lambda lo, hi: f"COLLECT({price_col}) {over(lo, hi)}"
+    frame = lambda lo, hi: f"collect_list({price_col}) {over(lo, hi)}"
     f = Feature().let(_a=frame(1 - window, -compare), _b=frame(1 - compare, 0))
-    return f.out(**{f"wasserstein_{window}": f"CASE WHEN seq >= {window} THEN SORTED_GAP(_a, _b) / {compare} END"})
+    return f.out(**{f"wasserstein_{window}": f"CASE WHEN seq >= {window} THEN aggregate(zip_with(array_sort(_a), array_sort(_b), (p, q) -> abs(p - q)), 0D, (s, v) -> s + v) / {compare} END"})
 
 
 @operator

@@ -1,4 +1,4 @@
-"""DuckDB SQL for features, written from their formulas and not from the operators' levels, for parameters other than the defaults."""
+"""DuckDB SQL for features, written from their formulas and not from the operators' levels, for any parameters."""
 
 from __future__ import annotations
 
@@ -711,6 +711,45 @@ m AS (SELECT symbol, seq, arg_max(atan2(im, re), re * re + im * im) / pi() AS y
 SELECT {_rounded(fft_phase_position="y")} FROM bars LEFT JOIN m USING (symbol, seq)"""
 
 
+# What labels, evaluation and trees are computed from, not rounded ------------------------------------------------------
+
+
+def inputs(bars: str) -> str:
+    """Bars with the bands' place and width, choppiness and RSI at their default settings."""
+    return f"""SELECT bars.*, (c - m) / (s + 1e-8) AS bb_z_20, 4 * s / (m + 1e-8) AS bb_width_20, CASE WHEN total IS NOT NULL THEN greatest(0, least(1, (100 * log10((total + 1e-8) / (hi - lo + 1e-8)) / log10(14 + 1e-8) - 20) / 41.8)) END AS choppiness_index_14, r AS "RSI_14"
+FROM (WITH {_tr(bars)}, {_wilder_rsi("r", "bars", 14)}, m AS (SELECT symbol, seq, "Close" AS c, {_full("avg", '"Close"', 20)} AS m, {_full("stddev_samp", '"Close"', 20)} AS s, {_full("sum", "tr", 14)} AS total, {_full("max", '"High"', 14)} AS hi, {_full("min", '"Low"', 14)} AS lo FROM t)
+SELECT * FROM {_join("m", ["r"])}) AS m JOIN ({bars}) AS bars USING (symbol, seq)"""
+
+
+def open_gates(bars: str) -> str:
+    """(symbol, seq): the rows where the close is above its mean of 100, the stochastic RSI below 40 and volume rising."""
+    return f"""WITH bars AS ({bars}), {_wilder_rsi("r", "bars", 14)}, s AS (SELECT symbol, seq, "Close" AS c, "Volume" AS v, 100 * (r - {_full("min", "r", 14)}) / nullif({_full("max", "r", 14)} - {_full("min", "r", 14)}, 0) AS s FROM {_join("bars", ["r"])}),
+g AS (SELECT symbol, seq, c > {_full("avg", "c", 100)} AND {_full("avg", "s", 3)} < 40 AND {_full("avg", "v", 5)} > {_full("avg", "v", 20)} AS g FROM s) SELECT symbol, seq FROM g WHERE g"""
+
+
+def hourly_rsi(bars: str) -> str:
+    """RSI of 7 and 14 hours from the last close of each hour, given to the hour's first bar and kept until the next."""
+    fill = lambda c: f"last_value({c} IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.seq)"
+    return f"""WITH b AS ({bars}), bars AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY "Data") AS seq FROM (SELECT symbol, date_trunc('hour', "Data") AS "Data", arg_max("Close", "Data") AS "Close" FROM b GROUP BY ALL)),
+{_wilder_rsi("r", "bars", 7)}, {_wilder_rsi("q", "bars", 14)}, h AS (SELECT symbol, "Data", r / 100 AS r, q / 100 AS q FROM {_join("bars", ["r", "q"])})
+SELECT b.symbol, b.seq, round({fill("h.r")}, 6) + 0.0 AS "RSI7_1H_norm", round({fill("h.q")}, 6) + 0.0 AS "RSI14_1H_norm" FROM b LEFT JOIN h ON h.symbol = b.symbol AND h."Data" = b."Data" """
+
+
+def session_distances(bars: str, flags: dict[str, str]) -> str:
+    """A session's first candle is the one that last opened it; beyond its low or high counts in shares of its range."""
+    columns, started, ranges = {}, [], []
+    for s, cond in flags.items():
+        started.append(f"""({cond})::INT AS "{s}" """)
+        ranges.append(f"""max(CASE WHEN "{s}" = 1 AND coalesce(before_{s}, 0) <> 1 THEN seq END) OVER {W} AS at_{s}""")
+        low, high = f"{s}_bar.\"Low\"", f"{s}_bar.\"High\""
+        part = f"""(CASE WHEN m."Low" < {low} THEN m."Low" - {low} ELSE m."High" - {high} END) / nullif({high} - {low}, 0)"""
+        columns |= {s: f'm."{s}"', f"{s}_Distance": f"""CASE WHEN m."{s}" = 1 AND (m."Low" < {low} OR m."High" > {high}) THEN CASE WHEN {part} IS NOT NULL THEN greatest(-1, least(1, {part})) END ELSE 0 END"""}
+    joins = " ".join(f"LEFT JOIN bars AS {s}_bar ON {s}_bar.symbol = m.symbol AND {s}_bar.seq = m.at_{s}" for s in flags)
+    lags = ", ".join(f'lag("{s}") OVER {W} AS before_{s}' for s in flags)
+    return f"""WITH bars AS ({bars}), f AS (SELECT *, {", ".join(started)} FROM bars), l AS (SELECT *, {lags} FROM f), m AS (SELECT *, {", ".join(ranges)} FROM l)
+SELECT {_rounded(**columns).replace("symbol, seq,", "m.symbol, m.seq,")} FROM m {joins}"""
+
+
 # Patterns, divergences and volume --------------------------------------------------------------------------------------
 
 

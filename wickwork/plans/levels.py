@@ -2,13 +2,13 @@
 
 A level is either a set of SQL expressions, which become one projection over one window partitioning, or a set of
 recursions, which become one grouped-map call per symbol. A feature lists the columns it leaves; those whose names begin
-with an underscore are helpers and go. The same levels can be written as DuckDB SQL, which is how results are checked.
+with an underscore are helpers and go.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -72,7 +72,7 @@ class Feature:
             if isinstance(next(iter(step.values())), Rec):
                 df = run_kernels(df, step, block_rows)
             else:
-                df = df.withColumns({k: F.expr(spark_sql(v)) for k, v in step.items()})
+                df = df.withColumns({k: F.expr(v) for k, v in step.items()})
         return df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(final[c]).alias(c) for c in self.outputs])
 
     def schedule(self) -> tuple[list[dict[str, str | Rec]], dict[str, str]]:
@@ -112,15 +112,6 @@ class Feature:
 _NAME = re.compile(r"[A-Za-z_]\w*")
 
 
-def spark_sql(text: str) -> str:
-    """Exact quantiles by Spark's name."""
-    text = re.sub(r"FIRST_(MAX|MIN)\((\w+)\)", lambda m: f"{m[1].lower()}_by(seq, named_struct('x', {m[2]}, 's', {'-' * (m[1] == 'MAX')}seq))", text)
-    text = re.sub(r"MEDIAN_OF\(([^()]+)\)", r"percentile(\1, 0.5D)", text)
-    text = re.sub(r"\bCOLLECT\(", "collect_list(", text)
-    text = re.sub(r"SORTED_GAP\((\w+), (\w+)\)", r"aggregate(zip_with(array_sort(\1), array_sort(\2), (p, q) -> abs(p - q)), 0D, (s, v) -> s + v)", text)
-    return re.sub(r"QUANTILE_OF\(([^(),]+), ([0-9.]+)\)", r"percentile(\1, \2D)", text)
-
-
 #: How many rows before a row a kernel looks at, by its arguments; kernels that look further back, or ahead, aren't here.
 VIEWS: dict[str, Callable[..., int]] = {}
 
@@ -186,76 +177,3 @@ def run_kernels(df: DataFrame, recs: dict[str, Rec], block_rows: int | None = No
         return out
 
     return df.groupBy("symbol").applyInArrow(run, schema)
-
-
-# DuckDB ------------------------------------------------------------------------------------------------------------
-
-
-def duckdb_sql(feature: Feature, bars: str, select: str) -> str | None:
-    """The feature over the relation ``bars`` (a CTE body) as one DuckDB query; None if a recursion has no SQL form."""
-    ctes, last = [f"t0 AS ({bars})"], "t0"
-    for n, level in enumerate(feature.levels, 1):
-        recs = {k: v for k, v in level.items() if isinstance(v, Rec)}
-        plain = {k: v for k, v in level.items() if not isinstance(v, Rec)}
-        if plain:
-            fresh = ", ".join(f'{_duck(v)} AS "{k}"' for k, v in plain.items())
-            again = _defined(feature, n, plain)
-            old = f"* EXCLUDE ({', '.join(again)})" if again else "*"
-            ctes.append(f"t{n} AS MATERIALIZED (SELECT {old}, {fresh} FROM {last})")
-            last = f"t{n}"
-        for i, (k, r) in enumerate(recs.items()):
-            form = RECURSIONS.get(r.kernel.__name__)
-            if form is None:
-                return None
-            ctes += form(f"r{n}_{i}", last, k, *r.columns, *r.args)
-        if recs:
-            joins = " ".join(f"LEFT JOIN r{n}_{i} USING (symbol, seq)" for i in range(len(recs)))
-            again = _defined(feature, n, recs)
-            every = f"{last}.* EXCLUDE ({', '.join(again)})" if again else f"{last}.*"
-            ctes.append(f"u{n} AS MATERIALIZED (SELECT {every}, {', '.join(f'r{n}_{i}.y AS "{k}"' for i, k in enumerate(recs))} FROM {last} {joins})")
-            last = f"u{n}"
-    return f"WITH RECURSIVE {', '.join(ctes)} SELECT {select} FROM {last}"
-
-
-def _defined(feature: Feature, n: int, names) -> list[str]:
-    """Which of ``names`` an earlier level has."""
-    return [k for k in names if any(k in level for level in feature.levels[: n - 1])]
-
-
-def _duck(text: str) -> str:
-    text = re.sub(r"FIRST_(MAX|MIN)\((\w+)\)", lambda m: f"arg_{m[1].lower()}(seq, {{'x': {m[2]}, 's': {'-' * (m[1] == 'MAX')}seq}})", text)
-    text = re.sub(r"MEDIAN_OF\(([^()]+)\)", r"quantile_cont(\1, 0.5)", text)
-    text = re.sub(r"QUANTILE_OF\(([^(),]+), ([0-9.]+)\)", r"quantile_cont(\1, \2)", text)
-    text = re.sub(r"\bCOLLECT\(", "list(", text)
-    text = re.sub(r"SORTED_GAP\((\w+), (\w+)\)", r"list_sum(list_transform(list_zip(list_sort(\1), list_sort(\2)), lambda z: abs(z[1] - z[2])))", text)
-    return re.sub(r"(last_value|first_value)\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\) IGNORE NULLS", r"\1(\2 IGNORE NULLS)", text)
-
-
-def _steps(name: str, src: str, x: str, first: str, step: str, state: str, result: str) -> Iterator[str]:
-    """A recursion over the values of x that aren't null, numbered by rn."""
-    yield f"{name}_x AS MATERIALIZED (SELECT symbol, seq, x, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS rn FROM (SELECT symbol, seq, {x}::DOUBLE AS x FROM {src}) WHERE x IS NOT NULL)"
-    yield f"{name}_r AS (SELECT symbol, seq, rn, {first} FROM {name}_x AS k WHERE rn = 1 UNION ALL SELECT k.symbol, k.seq, k.rn, {step} FROM {name}_r AS r JOIN {name}_x AS k ON k.symbol = r.symbol AND k.rn = r.rn + 1)"
-    yield f"{name} AS MATERIALIZED (SELECT symbol, seq, {result} AS y FROM {name}_r)"
-
-
-def _ema_sql(name, src, out, x, alpha):
-    a = f"{alpha!r}::DOUBLE"
-    return list(_steps(name, src, x, "k.x AS y0", f"{a} * k.x + (1 - {a}) * r.y0", "y0", "y0"))
-
-
-def _ewm_sql(name, src, out, x, alpha, least=1):
-    a = f"(1 - {alpha!r}::DOUBLE)"
-    return list(_steps(name, src, x, "k.x AS n, 1::DOUBLE AS d", f"k.x + {a} * r.n, 1 + {a} * r.d", "n, d", f"CASE WHEN rn >= {least} THEN n / d END"))
-
-
-def _seeded_sql(name, src, out, x, n):
-    a = f"({2 / (n + 1)!r}::DOUBLE)"
-    mean = f"(SELECT avg(s.x) FROM {name}_x AS s WHERE s.symbol = k.symbol AND s.rn <= {n})"
-    return [
-        f"{name}_x AS MATERIALIZED (SELECT symbol, seq, x, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS rn FROM (SELECT symbol, seq, {x}::DOUBLE AS x FROM {src}) WHERE x IS NOT NULL)",
-        f"{name}_r AS (SELECT symbol, seq, rn, {mean} AS y FROM {name}_x AS k WHERE rn = {n} UNION ALL SELECT k.symbol, k.seq, k.rn, {a} * k.x + (1 - {a}) * r.y FROM {name}_r AS r JOIN {name}_x AS k ON k.symbol = r.symbol AND k.rn = r.rn + 1)",
-        f"{name} AS MATERIALIZED (SELECT symbol, seq, y FROM {name}_r)",
-    ]
-
-
-RECURSIONS: dict[str, Callable[..., list[str]]] = {"ema": _ema_sql, "ewm": _ewm_sql, "seeded": _seeded_sql}

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from . import plain_sql
 from .operators import OPERATORS, evaluate
-from .operators.label import add_target_column_mod, add_target_column_mod_sma_stochrsi_volume_surge, gates, label_grid
+from .operators.label import add_target_column_mod, add_target_column_mod_sma_stochrsi_volume_surge, label_grid
 from .operators.resampled import rsi_htf
 from .operators.sessions import add_trading_sessions
-from .plans.levels import Feature, duckdb_sql
+from .plans.levels import Feature
 from .sources import bars as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,10 +66,6 @@ def add_parabolic_sar_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("symbol", "seq", (F.when(F.abs(y) >= 1e9, F.round(y, -6)).otherwise(F.round(y, 6)) + F.lit(0.0)).alias("parabolic_sar_norm"))
 
 
-def _plain_sql(columns: list[str]) -> str:
-    return "symbol, seq, " + ", ".join(f'round("{c}"::DOUBLE, 6) + 0.0 AS "{c}"' for c in columns)
-
-
 def _feature_query(kind: str, feature: Feature) -> Query:
     return lambda spark, sf_dir: _plain(feature.add_to(_SOURCES[kind][0](spark, sf_dir)), feature.outputs)
 
@@ -333,9 +329,7 @@ labels AS (SELECT symbol, seq{extra}, CASE WHEN tp IS NOT NULL AND (sl IS NULL O
 
 
 def _bollinger_scored() -> str:
-    f = OPERATORS["add_bollinger_features"].feature()
-    inner = duckdb_sql(f, DAILY, "*")
-    return f"""WITH bars AS ({DAILY}), bb AS ({inner}), {_label_sql("bars", "0.04::DOUBLE", "0.02::DOUBLE")},
+    return f"""WITH bars AS ({DAILY}), bb AS ({plain_sql.inputs(DAILY)}), {_label_sql("bars", "0.04::DOUBLE", "0.02::DOUBLE")},
 scored AS (
   SELECT CASE WHEN seq <= 1200 THEN 'train' WHEN seq <= 1800 THEN 'valid' ELSE 'test' END AS split, target, floor((least(greatest(bb_z_20, -3.0::DOUBLE), 3.0::DOUBLE) + 3) / 6 * 50) / 50 AS proba
   FROM bb JOIN labels USING (symbol, seq) WHERE bb_z_20 IS NOT NULL
@@ -355,40 +349,21 @@ auc AS (SELECT split, (sum(r) FILTER (WHERE target = 1) - sum(target) * (sum(tar
 
 
 def _chopped() -> str:
-    f = Feature().then(OPERATORS["add_bollinger_features"].feature()).then(OPERATORS["add_choppiness_index"].feature())
-    return f"WITH rows AS ({duckdb_sql(f, DAILY, 'symbol, seq, "Close", "Volume", bb_z_20, bb_width_20, choppiness_index_14')})"
+    return f"WITH rows AS ({plain_sql.inputs(DAILY)})"
 
 
 def _sessions_sql() -> str:
-    from .operators.sessions import SESSIONS, session_distance
-
     # The test events lie in January, when neither London nor New York has summer time.
     h, m = 'hour("Data")', 'minute("Data")'
     flags = {"Asia": f"{h} >= 3 AND {h} < 10", "Frankfurt": f"{h} = 10", "London": f"{h} >= 11 AND {h} < 13", "NewYork": f"{h} >= 16 OR {h} < 1", "Lunch": f"{h} = 13 OR ({h} = 16 AND {m} = 0)"}
-    bars = f"SELECT *, {', '.join(f'CASE WHEN {c} THEN 1 ELSE 0 END AS "{n}"' for n, c in flags.items())} FROM ({HOURLY})"
-    return duckdb_sql(session_distance.feature(), bars, _plain_sql([*SESSIONS, *[f"{s}_Distance" for s in SESSIONS]]))
-
-
-def _rsi_htf_sql() -> str:
-    from .operators.base import rsi
-
-    f = Feature()
-    for p in (7, 14):
-        rsi(f, f"_r{p}", p)
-    f.out(_v7="_r7 / 100", _v14="_r14 / 100")
-    hours = f"""SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY "Data") AS seq FROM (SELECT symbol, date_trunc('hour', "Data") AS "Data", arg_max("Close", "Data") AS "Close" FROM ({QUARTERS}) GROUP BY ALL)"""
-    fill = lambda c: f"last_value({c} IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return f"""WITH h AS ({duckdb_sql(f, hours, 'symbol, "Data", _v7, _v14')}), b AS ({QUARTERS})
-SELECT b.symbol, b.seq, round({fill("h._v7")}, 6) + 0.0 AS "RSI7_1H_norm", round({fill("h._v14")}, 6) + 0.0 AS "RSI14_1H_norm" FROM b LEFT JOIN h ON h.symbol = b.symbol AND h."Data" = b."Data" """
+    return plain_sql.session_distances(HOURLY, flags)
 
 
 def _main_sql() -> str:
-    f = OPERATORS["apply_main_indicators"].feature()
-    cols = ["RSI21", "ema50_norm", "fib_dist_050_last50"]
-    there = " AND ".join(f'"{c}" IS NOT NULL' for c in f.outputs)
+    there = " AND ".join(f'"{c}" IS NOT NULL' for c in OPERATORS["apply_main_indicators"].feature().outputs)
     label = _label_sql("bars", "0.025::DOUBLE", "0.0125::DOUBLE").replace("b.seq + 20", "b.seq + 50")
-    return f"""WITH bars AS ({DAILY}), rows AS ({duckdb_sql(f, DAILY, "*")}), {label}
-SELECT target, count(*) AS n, {", ".join(f'round(avg("{c}"), 6) + 0.0 AS "{c}"' for c in cols)} FROM rows JOIN labels USING (symbol, seq) WHERE {there} GROUP BY target"""
+    return f"""WITH bars AS ({DAILY}), rows AS ({plain_sql.main_indicators(DAILY)}), {label}
+SELECT target, count(*) AS n, {", ".join(f'round(avg("{c}"), 6) + 0.0 AS "{c}"' for c in ("RSI21", "ema50_norm", "fib_dist_050_last50"))} FROM rows JOIN labels USING (symbol, seq) WHERE {there} GROUP BY target"""
 
 
 def _csv_sql() -> str:
@@ -400,8 +375,8 @@ SELECT seq, target, "RSI21", ema50_norm, fib_dist_050_last50 FROM rows JOIN labe
 
 
 def _gated_sql() -> str:
-    return f"""WITH bars AS ({DAILY}), g AS ({duckdb_sql(gates(), DAILY, "symbol, seq, _gate")}), {_label_sql("bars", "0.04::DOUBLE", "0.02::DOUBLE")}
-SELECT symbol, seq, CASE WHEN _gate = 1 THEN target ELSE 0 END AS target FROM labels JOIN g USING (symbol, seq)"""
+    return f"""WITH bars AS ({DAILY}), g AS ({plain_sql.open_gates(DAILY)}), {_label_sql("bars", "0.04::DOUBLE", "0.02::DOUBLE")}
+SELECT labels.symbol, labels.seq, CASE WHEN g.seq IS NOT NULL THEN target ELSE 0 END AS target FROM labels LEFT JOIN g USING (symbol, seq)"""
 
 
 def _grid_sql() -> str:
@@ -414,12 +389,11 @@ SELECT rr_threshold, target_share, count(*) AS n, sum(target)::BIGINT AS positiv
 def _first_splits_sql() -> str:
     pairs = ", ".join(f"({r!r}::DOUBLE, {t!r}::DOUBLE)" for r in GRID_RR for t in GRID_TARGETS)
     cuts = ", ".join(f"({i}, '{c}', {k}, {t!r}::DOUBLE)" for i, (c, ts) in enumerate(GRID_CUTS.items()) for k, t in enumerate(ts))
-    f = Feature().then(OPERATORS["add_bollinger_features"].feature()).then(OPERATORS["ta_rsi"].feature())
     entropy = lambda p, w: f"CASE WHEN {w} > 0 AND {p} > 0 AND {p} < {w} THEN -({p} / {w} * log2({p} / {w}) + (1 - {p} / {w}) * log2(1 - {p} / {w})) ELSE 0 END"
     each = "CASE feature " + " ".join(f"WHEN '{c}' THEN \"{c}\"" for c in GRID_CUTS) + " END"
     return f"""WITH bars AS ({DAILY}), grid(rr_threshold, target_share) AS (VALUES {pairs}), cells AS (SELECT * FROM bars, grid),
 {_label_sql("cells", "b.target_share", "b.target_share / b.rr_threshold", ", b.rr_threshold, b.target_share").replace("labels AS (SELECT symbol, seq, b.rr_threshold, b.target_share", "labels AS (SELECT symbol, seq, rr_threshold, target_share")},
-x AS MATERIALIZED (SELECT symbol, seq, {", ".join(f'"{c}"' for c in GRID_CUTS)} FROM ({duckdb_sql(f, DAILY, "*")}) WHERE {" AND ".join(f'"{c}" IS NOT NULL' for c in GRID_CUTS)}),
+x AS MATERIALIZED (SELECT symbol, seq, {", ".join(f'"{c}"' for c in GRID_CUTS)} FROM ({plain_sql.inputs(DAILY)}) WHERE {" AND ".join(f'"{c}" IS NOT NULL' for c in GRID_CUTS)}),
 cuts(i, feature, k, threshold) AS (VALUES {cuts}),
 s AS (SELECT rr_threshold, target_share, i, feature, k, threshold, count(*) AS n, count(*) FILTER (WHERE {each} <= threshold) AS n_left, 5.0::DOUBLE * sum(target) AS p, 5.0::DOUBLE * sum(target) FILTER (WHERE {each} <= threshold) AS lp
   FROM labels JOIN x USING (symbol, seq), cuts GROUP BY ALL),
@@ -459,11 +433,10 @@ def _tree_shap_sql() -> str:
             for known in combinations([j for j in range(n) if j != k], size):
                 weight = factorial(size) * factorial(n - size - 1) / factorial(n) / len(SHAP_SPLITS)
                 terms[k] += [f"{weight!r}::DOUBLE * (({mean(t, 0, {*known, k})}) - ({mean(t, 0, set(known))}))" for t in range(len(SHAP_SPLITS))]
-    f = Feature().then(OPERATORS["add_bollinger_features"].feature()).then(OPERATORS["ta_rsi"].feature())
     there = " AND ".join(f'"{c}" IS NOT NULL' for c in SHAP_FEATURES)
     values = ", ".join(f"{' + '.join(x)} AS s{k}" for k, x in terms.items())
     rows = " UNION ALL ".join(f"SELECT '{c}' AS f, avg(abs(s{k})) AS a, avg(s{k}) AS m FROM s" for k, c in enumerate(SHAP_FEATURES))
-    return f"""WITH bars AS ({DAILY}), {_label_sql("bars", "0.04::DOUBLE", "0.02::DOUBLE")}, rows AS MATERIALIZED (SELECT * FROM ({duckdb_sql(f, DAILY, "*")}) JOIN labels USING (symbol, seq) WHERE {there}),
+    return f"""WITH bars AS ({DAILY}), {_label_sql("bars", "0.04::DOUBLE", "0.02::DOUBLE")}, rows AS MATERIALIZED (SELECT * FROM ({plain_sql.inputs(DAILY)}) JOIN labels USING (symbol, seq) WHERE {there}),
 counts AS MATERIALIZED (SELECT {", ".join(sums)} FROM rows), s AS MATERIALIZED (SELECT {values} FROM rows, counts), t AS ({rows})
 SELECT f AS "Feature", row_number() OVER (ORDER BY a DESC, f)::INT AS rank, CASE WHEN m > 0 THEN 'Positive' ELSE 'Negative' END AS direction, round(a, 6) AS importance, round(100 * a / max(a) OVER (), 6) AS percent,
   round(sum(100 * a / (SELECT max(a) FROM t)) OVER (ORDER BY a DESC, f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cumulative FROM t"""
@@ -475,7 +448,7 @@ def _mutual_info_sql(k: int = 3) -> str:
     names = ("bb_z_20", "bb_width_20")
     long = " UNION ALL ".join(f"SELECT '{c}' AS f, symbol, seq, target, \"{c}\" AS x FROM r WHERE \"{c}\" IS NOT NULL" for c in names)
     return f"""WITH bars AS ({DAILY}), {_label_sql("bars", "0.04::DOUBLE", "0.02::DOUBLE")},
-r AS (SELECT * FROM ({duckdb_sql(OPERATORS["add_bollinger_features"].feature(), DAILY, "*")}) JOIN labels USING (symbol, seq)),
+r AS (SELECT * FROM ({plain_sql.inputs(DAILY)}) JOIN labels USING (symbol, seq)),
 l AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY f, symbol, seq) AS id, count(*) OVER (PARTITION BY f, target) AS size FROM ({long})),
 d AS (SELECT a.f, a.id, list_sort(min(abs(a.x - b.x), {k}))[least({k}, any_value(a.size) - 1)] AS radius FROM l AS a JOIN l AS b ON a.f = b.f AND a.target = b.target AND a.id <> b.id GROUP BY a.f, a.id),
 m AS (SELECT a.f, a.id, any_value(a.size)::DOUBLE AS size, least({k}, any_value(a.size) - 1)::DOUBLE AS k, count(*) FILTER (WHERE CASE WHEN radius > 0 THEN abs(a.x - b.x) < radius ELSE a.x = b.x END)::DOUBLE AS m
@@ -489,7 +462,7 @@ def _pairplot_sql() -> str:
     each = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, target, {at(a)} AS bin_a, {at(b)} AS bin_b FROM x, r" for a, b in pairs)
     ranges = ", ".join(f'min("{c}") AS "lo_{c}", max("{c}") AS "hi_{c}"' for c in PAIRPLOT)
     return f"""WITH bars AS ({DAILY}), {_label_sql("bars", "0.04::DOUBLE", "0.02::DOUBLE")},
-x AS MATERIALIZED (SELECT * FROM ({duckdb_sql(OPERATORS["add_bollinger_features"].feature(), DAILY, "*")}) JOIN labels USING (symbol, seq) WHERE {" AND ".join(f'"{c}" IS NOT NULL' for c in PAIRPLOT)}), r AS (SELECT {ranges} FROM x)
+x AS MATERIALIZED (SELECT * FROM ({plain_sql.inputs(DAILY)}) JOIN labels USING (symbol, seq) WHERE {" AND ".join(f'"{c}" IS NOT NULL' for c in PAIRPLOT)}), r AS (SELECT {ranges} FROM x)
 SELECT a, b, target, bin_a, bin_b, count(*) AS n FROM ({each}) GROUP BY ALL"""
 
 
@@ -508,7 +481,7 @@ def oracle_sql() -> dict[str, str]:
         "label_first_touch": f"""WITH bars AS ({DAILY}), {_label_sql("bars", "0.04::DOUBLE", "0.02::DOUBLE")} SELECT * FROM labels""",
         "label_first_touch_gated": _gated_sql(),
         "label_grid_summary": _grid_sql(),
-        "rsi_htf_hour": _rsi_htf_sql(),
+        "rsi_htf_hour": plain_sql.hourly_rsi(QUARTERS),
         "sessions_and_distance": _sessions_sql(),
         "threshold_sweep": f"{scored}{_SWEEP} SELECT split, threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM rates",
         "best_threshold": f"{scored}{_SWEEP} SELECT split, threshold FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY f1 DESC, threshold) AS no FROM rates) WHERE no = 1",
@@ -630,7 +603,4 @@ f AS (SELECT symbol, seq, "High" AS h FROM (SELECT *, greatest(lag("High", 1) OV
   FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY seq)) WHERE ok AND "High" > n),
 breaks AS (SELECT DISTINCT symbol, hit FROM (SELECT f.symbol, f.seq, min(b.seq) AS hit FROM f JOIN bars AS b ON b.symbol = f.symbol AND b.seq > f.seq AND b."Close" > f.h GROUP BY ALL))
 SELECT b.symbol, b.seq, CASE WHEN EXISTS (SELECT 1 FROM breaks AS k WHERE k.symbol = b.symbol AND k.hit <= b.seq AND k.hit > b.seq - 14) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS structure_break_long FROM bars AS b"""
-    for name, (kind, feature) in FEATURES.items():
-        if name not in out and (sql := duckdb_sql(feature, _SOURCES[kind][1], _plain_sql(feature.outputs))):
-            out[name] = sql
     return out
