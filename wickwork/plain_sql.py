@@ -177,14 +177,14 @@ def different_ema_binary(bars: str) -> str:
     return f"WITH bars AS ({bars}), {_raw_averages()}, t AS MATERIALIZED (SELECT *, {slopes} FROM {every}), {_crossings('t')} SELECT {_rounded(**columns)} FROM t JOIN x USING (symbol, seq)"
 
 
-def main_indicators(bars: str) -> str:
-    """RSI, the averages and the place in the range of the 50 rows before."""
+def main_indicators(bars: str, rounded: bool = True) -> str:
+    """RSI, the averages and the place in the range of the 50 rows before; not rounded, they can be averaged."""
     box = """CASE WHEN lo IS NOT NULL AND seq > 50 AND (hi - lo) / nullif(lo, 0) >= 0.03 THEN greatest(-1, least(1, ("Close" - (hi + lo) / 2) / (hi - lo))) ELSE -1 END"""
     before = "(PARTITION BY symbol ORDER BY seq ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)"
     columns = {"RSI21": "q21 / 100", "RSI21_diff": f"(q21 - lag(q21, 5) OVER {W}) / 100", "RSI_50_21_diff": "(q50 - q21) / 100"} | _different_ema_columns() | {"fib_dist_050_last50": box}
     return f"""WITH {_different_ema_tables(bars)}, {_wilder_rsi("q21", "bars", 21)}, {_wilder_rsi("q50", "bars", 50)},
 m AS (SELECT *, max("High") OVER {before} AS hi, min("Low") OVER {before} AS lo FROM {_join("t", ["q21", "q50"])} JOIN x USING (symbol, seq))
-SELECT {_rounded(**columns)} FROM m"""
+SELECT {_rounded(**columns) if rounded else "symbol, seq, " + ", ".join(f'{x} AS "{c}"' for c, x in columns.items())} FROM m"""
 
 
 def vwap_features(bars: str, span: int, slow: int, z: int, rsi: int) -> str:

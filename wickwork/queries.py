@@ -362,7 +362,7 @@ def _sessions_sql() -> str:
 def _main_sql() -> str:
     there = " AND ".join(f'"{c}" IS NOT NULL' for c in OPERATORS["apply_main_indicators"].feature().outputs)
     label = _label_sql("bars", "0.025::DOUBLE", "0.0125::DOUBLE").replace("b.seq + 20", "b.seq + 50")
-    return f"""WITH bars AS ({DAILY}), rows AS ({plain_sql.main_indicators(DAILY)}), {label}
+    return f"""WITH bars AS ({DAILY}), rows AS ({plain_sql.main_indicators(DAILY, False)}), {label}
 SELECT target, count(*) AS n, {", ".join(f'round(avg("{c}"), 6) + 0.0 AS "{c}"' for c in ("RSI21", "ema50_norm", "fib_dist_050_last50"))} FROM rows JOIN labels USING (symbol, seq) WHERE {there} GROUP BY target"""
 
 
