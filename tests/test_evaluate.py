@@ -80,3 +80,21 @@ def test_granger_finds_the_leader():
     y = np.r_[0, x[:-1]] + 0.1 * rng.normal(size=400)
     assert select.granger_p(x, y) < 1e-6 < select.granger_p(rng.normal(size=400), y)
     assert select._chi2_tail(3.841459, 1) == pytest.approx(0.05, abs=1e-5) and select._chi2_tail(5.991465, 2) == pytest.approx(0.05, abs=1e-5) and select._chi2_tail(7.814728, 3) == pytest.approx(0.05, abs=1e-5)
+
+
+def test_a_column_that_does_not_vary_correlates_as_in_duckdb(spark):
+    import duckdb
+
+    rows = [(float(k), 2.0 * k + k % 3, 0.1, None if k == 3 else -float(k), None if k else 5.0, None) for k in range(7)]
+    schema = "a double, b double, flat double, gap double, one double, none double"
+    names = [c.split()[0] for c in schema.split(", ")]
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE t ({schema})")
+    con.executemany(f"INSERT INTO t VALUES ({', '.join('?' * len(names))})", rows)
+    got = evaluate.correlation_pairs(spark.createDataFrame(rows, schema).repartition(3), names).collect()
+    assert len(got) == 15
+    for a, b, r in got:
+        want = con.execute(f"SELECT corr({a}, {b}) FROM t").fetchone()[0]
+        assert (r is None) == (want is None) and (r is None or r == pytest.approx(want, abs=1e-12, nan_ok=True)), (a, b)
+    top = evaluate.get_top_correlated_pairs(spark.createDataFrame(rows, schema), ["a", "b", "flat"], 3).collect()
+    assert [(r[0], r[1]) for r in top] == [("a", "flat"), ("b", "flat"), ("a", "b")] and np.isnan(top[0]["r"]) and top[2]["r"] < 1

@@ -80,15 +80,24 @@ def show_class_balance(labelled: DataFrame, digits: int = 3) -> DataFrame:
     return shares.groupBy("target").pivot("split", ["all", "train", "valid", "test"]).agg(F.first("share")).na.fill(0.0)
 
 
+def _correlation(a: str, b: str) -> Column:
+    """``F.corr`` is an error where a column does not vary."""
+    spread = F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_pop(F.when(F.col(a).isNotNull(), F.col(b)))
+    return F.when(spread == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop(a, b), spread))
+
+
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) for every pair of columns, over the rows where both are there; one pass, one row of sums."""
+    """(a, b, r) for every pair of columns, over the rows where both are there; one pass, one row of sums.
+
+    Where a column does not vary there is no correlation: r is NaN, as DuckDB's ``corr`` gives it, and null without rows.
+    """
     pairs = list(itertools.combinations(columns, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[_correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
 
 
 def get_top_correlated_pairs(df: DataFrame, columns: list[str], top_n: int = 20) -> DataFrame:
-    """The pairs with the highest absolute correlation."""
+    """The pairs with the highest absolute correlation; NaN, of columns that do not vary, ranks above all numbers, as in DuckDB."""
     return correlation_pairs(df, columns).withColumn("r", F.abs("r")).filter("r IS NOT NULL").orderBy(F.desc("r"), "a", "b").limit(top_n)
 
 
