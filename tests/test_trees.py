@@ -109,6 +109,20 @@ def test_query_matches_sql_of_all_subsets(spark):
     same(spark, SF, queries.queries()["tree_shap_importance"], queries.oracle_sql()["tree_shap_importance"])
 
 
+@pytest.mark.parametrize("cut", [2.3, -1.0])
+def test_a_split_without_rows_matches_sql_of_all_subsets(spark, monkeypatch, cut):
+    """The left side of the second tree's root is a split; with a cut below all volumes no row gets there."""
+    (root, *others), first = queries.SHAP_SPLITS[1], queries.SHAP_SPLITS[0]
+    monkeypatch.setattr(queries, "SHAP_SPLITS", (first, ((root[0], cut, *root[2:]), *others)))
+    same(spark, SF, queries.tree_shap_importance, queries._tree_shap_sql())
+    features = ["a", "b", "c"]
+    _, df = random_frame(spark, np.random.default_rng(4), 50, features)
+    made = trees.Tree(np.array([0, 1, -1, -1, -1]), np.array([cut * 100, 0.0, 0, 0, 0]), np.array([1, 3, -1, -1, -1]), np.array([2, 4, -1, -1, -1]), np.ones(5), np.zeros(5))
+    forest = trees.recounted(df, features, trees.Forest((made,), (1.0,)), "target")
+    values = np.array([r["shap"] for r in trees.tree_shap(df, features, forest).collect()])
+    assert values.shape == (50, 3) and forest.undefined == (cut < 0) == bool(np.isnan(forest.base)) and np.isnan(values).all() == (cut < 0)
+
+
 def plain_tree(bins, y, counts, s, tried, node=1, level=0, root=None):
     """{node: (feature, cut) or None} by trying every split; ``tried(node)`` are the features a node may use."""
     rows = [k for k in range(len(y)) if counts[k]]

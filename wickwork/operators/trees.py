@@ -58,9 +58,16 @@ class Forest:
     trees: tuple[Tree, ...]
     weights: tuple[float, ...]
 
+    @property
+    def undefined(self) -> bool:
+        """Whether a split was reached by no row: then it has no expected value, and neither have the trees above it."""
+        return any(bool((t.cover[t.left >= 0] == 0).any()) for t in self.trees)
+
     @property
     def base(self) -> float:
-        """The mean prediction: what is known without any feature."""
+        """The mean prediction: what is known without any feature; NaN if it is undefined."""
+        if self.undefined:
+            return float("nan")
         return sum(w * sum(v * float(np.prod(s)) for v, _, _, _, s in t.leaves()) for t, w in zip(self.trees, self.weights, strict=True))
 
     def parts(self) -> Iterator[list[tuple[np.ndarray, ...]]]:
@@ -143,7 +150,7 @@ def forest_of(spark, model) -> Forest:
 def recounted(df: DataFrame, features: list[str], forest: Forest, target: str | None = None) -> Forest:
     """The same splits with the covers of ``df``, and with its mean ``target`` in the leaves if that is given; one aggregate for all nodes.
 
-    Leaves without rows keep their value and get a cover of 0; nodes without rows are an error.
+    Nodes without rows keep their value and get a cover of 0; a split without rows makes the forest ``undefined``.
     """
     sums = []
     for k, tree in enumerate(forest.trees):
@@ -159,8 +166,6 @@ def recounted(df: DataFrame, features: list[str], forest: Forest, target: str |
     out = []
     for k, t in enumerate(forest.trees):
         cover = np.array([row[f"c{k}_{n}"] for n in range(len(t.left))])
-        if (cover[t.left >= 0] == 0).any():
-            raise ValueError("a split has no rows")
         value = np.array([t.value[n] if not target or row[f"v{k}_{n}"] is None else row[f"v{k}_{n}"] for n in range(len(t.left))])
         out.append(Tree(t.feature, t.threshold, t.left, t.right, cover, value))
     return Forest(tuple(out), forest.weights)
@@ -169,14 +174,15 @@ def recounted(df: DataFrame, features: list[str], forest: Forest, target: str |
 def tree_shap(df: DataFrame, features: list[str], forest: Forest, column: str = "shap") -> DataFrame:
     """``df`` with an array of Shapley values, one for each of ``features``; with ``forest.base`` they add up to the prediction.
 
-    Rows with a null feature are left out, as in training. An empty table stays empty.
+    Rows with a null feature are left out, as in training. An empty table stays empty. Every value starts from what is expected
+    without any feature, so all are NaN if the forest is ``undefined``.
     """
     rows = df.na.drop(subset=features).withColumn(column, F.array([F.col(f"`{c}`").cast("double") for c in features]))
     schema = T.StructType([*df.schema.fields, T.StructField(column, T.ArrayType(T.DoubleType()))])
     sums = f"{column}_sum"
-    rows = rows.withColumn(sums, F.transform(column, lambda _: F.lit(0.0)))
+    rows = rows.withColumn(sums, F.transform(column, lambda _: F.lit(float("nan") if forest.undefined else 0.0)))
     schema = schema.add(sums, T.ArrayType(T.DoubleType()))
-    for part in forest.parts():
+    for part in () if forest.undefined else forest.parts():
         rows = rows.select(*schema.names).mapInArrow(_adding(part, column, sums), schema)
     return rows.withColumn(column, F.col(sums)).select(*df.columns, column)
 
