@@ -169,3 +169,18 @@ def test_plan_has_one_shuffle(spark):
     _, df = bars(spark, 60)
     plan = OPERATORS["add_volume_dynamics"](df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_flat_kagi_line_has_the_last_bits_of_its_sql():
+    """Where the line is flat, nothing but the order of the smoothing's sums decides the scaled values: it is that of ``plain_sql.kagi``."""
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        line = np.repeat(rng.uniform(1e5, 4e5, 2), (10, 20))
+        got = K.kagi(line, np.zeros(30), 9)
+        fit = np.linalg.pinv(np.vander(np.arange(-4, 5), 3))
+        for i in range(30):
+            mid = min(max(i, 4), 25)
+            want = 0.0
+            for w, x in zip((np.vander([i - mid], 3) @ fit)[0].tolist(), line[mid - 4 : mid + 5].tolist(), strict=True):
+                want += w * x
+            assert got[i] == want, (seed, i)

@@ -117,7 +117,11 @@ def super_trend(close: np.ndarray, upper: np.ndarray, lower: np.ndarray, period:
 
 
 def kagi(close: np.ndarray, threshold: np.ndarray, taps: int = 9) -> np.ndarray:
-    """A reversal line, smoothed by a quadratic over ``taps`` rows; at either end the outermost quadratic goes on."""
+    """A reversal line, smoothed by a quadratic over ``taps`` rows; at either end the outermost quadratic goes on.
+
+    Every row is a sum of weights times values from left to right: where the line is flat, its scaled range is the last bits
+    of these sums, so their order is part of the result.
+    """
     n = len(close)
     line, up = np.empty(n), True
     for i in range(n):
@@ -136,10 +140,17 @@ def kagi(close: np.ndarray, threshold: np.ndarray, taps: int = 9) -> np.ndarray:
     half = taps // 2
     at = np.arange(-half, half + 1)
     fit = np.linalg.pinv(np.vander(at, 3))
+
+    def smooth(place: int, rows: np.ndarray) -> np.ndarray:
+        out = 0.0
+        for k, w in enumerate((np.vander([place], 3) @ fit)[0].tolist()):
+            out = out + w * rows[..., k]
+        return out
+
     out = np.empty(n)
-    out[half : n - half] = np.lib.stride_tricks.sliding_window_view(line, taps) @ fit[2]
-    out[:half] = np.vander(at[:half], 3) @ (fit @ line[:taps])
-    out[n - half :] = np.vander(at[half + 1 :], 3) @ (fit @ line[-taps:])
+    out[half : n - half] = smooth(0, np.lib.stride_tricks.sliding_window_view(line, taps))
+    for place in range(1, half + 1):
+        out[half - place], out[n - 1 - half + place] = smooth(-place, line[:taps]), smooth(place, line[-taps:])
     return out
 
 
