@@ -442,6 +442,31 @@ def test_pairs_by_rare_shingles(spark):
     assert len(got) < len([p for p in pairs if jaccard(*p) >= 0.4]) / 4
 
 
+def test_parities_spare_texts_and_lose_no_link(spark):
+    """Whatever the sizes, pairs that are similar enough stay, and those that are far from it go before any text travels."""
+    from wickwork.llm import near_copies
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = ["", "one two"]
+    for n in (5, 30, 63, 68, 69, 70, 130, 133, 260, 900):
+        base = [word() for _ in range(n)]
+        texts += [" ".join(base[:cut] + [word() for _ in range(more)]) for cut, more in ((n, 0), (n, n // 9), (n - n // 8, 0), (n // 2, n // 8), (n // 3, 0), (n // 9, n // 7))]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    known = near_copies._signatures(docs, "text", 5).select("key", "n", "parities")
+    sets = {hashlib.sha256(t.encode()).digest(): near_copies.shingles(t) for t in texts}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    frame = spark.createDataFrame([tuple(map(bytearray, p)) for p in pairs], "a binary, b binary")
+    jaccard = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs}
+    for least in (0.8, 0.3):
+        got = {(bytes(a), bytes(b)) for a, b in near_copies._possible(frame, known.distinct(), least).collect()}
+        want = {p for p, s in jaccard.items() if s >= least}
+        assert want <= got and len(want) > 10
+        # Pairs of other sizes are no candidates.
+        alike = {(a, b) for a, b in pairs if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b]))}
+        assert least < 0.8 or len(got & alike) < (len(want) + len(alike)) / 2
+
+
 def test_llm_queries_run(spark):
     from wickwork.llm.queries import queries
 

@@ -5,6 +5,9 @@ that similarity, which differ in seven bits or more, so texts that share a band
 too, and every link is verified on the shingles themselves. A pair of similarity s shares none of the bands with
 probability (1 - s**ROWS)**BANDS, 0.0002 at 0.8.
 
+Texts travel for few candidates only. A text's parities are bits that its shingles flip by their hashes: two texts differ
+in at least as many shingles as in parities, so a pair whose parities differ more than its similarity allows is no link.
+
 A bucket is a SimHash component or a band's value, with the texts that have it. Its texts are first compared with one of
 them, its hub, since most of a large group of near copies are linked by that; further hubs follow as long as each halves
 what is left. Then texts of a small bucket that no links join yet are compared pair by pair. Those of large buckets,
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import min_label_components
-from .shared import text_or_empty, written
+from .shared import join_small, text_or_empty, written
 from .simhash import near_duplicates
 
 BANDS, ROWS = 28, 6
@@ -47,40 +50,76 @@ def shingles(text: str, width: int = 5) -> set[bytes]:
     return {flat[a : b - 1] for a, b in zip([0, *ends], ends[width - 1 :], strict=False)}
 
 
-def bands(grams: set[bytes]) -> list[int]:
+def hashes(grams: set[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], np.uint64)
+
+
+def bands(hashed: np.ndarray) -> list[int]:
     """A hash of each band's least values under ROWS permutations."""
-    hashes = np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], np.uint64)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(hashes), 512):
-        np.minimum(least, ((hashes[lo : lo + 512] ^ _MASKS[:, None]) * _FACTORS[:, None]).min(1), out=least)
+    for lo in range(0, len(hashed), 512):
+        np.minimum(least, ((hashed[lo : lo + 512] ^ _MASKS[:, None]) * _FACTORS[:, None]).min(1), out=least)
     return [xxhash.xxh64_intdigest(row.tobytes(), no) - (1 << 63) for no, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def parities(hashed: np.ndarray) -> np.ndarray:
+    """As many bits as there are hashes, up to the next power of two and 64 at least, in whole numbers of 64 bits.
+
+    A bit says whether an odd number of hashes falls on it. Twice as many bits, folded in half by an exclusive or, are the
+    bits that half as many would have been.
+    """
+    size = max(64, 1 << max(0, len(hashed) - 1).bit_length())
+    odd = np.bincount((hashed & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def _signatures(df: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(key, n, bands, text) by row: the text's digest and how many shingles it has."""
-    rows = df.select(text_or_empty(df, text_col).alias("text"))
-    rows = rows.select(F.unhex(F.sha2("text", 256)).alias("key"), "text")
+    """(key, n, bands, parities) by row: the text's digest, how many shingles it has, and what is known of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 100):
-                part = batch.slice(lo, 100)
-                n, found = [], []
-                for text in part.column("text").to_pylist():
-                    grams = shingles(text, width)
-                    n.append(len(grams))
-                    found.append(bands(grams))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64())), part.column("text")], names=["key", "n", "bands", "text"])
-
-    return rows.mapInArrow(run, "key binary, n int, bands array<long>, text string")
-
-
-def _verified(pairs: DataFrame, signatures: DataFrame, least: float, width: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts are that similar, as (src, dst)."""
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    texts = signatures.select("key", "text").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    texts = written(texts, "texts")
+            n, banded, odd = [], [], []
+            for text in batch.column("text").to_pylist():
+                hashed = hashes(shingles(text, width))
+                n.append(len(hashed))
+                banded.append(bands(hashed))
+                odd.append(parities(hashed))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int32()), pa.array(banded, longs), pa.array(odd, longs)], names=["key", "n", "bands", "parities"])
+
+    return _texts(df, text_col).mapInArrow(run, "key binary, n int, bands array<long>, parities array<long>")
+
+
+def _texts(df: DataFrame, text_col: str) -> DataFrame:
+    """(key, text) by row. The texts are read again from ``df`` where they are needed, not stored once more."""
+    rows = df.select(text_or_empty(df, text_col).alias("text"))
+    return rows.select(F.unhex(F.sha2("text", 256)).alias("key"), "text")
+
+
+def _texts_of(texts: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """(key, text) of each of ``keys``; only their texts are shuffled if the keys are few enough to be broadcast."""
+    return join_small(texts, written(keys.distinct(), name), ["key"], "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+
+
+def _possible(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) that may be as similar by their parities in ``known`` (key, n, parities)."""
+    x, y = (known.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("parities").alias(f"p_{k}")) for k in ("a", "b"))
+    both = pairs.join(x, "a").join(y, "b")
+    xor = lambda p, q: F.zip_with(p, q, lambda v, w: v.bitwiseXOR(w))
+    size = F.least(F.size("p_a"), F.size("p_b"))
+
+    def folded(p: str) -> Column:
+        parts = F.sequence(F.lit(0), (F.size(p) / size).cast("int") - 1)
+        return F.aggregate(parts, F.array_repeat(F.lit(0).cast("long"), size), lambda bits, k: xor(bits, F.slice(p, k * size + 1, size)))
+
+    differ = F.aggregate(xor(folded("p_a"), folded("p_b")), F.lit(0), lambda sum_, v: sum_ + F.bit_count(v))
+    return both.filter(differ <= (1 - least) / (1 + least) * (F.col("n_a") + F.col("n_b")) + _SLACK).select("a", "b")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, known: DataFrame, least: float, width: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts in ``rows`` (key, text) are that similar, as (src, dst)."""
+    pairs = written(_possible(pairs, known, least), "pairs")
+    texts = written(_texts_of(rows, pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))), "wanted"), "texts")
     both = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"key": "b", "text": "tb"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,14 +197,16 @@ def rare_shingle_pairs(texts: DataFrame, least: float, width: int) -> DataFrame:
 
 
 def _buckets(df: DataFrame, signatures: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(bucket, key, n): the buckets that several different texts have."""
-    banded = signatures.select(F.explode("bands").alias("bucket"), "key", "n")
+    """(bucket, key, n): the buckets that several rows have. A text travels as a hash of its key until most buckets are gone."""
+    short = F.xxhash64("key").alias("short")
+    banded = signatures.select(F.explode("bands").alias("bucket"), short)
     texts = df.select(text_or_empty(df, text_col).alias("text")).select(F.sha2("text", 256).alias("key"), "text")
-    golay = near_duplicates(texts, "key", "text", width).select(F.unhex("doc_id").alias("key"), F.xxhash64(F.lit("simhash"), "component_id").alias("bucket")).distinct()
-    golay = golay.join(signatures.select("key", "n").distinct(), "key").select("bucket", "key", "n")
-    members = banded.union(golay)
-    several = members.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("bucket")
-    return written(members.join(several, "bucket").distinct(), "buckets")
+    golay = near_duplicates(texts, "key", "text", width).select(F.xxhash64(F.lit("simhash"), "component_id").alias("bucket"), F.unhex("doc_id").alias("key")).distinct()
+    members = banded.union(golay.select("bucket", short))
+    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("bucket")
+    members = members.join(several, "bucket", "left_semi").distinct()
+    # Keys of one hash would all be members: candidates more, none less.
+    return written(members.join(signatures.select(short, "key", "n").distinct(), "short").select("bucket", "key", "n"), "buckets")
 
 
 def near_copies(df: DataFrame, text_col: str = "text", least: float = 0.8, width: int = 5) -> DataFrame:
@@ -174,7 +215,10 @@ def near_copies(df: DataFrame, text_col: str = "text", least: float = 0.8, width
     Texts are told apart by the SHA-256 digest of what they are, null counting as empty. Texts without words are alike.
     """
     signatures = written(_signatures(df, text_col, width), "signatures")
+    rows = _texts(df, text_col)
     labelled = _buckets(df, signatures, text_col, width).withColumn("label", F.col("key"))
+    members = written(labelled.select("key").distinct(), "members")
+    known = written(join_small(signatures.select("key", "n", "parities"), members, ["key"], "left_semi").dropDuplicates(["key"]), "known")
     links, before = None, float("inf")
     while True:
         by_label = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
@@ -188,11 +232,11 @@ def near_copies(df: DataFrame, text_col: str = "text", least: float = 0.8, width
         if last:
             found = _bucket_pairs(labelled.filter("not large"), least)
             large = labelled.filter("large").select("key", "n", "label").distinct()
-            texts = signatures.select("key", "text").dropDuplicates(["key"]).join(large, "key")
+            texts = _texts_of(rows, large.select("key"), "large").join(large, "key")
             found = found.union(rare_shingle_pairs(texts, least, width)).distinct()
         else:
             found = _hub_pairs(labelled, least, before)
-        more = _verified(found, signatures, least, width)
+        more = _verified(found, rows, known, least, width)
         links = more if links is None else links.union(more)
         if last:
             break
