@@ -88,6 +88,38 @@ def test_a_smaller_rank_goes_before_the_rest_of_its_bucket(tmp_path):
         assert own.encode(t) == library.encode_ordinary(t), t
 
 
+def test_a_bucket_is_merged_by_one_pass(monkeypatch):
+    """New pairs are filed by one entry for each rank, not by one for each pair."""
+    _, own, library = codecs()
+    rng, calls, put = random.Random(2), [], bpe.RankQueue.put
+    text = " ".join("".join(rng.choice("the on ing ti er en st le ou re".split()) for _ in range(5)) for _ in range(20_000))
+    monkeypatch.setattr(bpe.RankQueue, "put", lambda *a: (calls.append(1), put(*a))[1])
+    assert own.encode(text) == library.encode_ordinary(text)
+    assert len(calls) < 10_000
+
+
+def test_texts_encoded_together_are_those_of_tiktoken(tmp_path, monkeypatch):
+    """Vocabularies in any order: overlapping pairs, and smaller ranks that come up beside only some of the merges."""
+    import tiktoken
+
+    rng = random.Random(3)
+    monkeypatch.setattr(bpe, "AT_ONCE", 20)
+    for v in range(30):
+        tokens = {bytes(rng.choice(b"abc"[: 2 + v % 2]) for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(5, 40))}
+        tokens = [bytes([i]) for i in range(256)] + rng.sample(sorted(tokens), len(tokens))
+        path = tmp_path / f"{v}.tiktoken"
+        path.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(tokens)))
+        own = bpe.Codec(str(path), P.PATTERN)
+        library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+        values = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) + rng.choice(["", " é a", "  ", " \n a"]) for _ in range(50)]
+        ids, n = own.encode_texts(values)
+        of_ids, of_text = own.digests(ids, n)
+        want = [library.encode_ordinary(t) for t in values]
+        assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+        assert of_ids == [hashlib.sha256(",".join(map(str, w)).encode()).hexdigest() for w in want]
+        assert of_text == [hashlib.sha256(t.encode()).hexdigest() for t in values]
+
+
 def test_queue_gives_ranks_in_order():
     q, rng = bpe.RankQueue(50_000), random.Random(0)
     filed = {}
